@@ -1,0 +1,6 @@
+"""Streaming.
+
+The modelled workload is batch only: daily tables are rebuilt per forecast
+origin and no stream, watermark or stateful operator exists in it.  This
+package is intentionally empty; see README ("Not built").
+"""
