@@ -117,56 +117,86 @@ def feature_columns(nday_windows=VISIT_WINDOWS, reserve_windows=R.RESERVE_WINDOW
     return cols
 
 
+class FeatureJob:
+    """Builds the shared frames once; each part is a (join keys, frame) pair
+    that can be joined to the labels alone (tests, checks) or all together."""
+
+    def __init__(self, inp: Inputs, test_begin: dt.date = tables.TEST_BEGIN, nday: int = tables.NDAY,
+                 history_days: int = tables.HISTORY_DAYS, reserve_as_of_origin: bool = True,
+                 windows=VISIT_WINDOWS):
+        self.inp = inp
+        self.test_begin = test_begin
+        self.reserve_as_of_origin = reserve_as_of_origin
+        self.windows = tuple(windows)
+        self.origins = tables.origin_dates(test_begin, nday, history_days)
+        self.label_origin = label_origin_fn(test_begin, nday, history_days)
+        store_enc = encoded_store(inp.store)
+        # One row per calendar day: checked, then broadcast so that joining it
+        # keeps the store partitioning below.
+        self.cal = broadcast_if_small(calendar_facts(inp.calendar))
+
+        # The only shuffle of the visit history: by store.  A store has at most
+        # one row per day, so no store is a hot key.  Every store-keyed
+        # statistic and every join back to the labels runs inside this
+        # partitioning.
+        vis = (inp.visits.select("store_id", "visit_date", dates.guarded_log1p("visitors").alias("visitors"))
+               .repartition("store_id"))
+        labels = (vis.withColumn("origin", self.label_origin(F.col("visit_date")))
+                     .where(F.col("origin").isNotNull())
+                     .withColumn("day_gap", F.datediff("visit_date", "origin")))
+        self.labels = decorate(labels, store_enc, self.cal).select(*BASE_COLUMNS)
+        hist = decorate(vis.where(F.col("visit_date") < F.lit(test_begin)), store_enc, self.cal)
+        self.hist = explode_origins(hist, "visit_date", self.origins)
+
+    def w8(self, index: int) -> tuple[list[str], DataFrame]:
+        keys, prefix, stats = W8_CATALOGUE[index]
+        k = ["origin", *keys]
+        return k, trailing_stats(self.hist, k, "visitors", self.windows, stats,
+                                 name=lambda s, w, prefix=prefix: f"{prefix}_{s}_{w}")
+
+    def w7(self) -> list[tuple[list[str], DataFrame]]:
+        out = []
+        for keys, name in W7_CATALOGUE:
+            k = ["origin", *keys]
+            out.append((k, trailing_stats(self.hist, k, "visitors", [None], ["kermed"],
+                                          name=lambda s, w, name=name: name)))
+        return out
+
+    def w5(self) -> list[tuple[list[str], DataFrame]]:
+        return R.point_features(self.inp.reservations, self.label_origin, self.test_begin,
+                                self.reserve_as_of_origin)
+
+    def w6(self) -> list[tuple[list[str], DataFrame]]:
+        return R.window_features(self.inp.reservations, self.cal, self.origins, self.test_begin,
+                                 self.reserve_as_of_origin)
+
+    def all_parts(self) -> list[tuple[list[str], DataFrame]]:
+        return self.w5() + self.w6() + self.w7() + [self.w8(i) for i in range(len(W8_CATALOGUE))]
+
+    def table(self, parts=None, base_columns=BASE_COLUMNS) -> DataFrame:
+        """Labels left-joined with ``parts`` (all by default); missing -> 0.
+
+        Store-keyed parts are joined first: they share the labels' store
+        partitioning.  Parts without the store (a few rows per origin) come
+        last, where AQE broadcasts them once measured.
+        """
+        parts = self.all_parts() if parts is None else parts
+        ordered = [p for p in parts if "store_id" in p[0]] + [p for p in parts if "store_id" not in p[0]]
+        out = self.labels
+        feats = []
+        for keys, frame in ordered:
+            out = out.join(frame, on=keys, how="left")
+            feats += [c for c in frame.columns if c not in keys]
+        canonical = [c for c in feature_columns(self.windows) if c in feats]
+        out = out.na.fill(0, subset=canonical)
+        return out.select(*base_columns, *canonical)
+
+
 def feature_table(inp: Inputs, test_begin: dt.date = tables.TEST_BEGIN, nday: int = tables.NDAY,
                   history_days: int = tables.HISTORY_DAYS, reserve_as_of_origin: bool = True,
                   windows=VISIT_WINDOWS) -> DataFrame:
     """Every label row of every origin with all features."""
-    origins = tables.origin_dates(test_begin, nday, history_days)
-    label_origin = label_origin_fn(test_begin, nday, history_days)
-    store_enc = encoded_store(inp.store)
-    # One row per calendar day: checked, then broadcast so that joining it
-    # keeps the store partitioning below.
-    cal = broadcast_if_small(calendar_facts(inp.calendar))
-
-    # The only shuffle of the visit history: by store.  A store has at most one
-    # row per day, so no store is a hot key.  Every store-keyed statistic and
-    # every join back to the labels below runs inside this partitioning.
-    vis = (inp.visits.select("store_id", "visit_date", dates.guarded_log1p("visitors").alias("visitors"))
-           .repartition("store_id"))
-
-    labels = (vis.withColumn("origin", label_origin(F.col("visit_date")))
-                 .where(F.col("origin").isNotNull())
-                 .withColumn("day_gap", F.datediff("visit_date", "origin")))
-    labels = decorate(labels, store_enc, cal).select(*BASE_COLUMNS)
-
-    hist = decorate(vis.where(F.col("visit_date") < F.lit(test_begin)), store_enc, cal)
-    hist = explode_origins(hist, "visit_date", origins)
-
-    store_parts: list[tuple[list[str], DataFrame]] = []
-    other_parts: list[tuple[list[str], DataFrame]] = []
-    for keys, name in W7_CATALOGUE:
-        k = ["origin", *keys]
-        store_parts.append((k, trailing_stats(hist, k, "visitors", [None], ["kermed"],
-                                              name=lambda s, w, name=name: name)))
-    for keys, prefix, stats in W8_CATALOGUE:
-        k = ["origin", *keys]
-        f = trailing_stats(hist, k, "visitors", windows, stats,
-                           name=lambda s, w, prefix=prefix: f"{prefix}_{s}_{w}")
-        (store_parts if "store_id" in keys else other_parts).append((k, f))
-    # Booking features are keyed by store too; they are shuffled to the labels'
-    # partitioning.  Key sets without the store are a few rows per origin and
-    # are joined last (AQE broadcasts them once measured).
-    booking = R.point_features(inp.reservations, label_origin, test_begin, reserve_as_of_origin)
-    booking += R.window_features(inp.reservations, cal, origins, test_begin, reserve_as_of_origin)
-    for keys, frame in booking:
-        ("store_id" in keys and store_parts or other_parts).append((keys, frame))
-
-    out = labels
-    for keys, frame in store_parts + other_parts:
-        out = out.join(frame, on=keys, how="left")
-    feats = feature_columns(windows)
-    out = out.na.fill(0, subset=feats)
-    return out.select(*BASE_COLUMNS, *feats)
+    return FeatureJob(inp, test_begin, nday, history_days, reserve_as_of_origin, windows).table()
 
 
 def split(features: DataFrame, test_begin: dt.date = tables.TEST_BEGIN) -> tuple[DataFrame, DataFrame]:
