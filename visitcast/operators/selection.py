@@ -18,6 +18,12 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 DEFAULT_EXCLUDE = ("store_id", "visit_date", "visitors", "origin")
 
 
+def safe_corr(x, y):
+    """Pearson correlation that is NULL (not an ANSI division error) when a
+    side is constant: covar_samp / (stddev_samp * stddev_samp)."""
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def numeric_feature_columns(df: DataFrame, exclude: Sequence[str] = DEFAULT_EXCLUDE) -> list[str]:
     """Every numeric (or boolean) column not excluded, in schema order."""
     ex = set(exclude)
@@ -53,7 +59,7 @@ def label_correlations(df: DataFrame, features: Sequence[str], label: str, by: s
     """Pearson correlation of ``label`` with every feature, long form
     (``by``, feature, corr).  One aggregation pass, then an unpivot."""
     y = F.col(label).cast("double")
-    aggs = [F.corr(F.col(f).cast("double"), y).alias(f"c{i}") for i, f in enumerate(features)]
+    aggs = [safe_corr(F.col(f).cast("double"), y).alias(f"c{i}") for i, f in enumerate(features)]
     wide = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
     stack = "stack({}, {}) AS (feature, corr)".format(
         len(features), ", ".join(f"'{f}', c{i}" for i, f in enumerate(features)))
@@ -99,7 +105,7 @@ def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     aggs = []
     for i, f in enumerate(features):
         x = F.col(f).cast("double")
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
+        aggs += [safe_corr(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
     wide = df.agg(*aggs)
     stack = "stack({}, {}) AS (feature, r, n)".format(
         len(features), ", ".join(f"'{f}', r{i}, n{i}" for i, f in enumerate(features)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.selection import safe_corr
+
 
 def rmsle(pred: DataFrame, label: str = "visitors", prediction: str = "prediction", by: str | None = None) -> DataFrame:
     """sqrt(mean((y - yhat)^2)); labels are already log1p."""
@@ -16,7 +18,7 @@ def rmsle(pred: DataFrame, label: str = "visitors", prediction: str = "predictio
 
 def r_squared(pred: DataFrame, label: str = "visitors", prediction: str = "prediction", by: str | None = None) -> DataFrame:
     """Squared Pearson correlation of label and prediction."""
-    e = F.pow(F.corr(F.col(label), F.col(prediction)), 2).alias("r2")
+    e = F.pow(safe_corr(F.col(label), F.col(prediction)), 2).alias("r2")
     return pred.groupBy(by).agg(e) if by else pred.agg(e)
 
 
