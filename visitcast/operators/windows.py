@@ -81,6 +81,39 @@ def kermed_sql(n: str, s0: str, s1: str, s2: str) -> str:
 def trailing_stats(hist: DataFrame, keys: Sequence[str], value: str, windows: Sequence[int | None],
                    stats: Sequence[str], name, gap_col: str = "day_gap",
                    partition_by: Sequence[str] | None = None) -> DataFrame:
+    gap = _q(gap_col)
+    conds = [(w, "TRUE" if w is None else f"{gap} >= -{int(w)}") for w in windows]
+    pre = None if None in windows else f"{gap} >= -{int(max(windows))}"
+    return membership_stats(hist, keys, value, conds, stats, name, pre, partition_by)
+
+
+def cumulative_stats(hist: DataFrame, keys: Sequence[str], value: str, date_col: str,
+                     origins: Sequence[dt.date], stats: Sequence[str], name: str) -> DataFrame:
+    """Statistics of all rows before each origin, per ``keys``, as rows
+    (origin, keys..., name).  History sets are nested (date < t1 is inside
+    date < t2), so one copy of each row with one multiplicity per origin gives
+    exact ranks for every origin: no row is repeated per origin.
+    ``stats`` must hold one statistic (the output column ``name``)."""
+    (stat,) = list(stats)
+    d = _q(date_col)
+    conds = [(o, f"{d} < DATE '{o.isoformat()}'") for o in origins]
+    pre = f"{d} < DATE '{max(origins).isoformat()}'"
+    wide = membership_stats(hist, keys, value, conds, [stat, "count"], lambda s, o: f"_{s}_{o:%Y%m%d}", pre)
+    stack = "stack({}, {}) AS (origin, {}, _cnt)".format(
+        len(origins), ", ".join(f"DATE '{o.isoformat()}', `_{stat}_{o:%Y%m%d}`, `_count_{o:%Y%m%d}`" for o in origins),
+        _q(name))
+    return (wide.selectExpr(*[_q(k) for k in keys], stack)
+                .where("_cnt > 0").select("origin", *keys, name))
+
+
+def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, stats: Sequence[str], name,
+                     prefilter: str | None = None, partition_by: Sequence[str] | None = None) -> DataFrame:
+    """Core of the fused operators: statistics for several nested row sets.
+
+    ``conds`` is a list of (tag, SQL condition); the sets they select must be
+    nested for ranks to be exact, which holds for trailing windows of one
+    origin and for all-history sets of several origins.
+    """
     """Statistics of ``value`` per ``keys`` for nested windows ``gap >= -w``.
 
     ``windows`` holds day counts; ``None`` means every row of ``hist``.
@@ -92,21 +125,21 @@ def trailing_stats(hist: DataFrame, keys: Sequence[str], value: str, windows: Se
     construction cheap for the ~50 aggregates of one key set.
     """
     keys = list(keys)
-    windows = list(windows)
+    windows = [tag for tag, _ in conds]
+    cond_of = dict(conds)
     order = list(dict.fromkeys(stats))
     stats = set(order)
     bad = stats - set(WINDOW_STATS)
     if bad:
         raise ValueError(f"unsupported statistics {bad}")
     x = f"CAST({_q(value)} AS DOUBLE)"
-    gap = _q(gap_col)
 
     def inw(w):
-        return "TRUE" if w is None else f"{gap} >= -{int(w)}"
+        return cond_of[w]
 
     cond = f"{_not_null_sql(keys)} AND {x} IS NOT NULL AND NOT isnan({x})"
-    if None not in windows:
-        cond += f" AND {gap} >= -{int(max(windows))}"
+    if prefilter:
+        cond += f" AND {prefilter}"
     base = hist.where(F.expr(cond))
     d = base.groupBy(*[F.col(k) for k in keys], F.expr(x).alias("_x")).agg(
         *[F.expr(f"count(CASE WHEN {inw(w)} THEN 1 END)").alias(f"_m{i}") for i, w in enumerate(windows)])

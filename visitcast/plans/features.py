@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators.encoders import encode_labels
 from ..operators.joins import broadcast_if_small
-from ..operators.windows import explode_origins, trailing_stats
+from ..operators.windows import cumulative_stats, explode_origins, trailing_stats
+from ..session import partitioned_checkpoint
 from ..sources import tables
 from . import reservations as R
 
@@ -117,13 +118,18 @@ def feature_columns(nday_windows=VISIT_WINDOWS, reserve_windows=R.RESERVE_WINDOW
     return cols
 
 
+def frame_needs_store_partitioning(frame: DataFrame) -> bool:
+    part = frame._jdf.queryExecution().executedPlan().outputPartitioning().toString()
+    return not part.startswith("hashpartitioning(store_id")
+
+
 class FeatureJob:
     """Builds the shared frames once; each part is a (join keys, frame) pair
     that can be joined to the labels alone (tests, checks) or all together."""
 
     def __init__(self, inp: Inputs, test_begin: dt.date = tables.TEST_BEGIN, nday: int = tables.NDAY,
                  history_days: int = tables.HISTORY_DAYS, reserve_as_of_origin: bool = True,
-                 windows=VISIT_WINDOWS):
+                 windows=VISIT_WINDOWS, checkpoint: bool = True):
         self.inp = inp
         self.test_begin = test_begin
         self.reserve_as_of_origin = reserve_as_of_origin
@@ -141,11 +147,19 @@ class FeatureJob:
         # partitioning.
         vis = (inp.visits.select("store_id", "visit_date", dates.guarded_log1p("visitors").alias("visitors"))
                .repartition("store_id"))
-        labels = (vis.withColumn("origin", self.label_origin(F.col("visit_date")))
-                     .where(F.col("origin").isNotNull())
-                     .withColumn("day_gap", F.datediff("visit_date", "origin")))
-        self.labels = decorate(labels, store_enc, self.cal).select(*BASE_COLUMNS)
-        hist = decorate(vis.where(F.col("visit_date") < F.lit(test_begin)), store_enc, self.cal)
+        base = decorate(vis, store_enc, self.cal)
+        if checkpoint:
+            # Cut the lineage once in the shared checkpoint folder: every part
+            # below reads these rows instead of repeating the scan, aggregation
+            # and lookups, and a lost executor does not recompute them.  The
+            # checkpoint keeps the store partitioning.
+            base = partitioned_checkpoint(base)
+        self.base = base
+        labels = (base.withColumn("origin", self.label_origin(F.col("visit_date")))
+                      .where(F.col("origin").isNotNull())
+                      .withColumn("day_gap", F.datediff("visit_date", "origin")))
+        self.labels = labels.select(*BASE_COLUMNS)
+        hist = base.where(F.col("visit_date") < F.lit(test_begin))
         self.hist = explode_origins(hist, "visit_date", self.origins)
 
     def w8(self, index: int) -> tuple[list[str], DataFrame]:
@@ -155,11 +169,12 @@ class FeatureJob:
                                  name=lambda s, w, prefix=prefix: f"{prefix}_{s}_{w}")
 
     def w7(self) -> list[tuple[list[str], DataFrame]]:
+        """All history before each origin: nested sets, so no origin explode."""
         out = []
+        past = self.base.where(F.col("visit_date") < F.lit(self.test_begin))
         for keys, name in W7_CATALOGUE:
-            k = ["origin", *keys]
-            out.append((k, trailing_stats(self.hist, k, "visitors", [None], ["kermed"],
-                                          name=lambda s, w, name=name: name)))
+            out.append((["origin", *keys],
+                        cumulative_stats(past, list(keys), "visitors", "visit_date", self.origins, ["kermed"], name)))
         return out
 
     def w5(self) -> list[tuple[list[str], DataFrame]]:
@@ -185,6 +200,15 @@ class FeatureJob:
         out = self.labels
         feats = []
         for keys, frame in ordered:
+            if "store_id" in keys:
+                # Hash the (narrow) part per partition and stream the labels:
+                # a sort-merge join would re-sort the ever wider label rows at
+                # every step.  Parts not built from the store-partitioned
+                # visits (bookings) are moved to that partitioning, so the
+                # labels never move.
+                if frame_needs_store_partitioning(frame):
+                    frame = frame.repartition(self.base.rdd.getNumPartitions(), "store_id")
+                frame = frame.hint("shuffle_hash")
             out = out.join(frame, on=keys, how="left")
             feats += [c for c in frame.columns if c not in keys]
         canonical = [c for c in feature_columns(self.windows) if c in feats]

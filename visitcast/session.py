@@ -7,8 +7,9 @@ Library code never creates its own session; it takes the one it is given.
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings the library relies on (all public Spark options).
 RECOMMENDED_CONF = {
@@ -63,3 +64,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
+
+
+@contextmanager
+def sql_conf(spark: SparkSession, **settings):
+    """Set runtime SQL settings for a block, then restore them."""
+    keys = {k.replace("__", "."): v for k, v in settings.items()}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield spark
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def partitioned_checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared checkpoint folder) that keeps the frame's
+    hash partitioning visible to later plans.
+
+    With adaptive execution on, a checkpoint records an unknown partitioning
+    (the adaptive plan is not final when it is read), so every later
+    group-by on the same key would shuffle again; the checkpoint job itself
+    therefore runs without it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with sql_conf(spark, **{"spark__sql__adaptive__enabled": "false"}):
+        return df.checkpoint(eager=True)
