@@ -427,6 +427,12 @@ FROM pr GROUP BY domain""")
         "method AS name, rmsle FROM sc WHERE method IN ('p_global', 'p_store', 'p_store_weekday'))",
         body=f"""SELECT stage, name, {r6('rmsle')} AS rmsle, {r6('lag(rmsle) OVER (ORDER BY stage) - rmsle')} AS gain,
   {r6('first_value(rmsle) OVER (ORDER BY stage) - rmsle')} AS total_gain FROM st""")
+    q["csv_roundtrip"] = with_prelude(body="SELECT visit_date, holiday_flg, holiday FROM v_calfacts")
+    q["split_summary"] = with_prelude(
+        "tt AS (SELECT * FROM v_dec WHERE domain = 'target' AND visit_date < DATE '2001-10-01')",
+        "cut AS (SELECT min(visit_date) AS c FROM (SELECT DISTINCT visit_date FROM tt ORDER BY visit_date DESC LIMIT 7))",
+        body="""SELECT visit_date >= (SELECT c FROM cut) AS is_valid, count(*) AS n_rows, count(DISTINCT visit_date) AS n_dates,
+  min(visit_date) AS first_date, max(visit_date) AS last_date FROM tt GROUP BY 1""")
     return q
 
 

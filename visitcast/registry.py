@@ -26,7 +26,7 @@ from .plans import report, trainset
 from .plans import reservations as R
 from .operators.windows import explode_origins
 from .session import apply_conf, ensure_checkpoint_dir
-from .sources import tables
+from .sources import io, tables
 
 TEST_BEGIN = tables.TEST_BEGIN
 CUTOFF = TEST_BEGIN - dt.timedelta(days=1)
@@ -382,8 +382,61 @@ def q_stage_gains(spark, sf):
     return report.stage_gains(st.select("stage", F.col("method").alias("name"), "rmsle"))
 
 
+def _scratch(spark, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/visitcast-{tag}-{uuid.uuid4().hex}"
+
+
+def q_csv_roundtrip(spark, sf):
+    """S4 write, S3 read with a declared schema, P14 positional rename, then
+    the calendar facts of the round-tripped rows."""
+    path = _scratch(spark, "csv")
+    io.write_csv(tables.calendar(spark, sf), path)
+    back = io.rename_positional(io.read_csv(spark, path, io.DATE_INFO_SCHEMA),
+                                ["visit_date", "day_of_week", "holiday_flg"])
+    return FP.calendar_facts(back)
+
+
+def q_split_summary(spark, sf):
+    """Rows, distinct dates and date range per part of the K1 split."""
+    sp = selection.time_split(_target_train_visits(spark, sf), "visit_date", 7)
+    return sp.groupBy("is_valid").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("visit_date").alias("n_dates"),
+        F.min("visit_date").alias("first_date"), F.max("visit_date").alias("last_date"))
+
+
 # rows-only checks -----------------------------------------------------------
 
+def q_feature_sink_roundtrip(spark, sf):
+    """S5 partitioned sink, S6 skip-if-exists materialization, S2 pruned read."""
+    path = _scratch(spark, "features")
+    ft = checked_feature_table(spark, sf)
+    io.write_feature_tables(ft, tables.relation(spark, sf), path, TEST_BEGIN)
+    again = io.materialize(ft, path)          # finished copy exists: not rewritten
+    assert again.count() == ft.count()
+    return io.load_feature_tables(spark, path)["target_train"]
+
+
+def q_required_columns(spark, sf):
+    """Expected columns missing from each domain view."""
+    frames = {"visits": tables.visits(spark, sf), "reservations": tables.reservations(spark, sf),
+              "store": tables.store(spark, sf), "calendar": tables.calendar(spark, sf),
+              "relation": tables.relation(spark, sf)}
+    rows = selection.missing_columns(frames, ["store_id", "visit_date", "visitors"])
+    return spark.createDataFrame(rows, "dataset string, column string")
+
+
+def q_adaptive_coral(spark, sf):
+    s, t = _dv_domains(spark, sf)
+    return align.adaptive_coral(s, t, DV_FEATURES, "visitors", 0.7)[0]
+
+
+def q_param_grid(spark, sf):
+    scores = RC.param_grid(domain_data(spark, sf), CHECK_PARAMS, CHECK_CAP)
+    return report.leaderboard(report.scores_frame(spark, scores))
+
+
 def q_exact_sample(spark, sf):
     s, _ = _dv_domains(spark, sf)
     return sampling.exact_sample(s, ["store_id", "visit_date"], ratio=0.7, seed=42)
@@ -490,6 +543,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaderboard": q_leaderboard,
     "ensemble_mean": q_ensemble_mean,
     "stage_gains": q_stage_gains,
+    "csv_roundtrip": q_csv_roundtrip,
+    "split_summary": q_split_summary,
+    "feature_sink_roundtrip": q_feature_sink_roundtrip,
+    "required_columns": q_required_columns,
+    "adaptive_coral": q_adaptive_coral,
+    "param_grid": q_param_grid,
     "exact_sample": q_exact_sample,
     "sample_per_group": q_sample_per_group,
     "coral_align": q_coral_align,
