@@ -53,3 +53,26 @@ def test_explode_origins_only_past(spark):
     assert h.count() == 9 + 20  # 9 days before the first origin, 20 before the second
     leak = explode_origins(df, "d", origins, lookback=20, lookahead_any=[origins[1]])
     assert leak.where((F.col("origin") == F.lit(origins[1])) & (F.col("d") >= F.col("origin"))).count() > 0
+
+
+def test_split_ranks_equal_plain(spark):
+    """Splitting groups into value ranges gives the same exact statistics,
+    for any cut points, also with one dominant group and repeated values."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    hot = rng.random(n) < 0.6
+    pdf = pd.DataFrame({"a": np.where(hot, 0, rng.integers(1, 5, n)),
+                        "gap": -rng.integers(1, 25, n), "x": np.round(rng.gamma(3, 1, n), 1)})
+    df = spark.createDataFrame(pdf).repartition(4)
+    stats = ["count", "mean", "std", "median", "kermed"]
+    name = lambda s, w: f"{s}_{w}"
+    plain = {r["a"]: r for r in trailing_stats(df, ["a"], "x", WINDOWS, stats, name, gap_col="gap").collect()}
+    for cuts in ([0.5, 1.7, 2.2, 2.9, 4.0, 9.0], [2.5], [100.0]):
+        split = {r["a"]: r for r in trailing_stats(df, ["a"], "x", WINDOWS, stats, name, gap_col="gap",
+                                                   value_bounds=cuts).collect()}
+        assert split.keys() == plain.keys()
+        for k in plain:
+            for w in WINDOWS:
+                for s in stats:
+                    a, b = plain[k][f"{s}_{w}"], split[k][f"{s}_{w}"]
+                    assert (a is None and b is None) or abs(a - b) < 1e-9, (cuts, k, w, s, a, b)

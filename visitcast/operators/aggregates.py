@@ -11,7 +11,8 @@ Every statistic is a built-in Spark aggregate with map-side partial
 aggregation, so a hot key never moves its raw rows to one task before being
 combined.  The kernel median is the exception that needs ranks; it first
 collapses each group to its distinct values with multiplicities (partial
-aggregation again), then ranks those with a running window.
+aggregation again), then ranks those with a running window, optionally inside
+value ranges of the group (see ``operators.windows``).
 """
 
 from __future__ import annotations
@@ -63,11 +64,12 @@ def _not_null(keys) -> Column:
     return cond
 
 
-def grouped(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: float | None = None) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: float | None = None,
+            split_ranges: int | None = None) -> DataFrame:
     """One statistic per non-null key group (pandas drops null keys)."""
     keys = list(keys)
     if fn == "kermed":
-        return kernel_median(df, keys, value, out)
+        return kernel_median(df, keys, value, out, split_ranges)
     src = df.where(_not_null(keys)).select(*keys, value)
     return src.groupBy(*keys).agg(stat_expr(fn, value, q).alias(out))
 
@@ -134,52 +136,18 @@ def feat_quantile(df, df_feature, fe, value, n, name=""):
 # Kernel median
 # ---------------------------------------------------------------------------
 
-def rank_block_sums(m: Column, c: Column) -> tuple[Column, Column]:
-    """For a block of ``m`` tied values at 0-based ranks c .. c+m-1, return
-    (sum of ranks, sum of squared ranks), in double arithmetic."""
-    m = m.cast("double")
-    c = c.cast("double")
-    s1 = m * c + m * (m - 1) / 2
-    s2 = m * c * c + c * m * (m - 1) + (m - 1) * m * (2 * m - 1) / 6
-    return s1, s2
-
-
-def kermed_from_moments(n: Column, s0: Column, s1: Column, s2: Column) -> Column:
-    """Epanechnikov-smoothed weighted mean of sorted values from
-    n, S0 = sum x, S1 = sum k*x, S2 = sum k^2*x (k = 0-based rank).
-
-    n = 1: x; n = 2: the mean; n >= 3: weights w_k = 1 + 1.5 (n-1)/(n-2) (1-u_k^2),
-    u_k = (k-(n-1)/2)/((n-1)/2), which sum to 2n; the weighted sum reduces to
-    (S0 + 6((n-1) S1 - S2) / ((n-1)(n-2))) / (2n).  n = 0 gives NULL.
-    """
-    nd = n.cast("double")
-    big = (s0 + F.lit(6.0) * ((nd - 1) * s1 - s2) / ((nd - 1) * (nd - 2))) / (2 * nd)
-    return (F.when(n.isNull() | (n == 0), F.lit(None).cast("double"))
-            .when(n == 1, s0)
-            .when(n == 2, s0 / 2)
-            .otherwise(big))
-
-
-def kernel_median(df: DataFrame, keys: list[str], value: str, out: str = "kermed") -> DataFrame:
+def kernel_median(df: DataFrame, keys: list[str], value: str, out: str = "kermed",
+                  split_ranges: int | None = None) -> DataFrame:
     """Exact kernel median of ``value`` per non-null key group.
 
-    Plan: (1) count each distinct (keys, value) -- partial aggregation collapses
-    hot keys and hot values before the shuffle; (2) running count of smaller
-    values per group over the distinct values (rows frame, so ties stay a
-    block); (3) rank moments per group -> closed form.  Steps 2 and 3 share the
-    hash partitioning on ``keys``.
+    n = 1: x; n = 2: the mean; n >= 3: Epanechnikov weights on the ranks,
+    w_k = 1 + 1.5 (n-1)/(n-2) (1 - u_k^2), u_k = (k - (n-1)/2) / ((n-1)/2).
+    Computed by the fused window operator with one all-rows set: distinct
+    values with multiplicities (partial aggregation first), ranks by a running
+    window, closed form from the rank moments.  ``split_ranges`` splits every
+    group into that many value ranges for the rank step (for hot keys).
     """
-    keys = list(keys)
-    x = F.col(value).cast("double")
-    d = (df.where(_not_null(keys) & F.col(value).isNotNull() & ~F.isnan(x))
-         .groupBy(*keys, x.alias("_x")).agg(F.count(F.lit(1)).alias("_m")))
-    w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_c", F.coalesce(F.sum("_m").over(w), F.lit(0)))
-    s1, s2 = rank_block_sums(F.col("_m"), F.col("_c"))
-    agg = d.groupBy(*keys).agg(
-        F.sum("_m").alias("_n"),
-        F.sum(F.col("_x") * F.col("_m")).alias("_s0"),
-        F.sum(F.col("_x") * s1).alias("_s1"),
-        F.sum(F.col("_x") * s2).alias("_s2"),
-    )
-    return agg.select(*keys, kermed_from_moments(F.col("_n"), F.col("_s0"), F.col("_s1"), F.col("_s2")).alias(out))
+    from .windows import membership_stats, value_cuts
+    cuts = value_cuts(df.where(F.col(value).isNotNull()), value, split_ranges) if split_ranges else None
+    return membership_stats(df, list(keys), value, [(None, "TRUE")], ["kermed"], lambda s, w: out,
+                            value_bounds=cuts)

@@ -71,7 +71,10 @@ def _q(c: str) -> str:
 
 
 def kermed_sql(n: str, s0: str, s1: str, s2: str) -> str:
-    """SQL text of ``aggregates.kermed_from_moments`` (same closed form)."""
+    """Kernel median from the rank moments of a group (k = 0-based rank):
+    n = 1: S0; n = 2: S0 / 2; n >= 3 the weights 1 + 1.5 (n-1)/(n-2) (1 - u_k^2)
+    sum to 2n and the weighted sum reduces to
+    (S0 + 6 ((n-1) S1 - S2) / ((n-1)(n-2))) / (2n), S1 = sum k x, S2 = sum k^2 x."""
     return (f"CASE WHEN {n} IS NULL OR {n} = 0 THEN CAST(NULL AS DOUBLE) "
             f"WHEN {n} = 1 THEN {s0} WHEN {n} = 2 THEN {s0} / 2 "
             f"ELSE ({s0} + 6.0 * (({n} - 1) * {s1} - {s2}) / ((CAST({n} AS DOUBLE) - 1) * ({n} - 2))) "
@@ -80,11 +83,50 @@ def kermed_sql(n: str, s0: str, s1: str, s2: str) -> str:
 
 def trailing_stats(hist: DataFrame, keys: Sequence[str], value: str, windows: Sequence[int | None],
                    stats: Sequence[str], name, gap_col: str = "day_gap",
-                   partition_by: Sequence[str] | None = None) -> DataFrame:
+                   partition_by: Sequence[str] | None = None,
+                   value_bounds: Sequence[float] | None = None) -> DataFrame:
     gap = _q(gap_col)
     conds = [(w, "TRUE" if w is None else f"{gap} >= -{int(w)}") for w in windows]
     pre = None if None in windows else f"{gap} >= -{int(max(windows))}"
-    return membership_stats(hist, keys, value, conds, stats, name, pre, partition_by)
+    return membership_stats(hist, keys, value, conds, stats, name, pre, partition_by, value_bounds)
+
+
+def value_cuts(df: DataFrame, value: str, ranges: int = 64, rel_error: float = 0.001) -> list[float]:
+    """Cut points splitting ``value`` into about ``ranges`` equal-count ranges
+    (approximate quantiles: one distributed pass, ``ranges`` numbers back)."""
+    probs = [i / ranges for i in range(1, ranges)]
+    return df.approxQuantile(value, probs, rel_error)
+
+
+def _split_ranks(d: DataFrame, keys: list[str], rng: list[int], bounds: Sequence[float],
+                 need_rank: bool, need_tot: bool) -> DataFrame:
+    """Rank offsets and group totals with every group split into value ranges.
+
+    d holds one row per (keys, distinct value _x) with multiplicities _m{i}.
+    """
+    cuts = sorted({float(b) for b in bounds if b is not None and b == b})
+    arr = "array(" + ", ".join(f"CAST({c!r} AS DOUBLE)" for c in cuts) + ")"
+    d = d.withColumn("_b", F.expr(f"size(filter({arr}, t -> t < _x))"))
+    kb = ", ".join(_q(k) for k in [*keys, "_b"])
+    pk = ", ".join(_q(k) for k in keys)
+    if need_rank:
+        d = d.withColumns({f"_l{i}": F.expr(
+            f"coalesce(sum(_m{i}) OVER (PARTITION BY {kb} ORDER BY _x "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)") for i in rng})
+    # one row per (group, range): bounded by the number of ranges per group
+    per_range = d.groupBy(*keys, "_b").agg(*[F.expr(f"sum(_m{i})").alias(f"_t{i}") for i in rng],
+                                           *[F.expr(f"sum(_x * _m{i})").alias(f"_sx{i}") for i in rng])
+    cols = {}
+    for i in rng:
+        cols[f"_o{i}"] = F.expr(f"coalesce(sum(_t{i}) OVER (PARTITION BY {pk} ORDER BY _b "
+                                f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+        cols[f"_n{i}"] = F.expr(f"sum(_t{i}) OVER (PARTITION BY {pk})")
+        cols[f"_mu{i}"] = F.expr(f"try_divide(sum(_sx{i}) OVER (PARTITION BY {pk}), sum(_t{i}) OVER (PARTITION BY {pk}))")
+    offsets = per_range.withColumns(cols).drop(*[f"_t{i}" for i in rng], *[f"_sx{i}" for i in rng])
+    d = d.join(offsets, on=[*keys, "_b"], how="inner")
+    if need_rank:
+        d = d.withColumns({f"_c{i}": F.col(f"_o{i}") + F.col(f"_l{i}") for i in rng})
+    return d
 
 
 def cumulative_stats(hist: DataFrame, keys: Sequence[str], value: str, date_col: str,
@@ -107,12 +149,19 @@ def cumulative_stats(hist: DataFrame, keys: Sequence[str], value: str, date_col:
 
 
 def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, stats: Sequence[str], name,
-                     prefilter: str | None = None, partition_by: Sequence[str] | None = None) -> DataFrame:
+                     prefilter: str | None = None, partition_by: Sequence[str] | None = None,
+                     value_bounds: Sequence[float] | None = None) -> DataFrame:
     """Core of the fused operators: statistics for several nested row sets.
 
     ``conds`` is a list of (tag, SQL condition); the sets they select must be
     nested for ranks to be exact, which holds for trailing windows of one
     origin and for all-history sets of several origins.
+
+    ``value_bounds`` (sorted cut points of the value) splits every group into
+    value ranges for the rank step: ranks are computed inside (group, range)
+    and shifted by exact offsets from a per-range count table, so no task
+    ever holds a whole group -- use it for key sets that can be hot.  The
+    cut points only balance the work; results are exact for any cut points.
     """
     """Statistics of ``value`` per ``keys`` for nested windows ``gap >= -w``.
 
@@ -148,15 +197,20 @@ def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, st
 
     pk = ", ".join(_q(k) for k in keys)
     rng = list(range(len(windows)))
-    if {"kermed", "median"} & stats:
-        d = d.withColumns({f"_c{i}": F.expr(
-            f"coalesce(sum(_m{i}) OVER (PARTITION BY {pk} ORDER BY _x "
-            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)") for i in rng})
-    if {"std", "median"} & stats:
-        tot = {f"_n{i}": F.expr(f"sum(_m{i}) OVER (PARTITION BY {pk})") for i in rng}
-        tot.update({f"_mu{i}": F.expr(f"try_divide(sum(_x * _m{i}) OVER (PARTITION BY {pk}), "
-                                      f"sum(_m{i}) OVER (PARTITION BY {pk}))") for i in rng})
-        d = d.withColumns(tot)
+    need_rank = bool({"kermed", "median"} & stats)
+    need_tot = bool({"std", "median"} & stats)
+    if value_bounds and (need_rank or need_tot):
+        d = _split_ranks(d, keys, rng, value_bounds, need_rank, need_tot)
+    else:
+        if need_rank:
+            d = d.withColumns({f"_c{i}": F.expr(
+                f"coalesce(sum(_m{i}) OVER (PARTITION BY {pk} ORDER BY _x "
+                f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)") for i in rng})
+        if need_tot:
+            tot = {f"_n{i}": F.expr(f"sum(_m{i}) OVER (PARTITION BY {pk})") for i in rng}
+            tot.update({f"_mu{i}": F.expr(f"try_divide(sum(_x * _m{i}) OVER (PARTITION BY {pk}), "
+                                          f"sum(_m{i}) OVER (PARTITION BY {pk}))") for i in rng})
+            d = d.withColumns(tot)
 
     # Level 1: plain moment aggregates, each computed once.
     aggs = []

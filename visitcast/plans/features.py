@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators.encoders import encode_labels
 from ..operators.joins import broadcast_if_small
-from ..operators.windows import cumulative_stats, explode_origins, trailing_stats
+from ..operators.windows import cumulative_stats, explode_origins, trailing_stats, value_cuts
 from ..session import partitioned_checkpoint
 from ..sources import tables
 from . import reservations as R
@@ -129,8 +129,10 @@ class FeatureJob:
 
     def __init__(self, inp: Inputs, test_begin: dt.date = tables.TEST_BEGIN, nday: int = tables.NDAY,
                  history_days: int = tables.HISTORY_DAYS, reserve_as_of_origin: bool = True,
-                 windows=VISIT_WINDOWS, checkpoint: bool = True):
+                 windows=VISIT_WINDOWS, checkpoint: bool = True, split_ranges: int | None = 64):
         self.inp = inp
+        self.split_ranges = split_ranges
+        self._visit_cuts = None
         self.test_begin = test_begin
         self.reserve_as_of_origin = reserve_as_of_origin
         self.windows = tuple(windows)
@@ -162,11 +164,19 @@ class FeatureJob:
         hist = base.where(F.col("visit_date") < F.lit(test_begin))
         self.hist = explode_origins(hist, "visit_date", self.origins)
 
+    @property
+    def visit_cuts(self) -> list[float]:
+        """Value ranges for key sets that can be hot (no store in the key)."""
+        if self._visit_cuts is None:
+            self._visit_cuts = value_cuts(self.base, "visitors", self.split_ranges)
+        return self._visit_cuts
+
     def w8(self, index: int) -> tuple[list[str], DataFrame]:
         keys, prefix, stats = W8_CATALOGUE[index]
         k = ["origin", *keys]
+        cuts = None if "store_id" in keys or not self.split_ranges else self.visit_cuts
         return k, trailing_stats(self.hist, k, "visitors", self.windows, stats,
-                                 name=lambda s, w, prefix=prefix: f"{prefix}_{s}_{w}")
+                                 name=lambda s, w, prefix=prefix: f"{prefix}_{s}_{w}", value_bounds=cuts)
 
     def w7(self) -> list[tuple[list[str], DataFrame]]:
         """All history before each origin: nested sets, so no origin explode."""
@@ -179,7 +189,7 @@ class FeatureJob:
 
     def w5(self) -> list[tuple[list[str], DataFrame]]:
         return R.point_features(self.inp.reservations, self.label_origin, self.test_begin,
-                                self.reserve_as_of_origin)
+                                self.reserve_as_of_origin, self.split_ranges)
 
     def w6(self) -> list[tuple[list[str], DataFrame]]:
         return R.window_features(self.inp.reservations, self.cal, self.origins, self.test_begin,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators.windows import explode_origins, trailing_stats
+from ..operators.windows import explode_origins, trailing_stats, value_cuts
 
 # Booking windows (days before the origin) of W6.
 RESERVE_WINDOWS = (35, 63, 140)
@@ -34,7 +34,8 @@ def with_lead(res: DataFrame) -> DataFrame:
     return res.withColumn("lead", F.datediff("visit_dt", "reserve_dt"))
 
 
-def point_features(res: DataFrame, label_origin, test_begin: dt.date, reserve_as_of_origin: bool = True) -> list[tuple[list[str], DataFrame]]:
+def point_features(res: DataFrame, label_origin, test_begin: dt.date, reserve_as_of_origin: bool = True,
+                   split_ranges: int | None = 64) -> list[tuple[list[str], DataFrame]]:
     """Booking statistics for the label day itself.
 
     Label slices tile the timeline, so a booking's visit day names its origin
@@ -42,6 +43,8 @@ def point_features(res: DataFrame, label_origin, test_begin: dt.date, reserve_as
     ``reserve_as_of_origin=False``, any time for the test origin, as the
     original pipeline did).
     Returns [(join keys, frame)] with keys in label column names.
+    The (origin, day) key pools every store's bookings of a day, so its
+    kernel median ranks inside value ranges (``split_ranges``).
     """
     r = with_lead(res).withColumn("origin", label_origin(F.col("visit_dt")))
     keep = F.col("reserve_dt") < F.col("origin")
@@ -56,9 +59,11 @@ def point_features(res: DataFrame, label_origin, test_begin: dt.date, reserve_as
     vis = trailing_stats(r, k_store, "reserve_visitors", [None], ["sum", "kermed"],
                          name=lambda s, w: {"sum": "air_reserve_visitors_sum",
                                             "kermed": "air_reserve_visitors_mean"}[s])
+    cuts = value_cuts(r, "reserve_visitors", split_ranges) if split_ranges else None
     day = trailing_stats(r, k_date, "reserve_visitors", [None], ["sum", "kermed"],
                          name=lambda s, w: {"sum": "air_date_reserve_visitors_sum",
-                                            "kermed": "air_date_reserve_visitors_mean"}[s])
+                                            "kermed": "air_date_reserve_visitors_mean"}[s],
+                         value_bounds=cuts)
     return [(k_store, lead), (k_store, vis), (k_date, day)]
 
 
