@@ -100,3 +100,14 @@ def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
     assert df.count() > 0 and "air_kermed_21" in df.columns
+
+
+def test_domain_moments_match_numpy(spark):
+    from visitcast.operators import align
+    rng = np.random.default_rng(5)
+    x = rng.normal(1000, [1, 5, 20], (700, 3))   # large means: the centred pass keeps precision
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(6)
+    mu, cov, n = align.domain_moments(df, ["a", "b", "c"])
+    assert n == 700
+    assert np.allclose(mu, x.mean(axis=0), rtol=0, atol=1e-9)
+    assert np.allclose(cov, np.cov(x.T), rtol=1e-9, atol=1e-9)

@@ -25,26 +25,36 @@ CORAL_EPS = 1e-6
 def domain_moments(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean vector and sample covariance of ``features``.
 
-    One pass: counts, sums and cross-product sums as plain aggregates
-    (partial aggregation on every executor); the d x d result is assembled on
-    the driver.  Rows with a null feature are dropped (listwise).
+    Two distributed passes, no per-pair expressions (d = 250 features would be
+    31k aggregates): (1) count and means, one aggregate per feature;
+    (2) centred cross-products per Arrow batch with numpy inside
+    ``mapInPandas``, emitted in long form (i, j, partial sum) and reduced by
+    ``groupBy(i, j)`` with partial aggregation.  Only d + d(d+1)/2 numbers
+    reach the driver.  Rows with a null feature are dropped (listwise).
     """
     d = len(features)
-    cols = [F.col(f).cast("double") for f in features]
-    clean = df.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)]).dropna()
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(f"f{i}").alias(f"s{i}") for i in range(d)]
-    aggs += [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = clean.agg(*aggs).first()
-    n = int(row["n"])
+    clean = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).dropna()
+    first = clean.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"f{i}").alias(f"m{i}") for i in range(d)]).first()
+    n = int(first["n"])
     if n < 2:
         raise ValueError("need at least two complete rows for a covariance")
-    s = np.array([row[f"s{i}"] for i in range(d)], dtype=float)
-    mu = s / n
-    cov = np.empty((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - n * mu[i] * mu[j]) / (n - 1)
+    mu = np.array([first[f"m{i}"] for i in range(d)], dtype=float)
+    iu, ju = np.triu_indices(d)
+    cols = [f"f{i}" for i in range(d)]
+
+    def cross(batches):
+        import pandas as pd
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = pdf[cols].to_numpy(dtype=float) - mu
+            p = x.T @ x
+            yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "v": p[iu, ju]})
+
+    parts = clean.mapInPandas(cross, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    cov = np.zeros((d, d))
+    for r in parts.collect():  # d(d+1)/2 rows: bounded by the schema
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["v"] / (n - 1)
     return mu, cov, n
 
 
