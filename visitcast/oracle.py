@@ -310,7 +310,8 @@ def other_sql() -> dict[str, str]:
   holiday_flg, holiday FROM v_dec""")
     q["lookup_fill"] = with_prelude(body="""SELECT v.store_id, v.visit_date, coalesce(sc.genre, -1) AS genre,
   coalesce(sc.area, -1) AS area, coalesce(c.holiday_flg, -1) AS holiday_flg, coalesce(c.holiday, -1) AS holiday
-FROM v_visits v LEFT JOIN (SELECT * FROM v_store_codes WHERE store_id % 5 = 0) sc ON v.store_id = sc.store_id
+FROM v_visits v LEFT JOIN (SELECT * FROM v_store_codes WHERE store_id IN (SELECT source_id FROM v_rel)) sc
+  ON v.store_id = sc.store_id
 LEFT JOIN v_calfacts c ON v.visit_date = c.visit_date""")
     q["id_translate"] = with_prelude(body=f"""SELECT store_id, visit_dt, reserve_dt,
   {r6('reserve_visitors')} AS reserve_visitors FROM v_translated""")

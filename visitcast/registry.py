@@ -153,7 +153,8 @@ def q_date_decorate(spark, sf):
 
 
 def q_lookup_fill(spark, sf):
-    codes = store_codes(spark, sf).where(F.col("store_id") % tables.TARGET_MODULUS == 0)
+    # store attributes known for the target domain only: the other stores miss
+    codes, _ = joins.domain_split(store_codes(spark, sf), tables.relation(spark, sf), "store_id", "source_id")
     cal = FP.calendar_facts(tables.calendar(spark, sf))
     v = vlog(spark, sf).select("store_id", "visit_date")
     return joins.lookup_fill(joins.lookup_fill(v, codes, "store_id"), cal, "visit_date")
