@@ -84,3 +84,16 @@ def test_quantile_linear(spark):
     df = spark.createDataFrame([(1, float(v)) for v in [1, 2, 3, 4]], "g int, x double")
     got = A.feat_quantile(df.select("g").distinct(), df, ["g"], "x", 0.25).first()["x_g_quantile"]
     assert abs(got - 1.75) < 1e-12
+
+
+@pytest.mark.parametrize("split", [None, 8])
+def test_rank_quantiles_match_numpy(spark, split):
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 6, 900), np.round(rng.exponential(2, 900), 1))]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(4)
+    for fn, q in (("median", None), ("quantile", 0.25), ("quantile", 0.9)):
+        got = {r["g"]: r["v"] for r in A.rank_statistic(df, ["g"], "x", fn, "v", q, split).collect()}
+        for g in got:
+            vals = np.array([v for gg, v in rows if gg == g])
+            exp = np.percentile(vals, 100 * (0.5 if q is None else q))   # linear interpolation
+            assert abs(got[g] - exp) < 1e-9, (fn, q, g)

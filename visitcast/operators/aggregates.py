@@ -68,8 +68,10 @@ def grouped(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: fl
             split_ranges: int | None = None) -> DataFrame:
     """One statistic per non-null key group (pandas drops null keys)."""
     keys = list(keys)
-    if fn == "kermed":
-        return kernel_median(df, keys, value, out, split_ranges)
+    if fn in ("kermed", "median", "quantile"):
+        # rank statistics: distinct values + spillable running windows (and
+        # value ranges for hot keys) instead of one in-memory map per group
+        return rank_statistic(df, keys, value, fn, out, q, split_ranges)
     src = df.where(_not_null(keys)).select(*keys, value)
     return src.groupBy(*keys).agg(stat_expr(fn, value, q).alias(out))
 
@@ -136,6 +138,17 @@ def feat_quantile(df, df_feature, fe, value, n, name=""):
 # Kernel median
 # ---------------------------------------------------------------------------
 
+def rank_statistic(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: float | None = None,
+                   split_ranges: int | None = None) -> DataFrame:
+    """kermed, median or q-quantile per non-null key group, exact."""
+    from .windows import membership_stats, value_cuts
+    if fn == "quantile" and q is None:
+        raise ValueError("quantile needs q")
+    cuts = value_cuts(df.where(F.col(value).isNotNull()), value, split_ranges) if split_ranges else None
+    return membership_stats(df, list(keys), value, [(None, "TRUE")], [fn], lambda s, w: out,
+                            value_bounds=cuts, q=0.5 if q is None else float(q))
+
+
 def kernel_median(df: DataFrame, keys: list[str], value: str, out: str = "kermed",
                   split_ranges: int | None = None) -> DataFrame:
     """Exact kernel median of ``value`` per non-null key group.
@@ -147,7 +160,4 @@ def kernel_median(df: DataFrame, keys: list[str], value: str, out: str = "kermed
     window, closed form from the rank moments.  ``split_ranges`` splits every
     group into that many value ranges for the rank step (for hot keys).
     """
-    from .windows import membership_stats, value_cuts
-    cuts = value_cuts(df.where(F.col(value).isNotNull()), value, split_ranges) if split_ranges else None
-    return membership_stats(df, list(keys), value, [(None, "TRUE")], ["kermed"], lambda s, w: out,
-                            value_bounds=cuts)
+    return rank_statistic(df, keys, value, "kermed", out, None, split_ranges)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-WINDOW_STATS = ("count", "sum", "mean", "max", "min", "std", "median", "kermed")
+WINDOW_STATS = ("count", "sum", "mean", "max", "min", "std", "median", "quantile", "kermed")
 
 
 def origins_array(origins: Sequence[dt.date]) -> Column:
@@ -84,11 +84,11 @@ def kermed_sql(n: str, s0: str, s1: str, s2: str) -> str:
 def trailing_stats(hist: DataFrame, keys: Sequence[str], value: str, windows: Sequence[int | None],
                    stats: Sequence[str], name, gap_col: str = "day_gap",
                    partition_by: Sequence[str] | None = None,
-                   value_bounds: Sequence[float] | None = None) -> DataFrame:
+                   value_bounds: Sequence[float] | None = None, q: float = 0.5) -> DataFrame:
     gap = _q(gap_col)
     conds = [(w, "TRUE" if w is None else f"{gap} >= -{int(w)}") for w in windows]
     pre = None if None in windows else f"{gap} >= -{int(max(windows))}"
-    return membership_stats(hist, keys, value, conds, stats, name, pre, partition_by, value_bounds)
+    return membership_stats(hist, keys, value, conds, stats, name, pre, partition_by, value_bounds, q)
 
 
 def value_cuts(df: DataFrame, value: str, ranges: int = 64, rel_error: float = 0.001) -> list[float]:
@@ -150,12 +150,13 @@ def cumulative_stats(hist: DataFrame, keys: Sequence[str], value: str, date_col:
 
 def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, stats: Sequence[str], name,
                      prefilter: str | None = None, partition_by: Sequence[str] | None = None,
-                     value_bounds: Sequence[float] | None = None) -> DataFrame:
+                     value_bounds: Sequence[float] | None = None, q: float = 0.5) -> DataFrame:
     """Core of the fused operators: statistics for several nested row sets.
 
     ``conds`` is a list of (tag, SQL condition); the sets they select must be
     nested for ranks to be exact, which holds for trailing windows of one
-    origin and for all-history sets of several origins.
+    origin and for all-history sets of several origins.  ``quantile`` is the
+    exact ``q`` quantile with linear interpolation (``median`` is q = 0.5).
 
     ``value_bounds`` (sorted cut points of the value) splits every group into
     value ranges for the rank step: ranks are computed inside (group, range)
@@ -197,8 +198,8 @@ def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, st
 
     pk = ", ".join(_q(k) for k in keys)
     rng = list(range(len(windows)))
-    need_rank = bool({"kermed", "median"} & stats)
-    need_tot = bool({"std", "median"} & stats)
+    need_rank = bool({"kermed", "median", "quantile"} & stats)
+    need_tot = bool({"std", "median", "quantile"} & stats)
     if value_bounds and (need_rank or need_tot):
         d = _split_ranks(d, keys, rng, value_bounds, need_rank, need_tot)
     else:
@@ -227,10 +228,13 @@ def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, st
             aggs.append(f"min(CASE WHEN {m} > 0 THEN _x END) AS _min{i}")
         if "std" in stats:
             aggs.append(f"sum({md} * (_x - _mu{i}) * (_x - _mu{i})) AS _ss{i}")
-        if "median" in stats:
-            for tag, fn in (("lo", "floor"), ("hi", "ceil")):
-                p = f"{fn}((_n{i} - 1) / 2)"
-                aggs.append(f"max(CASE WHEN {m} > 0 AND _c{i} <= {p} AND {p} < _c{i} + {m} THEN _x END) AS _{tag}{i}")
+        for stat, frac in (("median", 0.5), ("quantile", float(q))):
+            if stat in stats:
+                # values at ranks floor(p) and ceil(p), p = frac * (n - 1)
+                for tag, fn in (("lo", "floor"), ("hi", "ceil")):
+                    p = f"{fn}({frac!r}D * (_n{i} - 1))"
+                    aggs.append(f"max(CASE WHEN {m} > 0 AND _c{i} <= {p} AND {p} < _c{i} + {m} THEN _x END) "
+                                f"AS _{stat}{tag}{i}")
         if "kermed" in stats:
             # ranks c .. c+m-1 of a block of m equal values
             s1 = f"({md} * {c} + {md} * ({md} - 1) / 2)"
@@ -256,8 +260,10 @@ def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, st
                 e = f"_min{i}"
             elif s == "std":
                 e = f"CASE WHEN {cnt} > 1 THEN sqrt(_ss{i} / ({cnt} - 1)) END"
-            elif s == "median":
-                e = f"(_lo{i} + _hi{i}) / 2"
+            elif s in ("median", "quantile"):
+                frac = 0.5 if s == "median" else float(q)
+                pos = f"{frac!r}D * (_cnt{i} - 1)"
+                e = f"_{s}lo{i} + ({pos} - floor({pos})) * (_{s}hi{i} - _{s}lo{i})"
             else:
                 e = kermed_sql(cnt, f"_s0{i}", f"_s1{i}", f"_s2{i}")
             outs.append(f"{e} AS {_q(name(s, w))}")
