@@ -31,7 +31,7 @@ from ..functions import dates
 from ..operators.encoders import encode_labels
 from ..operators.joins import broadcast_if_small
 from ..operators.windows import cumulative_stats, explode_origins, trailing_stats, value_cuts
-from ..session import partitioned_checkpoint
+from ..session import partitioned_checkpoint, reliable_checkpoint
 from ..sources import tables
 from . import reservations as R
 
@@ -157,6 +157,11 @@ class FeatureJob:
             # checkpoint keeps the store partitioning.
             base = partitioned_checkpoint(base)
         self.base = base
+        # Consolidated bookings feed five parts: computed once, lineage cut.
+        # They keep their (store, visit day, booking day) distribution: one
+        # store may hold a large share of all bookings, so they are not
+        # partitioned by store.
+        self.reservations = reliable_checkpoint(inp.reservations) if checkpoint else inp.reservations
         labels = (base.withColumn("origin", self.label_origin(F.col("visit_date")))
                       .where(F.col("origin").isNotNull())
                       .withColumn("day_gap", F.datediff("visit_date", "origin")))
@@ -188,11 +193,11 @@ class FeatureJob:
         return out
 
     def w5(self) -> list[tuple[list[str], DataFrame]]:
-        return R.point_features(self.inp.reservations, self.label_origin, self.test_begin,
+        return R.point_features(self.reservations, self.label_origin, self.test_begin,
                                 self.reserve_as_of_origin, self.split_ranges)
 
     def w6(self) -> list[tuple[list[str], DataFrame]]:
-        return R.window_features(self.inp.reservations, self.cal, self.origins, self.test_begin,
+        return R.window_features(self.reservations, self.cal, self.origins, self.test_begin,
                                  self.reserve_as_of_origin)
 
     def all_parts(self) -> list[tuple[list[str], DataFrame]]:

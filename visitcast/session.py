@@ -96,3 +96,9 @@ def partitioned_checkpoint(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     with sql_conf(spark, **{"spark__sql__adaptive__enabled": "false"}):
         return df.checkpoint(eager=True)
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Eager checkpoint into the shared checkpoint folder (never local)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
