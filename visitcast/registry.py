@@ -82,7 +82,7 @@ _TABLE_CACHE: dict = {}
 def checked_feature_table(spark, sf) -> DataFrame:
     """The full feature table, checkpointed once per session and folder so the
     learner checks do not recompute it (lineage cut in the shared folder)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _TABLE_CACHE:
         ensure_checkpoint_dir(spark)
         _TABLE_CACHE[key] = _job(spark, sf).table().checkpoint(eager=True)
