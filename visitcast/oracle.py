@@ -428,6 +428,11 @@ FROM pr GROUP BY domain""")
         "method AS name, rmsle FROM sc WHERE method IN ('p_global', 'p_store', 'p_store_weekday'))",
         body=f"""SELECT stage, name, {r6('rmsle')} AS rmsle, {r6('lag(rmsle) OVER (ORDER BY stage) - rmsle')} AS gain,
   {r6('first_value(rmsle) OVER (ORDER BY stage) - rmsle')} AS total_gain FROM st""")
+    q["exact_sample_size"] = with_prelude(
+        body="SELECT CAST(floor(count(*) * 0.7) AS BIGINT) AS n_rows FROM v_dec WHERE domain = 'source'")
+    q["sample_per_group_sizes"] = with_prelude(body="""SELECT domain,
+  CAST(least(count(*), CASE domain WHEN 'source' THEN 2000 ELSE 3500 END) AS BIGINT) AS n_rows
+FROM v_dec GROUP BY domain""")
     q["csv_roundtrip"] = with_prelude(body="SELECT visit_date, holiday_flg, holiday FROM v_calfacts")
     q["split_summary"] = with_prelude(
         "tt AS (SELECT * FROM v_dec WHERE domain = 'target' AND visit_date < DATE '2001-10-01')",

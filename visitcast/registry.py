@@ -473,6 +473,16 @@ def q_project_2d(spark, sf):
     return align.project_2d({"source": s, "target": t}, DV_FEATURES)
 
 
+def q_exact_sample_size(spark, sf):
+    """K8 size contract: exactly int(n * 0.7) rows."""
+    return q_exact_sample(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_sample_per_group_sizes(spark, sf):
+    """K9 size contract: min(group size, quota) rows per group."""
+    return q_sample_per_group(spark, sf).groupBy("domain").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _recipe_q(name):
     def q(spark, sf):
         res = RC.METHODS[name](domain_data(spark, sf), CHECK_PARAMS, CHECK_CAP)
@@ -552,6 +562,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "param_grid": q_param_grid,
     "exact_sample": q_exact_sample,
     "sample_per_group": q_sample_per_group,
+    "exact_sample_size": q_exact_sample_size,
+    "sample_per_group_sizes": q_sample_per_group_sizes,
     "coral_align": q_coral_align,
     "partial_coral": q_partial_coral,
     "threshold_coral": q_threshold_coral,
