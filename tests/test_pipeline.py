@@ -111,3 +111,18 @@ def test_domain_moments_match_numpy(spark):
     assert n == 700
     assert np.allclose(mu, x.mean(axis=0), rtol=0, atol=1e-9)
     assert np.allclose(cov, np.cov(x.T), rtol=1e-9, atol=1e-9)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_keyed_parts_need_no_exchange(job):
+    """The history is shuffled once (by store, then checkpointed with that
+    partitioning); store-keyed statistics must not shuffle again."""
+    for k, frame in [job.w8(0), job.w8(1), job.w8(2)] + job.w7():
+        assert "store_id" in k
+        assert "Exchange" not in _plan(frame), k
+    # a hot key set (no store) shuffles pre-aggregated rows and ranks in value ranges
+    hot = _plan(job.w8(3)[1])
+    assert "Exchange" in hot and "_b" in hot
