@@ -1,8 +1,8 @@
 """Sample weights.
 
 Means per part (train/valid, domain) are a groupBy with partial aggregation
-whose result has one row per part; it is broadcast back (bounded by the number
-of parts), so no window ever holds a whole part in one task.
+whose result has one row per part, joined back (AQE broadcasts it after
+measuring it), so no window ever holds a whole part in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ def normalize_by_part_mean(df: DataFrame, col: str, part: str | None) -> DataFra
     key = part or "_all"
     src = df if part else df.withColumn("_all", F.lit(0))
     means = src.groupBy(key).agg(F.avg(col).alias("_mean"))
-    out = src.join(F.broadcast(means), on=key, how="left").withColumn(col, F.col(col) / F.col("_mean")).drop("_mean")
+    # one row per part value; AQE broadcasts it once measured
+    out = src.join(means, on=key, how="left").withColumn(col, F.col(col) / F.col("_mean")).drop("_mean")
     return out.drop("_all") if not part else out
 
 
