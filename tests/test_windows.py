@@ -76,3 +76,24 @@ def test_split_ranks_equal_plain(spark):
                 for s in stats:
                     a, b = plain[k][f"{s}_{w}"], split[k][f"{s}_{w}"]
                     assert (a is None and b is None) or abs(a - b) < 1e-9, (cuts, k, w, s, a, b)
+
+
+def test_cumulative_stats_against_brute_force(spark):
+    from visitcast.operators.windows import cumulative_stats
+    rng = np.random.default_rng(21)
+    n = 500
+    start = dt.date(2020, 1, 1)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, n),
+                        "d": [start + dt.timedelta(days=int(i)) for i in rng.integers(0, 100, n)],
+                        "x": np.round(rng.normal(5, 2, n), 1)})
+    origins = [start + dt.timedelta(days=i) for i in (10, 40, 70, 101)]
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = {(r["origin"], r["k"]): r["km"] for r in
+           cumulative_stats(df, ["k"], "x", "d", origins, ["kermed"], "km").collect()}
+    exp = {}
+    for o in origins:
+        for k, g in pdf[pdf.d < o].groupby("k"):
+            exp[(o, k)] = reference_kermed(list(g.x))
+    assert got.keys() == exp.keys()
+    for key in exp:
+        assert abs(got[key] - exp[key]) < 1e-9, key
