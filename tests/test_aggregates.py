@@ -97,3 +97,16 @@ def test_rank_quantiles_match_numpy(spark, split):
             vals = np.array([v for gg, v in rows if gg == g])
             exp = np.percentile(vals, 100 * (0.5 if q is None else q))   # linear interpolation
             assert abs(got[g] - exp) < 1e-9, (fn, q, g)
+
+
+def test_feat_and_merge_split_ranges_same_result(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 600), np.round(rng.normal(4, 1, 600), 1))]
+    df = spark.createDataFrame(rows, "g int, x double")
+    lab = df.select("g").distinct()
+    for fn in ("kermed", "median"):
+        a = {r["g"]: r["v"] for r in A.feat_agg(lab, df, ["g"], "x", fn, "v").collect()}
+        b = {r["g"]: r["v"] for r in A.feat_agg(lab, df, ["g"], "x", fn, "v", split_ranges=5).collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    m = A.merge_agg(df, ["g"], "x", "kermed", "v", split_ranges=5)
+    assert m.count() == 600 and m.where("v IS NULL").count() == 0

@@ -76,17 +76,21 @@ def grouped(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: fl
     return src.groupBy(*keys).agg(stat_expr(fn, value, q).alias(out))
 
 
-def merge_agg(df: DataFrame, keys: list[str], value: str, fn: str, cname: str, q: float | None = None) -> DataFrame:
-    """A1-A9 ``merge_*``: aggregate ``df`` and join the statistic back to it."""
-    return df.join(grouped(df, keys, value, fn, cname, q), on=list(keys), how="left")
+def merge_agg(df: DataFrame, keys: list[str], value: str, fn: str, cname: str, q: float | None = None,
+              split_ranges: int | None = None) -> DataFrame:
+    """A1-A9 ``merge_*``: aggregate ``df`` and join the statistic back to it.
+    ``split_ranges`` splits hot groups for the rank statistics."""
+    return df.join(grouped(df, keys, value, fn, cname, q, split_ranges), on=list(keys), how="left")
 
 
 def feat_agg(df: DataFrame, df_feature: DataFrame, keys: list[str], value: str, fn: str,
-             name: str = "", q: float | None = None, fill_all: bool = True) -> DataFrame:
-    """A1-A11 ``feat_*``: aggregate ``df_feature``, left-join to ``df``, fill 0."""
+             name: str = "", q: float | None = None, fill_all: bool = True,
+             split_ranges: int | None = None) -> DataFrame:
+    """A1-A11 ``feat_*``: aggregate ``df_feature``, left-join to ``df``, fill 0.
+    ``split_ranges`` splits hot groups for the rank statistics."""
     keys = list(keys)
     out = name or f"{value}_{'_'.join(keys)}_{SUFFIX[fn]}"
-    res = df.join(grouped(df_feature, keys, value, fn, out, q), on=keys, how="left")
+    res = df.join(grouped(df_feature, keys, value, fn, out, q, split_ranges), on=keys, how="left")
     if fill_all:
         return res.na.fill(0)
     return res.withColumn(out, F.coalesce(F.col(out), F.lit(0)))
