@@ -185,11 +185,12 @@ def _code(docs, vocabulary, id_col, text_col, memo_words, corpus_bytes, digests)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         codec = _codec(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            sizes, i = pa.compute.binary_length(texts).to_pylist(), 0
+            sizes, i = pc.binary_length(texts).to_pylist(), 0
             while i < len(ids):
                 j, n = i, 0
                 while j < len(ids) and (j == i or n + (sizes[j] or 0) <= corpus_bytes):
