@@ -20,6 +20,8 @@ BLOCK_BYTES = 4 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in WORD_BREAKS]] = True
+# Letters, digits and all bytes of non-ASCII characters.
+ALNUM = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -67,9 +69,13 @@ def text_blocks(column, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word of a block; no word crosses a text."""
-    inside = ~_BREAK[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, within: np.ndarray | None = None
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word of a block; no word crosses a text.
+
+    ``within`` (one flag per byte value) replaces the usual definition.
+    """
+    inside = (~_BREAK if within is None else within)[data]
     before, after = np.zeros_like(inside), np.zeros_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -107,12 +113,17 @@ class Powers:
 POWERS = Powers()
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span; equal bytes hash alike wherever they stand."""
+def span_hasher(data: np.ndarray):
+    """A function (start, end) -> 64-bit hash of every span of the block; equal
+    bytes hash alike wherever they stand."""
     up, down = POWERS.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    return lambda start, end: mix((sums[end] - sums[start]) * down[start])
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(start, end)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

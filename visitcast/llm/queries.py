@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, url_templates
+from . import bpe, quality_fm, quality_rules, toxicity_cnn, url_templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_fm": quality_fm.op1_quality_fm,
+        "op6_toxicity_cnn": toxicity_cnn.op6_toxicity_cnn,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_url_filter": url_templates.op10_url_filter,
