@@ -22,8 +22,6 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in WORD_BREAKS]] = True
 # Letters, digits and all bytes of non-ASCII characters.
 ALNUM = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,26 +95,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    """Powers of an odd hash base and of its inverse, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.bases = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
             self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)]))
-                                  for b in (_BASE, _BASE_INVERSE))
+                                  for b in self.bases)
         return self.up[:n], self.down[:n]
 
 
-POWERS = Powers()
+POWERS = Powers(0x9E3779B97F4A7C15)
+OTHER_POWERS = Powers(0xD1342543DE82EF95)  # for a second, independent hash
 
 
-def span_hasher(data: np.ndarray):
+def span_hasher(data: np.ndarray, powers: Powers = POWERS):
     """A function (start, end) -> 64-bit hash of every span of the block; equal
     bytes hash alike wherever they stand."""
-    up, down = POWERS.get(len(data) + 1)
+    up, down = powers.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
     return lambda start, end: mix((sums[end] - sums[start]) * down[start])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, mlm_score, quality_fm, quality_rules, simhash_dedup, toxicity_cnn, url_templates
+from . import bpe, decontaminate, html_text, mlm_score, quality_fm, quality_rules, simhash_dedup, suffix_dedup, toxicity_cnn, url_templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_text": html_text.op4_html_text,
         "op6_toxicity_cnn": toxicity_cnn.op6_toxicity_cnn,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_masked_lm": mlm_score.op8_masked_lm,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_url_filter": url_templates.op10_url_filter,
