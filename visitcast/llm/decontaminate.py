@@ -42,7 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 7
-FILTER_BITS = 18
+FILTER_BITS = 20
 PROBES = 3
 PUNCTUATION = r"""[!-/:-@\[-`{-~]+"""
 BREAKS = r"[\x20\x09-\x0D]+"
@@ -114,7 +114,7 @@ def _bit_filter(shingles: DataFrame, bits: int, probes: int) -> Column:
 
 
 def _hits(hs: Column, bit_filter: Column, bits: int, probes: int) -> Column:
-    """Places of an array of hashes that pass the bit filter."""
+    """(place, hash) of the elements that pass the bit filter."""
     def passes(i: Column) -> Column:
         out = F.lit(True)
         for p in _probe_bits(F.get(hs, i), bits, probes):
@@ -122,7 +122,8 @@ def _hits(hs: Column, bit_filter: Column, bits: int, probes: int) -> Column:
             out = out & (F.getbit(word, p.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return out
 
-    return F.when(F.size(hs) > 0, F.filter(F.sequence(F.lit(0), F.size(hs) - 1), passes))
+    return F.when(F.size(hs) > 0, F.transform(F.filter(F.sequence(F.lit(0), F.size(hs) - 1), passes),
+                                              lambda i: F.struct(i.alias("at"), F.get(hs, i).alias("hash"))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -166,20 +167,20 @@ def _contaminated_by(docs, items, k, id_col, text_col, similarity, radius, block
     # moving the condition below the arrays, where it would compute them again
     # for every element.
     texts = checkpointed(texts.withColumns({"hits": _hits(F.col("hs"), bit_filter, bits, probes),
-                                            "copy": F.monotonically_increasing_id()}).where(F.size("hits") > 0))
+                                            "copy": F.monotonically_increasing_id()})
+                         .where(F.size("hits") > 0).select("doc_id", "copy", "ws", "hits"))
 
     # Windows that place a shared shingle as the item does, kept inside the text.
-    hits = texts.select("doc_id", "copy", F.size("ws").alias("size"),
-                        F.explode(F.transform("hits", lambda i: F.struct(i.alias("at"), F.get("hs", i).alias("hash")))).alias("hit"))
-    starts = hits.select("doc_id", "copy", "size", F.col("hit.at").alias("at"), F.col("hit.hash").alias("hash")) \
-        .join(places, "hash") \
-        .select("doc_id", "copy", "n", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"),
-                                                                    F.col("size") - F.col("n"))).alias("first")).distinct()
-    windows = texts.select("doc_id", "copy", "ws", "hs").join(
+    hits = texts.select("doc_id", "copy", F.size("ws").alias("size"), F.inline("hits"))
+    starts = hits.join(places, "hash").select(
+        "doc_id", "copy", "n",
+        F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("n"))).alias("first")).distinct()
+    windows = texts.select("doc_id", "copy", "ws").join(
         starts.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("n", "first")).alias("laid")), ["doc_id", "copy"])
-    windows = windows.select("doc_id", "copy", "ws", "hs", F.inline("laid")).select(
-        "doc_id", "copy", "n", "first", F.slice("ws", F.col("first") + 1, F.col("n")).alias("ws"),
-        simhash(F.slice("hs", F.col("first") + 1, F.col("n") - k + 1)).alias("fp"))
+    windows = windows.select("doc_id", "copy", "ws", F.inline("laid")) \
+        .withColumn("ws", F.slice("ws", F.col("first") + 1, F.col("n"))) \
+        .withColumn("hs", hashes(F.col("ws"), k)) \
+        .select("doc_id", "copy", "n", "first", "ws", simhash(F.col("hs")).alias("fp"))
     windows = checkpointed(windows)
 
     key = ["n", "block", "value"]
