@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -85,23 +86,34 @@ def block_runs(data: np.ndarray, offsets: np.ndarray, threshold: int, start: int
     return text, first - offsets[text], last - offsets[text], least[new], names
 
 
-def keep_smallest(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row order by keys and document, and whether (in that order) a smaller
-    document of the batch has the same keys."""
-    order = np.lexsort((doc, *keys[::-1]))
-    if not len(order):
-        return order, np.zeros(0, bool)
-    same = np.concatenate([[False], np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])])
-    group = np.cumsum(~same) - 1
-    smallest = doc[order][~same][group]
-    return order, doc[order] > smallest
+def by_document(batch):
+    """The batch in the order of its first column."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_struct_array(
+        batch.to_struct_array().take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable"))))
+
+
+def first_of(keys: list[np.ndarray]) -> np.ndarray:
+    """For every row a row with the same keys, the first one (but for hash
+    collisions, where it may be a later one or the row itself)."""
+    mixed = keys[0]
+    for k in keys[1:]:
+        mixed = mix(mixed) + k.astype(np.uint64)
+    order = np.argsort(mixed, kind="stable")
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    return out
 
 
 def _runs(threshold: int, start: int, hot_rows: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in map(by_document, batches):
             ids = b.column(0).to_numpy()
             parts = []
             for i, _, data, offsets in text_blocks(b.column(1)):
@@ -110,19 +122,13 @@ def _runs(threshold: int, start: int, hot_rows: int):
             if not parts:
                 continue
             doc, at, least, name = (np.concatenate(c) for c in zip(*parts))
-            order, decided = keep_smallest([least, name], doc)
-            doc, at, least, name = doc[order], at[order], least[order], name[order]
+            decided = doc[first_of([least, name])] < doc
             kind = np.where(decided, DECIDED, PLAIN)
             # Rows of a representative that is hot in this batch.
             live = np.flatnonzero(~decided)
-            if len(live):
-                group = np.cumsum(np.concatenate([[True], least[live][1:] != least[live][:-1]])) - 1
-                by_doc = live[np.lexsort((doc[live], group))]
-                sizes = np.bincount(group)
-                place = np.arange(len(by_doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                hot = np.repeat(sizes > hot_rows, sizes)
-                kind[by_doc[hot & (place == 0)]] = HOT
-                kind[by_doc[hot & (place > 0)]] = LONE
+            first = first_of([least[live]])
+            hot = np.bincount(first, minlength=len(live))[first] > hot_rows
+            kind[live[hot]] = np.where(first == np.arange(len(live)), HOT, LONE)[hot]
             alone = (kind == DECIDED) | (kind == LONE)   # needs no partner: any key will do
             least = np.where(alone, mix(name + at.view(np.uint64) + doc.astype(np.uint64)), least)
             yield pa.RecordBatch.from_arrays(
@@ -139,7 +145,7 @@ def _strings(threshold: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in map(by_document, batches):
             ids, runs = b.column(0).to_numpy(), b.column(2)
             starts = runs.offsets.to_numpy()
             opened = runs.values.to_numpy()
@@ -159,8 +165,7 @@ def _strings(threshold: int):
             if not parts:
                 continue
             doc, at, rank, check = (np.concatenate(c) for c in zip(*parts))
-            order, decided = keep_smallest([rank, check], doc)
-            doc, at, rank, check = doc[order], at[order], rank[order], check[order]
+            decided = doc[first_of([rank, check])] < doc
             rank = np.where(decided, mix(rank + at.astype(np.uint64) + doc.astype(np.uint64)), rank)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rank.view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(doc),
@@ -170,9 +175,11 @@ def _strings(threshold: int):
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are over (their
-    results are in checkpoints), which otherwise waits for the next collection."""
+    """Have Spark's cleaner drop the shuffle files of the step that is over (its
+    result is in a checkpoint) before the next step writes its own.  The pause
+    is for the bridge's finalizer, which looks for dropped frames every second."""
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -184,12 +191,20 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"),
                                                          F.col(text_col).alias("text"))
+    runs = _ranked_runs(texts, threshold, start, hot_rows)
+    _release(spark)
+    out = _ranked_strings(texts, runs, threshold)
+    _release(spark)
+    return out
+
+
+def _ranked_runs(texts: DataFrame, threshold: int, start: int, hot_rows: int) -> DataFrame:
+    """Steps 1 and 2: per document the runs to remove and the open ones."""
     rows = texts.mapInArrow(_runs(threshold, start, hot_rows),
                             "rank long, run long, doc_id long, at long, kind byte").repartition("rank")
-    alone = F.col("kind").isin(DECIDED, LONE).alias("alone")
     by_run = Window.partitionBy("rank", "alone", "run")
     by_rank = Window.partitionBy("rank", "alone")
-    rows = (rows.withColumn("alone", alone)
+    rows = (rows.withColumn("alone", F.col("kind").isin(DECIDED, LONE))
             .withColumn("run_min", F.min("doc_id").over(by_run))
             .withColumn("several", ((F.min("doc_id").over(by_rank) != F.max("doc_id").over(by_rank))
                                     & (F.min("run").over(by_rank) != F.max("run").over(by_rank)))
@@ -197,12 +212,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     gone = (F.col("kind") == DECIDED) | (~F.col("alone") & (F.col("run_min") < F.col("doc_id")))
     opened = (F.col("kind") == LONE) | (~F.col("alone") & F.col("several"))
     rows = rows.where(gone | opened).select("doc_id", "at", gone.alias("gone"))
-    runs = checkpointed(rows.groupBy("doc_id").agg(
+    return checkpointed(rows.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("gone"), F.col("at"))).alias("gone"),
         F.collect_list(F.when(~F.col("gone"), F.col("at"))).alias("opened")))
-    del rows
-    _release(spark)
 
+
+def _ranked_strings(texts: DataFrame, runs: DataFrame, threshold: int) -> DataFrame:
+    """Step 3, and all that a document loses."""
     edges = (texts.join(runs.where(F.size("opened") > 0).select("doc_id", "opened"), "doc_id")
              .select("doc_id", "text", "opened")
              .mapInArrow(_strings(threshold), "rank long, check int, doc_id long, at int, decided boolean")
@@ -210,14 +226,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     smaller = F.min("doc_id").over(Window.partitionBy("rank", "check", "decided")) < F.col("doc_id")
     edges = edges.withColumn("smaller", smaller).where(F.col("decided") | F.col("smaller"))
     place = F.col("at").cast("long")
-    found = edges.groupBy("doc_id").agg(
-        F.collect_list(F.shiftleft(place, 32).bitwiseOR(place)).alias("more"))
+    found = edges.groupBy("doc_id").agg(F.collect_list(F.shiftleft(place, 32).bitwiseOR(place)).alias("more"))
     spans = runs.select("doc_id", "gone").join(found, "doc_id", "left").select(
         "doc_id", F.concat("gone", F.coalesce("more", F.array().cast("array<long>"))).alias("spans"))
-    out = checkpointed(spans.where(F.size("spans") > 0))
-    del edges, found, spans
-    _release(spark)
-    return out
+    return checkpointed(spans.where(F.size("spans") > 0))
 
 
 def lost_bytes(size: int, spans: np.ndarray, threshold: int) -> np.ndarray:
