@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in WORD_BREAKS]] = True
@@ -103,7 +103,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 3))
             self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)]))
                                   for b in self.bases)
         return self.up[:n], self.down[:n]

@@ -17,11 +17,11 @@ the threshold is reached:
    are the edges of repeated passages.
 
 Before every sort a task drops what it can decide itself: of equal runs (or
-strings) in its Arrow batch only those of the smallest document travel, and of
-a representative with more than ``hot_rows`` different runs in the batch one
+strings) in its part of a batch only those of the smallest document travel, and of
+a representative with more than ``hot_rows`` different runs in the part one
 travels in step 1 while the others go to step 3, whose key is the full string.
 So a group of copies or a passage that a third of all documents hold sends a
-bounded number of rows per batch under one key.  Results go back to the
+bounded number of rows per part under one key.  Results go back to the
 documents by doc_id; each step ends in a checkpoint in the shared folder.
 
 The step needs 128 (96 in step 3) bits of two independent hashes to agree.
@@ -49,6 +49,7 @@ from .common import OTHER_POWERS, checkpointed, mix, span_hasher, table, text_bl
 
 THRESHOLD = 50
 START = 20
+PART_BYTES = 8 << 20                      # text that a task looks at together before it sends rows
 HOT_ROWS = 64
 # Kinds of rows between the steps.
 PLAIN, DECIDED, LONE, HOT = 0, 1, 2, 3
@@ -86,12 +87,18 @@ def block_runs(data: np.ndarray, offsets: np.ndarray, threshold: int, start: int
     return text, first - offsets[text], last - offsets[text], least[new], names
 
 
-def by_document(batch):
-    """The batch in the order of its first column."""
+def parts_by_document(batches):
+    """Parts of batches (id, text, ...), each in the order of the ids."""
     import pyarrow as pa
 
-    return pa.RecordBatch.from_struct_array(
-        batch.to_struct_array().take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable"))))
+    for batch in batches:
+        order = pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable"))
+        at, sizes = 0, np.diff(text_column(batch.column(1))[1])[order.to_numpy()]
+        ends = np.cumsum(sizes)
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + PART_BYTES, "right")))
+            yield pa.RecordBatch.from_struct_array(batch.to_struct_array().take(order[at:end]))
+            at = end
 
 
 def first_of(keys: list[np.ndarray]) -> np.ndarray:
@@ -113,7 +120,7 @@ def _runs(threshold: int, start: int, hot_rows: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in map(by_document, batches):
+        for b in parts_by_document(batches):
             ids = b.column(0).to_numpy()
             parts = []
             for i, _, data, offsets in text_blocks(b.column(1)):
@@ -145,7 +152,7 @@ def _strings(threshold: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in map(by_document, batches):
+        for b in parts_by_document(batches):
             ids, runs = b.column(0).to_numpy(), b.column(2)
             starts = runs.offsets.to_numpy()
             opened = runs.values.to_numpy()
