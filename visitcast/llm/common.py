@@ -39,6 +39,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, inside the row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_column(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary column; nulls are empty."""
     import pyarrow as pa

@@ -17,9 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAKS
+from .common import WORD_BREAKS, let
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]+"
 BREAK_PATTERN = r"[\x20\x09-\x0D]+"
 
 # Frequent function words of the four languages (fixed values).
@@ -70,39 +70,51 @@ def word_array(text: Column) -> Column:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and the counts the rules are made of."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")) \
-        .withColumn("words", word_array(F.col("t")))
-    n = F.size("words")
-    triple = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("w"),
-                           i.alias("i")))
-    lines = F.filter(F.split("t", "\n"), lambda line: F.translate(line, WORD_BREAKS, "") != "")
-    rows = words.select(
-        "doc_id", n.cast("long").alias("n_words"),
-        F.length(F.translate("t", WORD_BREAKS, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        lines.alias("lines"),
-        F.when(n >= 3, F.sort_array(triple)).alias("triples"))
-    m = F.size("triples")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, WORD_BREAKS, "") != "")
+    counts = F.struct(
+        let(word_array(text), _word_counts).alias("words"),
+        let(lines, lambda found: F.struct(F.size(found).alias("n_lines"),
+                                          (F.size(found) - F.size(F.array_distinct(found))).alias("n_dup_lines"))).alias("lines"),
+        F.length(F.regexp_replace(text, BREAK_PATTERN, "")).alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).alias("n_symbols"),
+        # Keeps conditions on the counts above this projection: pushed below
+        # it they would compute everything once more per condition.
+        F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.col(id_col).alias("doc_id"), counts.alias("c")).select(
+        "doc_id", *[F.col(f"c.{name}").cast("long").alias(name.split(".")[-1]) for name in (
+            "words.n_words", "word_chars", "n_symbols", "words.n_stop_words", "lines.n_lines", "lines.n_dup_lines",
+            "words.n_repeat_words")])
+
+
+def _word_counts(words: Column) -> Column:
+    return F.struct(F.size(words).alias("n_words"),
+                    F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop_words"),
+                    F.when(F.size(words) >= 3, let(_sorted_triples(words), _covered_words)).otherwise(F.lit(0))
+                    .alias("n_repeat_words"))
+
+
+def _sorted_triples(words: Column) -> Column:
+    """(three words, place) of every window, equal windows side by side."""
+    return F.sort_array(F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3),
+        lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"),
+                           i.alias("i"))))
+
+
+def _covered_words(triples: Column) -> Column:
+    """Words in windows that stand twice or more."""
+    last = F.size(triples) - 1
 
     def repeated(j):
-        here = F.get("triples", j)["w"]
-        return (((j > 0) & (here == F.get("triples", j - 1)["w"]))
-                | ((j < m - 1) & (here == F.get("triples", j + 1)["w"])))
+        here = F.get(triples, j)["w"]
+        return (((j > 0) & (here == F.get(triples, j - 1)["w"])) | ((j < last) & (here == F.get(triples, j + 1)["w"])))
 
-    starts = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), m - 1), repeated),
-                                      lambda j: F.get("triples", j)["i"]))
-    covered = F.aggregate(
+    starts = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), last), repeated), lambda j: F.get(triples, j)["i"]))
+    return F.aggregate(
         starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")),
         lambda acc: acc["n"])
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_stop_words",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("triples").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
