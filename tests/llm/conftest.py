@@ -18,7 +18,7 @@ def awkward(spark):
     """Rows with null ids, repeated rows and clashing extra columns."""
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "null id text of some words"), (None, None), (3, "one")]
     names = ("score run rank kind spans at hits copy fp rep component_id fingerprint predicted lang template words "
-             "n_words ids page_id host path seg spans_of first last").split()
+             "n_words ids page_id host path seg _spans _spans_of first last").split()
     schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
     return spark.createDataFrame([(*r, *["clash"] * len(names)) for r in rows], schema)
 

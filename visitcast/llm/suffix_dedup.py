@@ -6,25 +6,25 @@ equal rank); Spark sorts (rank, position) pairs, positions whose rank stands
 in one document only leave, and the others go on with a longer prefix until
 the threshold is reached:
 
-1. Rank by ``start`` (20) bytes.  A string of 50 bytes is represented by the
-   smallest 20-byte name inside it, which depends on the string alone; runs of
-   neighbouring positions with the same representative are one row, so about
-   one row per 16 bytes is sorted instead of one per byte.
-2. Rank pair (representative, name of the whole run).  A run that a smaller
-   document has as well is removed whole.
-3. Rank by the full 50 bytes, position by position, for runs whose
-   representative stands in several documents but not in the same run: these
-   are the edges of repeated passages.
-
-Before every sort a task drops what it can decide itself: of equal runs (or
-strings) in its part of a batch only those of the smallest document travel, and of
-a representative with more than ``hot_rows`` different runs in the part one
-travels in step 1 while the others go to step 3, whose key is the full string.
-So a group of copies or a passage that a third of all documents hold sends a
-bounded number of rows per part under one key.  Results go back to the
-documents by doc_id; each step ends in a checkpoint in the shared folder.
-
-The step needs 128 (96 in step 3) bits of two independent hashes to agree.
+1. Rank by 20 bytes.  A string of 50 bytes is represented by the smallest
+   20-byte name inside it, which depends on the string alone; neighbouring
+   positions with the same representative form a run, and a run is one row, so
+   about one row per 16 bytes is sorted instead of one per byte.  The second
+   half of the rank pair is the name of the whole run: a run that a smaller
+   document has as well is removed whole, a representative of one document
+   drops out, and what is left are the edges of repeated passages.
+2. The same by 40 bytes for the runs that are left (a row per 6 bytes).
+3. The same by 50 bytes: the runs are single positions, nothing is left.
+
+Before every sort a task drops what it can decide itself: of equal runs in its
+part of a batch only those of the smallest document travel, and of a
+representative with more than ``hot_rows`` different runs in the part one
+travels while the others go on to the next step undecided.  So a group of
+copies or a passage that a third of all documents hold sends a bounded number
+of rows per part under one key.  Results go back to the documents by doc_id;
+each step ends in a checkpoint in the shared folder.
+
+Runs are equal if 128 bits of two independent hashes agree.
 
 Defined results: a null text counts as empty; texts under 50 bytes lose
 nothing; rows that repeat a doc_id are one document (a stretch that one of
@@ -48,11 +48,14 @@ from pyspark.sql import functions as F
 from .common import OTHER_POWERS, checkpointed, mix, span_hasher, table, text_blocks, text_column
 
 THRESHOLD = 50
-START = 20
+STEPS = (20, 40)                          # bytes ranked by before the threshold
 PART_BYTES = 8 << 20                      # text that a task looks at together before it sends rows
-HOT_ROWS = 64
-# Kinds of rows between the steps.
+HOT_ROWS = 256
+# Kinds of rows of a step.
 PLAIN, DECIDED, LONE, HOT = 0, 1, 2, 3
+# A span is first position << 30 | last - first; rows carry the kind above it.
+FIRST_SHIFT, KIND_SHIFT = 30, 61
+LENGTH_MASK, SPAN_MASK = (1 << FIRST_SHIFT) - 1, (1 << KIND_SHIFT) - 1
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,10 +69,26 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def block_runs(data: np.ndarray, offsets: np.ndarray, threshold: int, start: int
+def span_ends(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) positions of spans."""
+    first = spans >> FIRST_SHIFT
+    return first, first + (spans & LENGTH_MASK)
+
+
+def covered(size: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One flag per place: inside one of the spans [first, end)."""
+    steps = np.zeros(size + 1, np.int32)
+    inside = first < size                               # rows that share a doc_id may differ in length
+    np.add.at(steps, first[inside], 1)
+    np.add.at(steps, np.minimum(end[inside], size), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def block_runs(data: np.ndarray, offsets: np.ndarray, threshold: int, start: int, wanted: np.ndarray | None = None
                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first, last, representative, run name) of all runs of a block;
-    first and last are positions inside the text."""
+    """(text, first, last, representative, run name) of all runs of a block, or
+    of those among the wanted places; first and last are positions inside the
+    text."""
     if len(data) < threshold:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -77,11 +96,17 @@ def block_runs(data: np.ndarray, offsets: np.ndarray, threshold: int, start: int
     least = sliding_minimum(span_hasher(data)(at, at + start), threshold - start + 1)
     room = np.repeat(offsets[1:], np.diff(offsets))[:len(least)]
     at = at[:len(least)]
-    at = at[at + threshold <= room]                     # the string ends in its text
+    fits = at + threshold <= room                       # the string ends in its text
+    at = at[fits if wanted is None else fits & wanted[:len(least)]]
     least = least[at]
-    new = np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, bool)
+    if not len(at):
+        return at, at, at, least, least
+    # Ranked by the whole string every position stands for itself.
+    new = np.ones(len(at), bool)
+    if start < threshold:
+        new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     first = at[new]
-    last = at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])] if len(at) else at
+    last = at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
     names = span_hasher(data, OTHER_POWERS)(first, last + threshold)
     text = np.searchsorted(offsets, first, "right") - 1
     return text, first - offsets[text], last - offsets[text], least[new], names
@@ -116,67 +141,46 @@ def first_of(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _runs(threshold: int, start: int, hot_rows: int):
+def _runs(threshold: int, start: int, hot_rows: int, opened: bool):
+    """Arrow task: documents (with their open spans) in, ranked runs out."""
+
+    def wanted(batch, i, j, offsets):
+        if not opened:
+            return None
+        spans = batch.column(2).slice(i, j - i)
+        values = spans.flatten().to_numpy()
+        row = np.repeat(np.arange(j - i), np.diff(spans.offsets.to_numpy()))
+        first, last = span_ends(values)
+        size = np.diff(offsets)[row]
+        inside = first < size
+        return covered(int(offsets[-1]), (first + offsets[row])[inside],
+                       (np.minimum(last + 1, size) + offsets[row])[inside])
+
     def run(batches):
         import pyarrow as pa
 
         for b in parts_by_document(batches):
             ids = b.column(0).to_numpy()
             parts = []
-            for i, _, data, offsets in text_blocks(b.column(1)):
-                text, first, last, least, name = block_runs(data, offsets, threshold, start)
-                parts.append((ids[text + i], (first << 32) | last, least, name))
+            for i, j, data, offsets in text_blocks(b.column(1)):
+                text, first, last, least, name = block_runs(data, offsets, threshold, start, wanted(b, i, j, offsets))
+                parts.append((ids[text + i], (first << FIRST_SHIFT) | (last - first), least, name))
             if not parts:
                 continue
-            doc, at, least, name = (np.concatenate(c) for c in zip(*parts))
-            decided = doc[first_of([least, name])] < doc
+            doc, span, least, name = (np.concatenate(c) for c in zip(*parts))
+            same = first_of([least, name])
+            decided = doc[same] < doc
             kind = np.where(decided, DECIDED, PLAIN)
-            # Rows of a representative that is hot in this batch.
+            # Rows of a representative with very many different runs here.
             live = np.flatnonzero(~decided)
             first = first_of([least[live]])
-            hot = np.bincount(first, minlength=len(live))[first] > hot_rows
+            hot = np.bincount(first, same[live] == live, len(live))[first] > hot_rows
             kind[live[hot]] = np.where(first == np.arange(len(live)), HOT, LONE)[hot]
             alone = (kind == DECIDED) | (kind == LONE)   # needs no partner: any key will do
-            least = np.where(alone, mix(name + at.view(np.uint64) + doc.astype(np.uint64)), least)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(least.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc), pa.array(at),
-                 pa.array(kind.astype(np.int8))], names=["rank", "run", "doc_id", "at", "kind"])
-
-    return run
-
-
-def _strings(threshold: int):
-    """Rows of one document, its text and its open runs in; (rank, check,
-    position) pairs of every position out."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in parts_by_document(batches):
-            ids, runs = b.column(0).to_numpy(), b.column(2)
-            starts = runs.offsets.to_numpy()
-            opened = runs.values.to_numpy()
-            parts = []
-            for i, j, data, offsets in text_blocks(b.column(1)):
-                own = opened[starts[i]:starts[j]]
-                row = np.repeat(np.arange(j - i), np.diff(starts[i:j + 1]))
-                first, last = own >> 32, own & 0xFFFFFFFF
-                last = np.minimum(last, (offsets[1:] - offsets[:-1])[row] - threshold)
-                size = np.maximum(last - first + 1, 0)
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-                row = np.repeat(row, size)
-                place = at + offsets[row]
-                rank = span_hasher(data)(place, place + threshold)
-                check = span_hasher(data, OTHER_POWERS)(place, place + threshold)
-                parts.append((ids[row + i], at, rank, (check >> np.uint64(32)).astype(np.int64)))
-            if not parts:
-                continue
-            doc, at, rank, check = (np.concatenate(c) for c in zip(*parts))
-            decided = doc[first_of([rank, check])] < doc
-            rank = np.where(decided, mix(rank + at.astype(np.uint64) + doc.astype(np.uint64)), rank)
+            least = np.where(alone, mix(name + span.view(np.uint64) + doc.astype(np.uint64)), least)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rank.view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(doc),
-                 pa.array(at.astype(np.int32)), pa.array(decided)], names=["rank", "check", "doc_id", "at", "decided"])
+                [pa.array(least.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc),
+                 pa.array((kind << KIND_SHIFT) | span)], names=["rank", "run", "doc_id", "at"])
 
     return run
 
@@ -191,67 +195,60 @@ def _release(spark: SparkSession) -> None:
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
-            start: int = START, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc_id, spans): what each document loses, as (first << 32 | last) of the
-    positions whose string a smaller document has; documents that lose nothing
-    are left out."""
+            steps: tuple[int, ...] = STEPS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, spans): the positions whose string of ``threshold`` bytes a
+    smaller document has; documents that lose nothing are left out."""
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"),
                                                          F.col(text_col).alias("text"))
-    runs = _ranked_runs(texts, threshold, start, hot_rows)
-    _release(spark)
-    out = _ranked_strings(texts, runs, threshold)
-    _release(spark)
-    return out
-
-
-def _ranked_runs(texts: DataFrame, threshold: int, start: int, hot_rows: int) -> DataFrame:
-    """Steps 1 and 2: per document the runs to remove and the open ones."""
-    rows = texts.mapInArrow(_runs(threshold, start, hot_rows),
-                            "rank long, run long, doc_id long, at long, kind byte").repartition("rank")
-    by_run = Window.partitionBy("rank", "alone", "run")
-    by_rank = Window.partitionBy("rank", "alone")
-    rows = (rows.withColumn("alone", F.col("kind").isin(DECIDED, LONE))
-            .withColumn("run_min", F.min("doc_id").over(by_run))
+    found, opened = [], None
+    for start in (*steps, threshold):
+        result = _step(texts, opened, threshold, start, hot_rows)
+        found.append(result.where(F.size("gone") > 0).select("doc_id", "gone"))
+        opened = result.where(F.size("opened") > 0).select("doc_id", "opened")
+        _release(spark)
+    union = found[0]
+    for more in found[1:]:
+        union = union.unionByName(more)
+    return union.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("spans"))
+
+
+def _step(texts: DataFrame, opened: DataFrame | None, threshold: int, start: int, hot_rows: int) -> DataFrame:
+    """Rank by ``start`` bytes; per document the spans to remove and the open ones."""
+    rows = texts if opened is None else texts.join(opened, "doc_id").select("doc_id", "text", "opened")
+    rows = rows.mapInArrow(_runs(threshold, start, hot_rows, opened is not None),
+                           "rank long, run long, doc_id long, at long").repartition("rank")
+    kind = F.shiftright("at", KIND_SHIFT)
+    rows = rows.withColumn("alone", kind.isin(DECIDED, LONE))
+    by_run, by_rank = Window.partitionBy("rank", "alone", "run"), Window.partitionBy("rank", "alone")
+    rows = (rows.withColumn("run_min", F.min("doc_id").over(by_run))
             .withColumn("several", ((F.min("doc_id").over(by_rank) != F.max("doc_id").over(by_rank))
                                     & (F.min("run").over(by_rank) != F.max("run").over(by_rank)))
-                        | (F.max("kind").over(by_rank) == HOT)))
-    gone = (F.col("kind") == DECIDED) | (~F.col("alone") & (F.col("run_min") < F.col("doc_id")))
-    opened = (F.col("kind") == LONE) | (~F.col("alone") & F.col("several"))
-    rows = rows.where(gone | opened).select("doc_id", "at", gone.alias("gone"))
+                        | (F.max(kind).over(by_rank) == HOT)))
+    gone = (kind == DECIDED) | (~F.col("alone") & (F.col("run_min") < F.col("doc_id")))
+    left = (kind == LONE) | (~F.col("alone") & F.col("several"))
+    rows = rows.where(gone | left).select("doc_id", F.col("at").bitwiseAND(F.lit(SPAN_MASK)).alias("span"),
+                                          gone.alias("gone"))
     return checkpointed(rows.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("gone"), F.col("at"))).alias("gone"),
-        F.collect_list(F.when(~F.col("gone"), F.col("at"))).alias("opened")))
-
-
-def _ranked_strings(texts: DataFrame, runs: DataFrame, threshold: int) -> DataFrame:
-    """Step 3, and all that a document loses."""
-    edges = (texts.join(runs.where(F.size("opened") > 0).select("doc_id", "opened"), "doc_id")
-             .select("doc_id", "text", "opened")
-             .mapInArrow(_strings(threshold), "rank long, check int, doc_id long, at int, decided boolean")
-             .repartition("rank"))
-    smaller = F.min("doc_id").over(Window.partitionBy("rank", "check", "decided")) < F.col("doc_id")
-    edges = edges.withColumn("smaller", smaller).where(F.col("decided") | F.col("smaller"))
-    place = F.col("at").cast("long")
-    found = edges.groupBy("doc_id").agg(F.collect_list(F.shiftleft(place, 32).bitwiseOR(place)).alias("more"))
-    spans = runs.select("doc_id", "gone").join(found, "doc_id", "left").select(
-        "doc_id", F.concat("gone", F.coalesce("more", F.array().cast("array<long>"))).alias("spans"))
-    return checkpointed(spans.where(F.size("spans") > 0))
+        F.collect_list(F.when(F.col("gone"), F.col("span"))).alias("gone"),
+        F.collect_list(F.when(~F.col("gone"), F.col("span"))).alias("opened")))
 
 
 def lost_bytes(size: int, spans: np.ndarray, threshold: int) -> np.ndarray:
     """One flag per byte of a text: covered by a removed string."""
-    steps = np.zeros(size + 1, np.int64)
-    first, last = spans >> 32, (spans & 0xFFFFFFFF) + threshold
-    inside = first < size                               # rows that share a doc_id may differ in length
-    np.add.at(steps, first[inside], 1)
-    np.add.at(steps, np.minimum(last[inside], size), -1)
-    return np.cumsum(steps[:-1]) > 0
+    first, last = span_ends(spans)
+    return covered(size, first, last + threshold)
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, threshold: int, options: dict) -> DataFrame:
-    spans = removed(docs, id_col, text_col, threshold, **options).withColumnRenamed("doc_id", "_spans_of")
-    return docs.join(spans, docs[id_col].cast("long") == spans["_spans_of"], "left")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, threshold: int, options: dict) -> tuple[DataFrame, str]:
+    """The documents with their spans in the column ``_spans`` (or, where the
+    documents have that, with more underscores in front)."""
+    name = "_spans"
+    while any(name == c.lower() for c in docs.columns):
+        name = "_" + name
+    spans = removed(docs, id_col, text_col, threshold, **options) \
+        .select(F.col("doc_id").alias(name + "_of"), F.col("spans").alias(name))
+    return docs.join(spans, docs[id_col].cast("long") == spans[name + "_of"], "left").drop(name + "_of"), name
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
@@ -281,15 +278,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_spans(bare, "doc_id", "text", threshold, options).select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, name = _with_spans(bare, "doc_id", "text", threshold, options)
+    return joined.select("doc_id", "text", name).mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
                 **options) -> DataFrame:
     """All rows and columns of ``docs``; the text column loses the repeated
     bytes (a character that was cut is dropped; null stays null)."""
-    joined = _with_spans(docs, id_col, text_col, threshold, options)
+    joined, name = _with_spans(docs, id_col, text_col, threshold, options)
 
     @F.pandas_udf("string")
     def kept(text, spans):
@@ -301,8 +298,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    cut = F.when(F.col("spans").isNull(), docs[text_col]).otherwise(kept(docs[text_col], F.col("spans")))
-    return joined.select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    cut = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.col(name)))
+    return joined.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op7_suffix_dedup(spark, sf_dir) -> DataFrame:
