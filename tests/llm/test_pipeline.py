@@ -1,0 +1,40 @@
+"""The pipeline's contract, its stages in order, and the registered names."""
+
+import re
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from visitcast.llm import queries as llm_queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_registered_names():
+    names = list(__spark_entry__.queries())
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert "pipeline" in names and set(llm_queries.oracle_sql()) <= set(names)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_dedup", "suffix_dedup", "decontaminate", "byte_bpe"]
+
+
+def test_stages_one_by_one(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, last = docs.columns, corpus_pipeline.STAGES[-1][0]
+    extra = awkward.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"),
+                           F.lit(None).cast("long").alias("n_chars")).withColumn("doc_id", F.col("doc_id") + 10_000)
+    docs = docs.unionByName(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != last:
+            assert out.columns == columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        out = out.checkpoint()
+        assert 0 < out.count() <= docs.count()
+        nothing = stage(spark, docs.where("false"), SF)
+        assert nothing.count() == 0 and nothing.columns == out.columns
+        docs = out
+
+
+def test_run_writes_every_stage(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
