@@ -29,8 +29,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 400_000
-CORPUS_BYTES = 8 << 20
+MEMO_WORDS = 200_000
+CORPUS_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,10 +51,12 @@ class Codec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
         self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
-        # (left id, right id) -> rank of the joined bytes.
-        self.pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items()
+        # left id * width + right id -> rank of the joined bytes.
+        self.width = max(self.tokens) + 1
+        self.pairs = {ranks[t[:k]] * self.width + ranks[t[k:]]: r for t, r in ranks.items()
                       for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def replay(self, words: list[bytes]) -> tuple[bytes, list[int]]:
         """Ids of all words (packed, end to end) and where each word's ids end.
@@ -63,7 +65,7 @@ class Codec:
         """
         import numpy as np
 
-        pairs = self.pairs
+        pairs, width = self.pairs, self.width
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         links = np.arange(1, len(data) + 1)
@@ -87,34 +89,36 @@ class Codec:
             rank = heapq.heappop(order)
             places = index.pop(rank)
             places.sort()
-            for at in places:
-                pending = [(rank, at)]
-                while pending:  # one entry, unless a merge creates pairs of lower rank
-                    r, p = heapq.heappop(pending)
+            pending: list[tuple[int, int]] = []          # pairs of lower rank, in their word
+            for p in places:
+                r = rank
+                while True:
                     q = following[p]
-                    if token[p] < 0 or q < 0 or pairs.get((token[p], token[q])) != r:
-                        continue
-                    token[p], token[q] = r, -1
-                    nxt, prv = following[q], previous[p]
-                    following[p] = nxt
-                    if nxt >= 0:
-                        previous[nxt] = p
-                        if (new := pairs.get((r, token[nxt]))) is not None:
+                    if q >= 0 and token[p] >= 0 and pairs.get(token[p] * width + token[q]) == r:
+                        token[p], token[q] = r, -1
+                        following[p] = nxt = following[q]
+                        prv = previous[p]
+                        if nxt >= 0:
+                            previous[nxt] = p
+                            if (new := pairs.get(r * width + token[nxt])) is not None:
+                                if new < rank:
+                                    heapq.heappush(pending, (new, p))
+                                elif (found := index.get(new)) is not None:
+                                    found.append(p)
+                                else:
+                                    index[new] = [p]
+                                    heapq.heappush(order, new)
+                        if prv >= 0 and (new := pairs.get(token[prv] * width + r)) is not None:
                             if new < rank:
-                                heapq.heappush(pending, (new, p))
+                                heapq.heappush(pending, (new, prv))
                             elif (found := index.get(new)) is not None:
-                                found.append(p)
+                                found.append(prv)
                             else:
-                                index[new] = [p]
+                                index[new] = [prv]
                                 heapq.heappush(order, new)
-                    if prv >= 0 and (new := pairs.get((token[prv], r))) is not None:
-                        if new < rank:
-                            heapq.heappush(pending, (new, prv))
-                        elif (found := index.get(new)) is not None:
-                            found.append(prv)
-                        else:
-                            index[new] = [prv]
-                            heapq.heappush(order, new)
+                    if not pending:
+                        break
+                    r, p = heapq.heappop(pending)
         left = np.array(token, np.int64)
         live = left >= 0
         return left[live].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(live)])[ends].tolist()
@@ -122,10 +126,16 @@ class Codec:
     def encode_corpus(self, texts: list[str], memo_words: int = MEMO_WORDS) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
-        if len(self.memo) > memo_words:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
+        if 2 * len(self.memo) > memo_words:             # the older half goes
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = []
+        for word in {w for words in split for w in words}:
+            if word not in memo:
+                if (known := older.get(word)) is None:
+                    new.append(word)
+                else:
+                    memo[word] = known
         left, packed = [], []
         for word in new:
             whole = self.ranks.get(data := word.encode())

@@ -49,7 +49,7 @@ from .common import OTHER_POWERS, checkpointed, mix, span_hasher, table, text_bl
 
 THRESHOLD = 50
 STEPS = (20, 40)                          # bytes ranked by before the threshold
-PART_BYTES = 8 << 20                      # text that a task looks at together before it sends rows
+PART_BYTES = 4 << 20                      # text that a task looks at together before it sends rows
 HOT_ROWS = 256
 # Kinds of rows of a step.
 PLAIN, DECIDED, LONE, HOT = 0, 1, 2, 3
@@ -187,11 +187,13 @@ def _runs(threshold: int, start: int, hot_rows: int, opened: bool):
 
 def _release(spark: SparkSession) -> None:
     """Have Spark's cleaner drop the shuffle files of the step that is over (its
-    result is in a checkpoint) before the next step writes its own.  The pause
-    is for the bridge's finalizer, which looks for dropped frames every second."""
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
+    result is in a checkpoint) before the next step writes its own.  Twice,
+    with a pause: the bridge lets go of dropped frames once a second, and the
+    executors delete files after the driver's collection."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
