@@ -42,7 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 7
-FILTER_BITS = 20
+FILTER_BITS = 19
 PROBES = 3
 PUNCTUATION = r"""[!-/:-@\[-`{-~]+"""
 BREAKS = r"[\x20\x09-\x0D]+"

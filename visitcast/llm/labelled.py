@@ -34,3 +34,20 @@ def prior_shift(sample: tuple[int, int], totals: dict[int, int]) -> float:
     if min(*sample, totals.get(0, 0), totals.get(1, 0)) == 0:
         return 0.0
     return math.log(totals[1] / totals[0]) - math.log(sample[1] / sample[0])
+
+
+def rows_of(lists) -> list:
+    """The rows of an Arrow column of lists as numpy views (no copy)."""
+    column = lists.combine_chunks()
+    flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
+def free_sample() -> None:
+    """Hand the driver's memory of a finished sample back."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()

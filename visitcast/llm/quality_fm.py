@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, held_out, lower_ascii, span_hashes, table, text_blocks, word_spans
-from .labelled import learnable, prior_shift, training_sample
+from .labelled import free_sample, learnable, prior_shift, rows_of, training_sample
 
 WORD_BITS = 14
 RANK = 8
@@ -187,10 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         prior = sum(totals.values()) and totals.get(1, 0) / sum(totals.values())
         prior = min(max(prior if totals else 0.5, 1e-3), 1 - 1e-3)
         return Machine(float(np.log(prior / (1 - prior))), np.zeros(N_FEATURES), np.zeros((N_FEATURES, RANK)))
-    entries = [(np.asarray(f, np.int64), np.asarray(v)) for f, v in
-               zip(got.column("features").to_numpy(), got.column("values").to_numpy())]
+    entries = list(zip(rows_of(got.column("features")), rows_of(got.column("values"))))
     model = fit(entries, y)
     model.bias += prior_shift(n, totals)
+    del got, entries
+    free_sample()
     return model
 
 
