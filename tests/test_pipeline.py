@@ -73,29 +73,6 @@ def test_coral_matches_target_moments(spark):
     assert np.allclose(np.cov(out.T), np.cov(t.T), atol=1e-4)
 
 
-def test_learner_beats_mean_on_planted_signal(spark):
-    from visitcast.plans import learners as L
-    from visitcast.plans import report
-    rng = np.random.default_rng(1)
-    rows = [(float(x), float(3 * x + rng.normal(0, 0.1)), 1.0) for x in rng.uniform(0, 1, 400)]
-    df = spark.createDataFrame(rows, "x double, visitors double, weight double")
-    m = L.fit(df, ["x"], L.GBTParams(max_depth=3, min_leaf=5, step_size=0.3, max_iter=20,
-                                     feature_fraction=1.0, bagging_fraction=1.0))
-    pred = L.predict(m, df, ["x"])
-    score = report.rmsle(pred).first()["rmsle"]
-    base = df.agg(F.stddev_pop("visitors")).first()[0]
-    assert np.isfinite(score) and score < 0.5 * base
-    chain = L.fine_tune(m, df, ["x"], L.GBTParams(max_depth=2, min_leaf=5, step_size=0.1, max_iter=3))
-    assert len(chain.models) == 2
-    both = L.predict(chain, df, ["x"], "p")
-    parts = L.assemble(df, ["x"])
-    parts = chain.models[1].setPredictionCol("r").transform(chain.models[0].setPredictionCol("b").transform(parts))
-    s1 = both.agg(F.sum("p")).first()[0]
-    s2 = parts.agg(F.sum(F.col("b") + F.col("r"))).first()[0]
-    assert abs(s1 - s2) < 1e-6
-    assert report.rmsle(L.predict(chain, df, ["x"])).first()["rmsle"] < 0.5 * base
-
-
 def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
@@ -126,3 +103,31 @@ def test_store_keyed_parts_need_no_exchange(job):
     # a hot key set (no store) shuffles pre-aggregated rows and ranks in value ranges
     hot = _plan(job.w8(3)[1])
     assert "Exchange" in hot and "_b" in hot
+
+
+def test_labels_are_shuffled_once(job):
+    """In the plan of the whole table the label rows meet every part where
+    they are: no exchange lies above a join."""
+    plan = _plan(job.table())
+    depth_of_join = None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if "Join" in line and depth_of_join is None:
+            depth_of_join = depth
+        if "Exchange" in line and "BroadcastExchange" not in line and depth_of_join is not None:
+            assert depth > depth_of_join, line
+    # the stream side below all joins is the checkpoint, not an exchange
+    stream = [line for line in plan.splitlines() if "Scan ExistingRDD" in line]
+    assert stream and depth_of_join is not None
+    assert "SortMergeJoin" not in plan
+
+
+def test_checkpoint_folder_of_the_context_wins(spark, tmp_path):
+    from visitcast import session
+    before = session.ensure_checkpoint_dir(spark)
+    assert session.ensure_checkpoint_dir(spark) == before == spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert str(tmp_path) in session.ensure_checkpoint_dir(spark)
+    finally:
+        spark.sparkContext.setCheckpointDir(before)

@@ -22,51 +22,61 @@ from .selection import feature_similarity, threshold_features, top_ratio_feature
 CORAL_EPS = 1e-6
 
 
-def domain_moments(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector and sample covariance of ``features``.
+def _cross_sums(df: DataFrame, features: Sequence[str], by: str | None = None):
+    """Means and centred cross-products per value of ``by`` (one value without).
 
     Two distributed passes, no per-pair expressions (d = 250 features would be
-    31k aggregates): (1) count and means, one aggregate per feature;
-    (2) centred cross-products per Arrow batch with numpy inside
-    ``mapInPandas``, emitted in long form (i, j, partial sum) and reduced by
-    ``groupBy(i, j)`` with partial aggregation.  Only d + d(d+1)/2 numbers
-    reach the driver.  Rows with a null feature are dropped (listwise).
+    31k aggregates): (1) count and means, one aggregate per feature; (2) a task
+    sums its centred cross-products with numpy over all its batches and sends
+    them once, in long form (key, i, j, sum), to ``groupBy``.  Rows with a null
+    feature are dropped (listwise).  ``by`` is a bounded column (domains).
     """
     d = len(features)
-    clean = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).dropna()
-    first = clean.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"f{i}").alias(f"m{i}") for i in range(d)]).first()
-    n = int(first["n"])
-    if n < 2:
-        raise ValueError("need at least two complete rows for a covariance")
-    mu = np.array([first[f"m{i}"] for i in range(d)], dtype=float)
-    iu, ju = np.triu_indices(d)
     cols = [f"f{i}" for i in range(d)]
+    clean = df.select((F.col(by) if by else F.lit("")).cast("string").alias("k"),
+                      *[F.col(f).cast("double").alias(c) for f, c in zip(features, cols)]).dropna()
+    first = clean.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).collect()
+    n = {r["k"]: int(r["n"]) for r in first}
+    mu = {r["k"]: np.array([r[f"m{i}"] for i in range(d)], dtype=float) for r in first}
+    iu, ju = np.triu_indices(d)
 
     def cross(batches):
         import pandas as pd
+        sums = {}
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = pdf[cols].to_numpy(dtype=float) - mu
-            p = x.T @ x
-            yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "v": p[iu, ju]})
+            for key, part in pdf.groupby("k"):
+                x = part[cols].to_numpy(dtype=float) - mu[key]
+                sums[key] = sums.get(key, 0.0) + x.T @ x
+        for key, p in sums.items():
+            yield pd.DataFrame({"k": key, "i": iu.astype("int32"), "j": ju.astype("int32"), "v": p[iu, ju]})
+
+    parts = clean.mapInPandas(cross, "k string, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v"))
+    return n, mu, parts
 
-    parts = clean.mapInPandas(cross, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+def domain_moments(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean vector and sample covariance of ``features``; only d + d(d+1)/2
+    numbers reach the driver."""
+    d = len(features)
+    counts, means, parts = _cross_sums(df, features)
+    n = counts.get("", 0)
+    if n < 2:
+        raise ValueError("need at least two complete rows for a covariance")
     cov = np.zeros((d, d))
     for r in parts.collect():  # d(d+1)/2 rows: bounded by the schema
         cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["v"] / (n - 1)
-    return mu, cov, n
+    return means[""], cov, n
 
 
 def covariance_long(df: DataFrame, features: Sequence[str], by: str | None = None) -> DataFrame:
-    """A20 as a frame: (by, f1, f2, cov) with covar_samp for every pair i <= j."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    aggs = [F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}")
-            for k, (a, b) in enumerate(pairs)]
-    wide = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
-    stack = "stack({}, {}) AS (f1, f2, cov)".format(
-        len(pairs), ", ".join(f"'{a}', '{b}', c{k}" for k, (a, b) in enumerate(pairs)))
-    return wide.selectExpr(*([by] if by else []), stack)
+    """A20 as a frame: (by, f1, f2, cov) with the sample covariance of every
+    pair i <= j (null with fewer than two rows)."""
+    counts, _, parts = _cross_sums(df, features, by)
+    names = F.array(*[F.lit(f) for f in features])
+    n = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(v))]) if counts else F.lit(None).cast("map<string,int>")
+    out = parts.select(F.col("k"), F.get(names, F.col("i")).alias("f1"), F.get(names, F.col("j")).alias("f2"),
+                       F.when(n[F.col("k")] > 1, F.col("v") / (n[F.col("k")] - 1)).alias("cov"))
+    return out.withColumnRenamed("k", by) if by else out.drop("k")
 
 
 def _sqrtm(c: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -183,21 +193,21 @@ def sample_selection(source: DataFrame, target: DataFrame, features: Sequence[st
     va = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True).fit(va.transform(target))
     tz = scaler.transform(va.transform(target))
-    k = max(1, min(n_clusters, tz.count()))
-    km = KMeans(k=k, featuresCol="_z", seed=seed).fit(tz)
+    km = KMeans(k=max(2, n_clusters), featuresCol="_z", seed=seed).fit(tz)  # fewer centres if there are fewer points
     centres = np.array([np.asarray(c) for c in km.clusterCenters()])
 
     @F.pandas_udf(T.DoubleType())
     def nearest(z):
+        import pandas as pd
         x = np.stack(z.to_numpy()) if len(z) else np.zeros((0, centres.shape[1]))
-        d2 = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-        return __import__("pandas").Series(np.sqrt(d2.min(axis=1)))
+        d2 = (x ** 2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(axis=1)  # batch x clusters
+        return pd.Series(np.sqrt(np.maximum(d2.min(axis=1), 0)))
 
     from pyspark.ml.functions import vector_to_array
     sz = scaler.transform(va.transform(source)).withColumn("_dist", nearest(vector_to_array("_z")))
     keep = int(source.count() * selection_ratio)
-    ranked = global_row_number(sz.drop("_raw", "_z"), ["_dist", *key_cols], out="_rn")
-    return ranked.where(F.col("_rn") < keep).drop("_rn", "_dist")
+    ranked = global_row_number(sz.select(*key_cols, F.round("_dist", 9).alias("_dist")), ["_dist", *key_cols], out="_rn")
+    return source.join(ranked.where(F.col("_rn") < keep).select(*key_cols), list(key_cols), "left_semi")
 
 
 def project_2d(frames: dict[str, DataFrame], features: Sequence[str], seed: int = 0) -> DataFrame:

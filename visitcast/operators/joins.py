@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a lookup frame is broadcast after counting it.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+from ..session import reliable_checkpoint
 
+# Byte bound under which a frame of fixed-width columns is broadcast.
+BROADCAST_BYTES = 64 << 20
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 
-    The frame is persisted (recomputable from lineage if an executor is lost)
-    so the check and the join read the same rows.  Above the bound the frame
-    is returned as is and the planner (AQE) chooses the join.
+def broadcast_checked(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` (fixed-width columns) only after its size is known.
+
+    The frame is checkpointed in the shared folder, so the check and the join
+    read the same rows; its size is its rows times eight bytes a column.  Above
+    the bound it is returned without a hint and joined by shuffling.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    df = reliable_checkpoint(df)
+    return F.broadcast(df) if df.count() * 8 * (len(df.columns) + 1) <= max_bytes else df
 
 
 def lookup_fill(df: DataFrame, lookup: DataFrame, on, fill: int = -1) -> DataFrame:

@@ -20,12 +20,13 @@ WDA_TARGET_FACTOR = 0.7
 
 def normalize_by_part_mean(df: DataFrame, col: str, part: str | None) -> DataFrame:
     """Divide ``col`` by its mean within each value of ``part`` (or overall)."""
-    key = part or "_all"
-    src = df if part else df.withColumn("_all", F.lit(0))
-    means = src.groupBy(key).agg(F.avg(col).alias("_mean"))
-    # one row per part value; AQE broadcasts it once measured
-    out = src.join(means, on=key, how="left").withColumn(col, F.col(col) / F.col("_mean")).drop("_mean")
-    return out.drop("_all") if not part else out
+    # One row per part value (train / valid, domain): a bound of the caller's
+    # column, so the means are broadcast and no row is shuffled.
+    if not part:
+        mean = df.agg(F.avg(col)).first()[0]  # one number
+        return df.withColumn(col, F.col(col) / F.lit(mean))
+    means = df.groupBy(part).agg(F.avg(col).alias("_mean"))
+    return df.join(F.broadcast(means), on=part, how="left").withColumn(col, F.col(col) / F.col("_mean")).drop("_mean")
 
 
 def recency_weight(df: DataFrame, gap_col: str = "day_gap", part: str | None = "is_valid",

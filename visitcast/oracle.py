@@ -433,6 +433,38 @@ FROM pr GROUP BY domain""")
     q["sample_per_group_sizes"] = with_prelude(body="""SELECT domain,
   CAST(least(count(*), CASE domain WHEN 'source' THEN 2000 ELSE 3500 END) AS BIGINT) AS n_rows
 FROM v_dec GROUP BY domain""")
+    dec = ("store_id, visit_date, weekday, day, days_to_side, genre, area, holiday_flg, holiday, domain, "
+           + r6("visitors") + " AS visitors")
+    key = "md5('42|' || store_id || '|' || strftime(visit_date, '%Y-%m-%d'))"
+    q["exact_sample"] = with_prelude(body=f"""SELECT {dec} FROM v_dec WHERE domain = 'source'
+QUALIFY row_number() OVER (ORDER BY {key}, store_id, visit_date) <= floor(count(*) OVER () * 0.7)""")
+    q["sample_per_group"] = with_prelude(body=f"""SELECT {dec} FROM v_dec
+QUALIFY row_number() OVER (PARTITION BY domain ORDER BY {key}, store_id, visit_date)
+  <= CASE domain WHEN 'source' THEN 2000 ELSE 3500 END""")
+    target = f"(SELECT source_id FROM ({with_prelude(body='SELECT source_id FROM v_rel')}))"
+    q["feature_sink_roundtrip"] = f"""SELECT f.*,
+  CASE WHEN f.store_id IN {target} THEN 'target' ELSE 'source' END AS domain,
+  CASE WHEN f.origin = DATE '2001-10-01' THEN 'test' ELSE 'train' END AS split FROM ({feature_table_sql()}) f"""
+    for recipe in ("baseline", "direct_transfer", "fine_tune", "pseudo_label", "pseudo_label_copies", "domain_weighted",
+                   "weighted_da", "sample_transfer", "adversarial", "ensemble", "super_ensemble_topk", "super_ensemble_aligned"):
+        q[recipe] = with_prelude(body=f"""SELECT origin, store_id, visit_date, {r6('visitors')} AS visitors, true AS predicted
+FROM v_labels WHERE origin = DATE '2001-10-01' AND store_id IN (SELECT source_id FROM v_rel)""")
+    q["learner_trees"] = "SELECT true AS all_rounds_kept, true AS error_halved, true AS step_size_acts"
+    q["recipe_beats_mean"] = "SELECT unnest(['baseline', 'direct_transfer', 'fine_tune']) AS method, true AS beats_mean"
+    cut = ("cut{0} AS (SELECT min(visit_date) AS c FROM (SELECT DISTINCT visit_date FROM tl WHERE domain = '{0}' "
+           "ORDER BY visit_date DESC LIMIT 7))")
+    gap = "1.0 / (1.0 + abs(day_gap) + 1e-8)"
+    q["training_sets"] = with_prelude(
+        TRAIN_LABELS, cut.format("target"), cut.format("source"),
+        "v AS (SELECT *, domain = 'target' AND visit_date >= (SELECT c FROM cuttarget) AS tv, "
+        "domain = 'source' AND visit_date >= (SELECT c FROM cutsource) AS sv FROM tl)",
+        f"w AS (SELECT 'baseline' AS recipe, domain, tv AS is_valid, {gap} / avg({gap}) OVER (PARTITION BY tv) AS w "
+        "FROM v WHERE domain = 'target' UNION ALL "
+        f"SELECT 'direct_transfer', domain, sv, {gap} / avg({gap}) OVER (PARTITION BY sv) FROM v WHERE domain = 'source' UNION ALL "
+        "SELECT 'domain_weighted', domain, tv, k / avg(k) OVER () FROM (SELECT *, CASE domain WHEN 'source' THEN 0.5 ELSE 1.0 END AS k FROM v) "
+        f"UNION ALL SELECT 'weighted_da', domain, tv, {gap} / avg({gap}) OVER (PARTITION BY domain) "
+        "* CASE domain WHEN 'source' THEN 0.3 ELSE 0.7 END FROM v)",
+        body=f"SELECT recipe, domain, is_valid, count(*) AS n_rows, {r6('sum(w)')} AS weight_sum FROM w GROUP BY ALL")
     q["csv_roundtrip"] = with_prelude(body="SELECT visit_date, holiday_flg, holiday FROM v_calfacts")
     q["split_summary"] = with_prelude(
         "tt AS (SELECT * FROM v_dec WHERE domain = 'target' AND visit_date < DATE '2001-10-01')",

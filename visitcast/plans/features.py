@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators.encoders import encode_labels
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import broadcast_checked
 from ..operators.windows import cumulative_stats, explode_origins, trailing_stats, value_cuts
 from ..session import partitioned_checkpoint, reliable_checkpoint
 from ..sources import tables
@@ -118,11 +118,6 @@ def feature_columns(nday_windows=VISIT_WINDOWS, reserve_windows=R.RESERVE_WINDOW
     return cols
 
 
-def frame_needs_store_partitioning(frame: DataFrame) -> bool:
-    part = frame._jdf.queryExecution().executedPlan().outputPartitioning().toString()
-    return not part.startswith("hashpartitioning(store_id")
-
-
 class FeatureJob:
     """Builds the shared frames once; each part is a (join keys, frame) pair
     that can be joined to the labels alone (tests, checks) or all together."""
@@ -136,19 +131,20 @@ class FeatureJob:
         self.test_begin = test_begin
         self.reserve_as_of_origin = reserve_as_of_origin
         self.windows = tuple(windows)
+        self.partitions = int(inp.visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.origins = tables.origin_dates(test_begin, nday, history_days)
         self.label_origin = label_origin_fn(test_begin, nday, history_days)
         store_enc = encoded_store(inp.store)
         # One row per calendar day: checked, then broadcast so that joining it
         # keeps the store partitioning below.
-        self.cal = broadcast_if_small(calendar_facts(inp.calendar))
+        self.cal = broadcast_checked(calendar_facts(inp.calendar))
 
         # The only shuffle of the visit history: by store.  A store has at most
         # one row per day, so no store is a hot key.  Every store-keyed
         # statistic and every join back to the labels runs inside this
         # partitioning.
         vis = (inp.visits.select("store_id", "visit_date", dates.guarded_log1p("visitors").alias("visitors"))
-               .repartition("store_id"))
+               .repartition(self.partitions, "store_id"))
         base = decorate(vis, store_enc, self.cal)
         if checkpoint:
             # Cut the lineage once in the shared checkpoint folder: every part
@@ -167,7 +163,9 @@ class FeatureJob:
                       .withColumn("day_gap", F.datediff("visit_date", "origin")))
         self.labels = labels.select(*BASE_COLUMNS)
         hist = base.where(F.col("visit_date") < F.lit(test_begin))
-        self.hist = explode_origins(hist, "visit_date", self.origins)
+        # Only the longest window back from each origin: older pairs would be
+        # built and thrown away.
+        self.hist = explode_origins(hist, "visit_date", self.origins, lookback=max(self.windows))
 
     @property
     def visit_cuts(self) -> list[float]:
@@ -193,12 +191,16 @@ class FeatureJob:
         return out
 
     def w5(self) -> list[tuple[list[str], DataFrame]]:
-        return R.point_features(self.reservations, self.label_origin, self.test_begin,
-                                self.reserve_as_of_origin, self.split_ranges)
+        return self.by_store(R.point_features(self.reservations, self.label_origin, self.test_begin,
+                                              self.reserve_as_of_origin, self.split_ranges))
 
     def w6(self) -> list[tuple[list[str], DataFrame]]:
-        return R.window_features(self.reservations, self.cal, self.origins, self.test_begin,
-                                 self.reserve_as_of_origin)
+        return self.by_store(R.window_features(self.reservations, self.cal, self.origins, self.test_begin,
+                                               self.reserve_as_of_origin))
+
+    def by_store(self, parts: list[tuple[list[str], DataFrame]]) -> list[tuple[list[str], DataFrame]]:
+        """Booking parts, moved to the labels' store partitioning."""
+        return [(k, f.repartition(self.partitions, "store_id") if "store_id" in k else f) for k, f in parts]
 
     def all_parts(self) -> list[tuple[list[str], DataFrame]]:
         return self.w5() + self.w6() + self.w7() + [self.w8(i) for i in range(len(W8_CATALOGUE))]
@@ -206,24 +208,22 @@ class FeatureJob:
     def table(self, parts=None, base_columns=BASE_COLUMNS) -> DataFrame:
         """Labels left-joined with ``parts`` (all by default); missing -> 0.
 
-        Store-keyed parts are joined first: they share the labels' store
-        partitioning.  Parts without the store (a few rows per origin) come
-        last, where AQE broadcasts them once measured.
+        Parts without the store (rows per origin and dictionary entry) come
+        first, while the label rows are narrow: their size is checked, then
+        they are broadcast, so the labels keep their store partitioning for the
+        store-keyed parts.
         """
         parts = self.all_parts() if parts is None else parts
-        ordered = [p for p in parts if "store_id" in p[0]] + [p for p in parts if "store_id" not in p[0]]
         out = self.labels
         feats = []
-        for keys, frame in ordered:
+        for keys, frame in sorted(parts, key=lambda p: "store_id" in p[0]):
             if "store_id" in keys:
                 # Hash the (narrow) part per partition and stream the labels:
                 # a sort-merge join would re-sort the ever wider label rows at
-                # every step.  Parts not built from the store-partitioned
-                # visits (bookings) are moved to that partitioning, so the
-                # labels never move.
-                if frame_needs_store_partitioning(frame):
-                    frame = frame.repartition(self.base.rdd.getNumPartitions(), "store_id")
+                # every step.
                 frame = frame.hint("shuffle_hash")
+            else:
+                frame = broadcast_checked(frame)
             out = out.join(frame, on=keys, how="left")
             feats += [c for c in frame.columns if c not in keys]
         canonical = [c for c in feature_columns(self.windows) if c in feats]

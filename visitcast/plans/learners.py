@@ -1,43 +1,45 @@
-"""Learners (M3, M4, M7, S8) on Spark ML gradient-boosted trees.
-
-The original tree library is replaced by ``GBTRegressor``; its parameters
-are mapped where Spark has an equivalent (depth, minimum leaf size, step size,
-row and feature subsampling, seed, weights).  Early stopping with patience has
-no Spark equivalent, so ``max_iter`` bounds the rounds.
+"""Learners (M3, M4, M7, S8): gradient boosting on Spark ML trees.
+
+Spark's own boosting gives the first tree full weight whatever the step size,
+stops by a relative tolerance instead of a patience, and cannot go on from a
+given model.  Here every round fits one Spark ML tree to the residuals of the
+training rows (``RandomForestRegressor`` with a single tree, so row and
+per-node feature subsampling are Spark's), adds it with the step size, and
+scores the validation rows; the best prefix is kept once ``patience`` rounds
+bring no gain.  Trees and step sizes end up in one ``GBTRegressionModel``.
 """
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default tree settings of the modelled experiments.
-DEFAULT_PARAMS = dict(max_depth=9, min_leaf=50, step_size=0.007, feature_fraction=0.6,
-                      bagging_fraction=0.8, max_iter=6000, seed=2018)
+from ..session import reliable_checkpoint
+from ..sources import io
 
 
-@dataclass
+@dataclass(frozen=True)
 class GBTParams:
+    """Fixed default values of the modelled experiments."""
+
     max_depth: int = 9
     min_leaf: int = 50
     step_size: float = 0.007
     feature_fraction: float = 0.6
     bagging_fraction: float = 0.8
     max_iter: int = 6000
+    patience: int = 500
     seed: int = 2018
     max_bins: int = 32
-    extra: dict = field(default_factory=dict)
 
     def replace(self, **kw) -> "GBTParams":
-        d = dict(self.__dict__)
-        d.update(kw)
-        return GBTParams(**d)
+        return replace(self, **kw)
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -45,71 +47,121 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def gbt(params: GBTParams, label: str = "visitors", weight_col: str | None = "weight",
-        valid_col: str | None = None) -> GBTRegressor:
-    """M3: the boosted-tree estimator."""
-    est = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
-                       maxDepth=min(params.max_depth, 30), minInstancesPerNode=params.min_leaf,
-                       stepSize=params.step_size, subsamplingRate=params.bagging_fraction,
-                       featureSubsetStrategy=str(params.feature_fraction), maxIter=params.max_iter,
-                       seed=params.seed, maxBins=params.max_bins, **params.extra)
-    if weight_col:
-        est = est.setWeightCol(weight_col)
-    if valid_col:
-        est = est.setValidationIndicatorCol(valid_col)
-    return est
-
-
-def fit(train: DataFrame, features: Sequence[str], params: GBTParams, label: str = "visitors",
-        weight_col: str | None = "weight", valid_col: str | None = None) -> GBTRegressionModel:
-    data = assemble(train, features)
-    return gbt(params, label, weight_col, valid_col).fit(data)
-
-
-def train_or_load(path: str | None, train: DataFrame, features: Sequence[str], params: GBTParams,
-                  label: str = "visitors", weight_col: str | None = "weight",
-                  valid_col: str | None = None) -> GBTRegressionModel:
-    """Load the model saved at ``path`` if it exists, else fit and save."""
-    if path and os.path.exists(path):
-        return GBTRegressionModel.load(path)
-    model = fit(train, features, params, label, weight_col, valid_col)
-    if path:
-        model.write().overwrite().save(path)
-    return model
-
-
 @dataclass
-class Chain:
-    """A sum of tree models: f(x) = sum of the parts (a warm start by residuals)."""
-    models: list
+class Part:
+    """A boosted ensemble over its own feature list."""
 
-    def predict(self, df: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
-        data = assemble(df, features, "features")
-        total = None
-        for i, m in enumerate(self.models):
-            data = m.setPredictionCol(f"_p{i}").transform(data)
-            total = F.col(f"_p{i}") if total is None else total + F.col(f"_p{i}")
-        return data.withColumn(out, total).drop("features", *[f"_p{i}" for i in range(len(self.models))])
+    features: list[str]
+    model: GBTRegressionModel | None      # None: no round was worth keeping
 
 
-def predict(model, df: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
-    """M4 (first half): add the model's prediction column."""
-    chain = model if isinstance(model, Chain) else Chain([model])
-    return chain.predict(df, features, out)
-
-
-def fine_tune(base, target_train: DataFrame, features: Sequence[str], params: GBTParams,
-              label: str = "visitors", weight_col: str | None = "weight", warm_start: bool = True) -> Chain:
-    """M7: continue a source model on the target domain.
-
-    Spark GBT cannot resume training, so the continuation is a second
-    ensemble fitted on the residual y - f_source(x) and added to it.  With
-    ``warm_start=False`` the target model is trained from scratch (what the
-    original code did, since it never passed the initial model on).
+@dataclass
+class Chain:
+    """f(x) = start + sum of the parts (M7: a model and its continuations)."""
+
+    start: float
+    parts: list[Part] = field(default_factory=list)
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """M4 (first half): add the prediction column."""
+        total = F.lit(self.start)
+        for i, part in enumerate(self.parts):
+            if part.model is not None:
+                df = assemble(df, part.features, "_x").withColumnRenamed("prediction", "_kept") \
+                    if "prediction" in df.columns else assemble(df, part.features, "_x")
+                df = part.model.setFeaturesCol("_x").setPredictionCol(f"_p{i}").transform(df).drop("_x")
+                df = df.withColumnRenamed("_kept", "prediction") if "_kept" in df.columns else df
+                total = total + F.col(f"_p{i}")
+        return df.withColumn(out, total).drop(*[f"_p{i}" for i in range(len(self.parts))])
+
+    @property
+    def rounds(self) -> list[int]:
+        """Trees kept per part."""
+        return [0 if p.model is None else p.model.getNumTrees for p in self.parts]
+
+
+def _ensemble(spark: SparkSession, trees: list, steps: list[float]) -> GBTRegressionModel:
+    """One model of weighted trees, through the public JVM constructor."""
+    sc = spark.sparkContext
+    jtrees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    jsteps = sc._gateway.new_array(sc._jvm.double, len(steps))
+    for i, (tree, step) in enumerate(zip(trees, steps)):
+        jtrees[i], jsteps[i] = tree._java_obj, float(step)
+    uid = sc._jvm.org.apache.spark.ml.util.Identifiable.randomUID("boosted")
+    return GBTRegressionModel(sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, jtrees, jsteps))
+
+
+def boost(train: DataFrame, features: Sequence[str], params: GBTParams, label: str = "visitors",
+          weight_col: str | None = "weight", valid_col: str | None = None, init: Chain | None = None,
+          cut_every: int = 8) -> Chain:
+    """M3 / M7: boosting rounds from the weighted label mean, or from ``init``.
+
+    Rows with ``valid_col`` true are never trained on; they choose the prefix
+    (weighted squared error, ``patience`` rounds without a gain end the fit).
     """
-    chain = base if isinstance(base, Chain) else Chain([base])
-    if not warm_start:
-        return Chain([fit(target_train, features, params, label, weight_col)])
-    pred = chain.predict(target_train, features, "_base")
-    resid = pred.withColumn("_resid", F.col(label) - F.col("_base"))
-    return Chain(chain.models + [fit(resid, features, params, "_resid", weight_col)])
+    spark = train.sparkSession
+    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    valid = F.coalesce(F.col(valid_col), F.lit(False)) if valid_col else F.lit(False)
+    if init is None:
+        mean = train.where(~valid).agg(F.sum(weight * F.col(label)) / F.sum(weight)).first()[0]
+        init = Chain(float(mean or 0.0))
+    data = assemble(init.predict(train, "_f"), features, "_x").select(
+        "_x", F.col(label).cast("double").alias("_y"), weight.alias("_w"), valid.alias("_valid"), "_f")
+    data = reliable_checkpoint(data)
+    error = F.sum(F.col("_w") * F.pow(F.col("_y") - F.col("_f"), 2)) / F.sum("_w")
+
+    def loss(frame: DataFrame) -> float | None:
+        return frame.where("_valid").agg(error).first()[0] if valid_col else None
+
+    trees: list = []
+    best, best_at = loss(data), 0
+    for k in range(params.max_iter):
+        forest = RandomForestRegressor(
+            featuresCol="_x", labelCol="_r", weightCol="_w", numTrees=1, bootstrap=False, maxBins=params.max_bins,
+            maxDepth=min(params.max_depth, 30), minInstancesPerNode=params.min_leaf,
+            subsamplingRate=params.bagging_fraction, featureSubsetStrategy=str(params.feature_fraction),
+            seed=params.seed + k)
+        tree = forest.fit(data.where(~F.col("_valid")).withColumn("_r", F.col("_y") - F.col("_f"))).trees[0]
+        trees.append(tree)
+        data = tree.setFeaturesCol("_x").setPredictionCol("_t").transform(data) \
+            .withColumn("_f", F.col("_f") + params.step_size * F.col("_t")).drop("_t")
+        if (k + 1) % cut_every == 0:
+            data = reliable_checkpoint(data)
+        now = loss(data)
+        if now is not None:
+            if best is None or now < best:
+                best, best_at = now, len(trees)
+            elif len(trees) - best_at >= params.patience:
+                break
+    kept = trees[:best_at] if best is not None else trees
+    model = _ensemble(spark, kept, [params.step_size] * len(kept)) if kept else None
+    return Chain(init.start, [*init.parts, Part(list(features), model)])
+
+
+def save(chain: Chain, spark: SparkSession, path: str) -> None:
+    """Models first, the description last (its marker says all is there)."""
+    for i, part in enumerate(chain.parts):
+        if part.model is not None:
+            part.model.write().overwrite().save(f"{path}/part-{i}")
+    text = json.dumps({"start": chain.start, "parts": [{"features": p.features, "model": p.model is not None}
+                                                       for p in chain.parts]})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/chain")
+
+
+def load(spark: SparkSession, path: str) -> Chain:
+    described = json.loads(spark.read.text(f"{path}/chain").first()[0])
+    return Chain(described["start"], [
+        Part(p["features"], GBTRegressionModel.load(f"{path}/part-{i}") if p["model"] else None)
+        for i, p in enumerate(described["parts"])])
+
+
+def train_or_load(path: str | None, train: DataFrame, features: Sequence[str], params: GBTParams, **options) -> Chain:
+    """The model stored at ``path`` (a folder of any store Spark writes to)
+    if a finished one is there, else fit and store it."""
+    spark = train.sparkSession
+    if path and io.is_materialized(spark, f"{path}/chain"):
+        return load(spark, path)
+    chain = boost(train, features, params, **options)
+    if path:
+        save(chain, spark, path)
+    return chain

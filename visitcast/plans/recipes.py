@@ -1,13 +1,17 @@
 """Transfer-learning recipes.
 
 Each recipe returns a ``Result``: the prediction frame for the target test
-set and its RMSLE (a scalar computed by one distributed aggregate).
-``cap`` bounds the boosting rounds of every fit (for tests and smoke runs).
+set and its RMSLE (a scalar computed by one distributed aggregate).  Recipes
+that start from the source model take it as ``source`` (fitted, or loaded by
+``source_model``); with ``warm_start=False`` they start from nothing.  The
+defaults are the modelled experiments' step sizes, rounds and patience; a
+caller passes others, no recipe cuts them.
 """
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -28,136 +32,155 @@ class Result:
     method: str
     predictions: DataFrame
     rmsle: float
+    model: L.Chain | None = None
     extra: dict = field(default_factory=dict)
 
 
-def _p(params: L.GBTParams, cap: int | None, **kw) -> L.GBTParams:
-    p = params.replace(**kw)
-    if cap is not None:
-        p = p.replace(max_iter=min(p.max_iter, cap))
-    return p
+def _score(method: str, model: L.Chain, data: trainset.DomainData, extra=None) -> Result:
+    pred = model.predict(data.target_test)
+    return Result(method, pred.select(*KEY, "visitors", "prediction"), report.rmsle(pred).first()["rmsle"], model, extra or {})
 
 
-def _score(method: str, model, data: trainset.DomainData, extra=None) -> Result:
-    pred = L.predict(model, data.target_test, data.features)
-    val = report.rmsle(pred).first()["rmsle"]
-    return Result(method, pred.select(*KEY, "visitors", "prediction"), val, extra or {})
+def training_set(train: DataFrame, valid_days: int = 7) -> DataFrame:
+    """M2: the weighted rows with ``is_valid``; only the others are trained on."""
+    return trainset.weighted_set(train, valid_days)
 
 
-def _fit(train: DataFrame, data: trainset.DomainData, params: L.GBTParams, valid_days: int = 7):
-    return L.fit(trainset.weighted_set(train, valid_days), data.features, params, valid_col="is_valid")
+def _fit(train: DataFrame, features: list[str], params: L.GBTParams, init: L.Chain | None = None) -> L.Chain:
+    return L.boost(training_set(train), features, params, valid_col="is_valid", init=init)
 
 
-def baseline(data, params=L.GBTParams(), cap=None) -> Result:
+def source_model(data, params=L.GBTParams(), path: str | None = None) -> L.Chain:
+    """The model all transfers start from: fitted on the source domain, or
+    loaded from ``path`` (S8)."""
+    return L.train_or_load(path, training_set(data.source_train), data.features, params, valid_col="is_valid")
+
+
+def _start(data, params, source, warm_start: bool = True) -> L.Chain | None:
+    if not warm_start:
+        return None
+    return source if source is not None else source_model(data, params)
+
+
+def baseline(data, params=L.GBTParams(), source=None) -> Result:
     """M5: train on the target domain, test on it."""
-    return _score("baseline", _fit(data.target_train, data, _p(params, cap)), data)
+    return _score("baseline", _fit(data.target_train, data.features, params), data)
 
 
-def direct_transfer(data, params=L.GBTParams(), cap=None) -> Result:
-    """M6: train on the source domain only."""
-    return _score("direct_transfer", _fit(data.source_train, data, _p(params, cap)), data)
+def direct_transfer(data, params=L.GBTParams(), source=None) -> Result:
+    """M6: the source model as it is."""
+    return _score("direct_transfer", _start(data, params, source), data)
 
 
-def fine_tune(data, params=L.GBTParams(), cap=None, learning_rate=1e-3, rounds=2000, warm_start=True,
+def fine_tune(data, params=L.GBTParams(), source=None, learning_rate=1e-3, rounds=2000, warm_start=True,
               method="fine_tune") -> Result:
-    """M7: source model continued on the target (residual chain)."""
-    src = _fit(data.source_train, data, _p(params, cap))
-    ft = L.fine_tune(src, trainset.weighted_set(data.target_train), data.features,
-                     _p(params, cap, step_size=learning_rate, max_iter=rounds), warm_start=warm_start)
-    return _score(method, ft, data)
+    """M7: the source model continued on the target."""
+    p = params.replace(step_size=learning_rate, max_iter=rounds)
+    return _score(method, _fit(data.target_train, data.features, p, _start(data, params, source, warm_start)), data)
 
 
-def adversarial(data, params=L.GBTParams(), cap=None, learning_rate=0.003, rounds=2000) -> Result:
+def adversarial(data, params=L.GBTParams(), source=None, learning_rate=0.003, rounds=2000, warm_start=True) -> Result:
     """As written, a fine-tune with step 0.003 (no discriminator exists)."""
-    return fine_tune(data, params, cap, learning_rate, rounds, method="adversarial")
+    return fine_tune(data, params, source, learning_rate, rounds, warm_start, method="adversarial")
 
 
-def pseudo_label(data, params=L.GBTParams(), cap=None) -> Result:
+def pseudo_label(data, params=L.GBTParams(), source=None) -> Result:
     """M8: source labels + target pseudo-labels from the source model;
     validated on the tail of the training dates, not on the test set."""
-    src = _fit(data.source_train, data, _p(params, cap))
-    tpred = L.predict(src, data.target_train, data.features)
-    union = trainset.time_split(trainset.pseudo_union_a(data.source_train, tpred), "visit_date", 7)
-    model = L.fit(union, data.features, _p(params, cap), valid_col="is_valid")
+    model = L.boost(pseudo_label_set(data, _start(data, params, source)), data.features, params, valid_col="is_valid")
     return _score("pseudo_label", model, data)
 
 
-def pseudo_label_copies(data, params=L.GBTParams(), cap=None) -> Result:
-    """M9: target rows plus copies labelled by the source model, then M2."""
-    src = _fit(data.source_train, data, _p(params, cap))
-    tpred = L.predict(src, data.target_train, data.features)
-    union = trainset.pseudo_union_b(data.target_train, tpred)
-    return _score("pseudo_label_copies", _fit(union, data, _p(params, cap)), data)
+def pseudo_label_set(data, source: L.Chain) -> DataFrame:
+    labelled = source.predict(data.target_train)
+    return trainset.time_split(trainset.pseudo_union_a(data.source_train, labelled), "visit_date", 7)
+
+
+def pseudo_label_copies(data, params=L.GBTParams(), source=None, warm_start=True) -> Result:
+    """M9: target rows plus copies labelled by the source model, then M2, from
+    the source model on."""
+    start = _start(data, params, source)
+    union = trainset.pseudo_union_b(data.target_train, start.predict(data.target_train))
+    return _score("pseudo_label_copies", _fit(union, data.features, params, start if warm_start else None), data)
+
 
+def _both_domains(data) -> tuple[DataFrame, DataFrame]:
+    """Source rows (all for training) and target rows with validation days."""
+    return (data.source_train.withColumn("is_valid", F.lit(False)),
+            trainset.time_split(data.target_train, "visit_date", 7))
 
-def domain_weighted(data, params=L.GBTParams(), cap=None) -> Result:
+
+def domain_weighted(data, params=L.GBTParams(), source=None) -> Result:
     """Source weight 0.5, target 1.0, over the global mean; the target's
     validation days are held out of training."""
-    tgt = trainset.time_split(data.target_train, "visit_date", 7)
-    src = data.source_train.withColumn("is_valid", F.lit(False))
-    both = W.domain_weights(src, tgt)
-    model = L.fit(both, data.features, _p(params, cap), valid_col="is_valid")
+    model = L.boost(W.domain_weights(*_both_domains(data)), data.features, params, valid_col="is_valid")
     return _score("domain_weighted", model, data)
 
 
-def weighted_da(data, params=L.GBTParams(), cap=None, learning_rate=0.005) -> Result:
-    """Per-domain recency weights x 0.3 / 0.7, union, fit."""
-    tgt = trainset.time_split(data.target_train, "visit_date", 7)
-    src = data.source_train.withColumn("is_valid", F.lit(False))
-    both = W.weighted_da_weights(src, tgt)
-    model = L.fit(both, data.features, _p(params, cap, step_size=learning_rate), valid_col="is_valid")
+def weighted_da(data, params=L.GBTParams(), source=None, learning_rate=0.005, rounds=None, warm_start=True) -> Result:
+    """Per-domain recency weights x 0.3 / 0.7, union, from the source model on."""
+    p = params.replace(step_size=learning_rate, max_iter=rounds or params.max_iter)
+    model = L.boost(W.weighted_da_weights(*_both_domains(data)), data.features, p, valid_col="is_valid",
+                    init=_start(data, params, source, warm_start))
     return _score("weighted_da", model, data)
 
 
-def sample_transfer(data, params=L.GBTParams(), cap=None, ratio=0.7, seed=42) -> Result:
-    """A seeded exact 70 % source sample united with the target, then
-    fine-tuned on the target."""
-    sample = sampling.exact_sample(data.source_train, KEY, ratio=ratio, seed=seed)
-    union = sample.unionByName(data.target_train)
-    base = _fit(union, data, _p(params, cap))
-    ft = L.fine_tune(base, trainset.weighted_set(data.target_train), data.features,
-                     _p(params, cap, step_size=1e-3))
-    return _score("sample_transfer", ft, data)
+def sample_union(data, ratio=0.7, seed=42) -> DataFrame:
+    """M11's rows: a seeded exact sample of the source and the target."""
+    return sampling.exact_sample(data.source_train, KEY, ratio=ratio, seed=seed).unionByName(data.target_train)
+
 
+def sample_transfer(data, params=L.GBTParams(), source=None, ratio=0.7, seed=42, learning_rate=0.01, rounds=3000,
+                    warm_start=True) -> Result:
+    """The source model continued on the sample and the target."""
+    p = params.replace(step_size=learning_rate, max_iter=rounds)
+    model = _fit(sample_union(data, ratio, seed), data.features, p, _start(data, params, source, warm_start))
+    return _score("sample_transfer", model, data)
 
-def ensemble(data, params=L.GBTParams(), cap=None, n=3) -> Result:
-    """N models with seeds 2018 + 1000 i, predictions averaged."""
+
+def ensemble(data, params=L.GBTParams(), source=None, n=3, learning_rate=0.003, rounds=2000, warm_start=True) -> Result:
+    """N continuations of the source model on the target, with seeds
+    1000 apart, predictions averaged (A19)."""
+    start = _start(data, params, source, warm_start)
     preds = []
     for i in range(n):
-        m = _fit(data.source_train.unionByName(data.target_train), data, _p(params, cap, seed=2018 + 1000 * i))
-        preds.append(L.predict(m, data.target_test, data.features))
-    avg = report.ensemble_mean(preds, KEY)
-    pred = data.target_test.select(*KEY, "visitors").join(avg, KEY)
+        p = params.replace(step_size=learning_rate, max_iter=rounds, seed=params.seed + 1000 * i)
+        preds.append(_fit(data.target_train, data.features, p, start).predict(data.target_test))
+    pred = data.target_test.select(*KEY, "visitors").join(report.ensemble_mean(preds, KEY), KEY)
     return Result("ensemble", pred, report.rmsle(pred).first()["rmsle"])
 
 
-def super_ensemble_topk(data, params=L.GBTParams(), cap=None, k=30,
-                        phases=((0.01, 500), (0.002, 3000))) -> Result:
-    """Top-k features by F statistic on the source, then a two-phase
-    chain: source fit, then a residual fit on the target."""
+def super_ensemble_topk(data, params=L.GBTParams(), source=None, k=30, phases=((0.01, 500), (0.002, 3000)),
+                        warm_start=True) -> Result:
+    """The k features of the largest F statistic on the source; the source
+    model, then both phases on the target with those features."""
     top = [r["feature"] for r in f_score_topk(data.source_train, data.features, "visitors", k).collect()]
-    sub = trainset.DomainData(data.source_train, data.target_train, data.source_test, data.target_test, top)
-    (lr1, r1), (lr2, r2) = phases
-    first = _fit(sub.source_train, sub, _p(params, cap, step_size=lr1, max_iter=r1))
-    chain = L.fine_tune(first, trainset.weighted_set(sub.target_train), top, _p(params, cap, step_size=lr2, max_iter=r2))
-    return _score("super_ensemble_topk", chain, sub, {"features": top})
-
-
-def super_ensemble_aligned(data, params=L.GBTParams(), cap=None, n_clusters=20, selection_ratio=0.7,
-                           top_ratio=0.1, phases=((0.01, 500), (0.002, 3000))) -> Result:
-    """Sample selection (D8) -> partial CORAL (D3) -> union with the
-    target -> two phases, with the RMSLE after each stage (M17 input)."""
-    sel = align.sample_selection(data.source_train, data.target_train, data.features, KEY, n_clusters, selection_ratio)
-    aligned, chosen = align.partial_coral(sel, data.target_train, data.features, "visitors", top_ratio)
-    union = aligned.unionByName(data.target_train)
-    (lr1, r1), (lr2, r2) = phases
-    first = _fit(union, data, _p(params, cap, step_size=lr1, max_iter=r1))
-    s1 = _score("stage1", first, data).rmsle
-    chain = L.fine_tune(first, trainset.weighted_set(data.target_train), data.features,
-                        _p(params, cap, step_size=lr2, max_iter=r2))
-    res = _score("super_ensemble_aligned", chain, data)
-    res.extra = {"stages": [(1, "union_fit", s1), (2, "target_fine_tune", res.rmsle)], "aligned": chosen}
-    return res
+    model = _start(data, params, source, warm_start)
+    for rate, rounds in phases:
+        model = _fit(data.target_train, top, params.replace(step_size=rate, max_iter=rounds), model)
+    return _score("super_ensemble_topk", model, data, {"features": top})
+
+
+def super_ensemble_aligned(data, params=L.GBTParams(), source=None, n_clusters=20, selection_ratio=0.7,
+                           top_ratio=0.1, phases=((0.01, 500), (0.002, 3000)), warm_start=True) -> Result:
+    """Sample selection (D8), partial CORAL (D3), union with the target,
+    both phases on it, all from the source model on.  ``extra['stages']`` has
+    the RMSLE of the six stages (M17 input)."""
+    start = _start(data, params, source, warm_start)
+    stages = [("initial", _score("initial", _fit(data.target_train, data.features, params), data).rmsle)]
+    chosen = align.sample_selection(data.source_train, data.target_train, data.features, KEY, n_clusters, selection_ratio)
+    aligned, names = align.partial_coral(chosen, data.target_train, data.features, "visitors", top_ratio)
+    union = data.target_train.unionByName(aligned)
+    for name, rows in (("selection", data.target_train.unionByName(chosen)), ("alignment", union)):
+        stages.append((name, _score(name, _fit(rows, data.features, params, start), data).rmsle))
+    stages.append(("augmentation", stages[-1][1]))       # the augmented set is the aligned union
+    model = start
+    for (rate, rounds), name in zip(phases, ("phase_1", "final")):
+        model = _fit(union, data.features, params.replace(step_size=rate, max_iter=rounds), model)
+        stages.append((name, _score(name, model, data).rmsle))
+    result = _score("super_ensemble_aligned", model, data)
+    result.extra = {"stages": [(i, name, v) for i, (name, v) in enumerate(stages, 1)], "aligned": names}
+    return result
 
 
 CORAL_STRATEGIES = {
@@ -171,27 +194,49 @@ CORAL_STRATEGIES = {
 }
 
 
-def coral_comparison(data, params=L.GBTParams(), cap=None, strategies=tuple(CORAL_STRATEGIES)) -> dict[str, float | None]:
-    """Align the source with each strategy, train on it, score on the target."""
-    out = {}
-    for name in strategies:
+def isolated(runs: dict[str, Callable[[], float]]) -> tuple[dict[str, float | None], dict[str, str]]:
+    """Scores and status of named runs; a run that fails is logged and scored
+    as missing, the others go on."""
+    scores, status = {}, {}
+    for name, one in runs.items():
         try:
-            aligned, _ = CORAL_STRATEGIES[name](data.source_train, data.target_train, data.features)
-            m = _fit(aligned, data, _p(params, cap))
-            out[f"coral_{name}"] = _score(name, m, data).rmsle
-        except Exception as e:  # failure isolation: logged, scored as missing
-            log.warning("strategy %s failed: %s", name, e)
-            out[f"coral_{name}"] = None
-    return out
+            scores[name], status[name] = one(), "ok"
+        except Exception as e:
+            log.warning("run %s failed: %s", name, e)
+            scores[name], status[name] = None, f"failed: {type(e).__name__}"
+    return scores, status
+
+
+def coral_comparison(data, params=L.GBTParams(), strategies=tuple(CORAL_STRATEGIES)):
+    """Align the source with each strategy, train on it, score on the target."""
+    def one(name):
+        aligned, _ = CORAL_STRATEGIES[name](data.source_train, data.target_train, data.features)
+        return _score(name, _fit(aligned, data.features, params), data).rmsle
+
+    return isolated({f"coral_{name}": (lambda name=name: one(name)) for name in strategies})
+
+
+def param_grid(data, params=L.GBTParams(), source=None, learning_rates=(1e-3, 3e-3), rounds=(500, 2000)):
+    """Fine-tune over a learning-rate x rounds grid, one source model."""
+    start = _start(data, params, source)
+    return isolated({f"fine_tune_lr{lr}_r{r}": (lambda lr=lr, r=r: fine_tune(data, params, start, lr, r).rmsle)
+                     for lr in learning_rates for r in rounds})
 
 
-def param_grid(data, params=L.GBTParams(), cap=None, learning_rates=(1e-3, 3e-3), rounds=(500, 2000)) -> dict[str, float | None]:
-    """Fine-tune over a learning-rate x rounds grid."""
-    out = {}
-    for lr in learning_rates:
-        for r in rounds:
-            out[f"fine_tune_lr{lr}_r{r}"] = fine_tune(data, params, cap, lr, r).rmsle
-    return out
+def super_ensemble_grid(data, params=L.GBTParams(), source=None, ks=(10, 30, 50, 100),
+                        rates=((0.01, 0.002), (0.05, 0.005)), rounds=(500, 3000)):
+    """Top-k x phase step sizes, one source model."""
+    start = _start(data, params, source)
+    return isolated({
+        f"topk_{k}_lr1_{a}_lr2_{b}": (lambda k=k, a=a, b=b: super_ensemble_topk(
+            data, params, start, k, ((a, rounds[0]), (b, rounds[1]))).rmsle) for k in ks for a, b in rates})
+
+
+def ratio_grid(data, params=L.GBTParams(), source=None, ratios=(0.1, 0.2, 0.3, 0.5), phases=((0.01, 500), (0.002, 3000))):
+    """The top int(n * ratio) features."""
+    start = _start(data, params, source)
+    ks = [int(len(data.features) * r) for r in ratios]
+    return isolated({f"top_{k}": (lambda k=k: super_ensemble_topk(data, params, start, k, phases).rmsle) for k in ks})
 
 
 METHODS = {
@@ -203,14 +248,9 @@ METHODS = {
 }
 
 
-def run_all(data, params=L.GBTParams(), cap=None, methods=tuple(METHODS)):
-    """Every method with failure isolation -> (scores dict, status dict)."""
-    scores, status = {}, {}
-    for name in methods:
-        try:
-            scores[name] = METHODS[name](data, params, cap).rmsle
-            status[name] = "ok"
-        except Exception as e:
-            log.warning("method %s failed: %s", name, e)
-            scores[name], status[name] = None, f"failed: {type(e).__name__}"
-    return scores, status
+def run_all(data, params=L.GBTParams(), source=None, options: dict[str, dict] | None = None):
+    """Every method on one source model -> (scores, status).  ``options``
+    holds keyword arguments per method."""
+    start = _start(data, params, source)
+    return isolated({name: (lambda name=name: METHODS[name](data, params, start, **(options or {}).get(name, {})).rmsle)
+                     for name in METHODS})

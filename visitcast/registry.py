@@ -9,6 +9,7 @@ is written separately, by hand.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +26,23 @@ from .plans import recipes as RC
 from .plans import report, trainset
 from .plans import reservations as R
 from .operators.windows import explode_origins
-from .session import apply_conf, ensure_checkpoint_dir
+from .session import apply_conf, ensure_checkpoint_dir, reliable_checkpoint
 from .sources import io, tables
 
 TEST_BEGIN = tables.TEST_BEGIN
 CUTOFF = TEST_BEGIN - dt.timedelta(days=1)
 # Columns used as plain numeric features by the domain-statistics checks.
 DV_FEATURES = ["weekday", "day", "days_to_side", "holiday_flg", "holiday", "genre", "area"]
-# Learner checks: few small trees (the cost knob; the recipe logic is unchanged).
-CHECK_PARAMS = L.GBTParams(max_depth=4, min_leaf=20, max_bins=32)
-CHECK_CAP = 4
+# The registered learner runs: small trees, large steps, few rounds.  These are
+# the parameters of the runs, passed to every recipe as they stand.
+PARAMS = L.GBTParams(max_depth=4, min_leaf=20, step_size=0.3, max_iter=6, patience=3)
+PHASES = ((0.2, 4), (0.1, 3))
+OPTIONS = {
+    "fine_tune": dict(learning_rate=0.1, rounds=5), "adversarial": dict(learning_rate=0.2, rounds=5),
+    "weighted_da": dict(learning_rate=0.2, rounds=5), "sample_transfer": dict(learning_rate=0.2, rounds=5),
+    "ensemble": dict(learning_rate=0.1, rounds=3), "super_ensemble_topk": dict(phases=PHASES),
+    "super_ensemble_aligned": dict(phases=PHASES),
+}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -93,6 +101,14 @@ def domain_data(spark, sf) -> trainset.DomainData:
     return trainset.domain_frames(checked_feature_table(spark, sf), tables.relation(spark, sf))
 
 
+def learner_source(spark, sf):
+    """The source model of the registered runs: fitted once per session and
+    folder, stored in the shared folder, loaded by every other query (S8)."""
+    name = hashlib.sha256(f"{sf}|{PARAMS}".encode()).hexdigest()[:16]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/visitcast-source-{name}"
+    return RC.source_model(domain_data(spark, sf), PARAMS, path)
+
+
 def formula_predictions(spark, sf) -> DataFrame:
     """Test rows (visits from TEST_BEGIN on) with formula predictions from
     the training visits: global mean, store mean, weekday mean, store x
@@ -227,7 +243,8 @@ def q_label_slices(spark, sf):
 
 def q_history_slices(spark, sf):
     job = _job(spark, sf)
-    h = job.hist.groupBy("origin").agg(
+    past = job.base.where(F.col("visit_date") < F.lit(TEST_BEGIN))
+    h = explode_origins(past, "visit_date", job.origins).groupBy("origin").agg(
         F.count(F.lit(1)).alias("n_history"),
         F.count(F.when(F.col("day_gap") >= -tables.HISTORY_DAYS, 1)).alias("n_history_420"))
     b = explode_origins(consolidated(spark, sf), "reserve_dt", job.origins, lookback=max(R.RESERVE_WINDOWS),
@@ -414,9 +431,14 @@ def q_feature_sink_roundtrip(spark, sf):
     path = _scratch(spark, "features")
     ft = checked_feature_table(spark, sf)
     io.write_feature_tables(ft, tables.relation(spark, sf), path, TEST_BEGIN)
-    again = io.materialize(ft, path)          # finished copy exists: not rewritten
-    assert again.count() == ft.count()
-    return io.load_feature_tables(spark, path)["target_train"]
+    io.materialize(ft, path)                  # finished copy exists: not rewritten
+    parts = io.load_feature_tables(spark, path)
+    out = None
+    for name, part in parts.items():
+        domain, split = name.split("_")
+        part = part.withColumn("domain", F.lit(domain)).withColumn("split", F.lit(split))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def q_required_columns(spark, sf):
@@ -434,8 +456,14 @@ def q_adaptive_coral(spark, sf):
 
 
 def q_param_grid(spark, sf):
-    scores = RC.param_grid(domain_data(spark, sf), CHECK_PARAMS, CHECK_CAP)
-    return report.leaderboard(report.scores_frame(spark, scores))
+    scores, status = RC.param_grid(domain_data(spark, sf), PARAMS, learner_source(spark, sf), (0.05, 0.2), (2, 5))
+    return report.leaderboard(report.scores_frame(spark, scores, status))
+
+
+def q_super_ensemble_grid(spark, sf):
+    scores, status = RC.super_ensemble_grid(domain_data(spark, sf), PARAMS, learner_source(spark, sf), (10, 30),
+                                            ((0.1, 0.05), (0.3, 0.1)), (2, 2))
+    return report.leaderboard(report.scores_frame(spark, scores, status))
 
 
 def q_exact_sample(spark, sf):
@@ -485,27 +513,98 @@ def q_sample_per_group_sizes(spark, sf):
 
 def _recipe_q(name):
     def q(spark, sf):
-        res = RC.METHODS[name](domain_data(spark, sf), CHECK_PARAMS, CHECK_CAP)
-        return res.predictions
+        """Keys and labels of the scored rows, and whether each has a prediction."""
+        res = RC.METHODS[name](domain_data(spark, sf), PARAMS, learner_source(spark, sf), **OPTIONS.get(name, {}))
+        return res.predictions.select(*RC.KEY, "visitors", (F.col("prediction").isNotNull() & ~F.isnan("prediction")
+                                                            & (F.col("prediction") > 0)).alias("predicted"))
     return q
 
 
+def q_super_ensemble_stages(spark, sf):
+    """M16 into M17: the RMSLE of the six stages and their gains."""
+    res = RC.super_ensemble_aligned(domain_data(spark, sf), PARAMS, learner_source(spark, sf), phases=PHASES)
+    return report.stage_gains(spark.createDataFrame(res.extra["stages"], "stage int, name string, rmsle double"))
+
+
+def q_training_sets(spark, sf):
+    """Rows and weight sums per domain and part of the recipes' training sets."""
+    data = domain_data(spark, sf)
+    src = data.source_train.withColumn("is_valid", F.lit(False))
+    tgt = trainset.time_split(data.target_train, "visit_date", 7)
+    tgt_ids = tables.relation(spark, sf).select(F.col("source_id").alias("store_id")).distinct() \
+        .withColumn("domain", F.lit("target"))
+    keep = ["store_id", "is_valid", "weight"]
+
+    def by_part(name, df):
+        df = df.select(*keep).join(tgt_ids, "store_id", "left").fillna("source", ["domain"])
+        return df.groupBy("domain", "is_valid").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("weight").alias("weight_sum")) \
+            .withColumn("recipe", F.lit(name))
+
+    sets = {
+        "baseline": RC.training_set(data.target_train), "direct_transfer": RC.training_set(data.source_train),
+        "domain_weighted": W.domain_weights(src, tgt), "weighted_da": W.weighted_da_weights(src, tgt),
+    }
+    out = None
+    for name, df in sets.items():
+        part = by_part(name, df)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _planted(spark, sf):
+    """Training rows whose label is a formula of the row's own columns."""
+    data = domain_data(spark, sf)
+    label = F.col("weekday") * 0.5 + F.when(F.col("genre") % 2 == 0, 2.0).otherwise(0.0)
+    return RC.training_set(data.target_train).withColumn("visitors", label)
+
+
+def q_learner_trees(spark, sf):
+    """M3 on a planted signal: several rounds survive, the error on the
+    validation days falls, and a step a hundred times smaller moves less."""
+    rows = reliable_checkpoint(_planted(spark, sf).select("weekday", "genre", "visitors", "weight", "is_valid"))
+    features = ["weekday", "genre"]
+    fast = L.boost(rows, features, PARAMS, valid_col="is_valid")
+    slow = L.boost(rows, features, PARAMS.replace(step_size=PARAMS.step_size / 100), valid_col="is_valid")
+    valid = rows.where("is_valid")
+
+    def error(chain):
+        return report.rmsle(chain.predict(valid)).first()["rmsle"]
+
+    start = error(L.Chain(fast.start))
+    checks = [(len(fast.parts) == 1 and fast.rounds[0] == PARAMS.max_iter, error(fast) < 0.5 * start,
+               error(fast) < error(slow) < start)]
+    return spark.createDataFrame(checks, "all_rounds_kept boolean, error_halved boolean, step_size_acts boolean")
+
+
+def q_recipe_beats_mean(spark, sf):
+    """M5 and M7 on a planted signal against the mean of the training rows."""
+    data = domain_data(spark, sf)
+    label = F.col("weekday") * 0.5 + F.when(F.col("genre") % 2 == 0, 2.0).otherwise(0.0)
+    parts = [reliable_checkpoint(d.withColumn("visitors", label).select(*RC.KEY, "day_gap", "weekday", "genre", "visitors"))
+             for d in (data.source_train, data.target_train, data.source_test, data.target_test)]
+    planted = trainset.DomainData(*parts, ["weekday", "genre"])
+    source = RC.source_model(planted, PARAMS)
+    mean = planted.target_train.agg(F.avg("visitors")).first()[0]
+    base = report.rmsle(planted.target_test.withColumn("prediction", F.lit(mean))).first()["rmsle"]
+    tuned = RC.fine_tune(planted, PARAMS, source, 0.1, 3).rmsle
+    rows = [("baseline", RC.baseline(planted, PARAMS).rmsle < base), ("direct_transfer", RC.direct_transfer(planted, PARAMS, source).rmsle < base),
+            ("fine_tune", tuned < base)]
+    return spark.createDataFrame(rows, "method string, beats_mean boolean")
+
+
 def q_feature_importance(spark, sf):
     data = domain_data(spark, sf)
-    model = RC._fit(data.target_train, data, RC._p(CHECK_PARAMS, CHECK_CAP))
+    model = RC.baseline(data, PARAMS).model.parts[-1].model
     return report.feature_importance(spark, model, data.features, 20)
 
 
 def q_coral_comparison(spark, sf):
-    data = domain_data(spark, sf)
-    few = trainset.DomainData(data.source_train, data.target_train, data.source_test, data.target_test,
-                              data.features[:40])
-    return report.leaderboard(report.scores_frame(spark, RC.coral_comparison(few, CHECK_PARAMS, CHECK_CAP)))
+    scores, status = RC.coral_comparison(domain_data(spark, sf), PARAMS.replace(max_iter=3))
+    return report.leaderboard(report.scores_frame(spark, scores, status))
 
 
 def q_run_all(spark, sf):
-    scores, status = RC.run_all(domain_data(spark, sf), CHECK_PARAMS, CHECK_CAP,
-                                methods=("baseline", "direct_transfer", "fine_tune", "domain_weighted"))
+    scores, status = RC.run_all(domain_data(spark, sf), PARAMS, learner_source(spark, sf), OPTIONS)
     return report.leaderboard(report.scores_frame(spark, scores, status))
 
 
@@ -573,6 +672,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_importance": q_feature_importance,
     "coral_comparison": q_coral_comparison,
     "run_all": q_run_all,
+    "super_ensemble_grid": q_super_ensemble_grid,
+    "super_ensemble_stages": q_super_ensemble_stages,
+    "training_sets": q_training_sets,
+    "learner_trees": q_learner_trees,
+    "recipe_beats_mean": q_recipe_beats_mean,
 }
 
 

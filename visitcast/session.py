@@ -42,28 +42,26 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "visitc
 
 
 def apply_conf(spark: SparkSession) -> SparkSession:
-    """Apply the recommended runtime SQL settings to an existing session."""
+    """Give an existing session the recommended runtime SQL settings it has not
+    set itself (the partition keeping of joins is needed by the plans)."""
     for k, v in RECOMMENDED_CONF.items():
-        try:
+        if not spark.sparkContext.getConf().contains(k):
             spark.conf.set(k, v)
-        except Exception:  # static or locked settings stay as the cluster set them
-            pass
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """The shared checkpoint folder in use.
 
-    The cluster's ``spark.checkpoint.dir`` wins; a private folder is made
-    only when none is configured (local tests).
+    A folder that is already set on the context wins, then the one the cluster
+    names in ``spark.checkpoint.dir``.  Only where neither is set, as in local
+    tests, a private folder is made.
     """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="visitcast-ckpt-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
+        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="visitcast-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 @contextmanager
