@@ -29,7 +29,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 CORPUS_BYTES = 4 << 20
 
 
