@@ -28,6 +28,11 @@ SUFFIX = {s: s for s in STATS}
 SUFFIX["kermed"] = "mean"
 
 
+# Value ranges of the rank statistics: a group that holds a large share of all
+# rows is ranked in so many tasks (None: one task per group).
+SPLIT_RANGES = 64
+
+
 def stat_expr(fn: str, value: str, q: float | None = None) -> Column:
     v = F.col(value)
     if fn == "count":
@@ -65,7 +70,7 @@ def _not_null(keys) -> Column:
 
 
 def grouped(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: float | None = None,
-            split_ranges: int | None = None) -> DataFrame:
+            split_ranges: int | None = SPLIT_RANGES) -> DataFrame:
     """One statistic per non-null key group (pandas drops null keys)."""
     keys = list(keys)
     if fn in ("kermed", "median", "quantile"):
@@ -77,17 +82,17 @@ def grouped(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: fl
 
 
 def merge_agg(df: DataFrame, keys: list[str], value: str, fn: str, cname: str, q: float | None = None,
-              split_ranges: int | None = None) -> DataFrame:
+              split_ranges: int | None = SPLIT_RANGES) -> DataFrame:
     """A1-A9 ``merge_*``: aggregate ``df`` and join the statistic back to it.
-    ``split_ranges`` splits hot groups for the rank statistics."""
+    ``split_ranges`` value ranges split hot groups of the rank statistics."""
     return df.join(grouped(df, keys, value, fn, cname, q, split_ranges), on=list(keys), how="left")
 
 
 def feat_agg(df: DataFrame, df_feature: DataFrame, keys: list[str], value: str, fn: str,
              name: str = "", q: float | None = None, fill_all: bool = True,
-             split_ranges: int | None = None) -> DataFrame:
+             split_ranges: int | None = SPLIT_RANGES) -> DataFrame:
     """A1-A11 ``feat_*``: aggregate ``df_feature``, left-join to ``df``, fill 0.
-    ``split_ranges`` splits hot groups for the rank statistics."""
+    ``split_ranges`` value ranges split hot groups of the rank statistics."""
     keys = list(keys)
     out = name or f"{value}_{'_'.join(keys)}_{SUFFIX[fn]}"
     res = df.join(grouped(df_feature, keys, value, fn, out, q, split_ranges), on=keys, how="left")
@@ -143,7 +148,7 @@ def feat_quantile(df, df_feature, fe, value, n, name=""):
 # ---------------------------------------------------------------------------
 
 def rank_statistic(df: DataFrame, keys: list[str], value: str, fn: str, out: str, q: float | None = None,
-                   split_ranges: int | None = None) -> DataFrame:
+                   split_ranges: int | None = SPLIT_RANGES) -> DataFrame:
     """kermed, median or q-quantile per non-null key group, exact."""
     from .windows import membership_stats, value_cuts
     if fn == "quantile" and q is None:
@@ -154,7 +159,7 @@ def rank_statistic(df: DataFrame, keys: list[str], value: str, fn: str, out: str
 
 
 def kernel_median(df: DataFrame, keys: list[str], value: str, out: str = "kermed",
-                  split_ranges: int | None = None) -> DataFrame:
+                  split_ranges: int | None = SPLIT_RANGES) -> DataFrame:
     """Exact kernel median of ``value`` per non-null key group.
 
     n = 1: x; n = 2: the mean; n >= 3: Epanechnikov weights on the ranks,

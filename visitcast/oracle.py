@@ -385,8 +385,8 @@ SELECT origin, store_id, visit_date, 'target' AS domain, {r6('visitors')} AS vis
     q["top_ratio_features"] = with_prelude(sim_ctes(), body="""SELECT feature FROM sim
 WHERE similarity IS NOT NULL AND NOT isnan(similarity)
 QUALIFY row_number() OVER (ORDER BY similarity DESC, feature) <= (SELECT floor(count(*) * 0.5) FROM sim)""")
-    q["threshold_features"] = with_prelude(sim_ctes(), body="""SELECT feature FROM sim WHERE similarity > 0.95
-UNION ALL SELECT feature FROM sim WHERE NOT EXISTS (SELECT 1 FROM sim WHERE similarity > 0.95)""")
+    q["threshold_features"] = with_prelude(sim_ctes(), body="""SELECT feature FROM sim WHERE similarity > 0.996
+UNION ALL SELECT feature FROM sim WHERE NOT EXISTS (SELECT 1 FROM sim WHERE similarity > 0.996)""")
     fs = " UNION ALL ".join(
         f"SELECT '{f}' AS feature, corr({f}, visitors) AS r, count(*) FILTER (WHERE {f} IS NOT NULL AND visitors IS NOT NULL) AS n "
         f"FROM v_dec WHERE domain = 'source'" for f in DV)
@@ -465,6 +465,14 @@ FROM v_labels WHERE origin = DATE '2001-10-01' AND store_id IN (SELECT source_id
         f"UNION ALL SELECT 'weighted_da', domain, tv, {gap} / avg({gap}) OVER (PARTITION BY domain) "
         "* CASE domain WHEN 'source' THEN 0.3 ELSE 0.7 END FROM v)",
         body=f"SELECT recipe, domain, is_valid, count(*) AS n_rows, {r6('sum(w)')} AS weight_sum FROM w GROUP BY ALL")
+    q["json_report"] = q["leaderboard"]
+    src = "(SELECT * FROM v_dec WHERE visit_date < DATE '2001-10-01')"
+    for fn, g in (("median", f"(SELECT weekday, {AGG['median']} AS a FROM {src} GROUP BY weekday)"),
+                  ("kermed", f"(SELECT weekday, km AS a FROM ({kermed(src, ['weekday'], 'visitors')}))")):
+        q[f"feat_{fn}_weekday"] = with_prelude(body=f"""SELECT t.store_id, t.visit_date, t.weekday,
+  {r6('coalesce(g.a, 0)')} AS visitors_weekday_{SUFFIX.get(fn, fn)}
+FROM (SELECT store_id, visit_date, weekday FROM v_dec WHERE visit_date >= DATE '2001-10-01') t
+LEFT JOIN {g} g ON t.weekday = g.weekday""")
     q["csv_roundtrip"] = with_prelude(body="SELECT visit_date, holiday_flg, holiday FROM v_calfacts")
     q["split_summary"] = with_prelude(
         "tt AS (SELECT * FROM v_dec WHERE domain = 'target' AND visit_date < DATE '2001-10-01')",

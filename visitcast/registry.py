@@ -214,6 +214,14 @@ def _feat_q(fn):
     return q
 
 
+def _hot_feat_q(fn):
+    def q(spark, sf):
+        """A3 / A11 on the weekday alone: seven groups hold all rows."""
+        df, feat = _feat_inputs(spark, sf)
+        return A.feat_agg(df, feat, ["weekday"], "visitors", fn)
+    return q
+
+
 def q_encode_onehot(spark, sf):
     return encoders.encode_onehot(tables.store(spark, sf), "genre")
 
@@ -337,7 +345,7 @@ def q_top_ratio_features(spark, sf):
 
 def q_threshold_features(spark, sf):
     s, t = _dv_domains(spark, sf)
-    chosen = selection.threshold_features(selection.feature_similarity(s, t, DV_FEATURES, "visitors"), 0.95)
+    chosen = selection.threshold_features(selection.feature_similarity(s, t, DV_FEATURES, "visitors"), 0.996)
     return spark.createDataFrame([(f,) for f in chosen], "feature string")
 
 
@@ -416,6 +424,13 @@ def q_csv_roundtrip(spark, sf):
     return FP.calendar_facts(back)
 
 
+def q_json_report(spark, sf):
+    """The leaderboard as a JSON report, written and read again."""
+    path = _scratch(spark, "report")
+    io.write_json(q_leaderboard(spark, sf), path)
+    return spark.read.schema("method string, rmsle double, rank int, is_best boolean").json(path)
+
+
 def q_split_summary(spark, sf):
     """Rows, distinct dates and date range per part of the K1 split."""
     sp = selection.time_split(_target_train_visits(spark, sf), "visit_date", 7)
@@ -622,6 +637,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"merge_{fn}": _merge_q(fn) for fn in ("count", "nunique", "median", "mean", "sum", "max", "min", "std", "var")},
     **{f"feat_{fn}": _feat_q(fn) for fn in ("count", "nunique", "median", "mean", "sum", "max", "min", "std", "var",
                                             "quantile", "kermed")},
+    "feat_median_weekday": _hot_feat_q("median"),
+    "feat_kermed_weekday": _hot_feat_q("kermed"),
     "encode_onehot": q_encode_onehot,
     "encode_label": q_encode_label,
     "encode_joint": q_encode_joint,
@@ -654,6 +671,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ensemble_mean": q_ensemble_mean,
     "stage_gains": q_stage_gains,
     "csv_roundtrip": q_csv_roundtrip,
+    "json_report": q_json_report,
     "split_summary": q_split_summary,
     "feature_sink_roundtrip": q_feature_sink_roundtrip,
     "required_columns": q_required_columns,
