@@ -6,7 +6,7 @@ merges on all of them together: an inverted index from merge rank to the word
 positions where that pair stands, emptied in rank order, where each merge
 touches only the two neighbours of the merged pair.  Words are then looked up
 to give the ids of every text.  No shuffle, no group, memory bounded by the
-batch plus ``memo_words`` remembered words.
+batch plus ``memo_words`` words remembered within the task.
 
 The rank of a pair is the rank of its joined bytes.  A merge can create a
 pair of lower rank than the one being replayed (the vocabulary allows several
@@ -29,7 +29,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 500_000
+from .common import tidy
+
+MEMO_WORDS = 400_000
 CORPUS_BYTES = 4 << 20
 
 
@@ -55,8 +57,12 @@ class Codec:
         self.width = max(self.tokens) + 1
         self.pairs = {ranks[t[:k]] * self.width + ranks[t[k:]]: r for t, r in ranks.items()
                       for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo: dict[str, bytes]
+        self.older: dict[str, bytes]
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo, self.older = {}, {}
 
     def replay(self, words: list[bytes]) -> tuple[bytes, list[int]]:
         """Ids of all words (packed, end to end) and where each word's ids end.
@@ -198,6 +204,7 @@ def _code(docs, vocabulary, id_col, text_col, memo_words, corpus_bytes, digests)
         import pyarrow.compute as pc
 
         codec = _codec(vocabulary)
+        codec.forget()                                  # words are remembered for a task only
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             sizes, i = pc.binary_length(texts).to_pylist(), 0
@@ -216,10 +223,11 @@ def _code(docs, vocabulary, id_col, text_col, memo_words, corpus_bytes, digests)
                     cols, names = [pa.array(coded, pa.binary())], ["doc_id", "ids"]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *cols], names=names)
                 i = j
+        codec.forget()
 
     schema = f"doc_id {id_type}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests
                                       else "ids binary")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def decode(coded: DataFrame, vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -235,7 +243,7 @@ def decode(coded: DataFrame, vocabulary, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
     return coded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")) \
-        .mapInArrow(run, f"doc_id {id_type}, data binary")
+        .mapInArrow(tidy(run), f"doc_id {id_type}, data binary")
 
 
 def public_vocabulary(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken"):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in WORD_BREAKS]] = True
@@ -34,6 +34,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back_memory() -> None:
+    """Hand freed memory back to the system: Python workers and the driver live
+    on after a task or a fit, and the C library keeps what it once got."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """An Arrow task function that gives back its memory at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return wrapped
+
+
 def held_out(id_col: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0 (null id: false)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -41,13 +41,3 @@ def rows_of(lists) -> list:
     column = lists.combine_chunks()
     flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
     return [flat[a:b] for a, b in zip(at, at[1:])]
-
-
-def free_sample() -> None:
-    """Hand the driver's memory of a finished sample back."""
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, lower_ascii, span_hashes, table, text_blocks, word_spans
+from .common import ALNUM, lower_ascii, span_hashes, table, text_blocks, tidy, word_spans
 
 REACH = 2
 CLASS_SIZE = 64
@@ -66,7 +66,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 n = np.bincount(where, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -245,7 +245,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS, mask_rate: float = MASK_RATE,
                      *(pa.array(out[:, k]) for k in range(DIM + 1))],
                     names=["row", "seen", *(f"w{k}" for k in range(DIM + 1))])
 
-        sent = texts.mapInArrow(run, f"row int, seen long, {shape}")
+        sent = texts.mapInArrow(tidy(run), f"row int, seen long, {shape}")
         mean = sent.groupBy("row").agg(*[
             (F.sum(F.col(f"w{k}").cast("double") * F.col("seen")) / F.sum("seen")).alias(f"w{k}")
             for k in range(DIM + 1)]).toArrow()
@@ -277,7 +277,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
                      pa.array(total)], names=["doc_id", "n_words", "log_prob"])
 
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, f"doc_id {id_type}, n_words long, log_prob double")
+        .mapInArrow(tidy(run), f"doc_id {id_type}, n_words long, log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 

@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, held_out, lower_ascii, span_hashes, table, text_blocks, word_spans
-from .labelled import free_sample, learnable, prior_shift, rows_of, training_sample
+from .common import ALNUM, give_back_memory, held_out, lower_ascii, span_hashes, table, text_blocks, tidy, word_spans
+from .labelled import learnable, prior_shift, rows_of, training_sample
 
 WORD_BITS = 14
 RANK = 8
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                      pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.astype(np.float32)))],
                     names=["y", "features", "values"])
 
-    got = rows.mapInArrow(run, "y int, features array<int>, values array<float>").orderBy(F.xxhash64("features"), "y") \
+    got = rows.mapInArrow(tidy(run), "y int, features array<int>, values array<float>").orderBy(F.xxhash64("features"), "y") \
         .toArrow()
     y = got.column("y").to_numpy().astype(float)
     n = (int((y == 0).sum()), int((y == 1).sum()))
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     model = fit(entries, y)
     model.bias += prior_shift(n, totals)
     del got, entries
-    free_sample()
+    give_back_memory()
     return model
 
 
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
                                                  names=["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, f"doc_id {id_type}, score double")
+        .mapInArrow(tidy(run), f"doc_id {id_type}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_column
+from .common import checkpointed, table, text_column, tidy
 from .components import connected_components
 
 SHINGLE = 3
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, f"doc_id {id_type}, fp long")
+        .mapInArrow(tidy(run), f"doc_id {id_type}, fp long")
 
 
 def _fields(value: Column, width: int) -> list[Column]:
@@ -202,7 +202,7 @@ def _node_links(filed: DataFrame, keys: list[str], id_type: str, radius: int) ->
     n = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (filed.select(*keys, "rest", "rep").repartition(n, *keys)
             .sortWithinPartitions(*keys, gray_rank(F.col("rest"), 32))
-            .mapInArrow(_search(keys, radius), f"a {id_type}, b {id_type}"))
+            .mapInArrow(tidy(_search(keys, radius)), f"a {id_type}, b {id_type}"))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, node_limit: int = NODE_LIMIT) -> DataFrame:

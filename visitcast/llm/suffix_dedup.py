@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OTHER_POWERS, checkpointed, mix, span_hasher, table, text_blocks, text_column
+from .common import OTHER_POWERS, checkpointed, give_back_memory, mix, span_hasher, table, text_blocks, text_column, tidy
 
 THRESHOLD = 50
 STEPS = (20, 40)                          # bytes ranked by before the threshold
@@ -218,7 +218,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def _step(texts: DataFrame, opened: DataFrame | None, threshold: int, start: int, hot_rows: int) -> DataFrame:
     """Rank by ``start`` bytes; per document the spans to remove and the open ones."""
     rows = texts if opened is None else texts.join(opened, "doc_id").select("doc_id", "text", "opened")
-    rows = rows.mapInArrow(_runs(threshold, start, hot_rows, opened is not None),
+    rows = rows.mapInArrow(tidy(_runs(threshold, start, hot_rows, opened is not None)),
                            "rank long, run long, doc_id long, at long").repartition("rank")
     kind = F.shiftright("at", KIND_SHIFT)
     rows = rows.withColumn("alone", kind.isin(DECIDED, LONE))
@@ -281,7 +281,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined, name = _with_spans(bare, "doc_id", "text", threshold, options)
-    return joined.select("doc_id", "text", name).mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", name).mapInArrow(tidy(run), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
@@ -298,6 +298,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 data = np.frombuffer(t.encode(), np.uint8)
                 t = data[~lost_bytes(len(data), np.asarray(s, np.int64), threshold)].tobytes().decode(errors="ignore")
             out.append(t)
+        give_back_memory()
         return pd.Series(out, dtype=object)
 
     cut = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.col(name)))
