@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, mlm_score, oracles, quality_fm, quality_rules, simhash_dedup, suffix_dedup, toxicity_cnn, url_templates
+from . import (bpe, decontaminate, html_text, mlm_score, oracles, quality_fm, quality_rules, simhash_dedup, suffix_dedup,
+               toxicity_cnn, url_templates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
