@@ -53,9 +53,63 @@ FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+# Rules in the order in which they win; templates of at most four segments and
+# a tail.
+URL_RULES = (("block", "example.com", "/de/"), ("allow", "example.net", "/en/"), ("allow", "org", "/fr/"), ("block", "net", "/"))
+URL_DEPTH = 4
+
+
+def url_sql() -> str:
+    """The URL filter: the levels of the template tree one after the other."""
+    def case(value):
+        whens = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{value(a, h, p)}'"
+                         for a, h, p in URL_RULES)
+        return f"CASE {whens} END"
+
+    ctes = [f"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)""",
+            f"""r AS (SELECT *, {case(lambda a, h, p: h + p)} AS rule, {case(lambda a, h, p: a)} AS action,
+  list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+                 lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS parts FROM u)""",
+            f"""rows AS (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {URL_DEPTH}
+  THEN list_concat(parts[1:{URL_DEPTH}], ['**']) ELSE parts END AS segs FROM r)""",
+            """o0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (WHERE action = 'block') AS blocked,
+  count(action) AS labelled, '' AS template FROM rows GROUP BY host, segs)"""]
+    for k in range(URL_DEPTH + 1):
+        ctes += [f"""h{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(n) AS n, sum(blocked) AS blocked,
+  sum(labelled) AS labelled FROM o{k} WHERE len(segs) > {k} GROUP BY ALL)""",
+                 f"""b{k} AS (SELECT *, CASE WHEN n < 3 OR n < 0.05::DOUBLE * sum(n) OVER (PARTITION BY host, template)
+  THEN CASE WHEN seg = '**' THEN '**' ELSE '*' END ELSE seg END AS branch FROM h{k})""",
+                 f"""s{k} AS (SELECT host, template, branch, (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS share,
+  sum(labelled) AS labelled, branch NOT IN ('*', '**') AND sum(labelled) > 0 AS literal FROM b{k} GROUP BY host, template, branch)""",
+                 f"""e{k} AS (SELECT *, share * (1 - share) / (labelled + 2.0::DOUBLE) AS error2 FROM s{k})""",
+                 f"""t{k} AS (SELECT *, CASE WHEN literal AND share - lag(share) OVER w
+  <= 1.96::DOUBLE * sqrt(error2 + lag(error2) OVER w) THEN 0 ELSE 1 END AS new FROM e{k}
+  WINDOW w AS (PARTITION BY host, template, literal ORDER BY share, branch))""",
+                 f"""q{k} AS (SELECT *, sum(new) OVER (PARTITION BY host, template, literal ORDER BY share, branch) AS run FROM t{k})""",
+                 f"""m{k} AS (SELECT host, template, branch, CASE WHEN count(*) OVER g > 1
+  THEN '{{' || array_to_string(list_sort(list(branch) OVER g), ',') || '}}' ELSE branch END AS merged FROM q{k}
+  WINDOW g AS (PARTITION BY host, template, literal, run))""",
+                 f"""o{k + 1} AS (SELECT o.host, o.segs, o.n, o.blocked, o.labelled,
+  o.template || coalesce('/' || m.merged, '') AS template FROM o{k} o
+  LEFT JOIN b{k} b ON o.host = b.host AND o.template = b.template AND o.segs[{k + 1}] = b.seg
+  LEFT JOIN m{k} m ON b.host = m.host AND b.template = m.template AND b.branch = m.branch)"""]
+    ctes += ["""g AS (SELECT segs, (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS prior FROM o0 GROUP BY segs)""",
+             f"""x AS (SELECT o.*, g.prior FROM o{URL_DEPTH + 1} o JOIN g ON o.segs = g.segs)""",
+             """y AS (SELECT host, template, (sum(blocked) + sum(prior * n) / sum(n) * 2.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS purity
+  FROM x GROUP BY host, template)""",
+             """z AS (SELECT x.host, x.segs, x.template, round(y.purity, 9) AS purity FROM x JOIN y
+  ON x.host = y.host AND x.template = y.template)"""]
+    return "WITH " + ",\n".join(ctes) + """
+SELECT page_id, rows.host, path, rule, coalesce(action, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
+  template, purity FROM rows JOIN z ON rows.host = z.host AND rows.segs = z.segs"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": DECONTAMINATE,
         "op7_suffix_dedup": SUFFIX,
         "op9_quality_rules": quality_rules.oracle(),
+        "op10_url_filter": url_sql(),
     }
