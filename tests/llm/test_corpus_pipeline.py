@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from llm_cases import awkward  # noqa: F401
 from pyspark.sql import functions as F
 
 import __spark_entry__

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from llm_cases import awkward, empty  # noqa: F401
 from pyspark.sql import functions as F
 
 from visitcast.llm import components as cc

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from llm_cases import awkward, empty  # noqa: F401
 from pyspark.sql import functions as F
 
 from visitcast.llm import common, mlm_score, quality_fm, toxicity_cnn

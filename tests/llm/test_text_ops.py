@@ -11,6 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_cases import awkward, empty, texts  # noqa: F401
 from visitcast.llm import bpe, html_text, quality_rules, url_templates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
