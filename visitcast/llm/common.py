@@ -7,7 +7,9 @@ a multi-byte UTF-8 character, so byte runs and character runs agree.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def show_workers_the_package(spark: SparkSession) -> None:
+    """Put the folder this package was imported from on the Python workers'
+    path.  In local mode the driver may have it from ``sys.path`` only; on a
+    cluster without that folder the entry has no effect."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def give_back_memory() -> None:
     """Hand freed memory back to the system: Python workers and the driver live
     on after a task or a fit, and the C library keeps what it once got."""
