@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitcast.llm import bpe, decontaminate, simhash_dedup, suffix_dedup, toxicity_cnn
-from visitcast.llm.common import table
+from visitcast.llm.common import show_workers_the_package, table
 from visitcast.session import ensure_checkpoint_dir
 
 
@@ -27,17 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The classifier learns from the labelled documents of the stage's input.
     """
+    show_workers_the_package(spark)
     net = toxicity_cnn.train(docs, table(spark, sf_dir, "labels"))
     return toxicity_cnn.keep_clean(docs, net)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the smallest id stays."""
+    show_workers_the_package(spark)
     return simhash_dedup.deduplicate(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that a document with a smaller id has go; n_chars follows."""
+    show_workers_the_package(spark)
     return suffix_dedup.deduplicate(docs).withColumn(
         "n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
@@ -49,6 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes."""
+    show_workers_the_package(spark)
     return bpe.round_trip(docs, bpe.public_vocabulary(spark))
 
 
