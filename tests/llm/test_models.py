@@ -153,3 +153,33 @@ def test_language_model(spark, awkward, empty):
     same = [r["log_prob"] for r in rows if r["doc_id"] in (12, 13)]
     assert abs(same[0] - same[1]) < 1e-6 * abs(same[0])
     assert mlm_score.pseudo_likelihood(empty, rounds=1).count() == 0
+
+
+def test_language_model_tells_rare_words_of_a_bucket_apart(spark):
+    # More words than the network predicts by themselves: the last ones share buckets.
+    common_words = [f"c{i}" for i in range(mlm_score.KNOWN)]
+    rare = [f"r{i}" for i in range(3000)]
+    lines = [" ".join(common_words)] * 12 + [" ".join(rare)] + [" ".join(rare[::2])] * 4
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    vocab, net = mlm_score.train(docs.select("text"), rounds=0)
+
+    def hashed(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return mlm_score.block_words(data, np.array([0, len(data)]))[0]
+
+    known = dict(zip(hashed(rare).tolist(), [5, 1] * 1500))
+    bucket = {}
+    for h, n in known.items():
+        bucket.setdefault(h % mlm_score.BUCKETS, []).append(n)
+    probes = ["c1 r0 c2", "c1 r1 c2", "c1 neverseen c2", "r0 r1 r1 neverseen", "c5 c6", ""]
+    scored = mlm_score.score(spark.createDataFrame([*enumerate(probes), (None, "r0"), (0, probes[0])],
+                                                   "doc_id long, text string"), vocab, net).collect()
+    assert len(scored) == len(probes) + 2
+    got = {r["doc_id"]: r["log_prob"] for r in scored}
+    for i, t in enumerate(probes):
+        want = direct_log_prob(vocab, net, hashed(t.split())) if t else 0.0
+        for w, h in zip(t.split(), hashed(t.split()).tolist() if t else []):
+            if not w.startswith("c"):
+                own = bucket[h % mlm_score.BUCKETS]
+                want += np.log((known.get(h, 0) + mlm_score.UNSEEN) / (sum(own) + mlm_score.UNSEEN * (len(own) + 1)))
+        assert abs(got[i] - want) < 1e-2

@@ -5,8 +5,11 @@ layer is tanh of the sum of one embedding per context place, the output a
 two-level softmax (class, then word in its class).  The score of a text is the
 sum over all of its words of log p(word | both sides): every word is masked
 once.  Words are lower-case runs of letters, digits and non-ASCII characters;
-the most frequent ones of the corpus are predicted by themselves, all others
-by hash bucket.
+the network predicts the most frequent ones of the corpus by themselves and all
+others by hash bucket.  A third level gives the word in its bucket:
+log p(word | bucket) comes from the counts of all words of the corpus, a table
+that grows with it and is joined by Spark; words that the corpus does not hold
+share ``UNSEEN`` of a count per known word and one.
 
 Everything learnt covers the whole corpus: word counts come from one
 aggregation over all texts (pre-aggregated per Arrow batch), which fixes the
@@ -14,8 +17,8 @@ vocabulary and the starting biases; then, in each of ``rounds``, every task
 starts from the shared weights, trains in numpy on a random part of the
 positions (``mask_rate``, as in masked training) of all its texts, and sends
 its weights on; Spark averages them by row of the weight tables, weighted by
-positions.  The driver holds the vocabulary and one copy of the weights, both
-of fixed size.  Tasks need one block of text at a time.
+positions.  The driver holds the words predicted by themselves and one copy of
+the weights, both of fixed size.  Tasks need one block of text at a time.
 
 Defined results: a null text counts as empty; a text without words has
 n_words 0, log_prob 0 and null mean_log_prob; repeated rows are scored alike
@@ -26,18 +29,19 @@ names.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, lower_ascii, span_hashes, table, text_blocks, tidy, word_spans
+from .common import ALNUM, checkpointed, lower_ascii, span_hashes, table, text_blocks, tidy, word_spans
 
 REACH = 2
 CLASS_SIZE = 64
 KNOWN = 1536                              # words predicted by themselves
 BUCKETS = 512                             # hash buckets of all others, a power of two
+UNSEEN = 0.5                              # added to the count of every word of a bucket, and of one unseen word
 SIZE = KNOWN + BUCKETS
 CLASSES = SIZE // CLASS_SIZE
 DIM = 16
@@ -74,6 +78,12 @@ class Vocabulary:
     words: np.ndarray                     # sorted hashes of the known words
     ids: np.ndarray                       # their ids, 1 is the most frequent
     counts: np.ndarray                    # corpus count of every output
+    kinds: np.ndarray                     # different words of every bucket
+    table: DataFrame | None = None        # (word, n) of all words, left out in tasks
+
+    def in_bucket(self) -> np.ndarray:
+        """Logarithm of what a smoothed count is divided by, per bucket."""
+        return np.log(self.counts[KNOWN:] + UNSEEN * (self.kinds + 1))
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         """1..SIZE; 0 is left for the gap between texts."""
@@ -86,13 +96,12 @@ class Vocabulary:
 
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
-    from .common import checkpointed
-
     counts = checkpointed(word_counts(texts))
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
     known = top.toArrow()
     rest = counts.join(F.broadcast(top.select("word")), "word", "left_anti") \
-        .groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+        .groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")) \
+        .toArrow()
     words = known.column("word").to_numpy().view(np.uint64)
     n = known.column("n").to_numpy()
     order = np.lexsort((words, -n))
@@ -101,8 +110,10 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     total = np.zeros(SIZE)
     total[rank] = n
     total[KNOWN + rest.column("bucket").to_numpy()] = rest.column("n").to_numpy()
+    kinds = np.zeros(BUCKETS)
+    kinds[rest.column("bucket").to_numpy()] = rest.column("kinds").to_numpy()
     by_hash = np.argsort(words)
-    return Vocabulary(words[by_hash], rank[by_hash] + 1, total)
+    return Vocabulary(words[by_hash], rank[by_hash] + 1, total, kinds, counts)
 
 
 @dataclass
@@ -207,13 +218,26 @@ class Trainer:
         self.seen += n
 
 
-def sequence(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids with REACH gaps around every text, places of the words, their rows)."""
+def sequence(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids with REACH gaps around every text, places of the words, their rows
+    and hashes)."""
     hashes, row = block_words(data, offsets)
     at = np.arange(len(row)) + (row + 1) * REACH
     ids = np.zeros(len(row) + len(offsets) * REACH, np.int64)
     ids[at] = vocab.encode(hashes)
-    return ids, at, row
+    return ids, at, row, hashes
+
+
+def bucket_words(row: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, how often each stands in its row, offsets of the rows)."""
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    return (hashes[first].view(np.int64), np.diff(first, append=len(row)).astype(np.int32),
+            np.searchsorted(row[first], np.arange(n_rows + 1)).astype(np.int32))
 
 
 def train(texts: DataFrame, rounds: int = ROUNDS, mask_rate: float = MASK_RATE, seed: int = 5
@@ -224,7 +248,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS, mask_rate: float = MASK_RATE,
     net = Network.start(vocab.counts, seed)
     shape = ", ".join(f"w{k} float" for k in range(DIM + 1))
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab, net.rows()))
+        shared = spark.sparkContext.broadcast((replace(vocab, table=None), net.rows()))
 
         def run(batches, shared=shared, turn=turn):
             import pyarrow as pa
@@ -233,7 +257,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS, mask_rate: float = MASK_RATE,
             trainer = Trainer(Network.of_rows(rows))
             for b in batches:
                 for _, _, data, offsets in text_blocks(b.column(0)):
-                    ids, at, _ = sequence(words, data, offsets)
+                    ids, at, _, _ = sequence(words, data, offsets)
                     rng = np.random.default_rng([seed, turn, len(data), len(at)])
                     at = rng.permutation(at[rng.random(len(at)) < mask_rate])
                     for k in range(0, len(at), BATCH):
@@ -258,26 +282,38 @@ def train(texts: DataFrame, rounds: int = ROUNDS, mask_rate: float = MASK_RATE,
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_prob (natural logarithm, summed) and its mean."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(vocab, table=None), net))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         words, model = shared.value
+        divisor = words.in_bucket()
         for b in batches:
             for i, j, data, offsets in text_blocks(b.column(1), 1 << 20):
-                ids, at, row = sequence(words, data, offsets)
+                ids, at, row, hashes = sequence(words, data, offsets)
                 total = np.zeros(j - i)
                 for k in range(0, len(at), 1 << 16):
                     part = slice(k, k + (1 << 16))
                     total += np.bincount(row[part], model.log_prob(ids, at[part]).astype(float), j - i)
+                bucket = ids[at] - 1 - KNOWN
+                rare = bucket >= 0
+                total -= np.bincount(row[rare], divisor[bucket[rare]], j - i)
+                word, times, cuts = bucket_words(row[rare], hashes[rare], j - i)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(np.bincount(row, minlength=j - i).astype(np.int64)),
-                     pa.array(total)], names=["doc_id", "n_words", "log_prob"])
+                     pa.array(total), pa.ListArray.from_arrays(cuts, word), pa.ListArray.from_arrays(cuts, times)],
+                    names=["doc_id", "n_words", "log_prob", "word", "times"])
 
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(tidy(run), f"doc_id {id_type}, n_words long, log_prob double")
+        .mapInArrow(tidy(run), f"doc_id {id_type}, n_words long, log_prob double, word array<long>, times array<int>")
+    scored = checkpointed(scored.withColumn("row", F.monotonically_increasing_id()))
+    # The words of the buckets meet their counts; the dividing sums are already taken off.
+    inside = scored.select("row", F.inline(F.arrays_zip("word", "times"))).join(vocab.table, "word", "left") \
+        .groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + UNSEEN)).alias("inside"))
+    scored = scored.select("row", "doc_id", "n_words", "log_prob").join(inside, "row", "left").select(
+        "doc_id", "n_words", (F.col("log_prob") + F.coalesce("inside", F.lit(0.0))).alias("log_prob"))
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
