@@ -183,3 +183,21 @@ def test_language_model_tells_rare_words_of_a_bucket_apart(spark):
                 own = bucket[h % mlm_score.BUCKETS]
                 want += np.log((known.get(h, 0) + mlm_score.UNSEEN) / (sum(own) + mlm_score.UNSEEN * (len(own) + 1)))
         assert abs(got[i] - want) < 1e-2
+
+
+def test_every_position_is_a_target_once(spark):
+    texts = ["a b c a b c a", "", "one", "a b c a b c a", " ".join(f"w{i}" for i in range(500))]
+
+    def rounds_of(texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        hashes, row = mlm_score.block_words(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        return mlm_score.masked_in(hashes, row, 2)
+
+    together = rounds_of(texts)
+    assert set(together.tolist()) == {0, 1} and abs(together[-500:].mean() - 0.5) < 0.1
+    assert together.tolist() == [x for t in texts for x in rounds_of([t]).tolist()]
+    # A corpus of a single position is learnt from.
+    for word in ("alone", "lonely", "single"):
+        docs = spark.createDataFrame([(word,)], "text string")
+        start, net = mlm_score.train(docs, rounds=0)[1], mlm_score.train(docs, rounds=2)[1]
+        assert (start.members != net.members).any()

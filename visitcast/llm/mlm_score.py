@@ -14,9 +14,9 @@ share ``UNSEEN`` of a count per known word and one.
 Everything learnt covers the whole corpus: word counts come from one
 aggregation over all texts (pre-aggregated per Arrow batch), which fixes the
 vocabulary and the starting biases; then, in each of ``rounds``, every task
-starts from the shared weights, trains in numpy on a random part of the
-positions (``mask_rate``, as in masked training) of all its texts, and sends
-its weights on; Spark averages them by row of the weight tables, weighted by
+starts from the shared weights, trains in numpy on the positions of all its
+texts that are masked in this round, and sends its weights on; the masks of the
+rounds are disjoint and cover every position; Spark averages them by row of the weight tables, weighted by
 positions.  The driver holds the words predicted by themselves and one copy of
 the weights, both of fixed size.  Tasks need one block of text at a time.
 
@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, checkpointed, lower_ascii, span_hashes, table, text_blocks, tidy, word_spans
+from .common import ALNUM, checkpointed, lower_ascii, mix, span_hashes, table, text_blocks, tidy, word_spans
 
 REACH = 2
 CLASS_SIZE = 64
@@ -46,7 +46,6 @@ SIZE = KNOWN + BUCKETS
 CLASSES = SIZE // CLASS_SIZE
 DIM = 16
 ROUNDS = 2
-MASK_RATE = 0.15
 BATCH = 2048
 
 
@@ -163,7 +162,7 @@ class Network:
         logits = h @ self.classes.T
         top = logits.max(1)
         out = logits[np.arange(len(at)), group] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             own = order[cuts[c]:cuts[c + 1]]
@@ -197,7 +196,7 @@ class Trainer:
         p[np.arange(n), group] -= 1
         back = p @ net.classes
         self._apply(net.classes, self.sums[1], slice(None), p.T @ h)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             own = order[cuts[c]:cuts[c + 1]]
@@ -211,9 +210,9 @@ class Trainer:
                 self._apply(net.members, self.sums[2], rows, q.T @ h[own])
         dz = back[:, :DIM] * (1 - np.square(h[:, :DIM]))
         for k, step in enumerate([s for s in range(-REACH, REACH + 1) if s]):
-            words = ids[at + step]
+            words = ids[at + step].astype(np.uint16)
             order = np.argsort(words, kind="stable")
-            first = np.flatnonzero(np.diff(words[order], prepend=-1))
+            first = np.flatnonzero(np.diff(words[order].astype(np.int64), prepend=-1))
             self._apply(net.context[k], self.sums[0][k], words[order][first], np.add.reduceat(dz[order], first))
         self.seen += n
 
@@ -240,8 +239,17 @@ def bucket_words(row: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.n
             np.searchsorted(row[first], np.arange(n_rows + 1)).astype(np.int32))
 
 
-def train(texts: DataFrame, rounds: int = ROUNDS, mask_rate: float = MASK_RATE, seed: int = 5
-          ) -> tuple[Vocabulary, Network]:
+def masked_in(hashes: np.ndarray, row: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is a target.  It comes from the words of the
+    text and the place in it, so it does not change with the cut into blocks."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes, out=sums[1:])
+    start, end = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right")
+    place = (np.arange(len(row)) - start).astype(np.uint64)
+    return (mix(sums[end] - sums[start] + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rounds)).astype(np.int64)
+
+
+def train(texts: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabulary, Network]:
     """Vocabulary and weights from all texts (a frame of one string column)."""
     spark = texts.sparkSession
     vocab = vocabulary(texts)
@@ -257,9 +265,9 @@ def train(texts: DataFrame, rounds: int = ROUNDS, mask_rate: float = MASK_RATE,
             trainer = Trainer(Network.of_rows(rows))
             for b in batches:
                 for _, _, data, offsets in text_blocks(b.column(0)):
-                    ids, at, _, _ = sequence(words, data, offsets)
+                    ids, at, row, hashes = sequence(words, data, offsets)
                     rng = np.random.default_rng([seed, turn, len(data), len(at)])
-                    at = rng.permutation(at[rng.random(len(at)) < mask_rate])
+                    at = rng.permutation(at[masked_in(hashes, row, rounds) == turn])
                     for k in range(0, len(at), BATCH):
                         trainer.step(ids, at[k:k + BATCH])
             if trainer.seen:
@@ -317,10 +325,10 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,
-                      mask_rate: float = MASK_RATE) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS
+                      ) -> DataFrame:
     """Train on all texts of ``docs`` and score each of them."""
-    vocab, net = train(docs.select(F.col(text_col).alias("text")), rounds, mask_rate)
+    vocab, net = train(docs.select(F.col(text_col).alias("text")), rounds)
     return score(docs, vocab, net, id_col, text_col)
 
 
