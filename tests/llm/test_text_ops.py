@@ -179,6 +179,22 @@ def test_url_templates_generalise_merge_and_reject(spark):
     assert got["http://u.example.com/de2x/1"]["template"] == "/*/*"
 
 
+def test_url_branches_of_a_small_share_keep_their_own_verdict(spark):
+    own = (url_templates.UrlRule("block", "s.com", "/de/"), url_templates.UrlRule("allow", "s.com", "/en/"))
+    rows = [f"http://s.com/en/{i}" for i in range(940)] + [f"http://s.com/de/{i}" for i in range(30)]
+    rows += [f"http://s.com/{s}/{i}" for s, n in (("fr", 20), ("es", 10)) for i in range(n)]
+    rows += [f"http://t.com/{chr(97 + k)}sec/{i}" for k in range(25) for i in range(4)]      # 4 % each
+    rows += [f"http://u.net/{chr(97 + k)}sec/{i}" for k in range(25) for i in range(4)]      # alike, blocked by rule
+    own += (url_templates.UrlRule("block", "u.net"),)
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {rows[r["page_id"]]: r for r in url_templates.judge(pages, rules=own).collect()}
+    assert len(got) == len(set(rows))
+    for s, verdict in (("en", "allow"), ("de", "block"), ("fr", "allow"), ("es", "allow")):
+        assert got[f"http://s.com/{s}/1"]["template"] == f"/{s}/*" and got[f"http://s.com/{s}/1"]["verdict"] == verdict
+    assert len({got[f"http://t.com/{chr(97 + k)}sec/1"]["template"] for k in range(25)}) == 25
+    assert {got[f"http://u.net/{chr(97 + k)}sec/1"]["template"] for k in range(25)} == {"/{asec,?,ysec}/*"}
+
+
 def test_url_plan_is_native(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     plan = url_templates.judge(pages)._jdf.queryExecution().executedPlan().toString()

@@ -4,9 +4,10 @@
    (a parameter) becomes one CASE expression, longest rule first.
 2. Paths become templates.  A segment that looks generated (it has a digit)
    is a wildcard at once; below that, level by level from the root, a literal
-   segment stays only if it holds enough of its parent's pages, and sibling
-   branches whose smoothed blocked shares do not differ significantly are
-   merged into one branch ``{a,b}``.  Segments beyond ``max_depth`` share one
+   segment stays if it has ``min_support`` pages, however many its host
+   has, and labelled sibling branches whose smoothed blocked shares do not
+   differ significantly are merged into one branch ``{a,b}``.  Rarer literals
+   share ``*``.  Segments beyond ``max_depth`` share one
    tail wildcard.
 3. The pages a rule has judged are the labels.  The blocked share of a
    template is smoothed towards the share of the same template over all
@@ -15,7 +16,7 @@
 
 All statistics come from one pre-aggregation by (host, lexical template), so a
 host with a third of all pages is a few rows per task from there on.  The
-sibling windows hold at most 1 / min_share literal branches and a wildcard.
+sibling windows hold a row per distinct blocked share, not per branch.
 
 Defined results: a null url or one without ``://`` has empty host and path
 and no rule (its template is the empty one); repeated rows are judged alike,
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
+NAMED = 20                                # merged branches with all names in the template
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,8 +80,7 @@ def purity(blocked: Column, labelled: Column, prior: Column, weight: float) -> C
     return (blocked + prior * weight) / (labelled + weight)
 
 
-def template_tree(paths: DataFrame, max_depth: int, min_support: int, min_share: float, z: float,
-                  weight: float) -> DataFrame:
+def template_tree(paths: DataFrame, max_depth: int, min_support: int, z: float, weight: float) -> DataFrame:
     """Add the template to every (host, segs, n, blocked, labelled) row."""
     out = paths.withColumn("template", F.lit(""))
     depth = paths.agg(F.max(F.size("segs"))).first()[0] or 0  # at most max_depth + 1
@@ -87,31 +88,36 @@ def template_tree(paths: DataFrame, max_depth: int, min_support: int, min_share:
         seg = F.get("segs", F.lit(level))
         here = out.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")) \
             .agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-        whole = here.groupBy("host", "template").agg(F.sum("n").alias("whole"))
-        # Rare literals become wildcards: at most 1 / min_share branches stay.
-        branches = here.join(whole, ["host", "template"]).withColumn(
-            "branch", F.when((F.col("n") < min_support) | (F.col("n") < min_share * F.col("whole")),
-                             F.when(F.col("seg") == "**", F.lit("**")).otherwise(F.lit("*")))
-            .otherwise(F.col("seg")))
-        stats = branches.groupBy("host", "template", "branch").agg(
-            F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+        # Only literals of under ``min_support`` pages become wildcards.
+        branches = here.withColumn("branch", F.when((F.col("n") < min_support) & (F.col("seg") != "**"), F.lit("*"))
+                                   .otherwise(F.col("seg")))
         # Merge literal siblings along the order of their blocked shares while
-        # the step between neighbours is within z standard errors.
+        # the step between neighbours is within z standard errors.  Siblings
+        # with the same share always merge, so the window sees a row per share.
         share = purity(F.col("blocked"), F.col("labelled"), F.lit(0.5), weight)
-        literal = ~F.col("branch").isin("*", "**") & (F.col("labelled") > 0)
-        order = Window.partitionBy("host", "template", "literal").orderBy("share", "branch")
-        stats = (stats.withColumn("share", share).withColumn("literal", literal)
-                 .withColumn("error2", F.col("share") * (1 - F.col("share")) / (F.col("labelled") + weight))
-                 .withColumn("step", F.col("share") - F.lag("share").over(order))
-                 .withColumn("limit", z * F.sqrt(F.col("error2") + F.lag("error2").over(order)))
-                 .withColumn("run", F.sum(F.when(F.col("literal") & (F.col("step") <= F.col("limit")), 0).otherwise(1))
-                             .over(order)))
-        names = F.array_sort(F.collect_set("branch").over(Window.partitionBy("host", "template", "literal", "run")))
-        stats = stats.select("host", "template", "branch",
-                             F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, ","), F.lit("}")))
-                             .otherwise(F.col("branch")).alias("merged"))
-        named = branches.select("host", "template", "seg", "branch").join(stats, ["host", "template", "branch"]) \
-            .select("host", "template", "seg", "merged")
+        literals = branches.where(~F.col("branch").isin("*", "**") & (F.col("labelled") > 0)) \
+            .select("host", "template", "branch", share.alias("share"),
+                    (share * (1 - share) / (F.col("labelled") + weight)).alias("error2"))
+        order = Window.partitionBy("host", "template").orderBy("share")
+        shares = literals.groupBy("host", "template", "share").agg(
+            F.min_by("error2", "branch").alias("first"), F.max_by("error2", "branch").alias("last"),
+            F.count(F.lit(1)).alias("siblings"))
+        shares = (shares.withColumn("step", F.col("share") - F.lag("share").over(order))
+                  .withColumn("limit", z * F.sqrt(F.col("first") + F.lag("last").over(order)))
+                  .withColumn("run", F.sum(F.when(F.col("step") <= F.col("limit"), 0).otherwise(1)).over(order))
+                  .withColumn("siblings", F.sum("siblings").over(Window.partitionBy("host", "template", "run"))))
+        literals = literals.join(shares.select("host", "template", "share", "run", "siblings"), ["host", "template", "share"])
+        # A long run is named by its ends and its size.
+        names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("siblings") <= NAMED, F.col("branch")))), ",")
+        runs = literals.groupBy("host", "template", "run", "siblings").agg(
+            names.alias("names"), F.min("branch").alias("low"), F.max("branch").alias("high"))
+        runs = runs.where(F.col("siblings") > 1).select("host", "template", "run", F.when(
+            F.col("siblings") <= NAMED, F.concat(F.lit("{"), "names", F.lit("}"))).otherwise(
+            F.concat(F.lit("{"), "low", F.lit(",?,"), "high", F.lit("}"))).alias("merged"))
+        stats = literals.join(runs, ["host", "template", "run"]).select("host", "template", "branch", "merged")
+        branches = branches.select("host", "template", "seg", "branch")
+        named = branches.select("host", "template", "seg", "branch").join(stats, ["host", "template", "branch"], "left") \
+            .select("host", "template", "seg", F.coalesce("merged", "branch").alias("merged"))
         out = (out.withColumn("seg", seg).join(named, ["host", "template", "seg"], "left")
                .withColumn("template", F.when(F.col("merged").isNull(), F.col("template"))
                            .otherwise(F.concat("template", F.lit("/"), "merged")))
@@ -121,7 +127,7 @@ def template_tree(paths: DataFrame, max_depth: int, min_support: int, min_share:
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES,
-          max_depth: int = 4, min_support: int = 3, min_share: float = 0.05, z: float = 1.96, weight: float = 2.0,
+          max_depth: int = 4, min_support: int = 3, z: float = 1.96, weight: float = 2.0,
           reject_at: float = 0.8) -> DataFrame:
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")) \
@@ -132,7 +138,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "block").alias("blocked"),
         F.count("action").alias("labelled"))
     paths = checkpointed(paths)
-    tree = template_tree(paths, max_depth, min_support, min_share, z, weight)
+    tree = template_tree(paths, max_depth, min_support, z, weight)
     # Prior of a template: the same lexical path over all hosts.
     overall = paths.groupBy("segs").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     overall = overall.select("segs", purity(F.col("b"), F.col("l"), F.lit(0.5), weight).alias("prior"))
