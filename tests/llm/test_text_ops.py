@@ -107,6 +107,26 @@ def test_html_cases(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<button>Question?</button><p>Answer", "Question?\n\nAnswer"),
+    ("<dialog>no</dialog>a<dialog open>yes</dialog>b", "a\nyes\nb"),
+    ("<select><option>a<option selected>b</select>", "a\nb"), ("x<textarea>l1\n  l2</textarea>y", "x\nl1\n  l2\ny"),
+    ("<svg><title>no</title><defs><text>no</text></defs><circle r=1 /><text>one</text><text>t<tspan>wo</tspan></text></svg> z", "one two z"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("<table><tr><td><p>one<p>two<ul><li>a<li>b</ul></table>", "one\n\ntwo\n\n- a\n- b"),
+    ("<table><tr><td>k<br>long<td>v<tr><td>m<td><pre>p\n  q</pre></table>", "k     v\nlong\nm     p\n        q"),
+    ("<table><tr><td><table><tr><td>1<td>2<tr><td>3<td>4</table></table>", "1  2\n3  4"),
+])
+def test_html_shows_what_browsers_show(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_html_wide_and_high_cells_stay_small():
+    page = "<table><tr><td>" + "w" * 20_000 + "<td>" + "<br>".join("abc" for _ in range(5000)) + "</table>"
+    out = html_text.page_text(page)
+    assert len(out) < 10 * len(page) and out.count("abc") == 5000 and "w" * 20_000 in out
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "text ", "<",
                                  "<div hidden>", "</div>", "<pre>", "\n", "<script>", "&lt;", "<br>", "<!--", "-->"]),
