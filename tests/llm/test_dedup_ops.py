@@ -220,6 +220,23 @@ def test_decontamination_matches_brute_force(spark, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_finds_reordered_passages(spark):
+    items = list(enumerate(passages(21, 4, 100))) + [(4, passages(22, 1, 12)[0])]
+    fill = passages(23, 6, 150)
+    docs = []
+    for d in range(18):
+        w = items[d % 5][1].split()
+        cut = (len(w) // 2, len(w) // 3, len(w))[d % 3]
+        docs.append((d, " ".join([fill[d % 6], *w[cut:], *w[:cut], fill[(d + 1) % 6]])))
+    docs += [(50, " ".join([*items[1][1].split()[50:], *items[1][1].split()[:50]])), (51, items[2][1] + " tail")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = plain_contaminated(docs, items)
+    assert (0, 0) in want and (50, 1) in want
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_multi_index_finds_all_within_the_radius(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(8)]

@@ -4,9 +4,10 @@ Main path in DataFrame expressions only.
 
 1. Words are lower-case runs between blanks with ASCII punctuation taken out;
    shingles are five words (an item of fewer words is one shingle).
-2. A window has as many words as an item has.  A window that is similar to an
-   item shares shingles with it, so windows are laid where a shingle of the
-   document stands as it does in an item.  A bit filter of fixed size over the
+2. A window has as many words as an item has.  A window whose similarity s
+   reaches the bound holds at least s / (1 + s) of its and the item's shingles
+   together as hits, in whatever order, so windows are laid at every start with
+   that many hits on items of their size.  A bit filter of fixed size over the
    benchmark's shingles picks the texts and places to look at inside the row
    (it has no false negatives; a join makes it exact), so whole texts are
    neither exploded nor shuffled.
@@ -126,6 +127,21 @@ def _hits(hs: Column, bit_filter: Column, bits: int, probes: int) -> Column:
                                               lambda i: F.struct(i.alias("at"), F.get(hs, i).alias("hash"))))
 
 
+def _starts(k: int, similarity: float) -> Column:
+    """First words of all windows of ``n`` words with so many hits (``at``,
+    sorted) that the similarity can be reached, each once."""
+    at, last = F.col("at"), F.greatest(F.lit(0), F.col("size") - F.col("n"))
+    own = F.least("size", "n") - k + 1                 # shingles of the window
+    least = F.ceil((own + F.col("n") - k + 1) * (similarity / (1 + similarity)) - 1e-9).cast("int")
+
+    def of_first_hit(j: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(at, j + least - 1) - own + 1, F.coalesce(F.get(at, j - 1) + 1, F.lit(0)))
+        high = F.least(F.get(at, j), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(at) >= least, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - least), of_first_hit)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY,
                  radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE, filter_bits: int = FILTER_BITS,
@@ -148,10 +164,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame(
             [], f"doc_id {id_type}, item_id {item_type}, similarity double, first_word int, distance int, n_windows long")
-    best = F.struct("similarity", -F.col("first"), -F.col("distance"))
+    best = F.struct("similarity", "placed", -F.col("first"), -F.col("distance"))
     return found.groupBy("doc_id", "item_id").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("n_windows")) \
         .select("doc_id", "item_id", F.col("best.similarity").alias("similarity"),
-                (-F.col("best.col2")).alias("first_word"), (-F.col("best.col3")).alias("distance"), "n_windows")
+                (-F.col("best.col3")).alias("first_word"), (-F.col("best.col4")).alias("distance"), "n_windows")
 
 
 def _contaminated_by(docs, items, k, id_col, text_col, similarity, radius, blocks, bits, probes) -> DataFrame:
@@ -170,17 +186,23 @@ def _contaminated_by(docs, items, k, id_col, text_col, similarity, radius, block
                                             "copy": F.monotonically_increasing_id()})
                          .where(F.size("hits") > 0).select("doc_id", "copy", "ws", "hits"))
 
-    # Windows that place a shared shingle as the item does, kept inside the text.
     hits = texts.select("doc_id", "copy", F.size("ws").alias("size"), F.inline("hits"))
-    starts = hits.join(places, "hash").select(
+    marks = hits.join(places.select("n", "hash").distinct(), "hash").groupBy("doc_id", "copy", "size", "n") \
+        .agg(F.sort_array(F.collect_list("at")).alias("at"))
+    starts = marks.select("doc_id", "copy", "n", F.explode(_starts(k, similarity)).alias("first"), F.lit(0).alias("placed"))
+    # Those that place a shared shingle as the item does go first among equals.
+    placed = hits.join(places, "hash").select(
         "doc_id", "copy", "n",
-        F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("n"))).alias("first")).distinct()
+        F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("n"))).alias("first"),
+        F.lit(1).alias("placed"))
+    starts = starts.unionByName(placed).groupBy("doc_id", "copy", "n", "first") \
+        .agg(F.max("placed").alias("placed"), F.min("placed").alias("reached")).where(F.col("reached") == 0)
     windows = texts.select("doc_id", "copy", "ws").join(
-        starts.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("n", "first")).alias("laid")), ["doc_id", "copy"])
+        starts.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("n", "first", "placed")).alias("laid")), ["doc_id", "copy"])
     windows = windows.select("doc_id", "copy", "ws", F.inline("laid")) \
         .withColumn("ws", F.slice("ws", F.col("first") + 1, F.col("n"))) \
         .withColumn("hs", hashes(F.col("ws"), k)) \
-        .select("doc_id", "copy", "n", "first", "ws", simhash(F.col("hs")).alias("fp"))
+        .select("doc_id", "copy", "n", "first", "placed", "ws", simhash(F.col("hs")).alias("fp"))
     windows = checkpointed(windows)
 
     key = ["n", "block", "value"]
@@ -196,13 +218,13 @@ def _contaminated_by(docs, items, k, id_col, text_col, similarity, radius, block
         .groupBy("doc_id", "copy", "first", "n", "s").agg(F.count(F.lit(1)).alias("w"))
     item_bags = items.select("item_id", F.col("copy").alias("item_copy"), F.explode(strings(F.col("ws"), k)).alias("s")) \
         .groupBy("item_id", "item_copy", "s").agg(F.count(F.lit(1)).alias("v"))
-    sizes = windows.select("doc_id", "copy", "first", "n", (F.size("ws") - k + 1).alias("n_window"))
+    sizes = windows.select("doc_id", "copy", "first", "n", "placed", (F.size("ws") - k + 1).alias("n_window"))
     common = near.join(bags, ["doc_id", "copy", "first", "n"]).join(item_bags, ["item_id", "item_copy", "s"]) \
         .groupBy("doc_id", "copy", "first", "n", "item_id", "item_copy", "distance") \
         .agg(F.sum(F.least("w", "v")).alias("common"))
     score = F.col("common") / (F.col("n_window") + F.col("n") - k + 1 - F.col("common"))
     return common.join(sizes, ["doc_id", "copy", "first", "n"]).withColumn("similarity", score) \
-        .where(F.col("similarity") >= similarity).select("doc_id", "item_id", "first", "distance", "similarity")
+        .where(F.col("similarity") >= similarity).select("doc_id", "item_id", "first", "placed", "distance", "similarity")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
