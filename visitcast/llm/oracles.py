@@ -106,10 +106,91 @@ SELECT page_id, rows.host, path, rule, coalesce(action, CASE WHEN purity >= 0.8
   template, purity FROM rows JOIN z ON rows.host = z.host AND rows.segs = z.segs"""
 
 
+# Pieces, words and all runs of one to four words of a piece, counted.
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (
+        SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
+k AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, (2000000::HUGEINT * k.a) // (x.a + y.a) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.lp JOIN f y ON y.lang = k.lang AND y.phrase = k.rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a, array_to_string(ws[q:q + z - 1], ' ') AS phrase FROM c, (SELECT unnest([1, 2, 3]) AS q),
+        (SELECT unnest([2, 3]) AS z) WHERE z < m AND q + z - 1 <= m),
+h AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY lang, phrase)
+SELECT b.lang, row_number() OVER o AS rank, b.phrase, b.a, l, r, t.n::BIGINT AS n, score::BIGINT AS score
+FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase JOIN t ON t.lang = b.lang
+WHERE h.longer IS NULL OR 100 * h.longer < 80 * b.a
+WINDOW o AS (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase)
+QUALIFY row_number() OVER o <= 2000
+"""
+
+# Texts as words; the orders of the five letters; every step from the set of
+# filters that a document fails.
+AUDIT = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS smallest FROM d),
+f AS (SELECT r, doc_id, part, (len(ws) < 200) AS a, (100 * len(list_distinct(ws)) < 50 * len(ws)) AS b,
+        (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t)) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+        coalesce(smallest < doc_id, false) AS e FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT f.r, part, unnest(['A', 'B', 'C', 'D', 'E']) AS filter, unnest([a, b, c, d, e]) AS fails,
+        concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) AS failed,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+o AS (SELECT concat(s1.letter, s2.letter, s3.letter, s4.letter, s5.letter) AS filter_order
+      FROM s s1, s s2, s s3, s s4, s s5 WHERE len(list_distinct([s1.letter, s2.letter, s3.letter, s4.letter, s5.letter])) = 5),
+p AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS filter, filter_order[1:step - 1] AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+u AS (SELECT part, filter, failed, fails, good, toxic, count(*) AS n FROM x GROUP BY ALL),
+q AS (SELECT u.part, p.filter_order, p.step, p.filter, u.n, u.fails, u.failed, u.good, u.toxic,
+        length(translate(u.failed, p.before, '')) < length(u.failed) AS gone FROM p JOIN u USING (filter)),
+g AS (SELECT part, filter_order, step, filter,
+        sum(n) FILTER (WHERE NOT fails AND NOT gone) AS kept, sum(n) FILTER (WHERE fails AND NOT gone) AS removed,
+        sum(n) FILTER (WHERE fails AND gone) AS redundant, sum(n) FILTER (WHERE failed = filter) AS unique_fails,
+        sum(n) FILTER (WHERE fails AND NOT gone AND good) AS good_lost, sum(n) FILTER (WHERE fails AND NOT gone AND toxic) AS toxic_lost
+      FROM q GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley, filter FROM g
+"""
+
+# CRC-32 byte by byte from its table; the jump function with integers of 128 bits.
+SHARDS = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                    ORDER BY i) AS step FROM (SELECT unnest(range(256)) AS i)),
+b AS (SELECT r, doc_id, octet_length(t) + 8 AS size, list_concat([4294967295], list_transform(regexp_extract_all(hex(t), '..'),
+        lambda x: ('0x' || x)::BIGINT)) AS bytes FROM d),
+s AS (SELECT r, doc_id, size, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1]))) AS text_crc32
+      FROM b, crc),
+j AS (SELECT r, ((coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616)::HUGEINT AS k, 0 AS step,
+        -1::BIGINT AS last, 0::BIGINT AS nxt FROM d
+      UNION ALL
+      SELECT r, ((k * 2862933555777941757 + 1) % 18446744073709551616)::HUGEINT, step + 1, nxt,
+        trunc((nxt + 1) * (2147483648::DOUBLE / (((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))::BIGINT
+      FROM j WHERE nxt < 25),
+e AS (SELECT r, max(last) FILTER (WHERE last < 24) AS shard, max(last) AS grown FROM j GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
+FROM s JOIN e USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": DECONTAMINATE,
         "op7_suffix_dedup": SUFFIX,
         "op9_quality_rules": quality_rules.oracle(),
         "op10_url_filter": url_sql(),
+        "op11_collocations": COLLOCATIONS,
+        "op12_filter_audit": AUDIT,
+        "op13_jump_shards": SHARDS,
     }

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontaminate, html_text, mlm_score, oracles, quality_fm, quality_rules, simhash_dedup, suffix_dedup,
-               toxicity_cnn, url_templates)
+from . import (bpe, collocations, decontaminate, filter_audit, html_text, mlm_score, oracles, quality_fm, quality_rules, sharding,
+               simhash_dedup, suffix_dedup, toxicity_cnn, url_templates)
 from .common import show_workers_the_package
 
 
@@ -22,6 +22,9 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_masked_lm": mlm_score.op8_masked_lm,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_url_filter": url_templates.op10_url_filter,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_jump_shards": sharding.op13_jump_shards,
 }
 
 
