@@ -40,12 +40,12 @@ PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 MIN_COUNT, MAX_WORDS, TOP = 30, 4, 2000
 COVERED_PERCENT = 80
 SCORE_SCALE = 2_000_000
-RANGE_BYTES = 16 << 20                 # text per hash range
+RANGE_BYTES = 8 << 20                  # text per hash range
 FILTER_BITS = 1 << 27
-LOCAL_RUNS = 3_000_000                 # hashes of a task before they are sent on
+LOCAL_RUNS = 2_000_000                 # hashes of a task before they are sent on
 BLOCK = 1 << 20
 COUNT_BLOCK = 1 << 22
-SLACK = 4                              # capacity over mass / min_count
+SLACK = 2                              # capacity over mass / min_count
 KEY_BYTES = 5                          # of a hash that travel, besides its range
 SALTS = 64
 
