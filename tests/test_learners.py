@@ -87,6 +87,53 @@ def test_every_recipe_beats_the_mean(spark):
     assert len(scores) == 12 and all(v < base for v in scores.values()), (base, scores)
 
 
-def test_failure_isolation():
-    scores, status = RC.isolated({"good": lambda: 1.0, "bad": lambda: 1 / 0})
-    assert scores == {"good": 1.0, "bad": None} and status["bad"] == "failed: ZeroDivisionError"
+def test_failure_isolation(spark, rows):
+    def fails():
+        yield L.Fit(rows, ["x"], FAST.replace(max_iter=1), valid_col="is_valid")
+        raise ZeroDivisionError
+
+    def bad_fit():
+        yield L.Fit(rows, ["no such column"], FAST.replace(max_iter=1))
+
+    def good():
+        model = yield L.Fit(rows, ["x"], FAST.replace(max_iter=2), valid_col="is_valid")
+        return RC.Result("good", rows, error(model, rows))
+
+    scores, status = RC.isolated(spark, {"good": good(), "bad": fails(), "fit": bad_fit()})
+    assert scores["good"] > 0 and scores["bad"] is None and scores["fit"] is None
+    assert status["good"] == "ok" and status["bad"] == "failed: ZeroDivisionError" and status["fit"].startswith("failed: ")
+
+
+def test_shared_passes_give_the_models_of_separate_fits(rows):
+    ask = {str(k): L.Fit(rows, f, FAST.replace(seed=k, max_iter=3 + k, bagging_fraction=b), valid_col="is_valid")
+           for k, (f, b) in enumerate(((["x", "z"], 1.0), (["x", "z"], 1.0), (["x"], 1.0)))}
+    shared = L.boost_all(ask, ledger_every=2)
+    for name, fit in ask.items():
+        alone = L.boost_all({name: fit}, ledger_every=50)[name]
+        assert alone.rounds == shared[name].rounds and abs(error(alone, rows) - error(shared[name], rows)) < 1e-9
+
+
+def test_sums_by_shuffle_give_the_same_trees(rows, monkeypatch):
+    p = FAST.replace(max_iter=3)
+    near = L.boost(rows.coalesce(4), ["x", "z"], p, valid_col="is_valid")
+    monkeypatch.setattr(L, "FAN_IN", 0)
+    far = L.boost(rows.coalesce(4), ["x", "z"], p, valid_col="is_valid")
+    assert near.rounds == far.rounds and abs(error(near, rows) - error(far, rows)) < 1e-9
+
+
+def test_leaf_limit_and_missing_values(rows):
+    p = FAST.replace(max_depth=6, max_leaves=5, max_iter=1)
+    tree = L.boost(rows, ["x", "z"], p).parts[0].model.trees[0]
+    assert (tree["feature"] < 0).sum() == 5
+    gaps = rows.withColumn("x", F.when(F.col("x") > 0.5, F.col("x")))
+    chain = L.boost(gaps, ["x"], FAST.replace(max_iter=4))
+    assert error(chain, gaps) < 0.7 * error(L.Chain(chain.start), gaps)
+
+
+def test_tree_by_hand(spark):
+    data = [(float(i), 1.0 if i < 30 else 5.0, 1.0 + (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(data, "x double, visitors double, weight double")
+    tree = L.boost(df, ["x"], FAST.replace(max_depth=1, max_iter=1, step_size=1.0)).parts[0].model.trees[0]
+    assert 28 <= tree["threshold"][0] < 31 and tree["feature"].tolist() == [0, -1, -1]
+    mean = sum(y * w for _, y, w in data) / sum(w for *_, w in data)
+    assert abs(mean + tree["value"][2] - 5.0) < 1e-9

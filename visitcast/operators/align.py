@@ -1,20 +1,24 @@
 """Domain statistics and alignment.
 
-Moments are distributed aggregations; only d x d matrices (d = number of
-feature columns, a schema bound) reach the driver for the eigen-problems of
-CORAL.  The row transform is a linear map applied per Arrow batch with numpy
-inside ``mapInPandas``.
+One pass over the rows gives the moments of all features and the label per
+domain (``moment_store``): tasks hold count, means and centred cross-products,
+which merge exactly, and Spark merges them in a tree, so only d x d numbers
+(d = number of columns, a schema bound) reach the driver.  Correlations,
+similarities, F scores and every covariance block of CORAL are cut from them.
+The row transform is a linear map applied per Arrow batch with numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import show_workers_the_package
 from .ranking import global_row_number
 from .selection import feature_similarity, threshold_features, top_ratio_features
 
@@ -22,61 +26,109 @@ from .selection import feature_similarity, threshold_features, top_ratio_feature
 CORAL_EPS = 1e-6
 
 
-def _cross_sums(df: DataFrame, features: Sequence[str], by: str | None = None):
-    """Means and centred cross-products per value of ``by`` (one value without).
-
-    Two distributed passes, no per-pair expressions (d = 250 features would be
-    31k aggregates): (1) count and means, one aggregate per feature; (2) a task
-    sums its centred cross-products with numpy over all its batches and sends
-    them once, in long form (key, i, j, sum), to ``groupBy``.  Rows with a null
-    feature are dropped (listwise).  ``by`` is a bounded column (domains).
-    """
-    d = len(features)
-    cols = [f"f{i}" for i in range(d)]
-    clean = df.select((F.col(by) if by else F.lit("")).cast("string").alias("k"),
-                      *[F.col(f).cast("double").alias(c) for f, c in zip(features, cols)]).dropna()
-    first = clean.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).collect()
-    n = {r["k"]: int(r["n"]) for r in first}
-    mu = {r["k"]: np.array([r[f"m{i}"] for i in range(d)], dtype=float) for r in first}
-    iu, ju = np.triu_indices(d)
-
-    def cross(batches):
-        import pandas as pd
-        sums = {}
-        for pdf in batches:
-            for key, part in pdf.groupby("k"):
-                x = part[cols].to_numpy(dtype=float) - mu[key]
-                sums[key] = sums.get(key, 0.0) + x.T @ x
-        for key, p in sums.items():
-            yield pd.DataFrame({"k": key, "i": iu.astype("int32"), "j": ju.astype("int32"), "v": p[iu, ju]})
-
-    parts = clean.mapInPandas(cross, "k string, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v"))
-    return n, mu, parts
+@dataclass
+class Moments:
+    """Count, means and centred cross-products of the rows without a null."""
+
+    features: list[str]
+    n: int
+    mean: np.ndarray
+    cross: np.ndarray
+    dropped: int = 0          # rows left out because of a null
+
+    def cut(self, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        """(means, sample covariance, rows) of some of the features."""
+        if self.n < 2:
+            raise ValueError("need at least two complete rows for a covariance")
+        at = [self.features.index(f) for f in features]
+        return self.mean[at], self.cross[np.ix_(at, at)] / (self.n - 1), self.n
+
+    def correlations(self, label: str) -> dict[str, float | None]:
+        """Pearson correlation of every feature with ``label`` (None: constant)."""
+        y = self.features.index(label)
+        spread = np.diag(self.cross)
+        flat = spread <= 1e-20 * self.n * (1 + self.mean ** 2)
+        return {f: None if flat[i] or flat[y] else float(self.cross[i, y] / np.sqrt(spread[i] * spread[y]))
+                for i, f in enumerate(self.features) if i != y}
+
+    def f_scores(self, label: str) -> dict[str, float | None]:
+        """Univariate regression F statistic of every feature."""
+        return {f: None if r is None or r * r >= 1 else r * r / (1 - r * r) * (self.n - 2)
+                for f, r in self.correlations(label).items()}
+
+
+def _merged(a: dict, b: dict) -> dict:
+    """Moments of two sets of rows, by domain."""
+    out = dict(a)
+    for key, (n, dropped, mean, cross) in b.items():
+        if key not in out:
+            out[key] = (n, dropped, mean, cross)
+            continue
+        m, lost, centre, products = out[key]
+        if not n or not m:
+            out[key] = (n, dropped + lost, mean, cross) if n else (m, dropped + lost, centre, products)
+            continue
+        step = mean - centre
+        out[key] = (n + m, dropped + lost, centre + step * (n / (n + m)), products + cross + np.outer(step, step) * (n * m / (n + m)))
+    return out
+
+
+def moments_by(df: DataFrame, features: Sequence[str], by: str | None = None) -> dict[str, Moments]:
+    """Moments of ``features`` per value of ``by`` (a bounded column such
+    as the domain; one value, the empty string, without), in one pass."""
+    show_workers_the_package(df.sparkSession)
+    names = list(dict.fromkeys(features))
+    d = len(names)
+    values = "array(" + ", ".join(f"CAST(`{f}` AS DOUBLE)" for f in names) + ")"
+    rows = df.select((F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")).alias("k"), F.expr(values).alias("x"),
+                     F.expr(f"exists({values}, v -> v IS NULL)").alias("gap"))
+
+    def sums(batches):
+        import pyarrow as pa
+        held: dict = {}
+        for batch in batches:
+            keys, gap = batch.column("k").to_numpy(zero_copy_only=False), batch.column("gap").to_numpy(zero_copy_only=False).astype(bool)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for key in np.unique(keys):
+                part = x[(keys == key) & ~gap]
+                mean = part.mean(axis=0) if len(part) else np.zeros(d)
+                centred = part - mean
+                held = _merged(held, {key: (len(part), int(np.sum((keys == key) & gap)), mean, centred.T @ centred)})
+        for key, (n, dropped, mean, cross) in held.items():
+            yield pa.RecordBatch.from_pydict({"k": [key], "n": pa.array([n], pa.int64()), "dropped": pa.array([dropped], pa.int64()),
+                                              "mean": pa.array([mean.tobytes()], pa.binary()), "product": pa.array([cross.tobytes()], pa.binary())})
+
+    found = rows.mapInArrow(sums, "k string, n long, dropped long, mean binary, product binary").rdd.map(
+        lambda r: {r["k"]: (r["n"], r["dropped"], np.frombuffer(r["mean"]), np.frombuffer(r["product"]).reshape(d, d))})
+    total = found.treeAggregate({}, _merged, _merged)
+    return {key: Moments(names, n, mean, cross, dropped) for key, (n, dropped, mean, cross) in total.items()}
+
+
+def moment_store(frames: dict[str, DataFrame], features: Sequence[str], label: str | None = None) -> dict[str, Moments]:
+    """Moments of ``features`` and ``label`` for named frames, in one job."""
+    names = [*features, *([label] if label and label not in features else [])]
+    both = None
+    for name, f in frames.items():
+        part = f.selectExpr(f"'{name}' AS _domain", *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in names])
+        both = part if both is None else both.unionByName(part)
+    found = moments_by(both, names, "_domain")
+    empty = Moments(names, 0, np.zeros(len(names)), np.zeros((len(names), len(names))))
+    return {name: found.get(name, empty) for name in frames}
 
 
 def domain_moments(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector and sample covariance of ``features``; only d + d(d+1)/2
-    numbers reach the driver."""
-    d = len(features)
-    counts, means, parts = _cross_sums(df, features)
-    n = counts.get("", 0)
-    if n < 2:
-        raise ValueError("need at least two complete rows for a covariance")
-    cov = np.zeros((d, d))
-    for r in parts.collect():  # d(d+1)/2 rows: bounded by the schema
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["v"] / (n - 1)
-    return means[""], cov, n
+    """Mean vector and sample covariance of ``features``."""
+    return moment_store({"": df}, features)[""].cut(features)
 
 
 def covariance_long(df: DataFrame, features: Sequence[str], by: str | None = None) -> DataFrame:
     """A20 as a frame: (by, f1, f2, cov) with the sample covariance of every
-    pair i <= j (null with fewer than two rows)."""
-    counts, _, parts = _cross_sums(df, features, by)
-    names = F.array(*[F.lit(f) for f in features])
-    n = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(v))]) if counts else F.lit(None).cast("map<string,int>")
-    out = parts.select(F.col("k"), F.get(names, F.col("i")).alias("f1"), F.get(names, F.col("j")).alias("f2"),
-                       F.when(n[F.col("k")] > 1, F.col("v") / (n[F.col("k")] - 1)).alias("cov"))
-    return out.withColumnRenamed("k", by) if by else out.drop("k")
+    pair i <= j (null with fewer than two rows): d (d + 1) / 2 rows a domain."""
+    found = moments_by(df, features, by)
+    rows = [(key, a, b, float(m.cross[i, j] / (m.n - 1)) if m.n > 1 else None) for key, m in found.items()
+            for i, a in enumerate(m.features) for j, b in enumerate(m.features) if i <= j]
+    out = df.sparkSession.createDataFrame(rows, f"{by or '_k'} string, f1 string, f2 string, cov double")
+    return out if by else out.drop("_k")
 
 
 def _sqrtm(c: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -86,11 +138,11 @@ def _sqrtm(c: np.ndarray, inverse: bool = False) -> np.ndarray:
     return (vecs * vals ** p) @ vecs.T
 
 
-def coral_map(source: DataFrame, target: DataFrame, features: Sequence[str], eps: float = CORAL_EPS):
+def coral_map(moments: dict[str, Moments], features: Sequence[str], eps: float = CORAL_EPS):
     """Linear map of standard CORAL: x' = (x - mu_s) A + mu_t with
     A = (C_s + eps I)^-1/2 (C_t + eps I)^1/2."""
-    mu_s, c_s, _ = domain_moments(source, features)
-    mu_t, c_t, _ = domain_moments(target, features)
+    mu_s, c_s, _ = moments["source"].cut(features)
+    mu_t, c_t, _ = moments["target"].cut(features)
     eye = np.eye(len(features))
     a = _sqrtm(c_s + eps * eye, inverse=True) @ _sqrtm(c_t + eps * eye)
     return mu_s, a, mu_t
@@ -116,35 +168,52 @@ def apply_linear_map(df: DataFrame, features: Sequence[str], mu_s: np.ndarray, a
     return df.mapInPandas(transform, out_schema)
 
 
-def coral_align(source: DataFrame, target: DataFrame, features: Sequence[str], eps: float = CORAL_EPS) -> DataFrame:
-    """Standard CORAL of the source onto the target over ``features``."""
+def _store(source, target, features, label, moments):
+    return moments if moments is not None else moment_store({"source": source, "target": target}, features, label)
+
+
+def coral_align(source: DataFrame, target: DataFrame, features: Sequence[str], eps: float = CORAL_EPS,
+                moments: dict[str, Moments] | None = None) -> DataFrame:
+    """Standard CORAL of the source onto the target over ``features``.
+    ``moments`` (of these features and maybe others) saves the pass over both."""
     if not features:
         return source
-    mu_s, a, mu_t = coral_map(source, target, features, eps)
-    return apply_linear_map(source, features, mu_s, a, mu_t)
+    if moments is None or any(m.dropped for m in moments.values()):      # a null elsewhere must not drop a row
+        moments = moment_store({"source": source, "target": target}, features)
+    return apply_linear_map(source, features, *coral_map(moments, features, eps))
+
+
+def similarity(source: DataFrame, target: DataFrame, features: Sequence[str], label: str,
+               moments: dict[str, Moments]) -> dict[str, float | None]:
+    """D1 from the moments: 1 - |corr_source - corr_target| (None: a constant).
+    With nulls the correlations are of the rows that have both values."""
+    if any(m.dropped for m in moments.values()):
+        return {r["feature"]: r["similarity"] for r in feature_similarity(source, target, features, label).collect()}
+    s, t = (moments[d].correlations(label) for d in ("source", "target"))
+    return {f: None if s[f] is None or t[f] is None else 1.0 - abs(s[f] - t[f]) for f in features}
 
 
-def partial_coral(source: DataFrame, target: DataFrame, features: Sequence[str], label: str,
-                  top_ratio: float = 0.3, eps: float = CORAL_EPS) -> tuple[DataFrame, list[str]]:
+def partial_coral(source: DataFrame, target: DataFrame, features: Sequence[str], label: str, top_ratio: float = 0.3,
+                  eps: float = CORAL_EPS, moments: dict[str, Moments] | None = None) -> tuple[DataFrame, list[str]]:
     """D3: align only the int(n * top_ratio) features whose label correlation
     is most alike in both domains; the others stay as they are."""
-    sim = feature_similarity(source, target, features, label)
-    chosen = top_ratio_features(sim, top_ratio)
-    return coral_align(source, target, chosen, eps), chosen
+    moments = _store(source, target, features, label, moments)
+    chosen = top_ratio_features(similarity(source, target, features, label, moments), top_ratio)
+    return coral_align(source, target, chosen, eps, moments), chosen
 
 
-def threshold_coral(source: DataFrame, target: DataFrame, features: Sequence[str], label: str,
-                    threshold: float = 0.5, eps: float = CORAL_EPS) -> tuple[DataFrame, list[str]]:
+def threshold_coral(source: DataFrame, target: DataFrame, features: Sequence[str], label: str, threshold: float = 0.5,
+                    eps: float = CORAL_EPS, moments: dict[str, Moments] | None = None) -> tuple[DataFrame, list[str]]:
     """Align the features with similarity > threshold (all if none)."""
-    sim = feature_similarity(source, target, features, label)
-    chosen = threshold_features(sim, threshold)
-    return coral_align(source, target, chosen, eps), chosen
+    moments = _store(source, target, features, label, moments)
+    chosen = threshold_features(similarity(source, target, features, label, moments), threshold)
+    return coral_align(source, target, chosen, eps, moments), chosen
 
 
-def adaptive_coral(source: DataFrame, target: DataFrame, features: Sequence[str], label: str,
-                   similarity_threshold: float = 0.7, eps: float = CORAL_EPS) -> tuple[DataFrame, list[str]]:
+def adaptive_coral(source: DataFrame, target: DataFrame, features: Sequence[str], label: str, similarity_threshold: float = 0.7,
+                   eps: float = CORAL_EPS, moments: dict[str, Moments] | None = None) -> tuple[DataFrame, list[str]]:
     """Our reading of the adaptive variant: D4 at threshold 0.7."""
-    return threshold_coral(source, target, features, label, similarity_threshold, eps)
+    return threshold_coral(source, target, features, label, similarity_threshold, eps, moments)
 
 
 def standardized_distance(source: DataFrame, target: DataFrame, features: Sequence[str], out: str = "distance") -> DataFrame:

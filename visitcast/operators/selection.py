@@ -78,24 +78,26 @@ def _defined(c: str):
     return F.col(c).isNotNull() & ~F.isnan(F.col(c))
 
 
-def top_ratio_features(sim: DataFrame, ratio: float) -> list[str]:
+def _by_feature(sim: DataFrame | dict[str, float | None]) -> dict[str, float | None]:
+    """Similarities by feature (one row per feature: bounded by the schema)."""
+    if not isinstance(sim, dict):
+        sim = {r["feature"]: r["similarity"] for r in sim.select("feature", "similarity").collect()}
+    return {f: None if v is None or v != v else v for f, v in sim.items()}
+
+
+def top_ratio_features(sim: DataFrame | dict[str, float | None], ratio: float) -> list[str]:
     """K4: the int(n * ratio) most similar features (n = all features).
     Ties break on the feature name; NaN/NULL similarity is never chosen and
     k = 0 chooses nothing (the original's [-0:] slice chose everything)."""
-    n = sim.count()
-    k = int(n * ratio)
-    if k <= 0:
-        return []
-    rows = (sim.where(_defined("similarity")).orderBy(F.col("similarity").desc(), F.col("feature"))
-            .limit(k).select("feature").collect())
-    return [r[0] for r in rows]
+    found = _by_feature(sim)
+    k = max(0, int(len(found) * ratio))
+    return [f for _, f in sorted((-v, f) for f, v in found.items() if v is not None)[:k]]
 
 
-def threshold_features(sim: DataFrame, threshold: float) -> list[str]:
+def threshold_features(sim: DataFrame | dict[str, float | None], threshold: float) -> list[str]:
     """K5: features with similarity > threshold; all features if none pass."""
-    passed = [r[0] for r in sim.where(_defined("similarity") & (F.col("similarity") > threshold))
-              .orderBy("feature").select("feature").collect()]
-    return passed or [r[0] for r in sim.orderBy("feature").select("feature").collect()]
+    found = _by_feature(sim)
+    return sorted(f for f, v in found.items() if v is not None and v > threshold) or sorted(found)
 
 
 def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

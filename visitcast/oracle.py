@@ -447,10 +447,14 @@ QUALIFY row_number() OVER (PARTITION BY domain ORDER BY {key}, store_id, visit_d
   CASE WHEN f.origin = DATE '2001-10-01' THEN 'test' ELSE 'train' END AS split FROM ({feature_table_sql()}) f"""
     for recipe in ("baseline", "direct_transfer", "fine_tune", "pseudo_label", "pseudo_label_copies", "domain_weighted",
                    "weighted_da", "sample_transfer", "adversarial", "ensemble", "super_ensemble_topk", "super_ensemble_aligned"):
-        q[recipe] = with_prelude(body=f"""SELECT origin, store_id, visit_date, {r6('visitors')} AS visitors, true AS predicted
-FROM v_labels WHERE origin = DATE '2001-10-01' AND store_id IN (SELECT source_id FROM v_rel)""")
-    q["learner_trees"] = "SELECT true AS all_rounds_kept, true AS error_halved, true AS step_size_acts"
-    q["recipe_beats_mean"] = "SELECT unnest(['baseline', 'direct_transfer', 'fine_tune']) AS method, true AS beats_mean"
+        q[recipe] = with_prelude(body="""SELECT l.origin, l.store_id, l.visit_date,
+  CAST(d.weekday * 0.5 + CASE WHEN d.genre % 2 = 0 THEN 2.0 ELSE 0.0 END AS DOUBLE) AS visitors, true AS beats_mean
+FROM v_labels l JOIN v_dec d ON d.store_id = l.store_id AND d.visit_date = l.visit_date
+WHERE l.origin = DATE '2001-10-01' AND l.store_id IN (SELECT source_id FROM v_rel)""")
+    q["learner_trees"] = "SELECT true AS all_rounds_kept, true AS error_is_a_tenth, true AS step_size_acts"
+    q["recipe_beats_mean"] = """SELECT unnest(['baseline', 'direct_transfer', 'fine_tune', 'pseudo_label', 'pseudo_label_copies',
+  'domain_weighted', 'weighted_da', 'sample_transfer', 'adversarial', 'ensemble', 'super_ensemble_topk',
+  'super_ensemble_aligned']) AS method, true AS beats_mean"""
     cut = ("cut{0} AS (SELECT min(visit_date) AS c FROM (SELECT DISTINCT visit_date FROM tl WHERE domain = '{0}' "
            "ORDER BY visit_date DESC LIMIT 7))")
     gap = "1.0 / (1.0 + abs(day_gap) + 1e-8)"

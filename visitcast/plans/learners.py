@@ -1,12 +1,22 @@
-"""Learners (M3, M4, M7, S8): gradient boosting on Spark ML trees.
-
-Spark's own boosting gives the first tree full weight whatever the step size,
-stops by a relative tolerance instead of a patience, and cannot go on from a
-given model.  Here every round fits one Spark ML tree to the residuals of the
-training rows (``RandomForestRegressor`` with a single tree, so row and
-per-node feature subsampling are Spark's), adds it with the step size, and
-scores the validation rows; the best prefix is kept once ``patience`` rounds
-bring no gain.  Trees and step sizes end up in one ``GBTRegressionModel``.
+"""Learners (M3, M4, M7, S8): gradient boosted histogram trees as Spark passes.
+
+The feature vectors are assembled and cut into bins once and stored in blocks
+(one byte a value); no round writes them again.  The only thing that changes is
+a ledger with one number a row, the score so far, zipped to the blocks; it is
+written to the checkpoint folder every ``ledger_every`` rounds, and a pass adds
+the few trees grown since then.
+
+A round is one pass per tree level.  Tasks add up count, weight and weighted
+residual by (node, feature, bin) and Spark adds the tasks' histograms; the first
+pass of a round also brings the validation error of the last tree, so no job is
+spent on it.  Beyond ``FAN_IN`` partitions the histograms are added by a shuffle
+and the best split of a node is found on the executors; only splits reach the
+driver.  Several fits (a grid, an ensemble, all recipes) go through the same
+passes (``boost_all``), each with its own parameters and patience; fits on the
+same rows share their blocks and have a ledger each.
+
+Rows are taken or left by a generator seeded with round and block, features by
+one seeded with the round: a retried task sees the same rows.
 """
 
 from __future__ import annotations
@@ -15,20 +25,28 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, show_workers_the_package
 from ..sources import io
 
+BLOCK_ROWS = 4096
+TASK_ROWS = 1_000_000
+FAN_IN = 16
+EDGE_ACCURACY = 500                   # rank error of the bin borders: 1 / 500
+TREE_SCHEMA = ("part int, tree int, step double, node int, feature int, bin int, threshold double, left int, right int,"
+               " value double, gain double")
+
 
 @dataclass(frozen=True)
 class GBTParams:
     """Fixed default values of the modelled experiments."""
 
     max_depth: int = 9
+    max_leaves: int = 255
     min_leaf: int = 50
     step_size: float = 0.007
     feature_fraction: float = 0.6
@@ -42,9 +60,49 @@ class GBTParams:
         return replace(self, **kw)
 
 
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    """Feature vector column; nulls are kept as NaN (trees split on them)."""
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+# -------------------------------------------------------------------- models --
+
+def leaf_of(tree: dict, x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Leaf of every row; missing values go left."""
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    while True:
+        feature = tree["feature"][node]
+        inner = feature >= 0
+        if not inner.any():
+            return node
+        right = x[rows, np.maximum(feature, 0)] > cut[node]
+        node = np.where(inner, np.where(right, tree["right"][node], tree["left"][node]), node)
+
+
+@dataclass
+class Trees:
+    """Boosted trees over a feature list; every tree has its step."""
+
+    features: list[str]
+    trees: list[dict]
+    step: float
+
+    @property
+    def getNumTrees(self) -> int:
+        return len(self.trees)
+
+    @property
+    def treeWeights(self) -> list[float]:
+        return [self.step] * len(self.trees)
+
+    def importances(self) -> np.ndarray:
+        """Share of every feature in the gains of all splits."""
+        out = np.zeros(len(self.features))
+        for t in self.trees:
+            inner = t["feature"] >= 0
+            np.add.at(out, t["feature"][inner], t["gain"][inner])
+        return out / out.sum() if out.sum() > 0 else out
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for t in self.trees:
+            out += self.step * t["value"][leaf_of(t, x, t["threshold"])]
+        return out
 
 
 @dataclass
@@ -52,7 +110,7 @@ class Part:
     """A boosted ensemble over its own feature list."""
 
     features: list[str]
-    model: GBTRegressionModel | None      # None: no round was worth keeping
+    model: Trees | None      # None: no round was worth keeping
 
 
 @dataclass
@@ -63,16 +121,22 @@ class Chain:
     parts: list[Part] = field(default_factory=list)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """M4 (first half): add the prediction column."""
-        total = F.lit(self.start)
-        for i, part in enumerate(self.parts):
-            if part.model is not None:
-                df = assemble(df, part.features, "_x").withColumnRenamed("prediction", "_kept") \
-                    if "prediction" in df.columns else assemble(df, part.features, "_x")
-                df = part.model.setFeaturesCol("_x").setPredictionCol(f"_p{i}").transform(df).drop("_x")
-                df = df.withColumnRenamed("_kept", "prediction") if "_kept" in df.columns else df
-                total = total + F.col(f"_p{i}")
-        return df.withColumn(out, total).drop(*[f"_p{i}" for i in range(len(self.parts))])
+        """M4 (first half): add the prediction column, an Arrow batch at a time."""
+        show_workers_the_package(df.sparkSession)
+        start, parts = float(self.start), [p for p in self.parts if p.model is not None]
+        if not parts:
+            return df.withColumn(out, F.lit(start))
+        names = list(dict.fromkeys(f for p in parts for f in p.features))
+        at = {f: i for i, f in enumerate(names)}
+        models = [(np.array([at[f] for f in p.features]), p.model) for p in parts]
+
+        @F.pandas_udf("double")
+        def score(rows):
+            import pandas as pd
+            x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, len(names)))
+            return pd.Series(start + sum(m.score(x[:, columns]) for columns, m in models))
+
+        return df.withColumn(out, score(feature_array(names)))
 
     @property
     def rounds(self) -> list[int]:
@@ -80,79 +144,325 @@ class Chain:
         return [0 if p.model is None else p.model.getNumTrees for p in self.parts]
 
 
-def _ensemble(spark: SparkSession, trees: list, steps: list[float]) -> GBTRegressionModel:
-    """One model of weighted trees, through the public JVM constructor."""
-    sc = spark.sparkContext
-    jtrees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
-    jsteps = sc._gateway.new_array(sc._jvm.double, len(steps))
-    for i, (tree, step) in enumerate(zip(trees, steps)):
-        jtrees[i], jsteps[i] = tree._java_obj, float(step)
-    uid = sc._jvm.org.apache.spark.ml.util.Identifiable.randomUID("boosted")
-    return GBTRegressionModel(sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, jtrees, jsteps))
+def feature_array(features: Sequence[str]):
+    """The features as one array; nulls are NaN.  (SQL text: a call a column is
+    slow for hundreds of them.)"""
+    return F.expr("array(" + ", ".join(f"coalesce(CAST(`{f}` AS DOUBLE), double('NaN'))" for f in features) + ")")
 
 
-def boost(train: DataFrame, features: Sequence[str], params: GBTParams, label: str = "visitors",
-          weight_col: str | None = "weight", valid_col: str | None = None, init: Chain | None = None,
-          cut_every: int = 8) -> Chain:
-    """M3 / M7: boosting rounds from the weighted label mean, or from ``init``.
+# -------------------------------------------------------------------- blocks --
+
+@dataclass
+class Fit:
+    """One fit: rows, features, parameters and the model to go on from."""
+
+    rows: DataFrame
+    features: Sequence[str]
+    params: GBTParams
+    label: str = "visitors"
+    weight_col: str | None = "weight"
+    valid_col: str | None = None
+    init: Chain | None = None
+
+
+def bin_borders(df: DataFrame, features: Sequence[str], max_bins: int) -> list[np.ndarray]:
+    """Ascending borders of the value bins of every feature (one pass; sketches
+    of bounded size).  Bin 0 holds missing values."""
+    if not 2 <= max_bins <= 255:
+        raise ValueError("max_bins must be between 2 and 255")
+    share = ", ".join(f"{i / (max_bins - 1)}D" for i in range(1, max_bins - 1))
+    if not features or not share:
+        return [np.zeros(0) for _ in features]
+    found = df.selectExpr(*[f"percentile_approx(nullif(CAST(`{f}` AS DOUBLE), double('NaN')), array({share}), {EDGE_ACCURACY}) AS f{i}"
+                            for i, f in enumerate(features)]).first()
+    return [np.unique(np.array(q or [], float)) for q in found]
+
+
+def _packed(number: int, fit: Fit, borders: list[np.ndarray]) -> DataFrame:
+    """Blocks of up to BLOCK_ROWS rows: bins, label, weight, validation flag,
+    score of the initial model."""
+    weight = F.col(fit.weight_col).cast("double") if fit.weight_col else F.lit(1.0)
+    valid = F.coalesce(F.col(fit.valid_col), F.lit(False)) if fit.valid_col else F.lit(False)
+    scored = fit.init.predict(fit.rows, "_f") if fit.init else fit.rows.withColumn("_f", F.lit(0.0))
+    rows = scored.select(feature_array(fit.features).alias("x"), F.col(fit.label).cast("double").alias("y"),
+                         weight.alias("w"), valid.alias("valid"), F.col("_f").alias("f")).where("y IS NOT NULL AND w IS NOT NULL")
+    d = len(fit.features)
+
+    def pack(batches):
+        import pyarrow as pa
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            bins = np.empty(x.shape, np.uint8)
+            for j, border in enumerate(borders):
+                bins[:, j] = np.where(np.isnan(x[:, j]), 0, 1 + np.searchsorted(border, x[:, j], "left"))
+            rest = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "valid", "f")]
+            for i in range(0, len(x), BLOCK_ROWS):
+                part = slice(i, i + BLOCK_ROWS)
+                yield pa.RecordBatch.from_pydict({
+                    "data": pa.array([number], pa.int32()), "n": pa.array([len(bins[part])], pa.int32()),
+                    **{name: pa.array([np.ascontiguousarray(v[part]).tobytes()], pa.binary())
+                       for name, v in zip(("bins", "y", "w", "valid", "f"), (bins, *rest))}})
+
+    return rows.mapInArrow(pack, "data int, n int, bins binary, y binary, w binary, valid binary, f binary")
+
+
+def _unpacked(runs_of: dict[int, list[int]]):
+    """(data, block, bins, label, weight, validation flag), score by run."""
+    def unpack(row):
+        score = np.frombuffer(row["f"])
+        return ((row["data"], row["block"], np.frombuffer(row["bins"], np.uint8).reshape(row["n"], -1), np.frombuffer(row["y"]),
+                 np.frombuffer(row["w"]), np.frombuffer(row["valid"], bool)), {i: score for i in runs_of[row["data"]]})
+
+    return unpack
+
+
+# -------------------------------------------------------------------- passes --
+
+def _grown(entry: dict, bins: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The ledger's score with the trees grown since it was written."""
+    for tree in entry["pending"]:
+        score = score + entry["step"] * tree["value"][leaf_of(tree, bins, tree["bin"])]
+    return score
+
+
+def _histograms(plan: dict):
+    """Task of a pass: ((run, slot), (3, features, bins)) sums of count, weight
+    and weighted residual; slot -1 has the validation error and its weight."""
+
+    def add(sums, number, entry, block, bins, y, w, valid, score):
+        residual = y - entry["offset"] - _grown(entry, bins, score)
+        if entry["level"] == 0 and valid.any():
+            error = np.array([np.sum(w[valid] * residual[valid] ** 2), np.sum(w[valid])])
+            sums[number, -1] = sums.get((number, -1), 0.0) + error
+        if not entry["slots"]:
+            return
+        drawn = np.random.Generator(np.random.Philox(key=[entry["seed"], block])).random(len(y)) < entry["fraction"]
+        slot = np.array([entry["slots"].get(i, -1) for i in range(len(entry["tree"]["feature"]))])[
+            leaf_of(entry["tree"], bins, entry["tree"]["bin"])]
+        rows = np.flatnonzero(~valid & drawn & (slot >= 0))
+        columns, size = entry["columns"], entry["bins"]
+        d, k = len(columns), len(entry["slots"])
+        cell = ((slot[rows, None] * d + np.arange(d)) * size + bins[rows][:, columns]).ravel()
+        found = np.stack([np.bincount(cell, None if v is None else np.repeat(v, d), k * d * size).astype(float).reshape(k, d, size)
+                          for v in (None, w[rows], w[rows] * residual[rows])], axis=1)
+        for i in range(k):
+            sums[number, i] = sums.get((number, i), 0.0) + found[i]
+
+    def run(blocks):
+        sums: dict = {}
+        for (_, block, bins, y, w, valid), scores in blocks:
+            for number, score in scores.items():
+                if number in plan and len(y):
+                    add(sums, number, plan[number], block, bins, y, w, valid, score)
+        return sums.items()
+
+    return run
+
+
+def best_split(sums: np.ndarray, min_leaf: int) -> tuple:
+    """(gain, column, bin, left value, right value, own value) of a node."""
+    count, weight, residual = np.cumsum(sums, axis=2)
+    n, w, r = count[0, -1], weight[0, -1], residual[0, -1]
+    if w <= 0:
+        return 0.0, -1, -1, 0.0, 0.0, 0.0
+    lw, lr = weight[:, :-1], residual[:, :-1]
+    rw, rr = w - lw, r - lr
+    fits = (count[:, :-1] >= min_leaf) & (n - count[:, :-1] >= min_leaf) & (lw > 0) & (rw > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(fits, lr ** 2 / lw + rr ** 2 / rw - r ** 2 / w, 0.0)
+    j, b = divmod(int(np.argmax(gain)), gain.shape[1])
+    if gain[j, b] <= 1e-12 * (1 + r ** 2 / w):
+        return 0.0, -1, -1, 0.0, 0.0, float(r / w)
+    return float(gain[j, b]), j, b, float(lr[j, b] / lw[j, b]), float(rr[j, b] / rw[j, b]), float(r / w)
+
+
+class _Grower:
+    """A tree in the making on the driver (at most ``max_leaves`` leaves)."""
+
+    def __init__(self, params: GBTParams, features: int, k: int) -> None:
+        rng = np.random.default_rng([params.seed, k])
+        self.params = params
+        self.columns = np.sort(rng.choice(features, max(1, int(round(params.feature_fraction * features))), replace=False))
+        self.nodes = [dict(feature=-1, bin=-1, threshold=0.0, left=-1, right=-1, value=0.0, gain=0.0)]
+        self.open, self.leaves = [0], 1
+
+    def arrays(self) -> dict:
+        kinds = dict(feature=np.int32, bin=np.int32, threshold=float, left=np.int32, right=np.int32, value=float, gain=float)
+        return {name: np.array([n[name] for n in self.nodes], kind) for name, kind in kinds.items()}
+
+    def split(self, found: list[tuple], borders: list[np.ndarray]) -> None:
+        """The best splits of the open nodes first, as far as leaves are left."""
+        nodes, self.open = self.open, []
+        if nodes == [0]:
+            self.nodes[0]["value"] = found[0][5]
+        for (gain, j, b, left, right, _), node in sorted(zip(found, nodes), key=lambda x: (-x[0][0], x[1])):
+            if gain <= 0 or self.leaves >= self.params.max_leaves:
+                break
+            feature = int(self.columns[j])
+            at = len(self.nodes)
+            self.nodes[node] |= dict(feature=feature, bin=b, left=at, right=at + 1, gain=gain,
+                                     threshold=float(borders[feature][b - 1]) if b else float("-inf"))
+            self.nodes += [dict(feature=-1, bin=-1, threshold=0.0, left=-1, right=-1, value=v, gain=0.0) for v in (left, right)]
+            self.open += [at, at + 1]
+            self.leaves += 1
+        self.open.sort()
+
+
+def boost_all(fits: dict[str, Fit], ledger_every: int = 16) -> dict[str, Chain]:
+    """M3 / M7 for several fits in the same passes -> a chain per name.
 
     Rows with ``valid_col`` true are never trained on; they choose the prefix
-    (weighted squared error, ``patience`` rounds without a gain end the fit).
+    (weighted squared error, ``patience`` rounds without a gain end a fit).
     """
-    spark = train.sparkSession
-    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    valid = F.coalesce(F.col(valid_col), F.lit(False)) if valid_col else F.lit(False)
-    if init is None:
-        mean = train.where(~valid).agg(F.sum(weight * F.col(label)) / F.sum(weight)).first()[0]
-        init = Chain(float(mean or 0.0))
-    data = assemble(init.predict(train, "_f"), features, "_x").select(
-        "_x", F.col(label).cast("double").alias("_y"), weight.alias("_w"), valid.alias("_valid"), "_f")
-    data = reliable_checkpoint(data)
-    error = F.sum(F.col("_w") * F.pow(F.col("_y") - F.col("_f"), 2)) / F.sum("_w")
-
-    def loss(frame: DataFrame) -> float | None:
-        return frame.where("_valid").agg(error).first()[0] if valid_col else None
-
-    trees: list = []
-    best, best_at = loss(data), 0
-    for k in range(params.max_iter):
-        forest = RandomForestRegressor(
-            featuresCol="_x", labelCol="_r", weightCol="_w", numTrees=1, bootstrap=False, maxBins=params.max_bins,
-            maxDepth=min(params.max_depth, 30), minInstancesPerNode=params.min_leaf,
-            subsamplingRate=params.bagging_fraction, featureSubsetStrategy=str(params.feature_fraction),
-            seed=params.seed + k)
-        tree = forest.fit(data.where(~F.col("_valid")).withColumn("_r", F.col("_y") - F.col("_f"))).trees[0]
-        trees.append(tree)
-        data = tree.setFeaturesCol("_x").setPredictionCol("_t").transform(data) \
-            .withColumn("_f", F.col("_f") + params.step_size * F.col("_t")).drop("_t")
-        if (k + 1) % cut_every == 0:
-            data = reliable_checkpoint(data)
-        now = loss(data)
-        if now is not None:
-            if best is None or now < best:
-                best, best_at = now, len(trees)
-            elif len(trees) - best_at >= params.patience:
-                break
-    kept = trees[:best_at] if best is not None else trees
-    model = _ensemble(spark, kept, [params.step_size] * len(kept)) if kept else None
-    return Chain(init.start, [*init.parts, Part(list(features), model)])
+    if not fits:
+        return {}
+    names = list(fits)
+    spark = fits[names[0]].rows.sparkSession
+    show_workers_the_package(spark)
+    data, packed, borders = {}, None, []       # runs by (rows, features, ...): one set of blocks each
+    for i, name in enumerate(names):
+        f = fits[name]
+        data.setdefault((id(f.rows), tuple(f.features), f.label, f.weight_col, f.valid_col, f.params.max_bins, id(f.init)), []).append(i)
+    runs_of, sketched = dict(enumerate(data.values())), {}
+    for number, members in runs_of.items():
+        fit = fits[names[members[0]]]
+        key = (id(fit.rows), tuple(fit.features), fit.valid_col, fit.params.max_bins)
+        if key not in sketched:
+            train = fit.rows.where(~F.coalesce(F.col(fit.valid_col), F.lit(False))) if fit.valid_col else fit.rows
+            sketched[key] = bin_borders(train, fit.features, fit.params.max_bins)
+        borders.append(sketched[key])
+        part = _packed(number, fit, borders[number])
+        packed = part if packed is None else packed.unionByName(part)
+    stored = reliable_checkpoint(packed)
+    rows = stored.agg(F.sum("n")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    state = stored.withColumn("block", F.monotonically_increasing_id()).coalesce(tasks).rdd.map(_unpacked(runs_of))
+    blocks = state.keys().persist(StorageLevel.MEMORY_AND_DISK)
+    ledger = state.values()
+
+    def combined(task, fold):
+        """Sums of the tasks by key, folded."""
+        pairs = blocks.zip(ledger).mapPartitions(task)
+        if blocks.getNumPartitions() > FAN_IN:
+            return dict(pairs.reduceByKey(lambda a, b: a + b).map(lambda kv: (kv[0], fold(*kv))).collect())
+        sums: dict = {}
+        for key, value in pairs.collect():
+            sums[key] = sums.get(key, 0.0) + value
+        return {key: fold(key, value) for key, value in sums.items()}
+
+    def totals(blocks):
+        sums: dict = {}
+        for (number, _, _, y, w, valid), _ in blocks:
+            sums[number] = sums.get(number, 0.0) + np.array([np.sum((w * y)[~valid]), np.sum(w[~valid])])
+        return sums.items()
+
+    means = combined(totals, lambda key, v: float(v[0] / v[1]) if v[1] > 0 else 0.0) \
+        if any(f.init is None for f in fits.values()) else {}
+    data_of = {i: number for number, members in runs_of.items() for i in members}
+    runs = {i: dict(fit=fits[n], trees=[], pending=[], best=None, best_at=0, done=False, borders=borders[data_of[i]],
+                    offset=0.0 if fits[n].init else means.get(data_of[i], 0.0)) for i, n in enumerate(names)}
+    least = {i: r["fit"].params.min_leaf for i, r in runs.items()}
+
+    def fold(key, value):
+        return value if key[1] < 0 else best_split(value, least[key[0]])
+
+    try:
+        k = 0
+        while any(not r["done"] for r in runs.values()):
+            growers = {i: _Grower(r["fit"].params, len(r["fit"].features), k) for i, r in runs.items() if not r["done"]}
+            level = 0
+            while growers:
+                plan = {}
+                for i, g in growers.items():
+                    r, p = runs[i], runs[i]["fit"].params
+                    grows = len(r["trees"]) < p.max_iter
+                    plan[i] = dict(level=level, offset=r["offset"], pending=r["pending"], step=p.step_size, tree=g.arrays(),
+                                   slots={node: s for s, node in enumerate(g.open)} if grows else {}, columns=g.columns,
+                                   seed=p.seed + k, fraction=p.bagging_fraction, bins=max([len(b) for b in r["borders"]], default=0) + 2)
+                found = combined(_histograms(plan), fold)
+                for i, g in list(growers.items()):
+                    r, p = runs[i], runs[i]["fit"].params
+                    if level == 0:
+                        error = found.get((i, -1))
+                        if error is not None:
+                            now = float(error[0] / error[1]) if error[1] > 0 else None
+                            if now is not None and (r["best"] is None or now < r["best"]):
+                                r["best"], r["best_at"] = now, len(r["trees"])
+                            elif len(r["trees"]) - r["best_at"] >= p.patience:
+                                r["done"] = True
+                        if len(r["trees"]) >= p.max_iter:
+                            r["done"] = True
+                        if r["done"]:
+                            del growers[i]
+                            continue
+                    none = (0.0, -1, -1, 0.0, 0.0, 0.0)
+                    g.split([found.get((i, s), none) for s in range(len(g.open))], r["borders"])
+                    if not g.open or level + 1 >= p.max_depth:
+                        r["trees"].append(g.arrays())
+                        r["pending"] = r["pending"] + [r["trees"][-1]]
+                        del growers[i]
+                level += 1
+            k += 1
+            if k % ledger_every == 0 and any(r["pending"] for r in runs.values()):
+                plan = {i: dict(pending=r["pending"], step=r["fit"].params.step_size) for i, r in runs.items() if r["pending"]}
+                ledger = _written(blocks, ledger, plan)
+                for r in runs.values():
+                    r["pending"] = []
+    finally:
+        blocks.unpersist()
+    out = {}
+    for i, name in enumerate(names):
+        r, fit = runs[i], fits[name]
+        kept = r["trees"][:r["best_at"]] if r["best"] is not None else r["trees"]
+        part = Part(list(fit.features), Trees(list(fit.features), kept, fit.params.step_size) if kept else None)
+        out[name] = Chain(fit.init.start, [*fit.init.parts, part]) if fit.init else Chain(r["offset"], [part])
+    return out
+
+
+def _written(blocks, ledger, plan):
+    """The ledger with the pending trees added: one number a row and run, checkpointed."""
+    def add(pair):
+        (_, _, bins, *_), scores = pair
+        return {i: _grown(plan[i], bins, score) if i in plan else score for i, score in scores.items()}
+
+    new = blocks.zip(ledger).map(add)
+    new.persist(StorageLevel.MEMORY_AND_DISK)
+    new.checkpoint()
+    new.count()
+    return new
+
+
+def boost(train: DataFrame, features: Sequence[str], params: GBTParams, label: str = "visitors",
+          weight_col: str | None = "weight", valid_col: str | None = None, init: Chain | None = None) -> Chain:
+    """M3 / M7: boosting rounds from the weighted label mean, or from ``init``."""
+    return boost_all({"one": Fit(train, features, params, label, weight_col, valid_col, init)})["one"]
+
 
+# --------------------------------------------------------------------- store --
 
 def save(chain: Chain, spark: SparkSession, path: str) -> None:
-    """Models first, the description last (its marker says all is there)."""
-    for i, part in enumerate(chain.parts):
-        if part.model is not None:
-            part.model.write().overwrite().save(f"{path}/part-{i}")
+    """The trees as a table of nodes first, the description last (its marker
+    says all is there)."""
+    rows = [(i, k, part.model.step, node, *(t[c][node].item() for c in ("feature", "bin", "threshold", "left", "right", "value", "gain")))
+            for i, part in enumerate(chain.parts) if part.model is not None
+            for k, t in enumerate(part.model.trees) for node in range(len(t["feature"]))]
+    spark.createDataFrame(rows, TREE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
     text = json.dumps({"start": chain.start, "parts": [{"features": p.features, "model": p.model is not None}
                                                        for p in chain.parts]})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/chain")
 
 
 def load(spark: SparkSession, path: str) -> Chain:
+    """The model stored at ``path`` (its size is set by the rounds and leaves)."""
     described = json.loads(spark.read.text(f"{path}/chain").first()[0])
-    return Chain(described["start"], [
-        Part(p["features"], GBTRegressionModel.load(f"{path}/part-{i}") if p["model"] else None)
-        for i, p in enumerate(described["parts"])])
+    nodes = spark.read.parquet(f"{path}/trees").toPandas().sort_values(["part", "tree", "node"])
+    parts = []
+    for i, p in enumerate(described["parts"]):
+        mine = nodes[nodes["part"] == i]
+        trees = [{c: t[c].to_numpy() for c in ("feature", "bin", "threshold", "left", "right", "value", "gain")}
+                 for _, t in mine.groupby("tree", sort=True)]
+        parts.append(Part(p["features"], Trees(p["features"], trees, float(mine["step"].iloc[0])) if trees else None))
+    return Chain(described["start"], parts)
 
 
 def train_or_load(path: str | None, train: DataFrame, features: Sequence[str], params: GBTParams, **options) -> Chain:

@@ -50,7 +50,7 @@ def stage_gains(stages: DataFrame) -> DataFrame:
 
 def feature_importance(spark: SparkSession, model, features: Sequence[str], top: int = 20) -> DataFrame:
     """M21 + K3: the ``top`` largest importances with their feature names."""
-    imp = model.featureImportances.toArray()
+    imp = model.importances()
     rows = [(f, float(v)) for f, v in zip(features, imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ class DomainData:
     source_test: DataFrame
     target_test: DataFrame
     features: list[str]
+    shared: dict = field(default_factory=dict)      # frames that several fits use
 
 
 def domain_frames(feature_table: DataFrame, relation: DataFrame, test_begin=tables.TEST_BEGIN) -> DomainData:
@@ -42,10 +43,10 @@ def pseudo_union_a(source: DataFrame, target_pred: DataFrame, label: str = "visi
     """M8: source rows with their labels and weight 1, target rows labelled by
     a model's prediction and weighted 1/(1+|gap|) over their mean."""
     s = source.withColumn("weight", F.lit(1.0)).withColumn("domain", F.lit("source"))
-    t = (target_pred.withColumn(label, F.col(prediction)).drop(prediction)
+    t = (target_pred.withColumn(label, F.col(prediction)).select(*source.columns)
          .withColumn("weight", F.lit(1.0) / (F.lit(1.0) + F.abs(F.col(gap_col)))))
     t = W.normalize_by_part_mean(t, "weight", None).withColumn("domain", F.lit("target"))
-    return s.unionByName(t, allowMissingColumns=True)
+    return s.unionByName(t)
 
 
 def pseudo_union_b(target: DataFrame, target_pred: DataFrame, label: str = "visitors",

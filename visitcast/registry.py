@@ -9,7 +9,6 @@ is written separately, by hand.
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +32,17 @@ TEST_BEGIN = tables.TEST_BEGIN
 CUTOFF = TEST_BEGIN - dt.timedelta(days=1)
 # Columns used as plain numeric features by the domain-statistics checks.
 DV_FEATURES = ["weekday", "day", "days_to_side", "holiday_flg", "holiday", "genre", "area"]
-# The registered learner runs: small trees, large steps, few rounds.  These are
-# the parameters of the runs, passed to every recipe as they stand.
-PARAMS = L.GBTParams(max_depth=4, min_leaf=20, step_size=0.3, max_iter=6, patience=3)
-PHASES = ((0.2, 4), (0.1, 3))
+# The registered learner runs: shallow trees and large steps, at least a hundred
+# rounds (patience ends them earlier).  These are the parameters of the runs,
+# passed to every recipe as they stand; the grids are whole.
+PARAMS = L.GBTParams(max_depth=3, min_leaf=20, step_size=0.1, max_iter=100, patience=25)
+PHASES = ((0.1, 100), (0.05, 100))
+WAITS = (10, 25)
 OPTIONS = {
-    "fine_tune": dict(learning_rate=0.1, rounds=5), "adversarial": dict(learning_rate=0.2, rounds=5),
-    "weighted_da": dict(learning_rate=0.2, rounds=5), "sample_transfer": dict(learning_rate=0.2, rounds=5),
-    "ensemble": dict(learning_rate=0.1, rounds=3), "super_ensemble_topk": dict(phases=PHASES),
-    "super_ensemble_aligned": dict(phases=PHASES),
+    "fine_tune": dict(learning_rate=0.05, rounds=100), "adversarial": dict(learning_rate=0.1, rounds=100),
+    "weighted_da": dict(learning_rate=0.1, rounds=100), "sample_transfer": dict(learning_rate=0.1, rounds=100),
+    "ensemble": dict(learning_rate=0.05, rounds=100), "super_ensemble_topk": dict(phases=PHASES, patience=WAITS),
+    "super_ensemble_aligned": dict(phases=PHASES, patience=WAITS),
 }
 
 
@@ -101,12 +102,32 @@ def domain_data(spark, sf) -> trainset.DomainData:
     return trainset.domain_frames(checked_feature_table(spark, sf), tables.relation(spark, sf))
 
 
-def learner_source(spark, sf):
-    """The source model of the registered runs: fitted once per session and
-    folder, stored in the shared folder, loaded by every other query (S8)."""
-    name = hashlib.sha256(f"{sf}|{PARAMS}".encode()).hexdigest()[:16]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/visitcast-source-{name}"
-    return RC.source_model(domain_data(spark, sf), PARAMS, path)
+def learner_source(spark, sf, data=None):
+    """The source model of the registered runs, stored in the shared folder
+    under a fingerprint of its rows and parameters and loaded by every other
+    query on the same rows (S8)."""
+    data = data or domain_data(spark, sf)
+    name = io.fingerprint(data.source_train, PARAMS, data.features)
+    return RC.source_model(data, PARAMS, f"{ensure_checkpoint_dir(spark).rstrip('/')}/visitcast-source-{name}")
+
+
+def planted_data(spark, sf) -> trainset.DomainData:
+    """The domains with a planted label: half the weekday, and two more for even
+    genres (checkpointed once per session and folder)."""
+    key = (spark.sparkContext.applicationId, sf, "planted")
+    if key not in _TABLE_CACHE:
+        data = domain_data(spark, sf)
+        label = F.col("weekday") * 0.5 + F.when(F.col("genre") % 2 == 0, 2.0).otherwise(0.0)
+        parts = [reliable_checkpoint(d.withColumn("visitors", label))
+                 for d in (data.source_train, data.target_train, data.source_test, data.target_test)]
+        _TABLE_CACHE[key] = trainset.DomainData(*parts, data.features)
+    return _TABLE_CACHE[key]
+
+
+def _mean_error(data) -> float:
+    """RMSLE of the training mean on the target's test rows."""
+    mean = data.target_train.agg(F.avg("visitors")).first()[0]
+    return report.rmsle(data.target_test.withColumn("prediction", F.lit(mean))).first()["rmsle"]
 
 
 def formula_predictions(spark, sf) -> DataFrame:
@@ -486,15 +507,24 @@ def q_adaptive_coral(spark, sf):
     return _moment_match(spark, aligned, t, chosen)
 
 
+def _board(spark, run) -> DataFrame:
+    return report.leaderboard(report.scores_frame(spark, *run))
+
+
 def q_param_grid(spark, sf):
-    scores, status = RC.param_grid(domain_data(spark, sf), PARAMS, learner_source(spark, sf), (0.05, 0.2), (2, 5))
-    return report.leaderboard(report.scores_frame(spark, scores, status))
+    """Learning rate x rounds, all four."""
+    return _board(spark, RC.param_grid(domain_data(spark, sf), PARAMS, learner_source(spark, sf), (0.03, 0.1), (100, 200)))
 
 
 def q_super_ensemble_grid(spark, sf):
-    scores, status = RC.super_ensemble_grid(domain_data(spark, sf), PARAMS, learner_source(spark, sf), (10, 30),
-                                            ((0.1, 0.05), (0.3, 0.1)), (2, 2))
-    return report.leaderboard(report.scores_frame(spark, scores, status))
+    """All four feature counts x both pairs of steps."""
+    return _board(spark, RC.super_ensemble_grid(domain_data(spark, sf), PARAMS, learner_source(spark, sf),
+                                                rates=((0.1, 0.05), (0.2, 0.1)), rounds=(100, 100)))
+
+
+def q_ratio_grid(spark, sf):
+    """The top tenth, fifth, three tenths and half of the features."""
+    return _board(spark, RC.ratio_grid(domain_data(spark, sf), PARAMS, learner_source(spark, sf), phases=PHASES))
 
 
 def q_exact_sample(spark, sf):
@@ -551,16 +581,18 @@ def q_sample_per_group_sizes(spark, sf):
 
 def _recipe_q(name):
     def q(spark, sf):
-        """Keys and labels of the scored rows, and whether each has a prediction."""
-        res = RC.METHODS[name](domain_data(spark, sf), PARAMS, learner_source(spark, sf), **OPTIONS.get(name, {}))
-        return res.predictions.select(*RC.KEY, "visitors", (F.col("prediction").isNotNull() & ~F.isnan("prediction")
-                                                            & (F.col("prediction") > 0)).alias("predicted"))
+        """The scored rows of a planted label and whether the recipe's error is
+        under half that of the mean."""
+        data = planted_data(spark, sf)
+        res = RC.METHODS[name](data, PARAMS, learner_source(spark, sf, data), **OPTIONS.get(name, {}))
+        good = res.rmsle < 0.5 * _mean_error(data)
+        return res.predictions.select(*RC.KEY, "visitors", (F.lit(good) & F.col("prediction").isNotNull()).alias("beats_mean"))
     return q
 
 
 def q_super_ensemble_stages(spark, sf):
     """M16 into M17: the RMSLE of the six stages and their gains."""
-    res = RC.super_ensemble_aligned(domain_data(spark, sf), PARAMS, learner_source(spark, sf), phases=PHASES)
+    res = RC.super_ensemble_aligned(domain_data(spark, sf), PARAMS, learner_source(spark, sf), phases=PHASES, patience=WAITS)
     return report.stage_gains(spark.createDataFrame(res.extra["stages"], "stage int, name string, rmsle double"))
 
 
@@ -589,45 +621,34 @@ def q_training_sets(spark, sf):
     return out
 
 
-def _planted(spark, sf):
-    """Training rows whose label is a formula of the row's own columns."""
-    data = domain_data(spark, sf)
-    label = F.col("weekday") * 0.5 + F.when(F.col("genre") % 2 == 0, 2.0).otherwise(0.0)
-    return RC.training_set(data.target_train).withColumn("visitors", label)
-
-
 def q_learner_trees(spark, sf):
-    """M3 on a planted signal: several rounds survive, the error on the
+    """M3 on a planted signal, 200 rounds: all survive, the error on the
     validation days falls, and a step a hundred times smaller moves less."""
-    rows = reliable_checkpoint(_planted(spark, sf).select("weekday", "genre", "visitors", "weight", "is_valid"))
-    features = ["weekday", "genre"]
-    fast = L.boost(rows, features, PARAMS, valid_col="is_valid")
-    slow = L.boost(rows, features, PARAMS.replace(step_size=PARAMS.step_size / 100), valid_col="is_valid")
+    rows = reliable_checkpoint(RC.training_set(planted_data(spark, sf).target_train)
+                               .select("weekday", "genre", "visitors", "weight", "is_valid"))
+    p = PARAMS.replace(max_iter=200, patience=200, step_size=0.05, feature_fraction=1.0)
+    fits = {name: L.Fit(rows, ["weekday", "genre"], p.replace(step_size=p.step_size * k), valid_col="is_valid")
+            for name, k in (("fast", 1), ("slow", 0.01))}
+    found = L.boost_all(fits)
+    fast, slow = found["fast"], found["slow"]
     valid = rows.where("is_valid")
 
     def error(chain):
         return report.rmsle(chain.predict(valid)).first()["rmsle"]
 
     start = error(L.Chain(fast.start))
-    checks = [(len(fast.parts) == 1 and fast.rounds[0] == PARAMS.max_iter, error(fast) < 0.5 * start,
-               error(fast) < error(slow) < start)]
-    return spark.createDataFrame(checks, "all_rounds_kept boolean, error_halved boolean, step_size_acts boolean")
+    checks = [(slow.rounds[0] == p.max_iter, error(fast) < 0.1 * start, error(fast) < error(slow) < start)]
+    return spark.createDataFrame(checks, "all_rounds_kept boolean, error_is_a_tenth boolean, step_size_acts boolean")
 
 
 def q_recipe_beats_mean(spark, sf):
-    """M5 and M7 on a planted signal against the mean of the training rows."""
-    data = domain_data(spark, sf)
-    label = F.col("weekday") * 0.5 + F.when(F.col("genre") % 2 == 0, 2.0).otherwise(0.0)
-    parts = [reliable_checkpoint(d.withColumn("visitors", label).select(*RC.KEY, "day_gap", "weekday", "genre", "visitors"))
-             for d in (data.source_train, data.target_train, data.source_test, data.target_test)]
-    planted = trainset.DomainData(*parts, ["weekday", "genre"])
-    source = RC.source_model(planted, PARAMS)
-    mean = planted.target_train.agg(F.avg("visitors")).first()[0]
-    base = report.rmsle(planted.target_test.withColumn("prediction", F.lit(mean))).first()["rmsle"]
-    tuned = RC.fine_tune(planted, PARAMS, source, 0.1, 3).rmsle
-    rows = [("baseline", RC.baseline(planted, PARAMS).rmsle < base), ("direct_transfer", RC.direct_transfer(planted, PARAMS, source).rmsle < base),
-            ("fine_tune", tuned < base)]
-    return spark.createDataFrame(rows, "method string, beats_mean boolean")
+    """M5-M16 on the planted label: is every recipe's error under half that of
+    the mean of the training rows?"""
+    data = planted_data(spark, sf)
+    base = _mean_error(data)
+    scores, status = RC.run_all(data, PARAMS, learner_source(spark, sf, data), OPTIONS)
+    return spark.createDataFrame([(m, bool(v is not None and v < 0.5 * base)) for m, v in scores.items()],
+                                 "method string, beats_mean boolean")
 
 
 def q_feature_importance(spark, sf):
@@ -635,19 +656,19 @@ def q_feature_importance(spark, sf):
     data = domain_data(spark, sf)
     model = RC.baseline(data, PARAMS).model.parts[-1].model
     top = report.feature_importance(spark, model, data.features, 20)
-    whole = float(model.featureImportances.toArray().sum())
+    whole = float(model.importances().sum())
     return top.agg(F.count(F.lit(1)).alias("n_features"), (F.min("importance") >= 0).alias("none_negative")) \
         .withColumn("all_sum_to_one", F.lit(abs(whole - 1) < 1e-9))
 
 
 def q_coral_comparison(spark, sf):
-    scores, status = RC.coral_comparison(domain_data(spark, sf), PARAMS.replace(max_iter=3))
-    return report.leaderboard(report.scores_frame(spark, scores, status))
+    """Seven strategies from one pass of moments."""
+    return _board(spark, RC.coral_comparison(domain_data(spark, sf), PARAMS))
 
 
 def q_run_all(spark, sf):
-    scores, status = RC.run_all(domain_data(spark, sf), PARAMS, learner_source(spark, sf), OPTIONS)
-    return report.leaderboard(report.scores_frame(spark, scores, status))
+    """All methods on one source model."""
+    return _board(spark, RC.run_all(domain_data(spark, sf), PARAMS, learner_source(spark, sf), OPTIONS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -719,6 +740,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coral_comparison": q_coral_comparison,
     "run_all": q_run_all,
     "super_ensemble_grid": q_super_ensemble_grid,
+    "ratio_grid": q_ratio_grid,
     "super_ensemble_stages": q_super_ensemble_stages,
     "training_sets": q_training_sets,
     "learner_trees": q_learner_trees,

@@ -6,8 +6,10 @@ Library code never creates its own session; it takes the one it is given.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def show_workers_the_package(spark: SparkSession) -> None:
+    """Put the folder this package was imported from on the Python workers'
+    path (the driver may have it from ``sys.path`` only)."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 @contextmanager
 def sql_conf(spark: SparkSession, **settings):
     """Set runtime SQL settings for a block, then restore them."""

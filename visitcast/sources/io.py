@@ -6,6 +6,8 @@ reads or writes CSV.  Every path is expected on shared storage.
 
 from __future__ import annotations
 
+import hashlib
+
 import os
 from collections.abc import Sequence
 
@@ -85,3 +87,19 @@ def load_feature_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     base = spark.read.parquet(path)
     return {f"{d}_{s}": base.where((F.col("domain") == d) & (F.col("split") == s)).drop("domain", "split")
             for d in ("source", "target") for s in ("train", "test")}
+
+
+def fingerprint(df: DataFrame, *parameters) -> str:
+    """A name for the content of a frame and the parameters of a stage.
+    Schema, row count and the sum of the rows' hashes (one pass, whatever the
+    order of rows) go into it, so a changed row gives another name."""
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    n, total = df.selectExpr("count(*)", f"sum(CAST(xxhash64({columns}) AS DECIMAL(38, 0)))").first()
+    return hashlib.sha256(repr((df.schema.simpleString(), n, total, parameters)).encode()).hexdigest()[:24]
+
+
+def materialize_by_content(df: DataFrame, folder: str, *parameters) -> tuple[DataFrame, str]:
+    """The stored copy of exactly these rows under ``folder``; written if
+    there is none yet.  Returns it and its path."""
+    path = f"{folder.rstrip('/')}/{fingerprint(df, *parameters)}"
+    return materialize(df, path), path
