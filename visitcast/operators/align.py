@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import show_workers_the_package
-from .ranking import global_row_number
+from ..session import reliable_checkpoint, show_workers_the_package
+from .cutpoints import cut_points, up_to
 from .selection import feature_similarity, threshold_features, top_ratio_features
 
 # Fixed value: ridge added to both covariances.
@@ -233,23 +233,27 @@ def standardized_distance(source: DataFrame, target: DataFrame, features: Sequen
     return source.withColumn(out, F.sqrt(total))
 
 
-def ntile_from_rank(rn, n: int, k: int):
-    """ntile(k) (1-based) of a 0-based row number among n rows."""
+def tier_ends(n: int, k: int) -> list[int]:
+    """Last row numbers of the first k - 1 of k equal-count groups of n rows
+    (as ntile cuts them: the first n mod k groups have one row more)."""
     q, r = divmod(n, k)
-    big = r * (q + 1)
-    if q == 0:
-        return rn + 1
-    return F.when(rn < big, F.floor(rn / (q + 1)) + 1).otherwise(F.floor((rn - big) / q) + r + 1).cast("int")
+    return [i * q + min(i, r) for i in range(1, k)]
 
 
 def distance_tiers(source: DataFrame, target: DataFrame, features: Sequence[str], key_cols: Sequence[str],
                    tiers: int = 3) -> DataFrame:
     """Source rows split into ``tiers`` equal-count groups by distance to
-    the target (1 = closest); rows are ordered by (distance, key)."""
-    d = standardized_distance(source, target, features)
-    ranked = global_row_number(d, ["distance", *key_cols], out="_rn")
-    n = source.count()
-    return ranked.withColumn("tier", ntile_from_rank(F.col("_rn"), n, tiers)).drop("_rn")
+    the target (1 = closest); rows are ordered by (distance, key).  The borders
+    are found by counting, so no row is moved."""
+    order = ["distance", *key_cols]
+    rows = reliable_checkpoint(standardized_distance(source, target, features))
+    ends = tier_ends(rows.count(), tiers)
+    points = cut_points(rows, order, {str(i): end for i, end in enumerate(ends)})
+    tier = F.lit(1)
+    for i, end in enumerate(ends):
+        if end == 0 or points[str(i)] is not None:
+            tier = tier + (F.lit(1) if end == 0 else (~up_to(order, points[str(i)])).cast("int"))
+    return rows.withColumn("tier", tier.cast("int"))
 
 
 def sample_selection(source: DataFrame, target: DataFrame, features: Sequence[str], key_cols: Sequence[str],
@@ -274,9 +278,11 @@ def sample_selection(source: DataFrame, target: DataFrame, features: Sequence[st
 
     from pyspark.ml.functions import vector_to_array
     sz = scaler.transform(va.transform(source)).withColumn("_dist", nearest(vector_to_array("_z")))
-    keep = int(source.count() * selection_ratio)
-    ranked = global_row_number(sz.select(*key_cols, F.round("_dist", 9).alias("_dist")), ["_dist", *key_cols], out="_rn")
-    return source.join(ranked.where(F.col("_rn") < keep).select(*key_cols), list(key_cols), "left_semi")
+    order = ["_dist", *key_cols]
+    near = reliable_checkpoint(sz.select(F.round("_dist", 9).alias("_dist"), *key_cols))
+    point = cut_points(near, order, {"": int(near.count() * selection_ratio)})[""]
+    chosen = near.where(up_to(order, point) if point else F.lit(False)).select(*key_cols)
+    return source.join(chosen, list(key_cols), "left_semi")
 
 
 def project_2d(frames: dict[str, DataFrame], features: Sequence[str], seed: int = 0) -> DataFrame:

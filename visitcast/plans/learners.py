@@ -34,7 +34,7 @@ from ..session import reliable_checkpoint, show_workers_the_package
 from ..sources import io
 
 BLOCK_ROWS = 4096
-TASK_ROWS = 1_000_000
+TASK_ROWS, LEAST_TASK_ROWS = 1_000_000, 4096
 FAN_IN = 16
 EDGE_ACCURACY = 500                   # rank error of the bin borders: 1 / 500
 TREE_SCHEMA = ("part int, tree int, step double, node int, feature int, bin int, threshold double, left int, right int,"
@@ -334,8 +334,9 @@ def boost_all(fits: dict[str, Fit], ledger_every: int = 16) -> dict[str, Chain]:
         part = _packed(number, fit, borders[number])
         packed = part if packed is None else packed.unionByName(part)
     stored = reliable_checkpoint(packed)
-    rows = stored.agg(F.sum("n")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    work = sum(len(runs_of[r["data"]]) * r["n"] for r in stored.groupBy("data").agg(F.sum("n").alias("n")).collect())
+    most = max(spark.sparkContext.defaultParallelism, -(-work // TASK_ROWS))
+    tasks = max(1, min(most, -(-work // LEAST_TASK_ROWS)))        # a task has enough rows to be worth its start
     state = stored.withColumn("block", F.monotonically_increasing_id()).coalesce(tasks).rdd.map(_unpacked(runs_of))
     blocks = state.keys().persist(StorageLevel.MEMORY_AND_DISK)
     ledger = state.values()
