@@ -97,3 +97,31 @@ def test_cumulative_stats_against_brute_force(spark):
     assert got.keys() == exp.keys()
     for key in exp:
         assert abs(got[key] - exp[key]) < 1e-9, key
+
+
+def test_segments_give_the_windows_of_single_rows(spark):
+    from visitcast.operators.windows import segmented
+    rng = np.random.default_rng(4)
+    start = dt.date(2020, 1, 1)
+    origins = [start + dt.timedelta(days=i) for i in (30, 51, 90)]
+    rows = [(int(rng.integers(0, 3)) if i % 50 else None, start + dt.timedelta(days=int(rng.integers(0, 100))),
+             None if i % 41 == 0 else float(rng.integers(0, 6))) for i in range(900)]
+    df = spark.createDataFrame(rows, "a int, d date, x double").repartition(3)
+    stats = ["count", "sum", "mean", "max", "min", "std", "median", "kermed"]
+    name = lambda s, w: f"{s}_{w}"
+
+    def of(frame, **options):
+        paired = explode_origins(frame, "d", origins, lookback=max(WINDOWS))
+        found = trailing_stats(paired, ["origin", "a"], "x", WINDOWS, stats, name, **options)
+        return {(r["origin"], r["a"]): r.asDict() for r in found.collect()}
+
+    parts = segmented(df, ["a"], "x", "d", origins, WINDOWS)
+    assert parts.count() < df.count() / 2
+    plain = of(df)
+    for options in ({}, {"value_bounds": [1.5, 3.0]}):
+        got = of(parts, count_col="n_rows", **options)
+        # The latest window has rows wherever a group appears at all.
+        assert {k for k, r in got.items() if r["count_20"]} == {k for k, r in plain.items() if r["count_20"]}
+        for k, r in plain.items():
+            for c, v in r.items():
+                assert v == got[k][c] or abs(v - got[k][c]) < 1e-9, (k, c)

@@ -5,6 +5,11 @@ history once per origin, each history row is paired with the origins it
 precedes by a generator over the (parameter-bounded) origin list -- no join
 and no shuffle -- and ``origin`` becomes one more grouping key.
 
+Key sets that pool many stores are summed up before they meet the origins
+(``segmented``): all window bounds cut the timeline into segments, a window is a
+union of whole segments, and a segment's rows with the same keys and value are
+one row with a multiplicity, so the history itself is never copied.
+
 ``trailing_stats`` computes, for one key set, every statistic of every
 nested trailing window in one pass:
 
@@ -62,6 +67,19 @@ def explode_origins(df: DataFrame, date_col: str, origins: Sequence[dt.date],
               .withColumn(gap_col, F.datediff(d, F.col("origin"))))
 
 
+def segmented(df: DataFrame, keys: Sequence[str], value: str, date_col: str, origins: Sequence[dt.date],
+              windows: Sequence[int], count_col: str = "n_rows") -> DataFrame:
+    """Rows (keys, value, date_col, count_col): how many rows have these keys
+    and value between two neighbouring window bounds; ``date_col`` is the lower
+    one.  An origin or a window's first day is a bound, so a row lies in a
+    window exactly if its segment does.  Rows before the first bound are in no
+    window and left out."""
+    bounds = sorted({t for t in origins} | {t - dt.timedelta(days=w) for t in origins for w in windows})
+    first = F.array_max(F.filter(origins_array(bounds), lambda b: b <= F.col(date_col)))
+    return (df.withColumn(date_col, first).where(F.col(date_col).isNotNull())
+            .groupBy(*keys, value, date_col).agg(F.count(F.lit(1)).alias(count_col)))
+
+
 def _not_null_sql(cols) -> str:
     return " AND ".join([f"`{k}` IS NOT NULL" for k in cols]) or "TRUE"
 
@@ -84,11 +102,15 @@ def kermed_sql(n: str, s0: str, s1: str, s2: str) -> str:
 def trailing_stats(hist: DataFrame, keys: Sequence[str], value: str, windows: Sequence[int | None],
                    stats: Sequence[str], name, gap_col: str = "day_gap",
                    partition_by: Sequence[str] | None = None,
-                   value_bounds: Sequence[float] | None = None, q: float = 0.5) -> DataFrame:
+                   value_bounds: Sequence[float] | None = None, q: float = 0.5, count_col: str | None = None) -> DataFrame:
+    """Statistics of ``value`` per ``keys`` for nested windows ``gap >= -w``.
+
+    ``windows`` holds day counts; ``None`` means every row of ``hist``.
+    """
     gap = _q(gap_col)
     conds = [(w, "TRUE" if w is None else f"{gap} >= -{int(w)}") for w in windows]
     pre = None if None in windows else f"{gap} >= -{int(max(windows))}"
-    return membership_stats(hist, keys, value, conds, stats, name, pre, partition_by, value_bounds, q)
+    return membership_stats(hist, keys, value, conds, stats, name, pre, partition_by, value_bounds, q, count_col)
 
 
 def value_cuts(df: DataFrame, value: str, ranges: int = 64, rel_error: float = 0.001) -> list[float]:
@@ -150,7 +172,7 @@ def cumulative_stats(hist: DataFrame, keys: Sequence[str], value: str, date_col:
 
 def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, stats: Sequence[str], name,
                      prefilter: str | None = None, partition_by: Sequence[str] | None = None,
-                     value_bounds: Sequence[float] | None = None, q: float = 0.5) -> DataFrame:
+                     value_bounds: Sequence[float] | None = None, q: float = 0.5, count_col: str | None = None) -> DataFrame:
     """Core of the fused operators: statistics for several nested row sets.
 
     ``conds`` is a list of (tag, SQL condition); the sets they select must be
@@ -163,10 +185,8 @@ def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, st
     and shifted by exact offsets from a per-range count table, so no task
     ever holds a whole group -- use it for key sets that can be hot.  The
     cut points only balance the work; results are exact for any cut points.
-    """
-    """Statistics of ``value`` per ``keys`` for nested windows ``gap >= -w``.
+    ``count_col`` says how many rows a row of ``hist`` stands for (1 without).
 
-    ``windows`` holds day counts; ``None`` means every row of ``hist``.
     ``name(stat, w)`` gives the output column name.  Groups with no row in a
     window get count 0 and NULL for the other statistics.  Null values and
     null keys are skipped (pandas group semantics).
@@ -192,7 +212,8 @@ def membership_stats(hist: DataFrame, keys: Sequence[str], value: str, conds, st
         cond += f" AND {prefilter}"
     base = hist.where(F.expr(cond))
     d = base.groupBy(*[F.col(k) for k in keys], F.expr(x).alias("_x")).agg(
-        *[F.expr(f"count(CASE WHEN {inw(w)} THEN 1 END)").alias(f"_m{i}") for i, w in enumerate(windows)])
+        *[F.expr(f"sum(CASE WHEN {inw(w)} THEN {_q(count_col)} ELSE 0 END)" if count_col
+                 else f"count(CASE WHEN {inw(w)} THEN 1 END)").alias(f"_m{i}") for i, w in enumerate(windows)])
     if partition_by:
         d = d.repartition(*partition_by)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators.encoders import encode_labels
 from ..operators.joins import broadcast_checked
-from ..operators.windows import cumulative_stats, explode_origins, trailing_stats, value_cuts
+from ..operators.windows import cumulative_stats, explode_origins, segmented, trailing_stats, value_cuts
 from ..session import partitioned_checkpoint, reliable_checkpoint
 from ..sources import tables
 from . import reservations as R
@@ -177,9 +177,16 @@ class FeatureJob:
     def w8(self, index: int) -> tuple[list[str], DataFrame]:
         keys, prefix, stats = W8_CATALOGUE[index]
         k = ["origin", *keys]
-        cuts = None if "store_id" in keys or not self.split_ranges else self.visit_cuts
-        return k, trailing_stats(self.hist, k, "visitors", self.windows, stats,
-                                 name=lambda s, w, prefix=prefix: f"{prefix}_{s}_{w}", value_bounds=cuts)
+        name = lambda s, w: f"{prefix}_{s}_{w}"
+        if "store_id" in keys:
+            return k, trailing_stats(self.hist, k, "visitors", self.windows, stats, name)
+        # Pooled over stores: summed up by segment first, then paired with the
+        # origins, so no visit is copied.
+        past = self.base.where(F.col("visit_date") < F.lit(self.test_begin))
+        parts = segmented(past, keys, "visitors", "visit_date", self.origins, self.windows)
+        hist = explode_origins(parts, "visit_date", self.origins, lookback=max(self.windows))
+        return k, trailing_stats(hist, k, "visitors", self.windows, stats, name, count_col="n_rows",
+                                 value_bounds=self.visit_cuts if self.split_ranges else None)
 
     def w7(self) -> list[tuple[list[str], DataFrame]]:
         """All history before each origin: nested sets, so no origin explode."""
