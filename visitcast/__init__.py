@@ -7,7 +7,6 @@ functions   column expressions (calendar facts, guarded log, kernel weights)
 operators   reusable DataFrame operators (aggregate-and-join, kernel median,
             fused trailing windows, encoders, sampling, selection, alignment)
 plans       end-to-end jobs (feature pipeline, train sets, learners, reports)
-streaming   nothing: the modelled workload is batch only (see README)
 """
 
 __version__ = "0.1.0"

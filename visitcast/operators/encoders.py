@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from .ranking import global_row_number
 
-# Guard for one-hot encoding: the output schema depends on the data, so the
-# distinct values must reach the driver; refuse rather than truncate.
-MAX_ONEHOT_CATEGORIES = 10_000
-
-
 def label_codes(values: DataFrame, col: str, code_col: str = "code") -> DataFrame:
     """Sorted distinct non-null values of ``col`` -> 0..k-1 (a dictionary frame)."""
     distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
@@ -66,12 +61,12 @@ def encode_joint(frames: Sequence[DataFrame], col: str) -> list[DataFrame]:
             for f in as_str]
 
 
-def encode_onehot(df: DataFrame, col: str, max_categories: int = MAX_ONEHOT_CATEGORIES) -> DataFrame:
+def encode_onehot(df: DataFrame, col: str, values: Sequence | None = None) -> DataFrame:
     """Drop ``col`` and add one 0/1 column ``{col}_{value}`` per sorted
-    distinct value; a null value gives 0 in every indicator."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-            .orderBy(col).limit(max_categories + 1).collect()]
-    if len(vals) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} categories")
-    ind = [F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{col}_{v}") for v in vals]
+    distinct value; a null value gives 0 in every indicator.  The columns of the
+    result are the values, so these are looked up first unless ``values`` names
+    them (then no job runs, and a value not named gives 0 everywhere)."""
+    if values is None:
+        values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    ind = [F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{col}_{v}") for v in values]
     return df.select(*[c for c in df.columns if c != col], *ind)

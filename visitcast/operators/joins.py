@@ -35,3 +35,10 @@ def domain_split(df: DataFrame, members: DataFrame, key: str, member_key: str |
     """
     ids = members.select(F.col(member_key or key).alias(key)).where(F.col(key).isNotNull()).distinct()
     return df.join(ids, on=key, how="left_semi"), df.join(ids, on=key, how="left_anti")
+
+
+def domain_tag(df: DataFrame, members: DataFrame, key: str, member_key: str | None = None, out: str = "domain") -> DataFrame:
+    """J5 in one pass: ``out`` is 'target' for rows whose key is in ``members``
+    and 'source' for all others (null keys, too)."""
+    ids = members.select(F.col(member_key or key).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn("_member", F.lit(True))
+    return df.join(ids, on=key, how="left").withColumn(out, F.when(F.col("_member"), "target").otherwise("source")).drop("_member")

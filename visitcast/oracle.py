@@ -485,6 +485,17 @@ WHERE l.origin = DATE '2001-10-01' AND l.store_id IN (SELECT source_id FROM v_re
   {r6('coalesce(g.a, 0)')} AS visitors_weekday_{SUFFIX.get(fn, fn)}
 FROM (SELECT store_id, visit_date, weekday FROM v_dec WHERE visit_date >= DATE '2001-10-01') t
 LEFT JOIN {g} g ON t.weekday = g.weekday""")
+    q["bookings_csv"] = q["lead_days"]
+    facts = ["weekday", "day", "days_to_side", "holiday_flg", "holiday", "genre", "area"]
+    means = [f"SELECT '{{0}}' AS variant, '{f}' AS feature, {r6(f'avg({f})')} AS mean FROM lf" for f in facts]
+    gap = f"SELECT 'with_gap' AS variant, 'day_gap' AS feature, {r6('avg(day_gap)')} AS mean FROM lf"
+    q["feature_lists"] = with_prelude(
+        "lf AS (SELECT l.day_gap, d.* FROM v_labels l JOIN v_dec d ON d.store_id = l.store_id AND d.visit_date = l.visit_date)",
+        body=" UNION ALL ".join([gap, *[m.format(v) for v in ("with_gap", "without_gap") for m in means]]))
+    kept = ["store_id", "visitors", *facts]
+    q["numeric_projection"] = with_prelude(body=" UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {str(c in kept).lower()} AS kept, count({c}) AS n_values FROM v_dec"
+        for c in [*kept, "visit_date", "domain"]))
     q["csv_roundtrip"] = with_prelude(body="SELECT visit_date, holiday_flg, holiday FROM v_calfacts")
     q["split_summary"] = with_prelude(
         "tt AS (SELECT * FROM v_dec WHERE domain = 'target' AND visit_date < DATE '2001-10-01')",

@@ -72,8 +72,7 @@ def decorated_visits(spark, sf) -> DataFrame:
     """Visits (log) with calendar facts, store codes and the domain."""
     cal = FP.calendar_facts(tables.calendar(spark, sf))
     d = FP.decorate(vlog(spark, sf), store_codes(spark, sf), cal)
-    tgt, src = joins.domain_split(d, tables.relation(spark, sf), "store_id", "source_id")
-    return tgt.withColumn("domain", F.lit("target")).unionByName(src.withColumn("domain", F.lit("source")))
+    return joins.domain_tag(d, tables.relation(spark, sf), "store_id", "source_id")
 
 
 def consolidated(spark, sf) -> DataFrame:
@@ -445,6 +444,46 @@ def q_csv_roundtrip(spark, sf):
     return FP.calendar_facts(back)
 
 
+def q_bookings_csv(spark, sf):
+    """Bookings written as CSV with 'date time' text, read again,
+    cut to days, with their lead."""
+    path = _scratch(spark, "bookings")
+
+    def at(day, time):
+        return F.concat_ws(" ", F.col(day).cast("string"), F.lit(time))
+
+    io.write_csv(consolidated(spark, sf).select(F.col("store_id").cast("string").alias("air_store_id"), at("visit_dt", "19:30:00").alias("visit_datetime"),
+                                                at("reserve_dt", "08:05:59").alias("reserve_datetime"), "reserve_visitors"), path)
+    back = io.read_csv(spark, path, io.RAW_RESERVE_SCHEMA).select(
+        F.col("air_store_id").cast("long").alias("store_id"), dates.to_day("visit_datetime").alias("visit_dt"),
+        dates.to_day("reserve_datetime").alias("reserve_dt"), "reserve_visitors")
+    return R.with_lead(back)
+
+
+def q_feature_lists(spark, sf):
+    """The numeric features with and without the day gap, each with its
+    mean over the label rows."""
+    labels = _job(spark, sf).labels
+    out = None
+    for name, exclude in (("with_gap", selection.DEFAULT_EXCLUDE), ("without_gap", (*selection.DEFAULT_EXCLUDE, "day_gap"))):
+        features = selection.numeric_feature_columns(labels, exclude)
+        stack = ", ".join(f"'{f}', avg({f})" for f in features)
+        part = labels.selectExpr(*features).agg(F.expr(f"map({stack})").alias("m")).select(
+            F.lit(name).alias("variant"), F.explode("m").alias("feature", "mean"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_numeric_projection(spark, sf):
+    """Every column of the decorated visits, whether the numeric projection
+    keeps it, and how many values it has."""
+    rows = decorated_visits(spark, sf)
+    kept, dropped = selection.numeric_projection(rows)
+    stack = ", ".join(f"'{c}', named_struct('kept', {str(c in kept.columns).lower()}, 'n', count({c}))" for c in rows.columns)
+    return rows.agg(F.expr(f"map({stack})").alias("m")).select(F.explode("m").alias("column", "v")).select(
+        "column", F.col("v.kept").alias("kept"), F.col("v.n").alias("n_values"))
+
+
 def q_json_report(spark, sf):
     """The leaderboard as a JSON report, written and read again."""
     path = _scratch(spark, "report")
@@ -719,6 +758,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ensemble_mean": q_ensemble_mean,
     "stage_gains": q_stage_gains,
     "csv_roundtrip": q_csv_roundtrip,
+    "bookings_csv": q_bookings_csv,
+    "feature_lists": q_feature_lists,
+    "numeric_projection": q_numeric_projection,
     "json_report": q_json_report,
     "split_summary": q_split_summary,
     "feature_sink_roundtrip": q_feature_sink_roundtrip,

@@ -7,7 +7,6 @@ reads or writes CSV.  Every path is expected on shared storage.
 from __future__ import annotations
 
 import hashlib
-
 import os
 from collections.abc import Sequence
 
@@ -19,6 +18,10 @@ from pyspark.sql import types as T
 RESERVE_SCHEMA = T.StructType([
     T.StructField("air_store_id", T.StringType()), T.StructField("visit_datetime", T.TimestampType()),
     T.StructField("reserve_datetime", T.TimestampType()), T.StructField("reserve_visitors", T.LongType())])
+# The same with the times as the text 'date time' they come as.
+RAW_RESERVE_SCHEMA = T.StructType([
+    T.StructField("air_store_id", T.StringType()), T.StructField("visit_datetime", T.StringType()),
+    T.StructField("reserve_datetime", T.StringType()), T.StructField("reserve_visitors", T.DoubleType())])
 VISIT_SCHEMA = T.StructType([
     T.StructField("air_store_id", T.StringType()), T.StructField("visit_date", T.DateType()),
     T.StructField("visitors", T.LongType())])
