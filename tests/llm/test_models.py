@@ -186,18 +186,39 @@ def test_language_model_tells_rare_words_of_a_bucket_apart(spark):
 
 
 def test_every_position_is_a_target_once(spark):
-    texts = ["a b c a b c a", "", "one", "a b c a b c a", " ".join(f"w{i}" for i in range(500))]
-
-    def rounds_of(texts):
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
-        hashes, row = mlm_score.block_words(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-        return mlm_score.masked_in(hashes, row, 2)
-
-    together = rounds_of(texts)
-    assert set(together.tolist()) == {0, 1} and abs(together[-500:].mean() - 0.5) < 0.1
-    assert together.tolist() == [x for t in texts for x in rounds_of([t]).tolist()]
-    # A corpus of a single position is learnt from.
-    for word in ("alone", "lonely", "single"):
-        docs = spark.createDataFrame([(word,)], "text string")
-        start, net = mlm_score.train(docs, rounds=0)[1], mlm_score.train(docs, rounds=2)[1]
-        assert (start.members != net.members).any()
+    texts = spark.createDataFrame([(f"some words {i % 90} of a text {i}",) for i in range(300)] + [(None,), ("",)], "text string")
+    for rounds in (1, 2, 3):
+        sizes = [texts.where(mlm_score.round_of(F.col("text"), rounds) == turn).count() for turn in range(rounds)]
+        assert sum(sizes) == 302 and min(sizes) > 302 / rounds / 2
+    hashes = np.array([11, 12, 13, 11, 15], np.uint64)
+    words = mlm_score.Vocabulary(hashes[:0], np.zeros(0, np.int64), np.ones(mlm_score.SIZE), np.ones(mlm_score.BUCKETS))
+    trainer = mlm_score.Trainer(mlm_score.Network.start(np.ones(mlm_score.SIZE)))
+    gap = [0] * mlm_score.REACH
+    ids = np.array([*gap, *words.encode(hashes), *gap])
+    trainer.step(ids, np.arange(5) + mlm_score.REACH)
+    assert (trainer.seen[1] == 5).all()                      # every class row hears of every position
+    assert (trainer.seen[0].sum(1) == 5).all()               # and one row of every context place, the gap's included
+
+
+def test_masked_lm_does_not_depend_on_the_partitioning(spark, monkeypatch):
+    from visitcast.llm.common import show_workers_the_package
+    show_workers_the_package(spark)
+    rnd = np.random.default_rng(8)
+    after = {f"a{i}": f"b{i}" for i in range(40)}          # a word tells the next one
+    docs = spark.createDataFrame([(i, " ".join(f"{a} {after[a]}" for a in rnd.choice(list(after), 60))) for i in range(400)],
+                                 "doc_id long, text string").cache()
+
+    def mean(vocab, net):
+        return mlm_score.score(docs, vocab, net).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
+
+    texts = docs.select("text")
+    vocab, start = mlm_score.train(texts, rounds=0)
+    plain = mlm_score.Network.start(vocab.counts)
+    plain.context[:] = 0
+    plain.classes[:, :-1] = 0
+    plain.members[:, :-1] = 0
+    unigram = mean(vocab, plain)
+    found = [mean(*mlm_score.train(texts.repartition(n))) for n in (1, 8, 64)]
+    assert max(found) - min(found) < 0.05 and min(found) > unigram + 0.3 and mean(vocab, start) < min(found)
+    monkeypatch.setattr(mlm_score, "UNIT_WORDS", 6000)     # eight copies that see different texts are averaged
+    assert mean(*mlm_score.train(texts.repartition(64))) > unigram + 0.3

@@ -14,11 +14,15 @@ share ``UNSEEN`` of a count per known word and one.
 Everything learnt covers the whole corpus: word counts come from one
 aggregation over all texts (pre-aggregated per Arrow batch), which fixes the
 vocabulary and the starting biases; then, in each of ``rounds``, every task
-starts from the shared weights, trains in numpy on the positions of all its
-texts that are masked in this round, and sends its weights on; the masks of the
-rounds are disjoint and cover every position; Spark averages them by row of the weight tables, weighted by
-positions.  The driver holds the words predicted by themselves and one copy of
-the weights, both of fixed size.  Tasks need one block of text at a time.
+starts from the shared weights and trains in numpy on all positions of the
+texts of this round (a hash of the text deals it to one, so every position is a
+target once).  A task has at least ``UNIT_WORDS`` words, however the texts are
+partitioned.  It sends the rows of the weight tables that it has changed, each
+with the number of positions that changed it, and Spark averages every row by
+that number: a copy that never saw a word has no say in its row, so the model
+does not fade as tasks are added.  The driver holds the words predicted by
+themselves, the ``COMMON`` most frequent words of the buckets and one copy of
+the weights, all of fixed size.  Tasks need one block of text at a time.
 
 Defined results: a null text counts as empty; a text without words has
 n_words 0, log_prob 0 and null mean_log_prob; repeated rows are scored alike
@@ -45,8 +49,10 @@ UNSEEN = 0.5                              # added to the count of every word of
 SIZE = KNOWN + BUCKETS
 CLASSES = SIZE // CLASS_SIZE
 DIM = 16
+COMMON = 1 << 16                          # words whose counts go along with the vocabulary
 ROUNDS = 2
-BATCH = 2048
+BATCH = 4096
+UNIT_WORDS = 1_000_000                    # words of a training task, at least
 
 
 def block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +84,8 @@ class Vocabulary:
     ids: np.ndarray                       # their ids, 1 is the most frequent
     counts: np.ndarray                    # corpus count of every output
     kinds: np.ndarray                     # different words of every bucket
+    common: np.ndarray | None = None      # sorted hashes of the most frequent words
+    common_counts: np.ndarray | None = None
     table: DataFrame | None = None        # (word, n) of all words, left out in tasks
 
     def in_bucket(self) -> np.ndarray:
@@ -96,9 +104,10 @@ class Vocabulary:
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
     counts = checkpointed(word_counts(texts))
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
-    known = top.toArrow()
-    rest = counts.join(F.broadcast(top.select("word")), "word", "left_anti") \
+    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    known = common.slice(0, KNOWN)
+    top = texts.sparkSession.createDataFrame([(w,) for w in known.column("word").to_pylist()], "word long")
+    rest = counts.join(F.broadcast(top), "word", "left_anti") \
         .groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")) \
         .toArrow()
     words = known.column("word").to_numpy().view(np.uint64)
@@ -112,7 +121,9 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     kinds = np.zeros(BUCKETS)
     kinds[rest.column("bucket").to_numpy()] = rest.column("kinds").to_numpy()
     by_hash = np.argsort(words)
-    return Vocabulary(words[by_hash], rank[by_hash] + 1, total, kinds, counts)
+    often, many = common.column("word").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    by_word = np.argsort(often)
+    return Vocabulary(words[by_hash], rank[by_hash] + 1, total, kinds, often[by_word], many[by_word], counts)
 
 
 @dataclass
@@ -178,7 +189,8 @@ class Trainer:
     """Adagrad on the two-level log loss of batches of positions."""
 
     def __init__(self, net: Network, rate: float = 0.1) -> None:
-        self.net, self.rate, self.seen = net, rate, 0
+        self.net, self.rate = net, rate
+        self.seen = [np.zeros(w.shape[:-1], np.int64) for w in (net.context, net.classes, net.members)]
         self.sums = [np.full_like(w, 0.1) for w in (net.context, net.classes, net.members)]
 
     def _apply(self, weights: np.ndarray, sums: np.ndarray, where, grad: np.ndarray) -> None:
@@ -196,6 +208,7 @@ class Trainer:
         p[np.arange(n), group] -= 1
         back = p @ net.classes
         self._apply(net.classes, self.sums[1], slice(None), p.T @ h)
+        self.seen[1] += n
         order = np.argsort(group.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
@@ -208,13 +221,15 @@ class Trainer:
                 q[np.arange(len(own)), target[own] - c * CLASS_SIZE] -= 1
                 back[own] += q @ net.members[rows]
                 self._apply(net.members, self.sums[2], rows, q.T @ h[own])
+                self.seen[2][rows] += len(own)
         dz = back[:, :DIM] * (1 - np.square(h[:, :DIM]))
         for k, step in enumerate([s for s in range(-REACH, REACH + 1) if s]):
             words = ids[at + step].astype(np.uint16)
             order = np.argsort(words, kind="stable")
             first = np.flatnonzero(np.diff(words[order].astype(np.int64), prepend=-1))
-            self._apply(net.context[k], self.sums[0][k], words[order][first], np.add.reduceat(dz[order], first))
-        self.seen += n
+            changed = words[order][first]
+            self._apply(net.context[k], self.sums[0][k], changed, np.add.reduceat(dz[order], first))
+            self.seen[0][k][changed] += np.diff(first, append=n)
 
 
 def sequence(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray
@@ -239,14 +254,9 @@ def bucket_words(row: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.n
             np.searchsorted(row[first], np.arange(n_rows + 1)).astype(np.int32))
 
 
-def masked_in(hashes: np.ndarray, row: np.ndarray, rounds: int) -> np.ndarray:
-    """The round in which each word is a target.  It comes from the words of the
-    text and the place in it, so it does not change with the cut into blocks."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes, out=sums[1:])
-    start, end = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right")
-    place = (np.arange(len(row)) - start).astype(np.uint64)
-    return (mix(sums[end] - sums[start] + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rounds)).astype(np.int64)
+def round_of(text, rounds: int):
+    """The round in which a text is trained on (copies share one)."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(rounds))
 
 
 def train(texts: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabulary, Network]:
@@ -255,6 +265,8 @@ def train(texts: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabu
     vocab = vocabulary(texts)
     net = Network.start(vocab.counts, seed)
     shape = ", ".join(f"w{k} float" for k in range(DIM + 1))
+    units = max(1, int(vocab.counts.sum()) // UNIT_WORDS)
+    texts = texts.toDF("text").coalesce(units)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((replace(vocab, table=None), net.rows()))
 
@@ -265,19 +277,19 @@ def train(texts: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabu
             trainer = Trainer(Network.of_rows(rows))
             for b in batches:
                 for _, _, data, offsets in text_blocks(b.column(0)):
-                    ids, at, row, hashes = sequence(words, data, offsets)
-                    rng = np.random.default_rng([seed, turn, len(data), len(at)])
-                    at = rng.permutation(at[masked_in(hashes, row, rounds) == turn])
+                    ids, at, _, _ = sequence(words, data, offsets)
+                    at = np.random.default_rng([seed, turn, len(data), len(at)]).permutation(at)
                     for k in range(0, len(at), BATCH):
                         trainer.step(ids, at[k:k + BATCH])
-            if trainer.seen:
-                out = trainer.net.rows()
+            seen = np.concatenate([x.ravel() for x in trainer.seen])
+            changed = np.flatnonzero(seen).astype(np.int32)
+            if len(changed):
+                out = trainer.net.rows()[changed]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(out), dtype=np.int32)), pa.array(np.full(len(out), trainer.seen)),
-                     *(pa.array(out[:, k]) for k in range(DIM + 1))],
+                    [pa.array(changed), pa.array(seen[changed]), *(pa.array(out[:, k]) for k in range(DIM + 1))],
                     names=["row", "seen", *(f"w{k}" for k in range(DIM + 1))])
 
-        sent = texts.mapInArrow(tidy(run), f"row int, seen long, {shape}")
+        sent = texts.where(round_of(F.col("text"), rounds) == turn).mapInArrow(tidy(run), f"row int, seen long, {shape}")
         mean = sent.groupBy("row").agg(*[
             (F.sum(F.col(f"w{k}").cast("double") * F.col("seen")) / F.sum("seen")).alias(f"w{k}")
             for k in range(DIM + 1)]).toArrow()
@@ -308,7 +320,12 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
                 bucket = ids[at] - 1 - KNOWN
                 rare = bucket >= 0
                 total -= np.bincount(row[rare], divisor[bucket[rare]], j - i)
-                word, times, cuts = bucket_words(row[rare], hashes[rare], j - i)
+                # The frequent words of the buckets are looked up here, the others joined.
+                own, hashes = row[rare], hashes[rare]
+                where = np.minimum(np.searchsorted(words.common, hashes), max(len(words.common) - 1, 0))
+                listed = words.common[where] == hashes if len(words.common) else np.zeros(len(hashes), bool)
+                total += np.bincount(own[listed], np.log(words.common_counts[where[listed]] + UNSEEN), j - i)
+                word, times, cuts = bucket_words(own[~listed], hashes[~listed], j - i)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(np.bincount(row, minlength=j - i).astype(np.int64)),
                      pa.array(total), pa.ListArray.from_arrays(cuts, word), pa.ListArray.from_arrays(cuts, times)],
