@@ -158,9 +158,9 @@ class Network:
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Inputs of the output layer (a one is appended for the bias)."""
-        z = np.zeros((len(at), DIM), np.float32)
+        z, part = np.zeros((2, len(at), DIM), np.float32)
         for k, step in enumerate([s for s in range(-REACH, REACH + 1) if s]):
-            z += self.context[k][ids[at + step]]
+            z += np.take(self.context[k], ids[at + step], axis=0, out=part, mode="clip")
         out = np.ones((len(at), DIM + 1), np.float32)
         np.tanh(z, out=out[:, :DIM])
         return out
@@ -170,21 +170,32 @@ class Network:
         h = self.hidden(ids, at)
         target = ids[at] - 1
         group = target // CLASS_SIZE
-        logits = h @ self.classes.T
-        top = logits.max(1)
-        out = logits[np.arange(len(at)), group] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = _log_softmax(h @ self.classes.T, group)
         order = np.argsort(group.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             own = order[cuts[c]:cuts[c + 1]]
             if len(own):
-                logits = h[own] @ self.members[c * CLASS_SIZE:(c + 1) * CLASS_SIZE].T
-                top = logits.max(1)
-                out[own] += (logits[np.arange(len(own)), target[own] - c * CLASS_SIZE] - top
-                             - np.log(np.exp(logits - top[:, None]).sum(1)))
+                out[own] += _log_softmax(h[own] @ self.members[c * CLASS_SIZE:(c + 1) * CLASS_SIZE].T, target[own] - c * CLASS_SIZE)
         return out
 
 
+def _log_softmax(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logarithm of the target's softmax; works in place (fresh pages cost more
+    than the sums)."""
+    logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(target)), target]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """In place."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
+
+
 class Trainer:
     """Adagrad on the two-level log loss of batches of positions."""
 
@@ -202,9 +213,7 @@ class Trainer:
         h = net.hidden(ids, at)
         target = ids[at] - 1
         group = target // CLASS_SIZE
-        logits = h @ net.classes.T
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        p = _softmax(h @ net.classes.T)
         p[np.arange(n), group] -= 1
         back = p @ net.classes
         self._apply(net.classes, self.sums[1], slice(None), p.T @ h)
@@ -215,12 +224,11 @@ class Trainer:
             own = order[cuts[c]:cuts[c + 1]]
             if len(own):
                 rows = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-                logits = h[own] @ net.members[rows].T
-                q = np.exp(logits - logits.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
+                mine = h[own]
+                q = _softmax(mine @ net.members[rows].T)
                 q[np.arange(len(own)), target[own] - c * CLASS_SIZE] -= 1
                 back[own] += q @ net.members[rows]
-                self._apply(net.members, self.sums[2], rows, q.T @ h[own])
+                self._apply(net.members, self.sums[2], rows, q.T @ mine)
                 self.seen[2][rows] += len(own)
         dz = back[:, :DIM] * (1 - np.square(h[:, :DIM]))
         for k, step in enumerate([s for s in range(-REACH, REACH + 1) if s]):
@@ -314,8 +322,8 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
             for i, j, data, offsets in text_blocks(b.column(1), 1 << 20):
                 ids, at, row, hashes = sequence(words, data, offsets)
                 total = np.zeros(j - i)
-                for k in range(0, len(at), 1 << 16):
-                    part = slice(k, k + (1 << 16))
+                for k in range(0, len(at), 1 << 13):
+                    part = slice(k, k + (1 << 13))
                     total += np.bincount(row[part], model.log_prob(ids, at[part]).astype(float), j - i)
                 bucket = ids[at] - 1 - KNOWN
                 rare = bucket >= 0
