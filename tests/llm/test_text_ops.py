@@ -215,6 +215,39 @@ def test_url_branches_of_a_small_share_keep_their_own_verdict(spark):
     assert {got[f"http://u.net/{chr(97 + k)}sec/1"]["template"] for k in range(25)} == {"/{asec,?,ysec}/*"}
 
 
+def test_url_opposites_do_not_join_through_small_mixed_branches(spark):
+    own = (url_templates.UrlRule("block", "s.com", "/spam/"), url_templates.UrlRule("allow", "s.com", "/news/"))
+    rows = [f"http://s.com/{s}/{i}" for s in ("spam", "news") for i in range(1000)]
+    for k, (bad, good) in enumerate(((1, 5), (1, 3), (2, 3), (1, 1), (3, 2), (3, 1), (5, 1))):
+        own += (url_templates.UrlRule("block", "s.com", f"/m{chr(97 + k)}/bad"), url_templates.UrlRule("allow", "s.com", f"/m{chr(97 + k)}/good"))
+        rows += [f"http://s.com/m{chr(97 + k)}/bad{i}" for i in range(bad)] + [f"http://s.com/m{chr(97 + k)}/good{i}" for i in range(good)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {rows[r["page_id"]]: r["template"] for r in url_templates.judge(pages, rules=own).collect()}
+    assert got["http://s.com/spam/1"].split("/")[1] != got["http://s.com/news/1"].split("/")[1]
+
+
+def test_url_new_pages_of_a_blocked_branch(spark):
+    own = (url_templates.UrlRule("block", "s.com", "/spam/a"), url_templates.UrlRule("allow", "s.com", "/news/"),
+           url_templates.UrlRule("block", "e.com", "/de/"))
+    rows = [f"http://s.com/spam/a{i}/y" for i in range(200)] + [f"http://s.com/news/{i}" for i in range(200)] + ["http://s.com/spam/q/x"]
+    rows += [f"http://e.com/de/{i}" for i in range(100)] + [f"http://e.com/{s}/{i}" for s in ("en", "fr") for i in range(100)] + ["http://e.com/x/y"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {rows[r["page_id"]]: r["verdict"] for r in url_templates.judge(pages, rules=own).collect()}
+    assert got["http://s.com/spam/q/x"] == "block"            # nothing else under it was ever allowed
+    assert got["http://e.com/en/1"] == got["http://e.com/fr/1"] == got["http://e.com/x/y"] == "allow"
+
+
+def test_url_deep_branches_are_told_apart(spark):
+    own = (url_templates.UrlRule("block", "s.com", "/a/b/c/d/spam/"), url_templates.UrlRule("allow", "s.com", "/a/b/c/d/news/old"))
+    rows = [f"http://s.com/a/b/c/d/spam/x/{i}" for i in range(500)] + [f"http://s.com/a/b/c/d/news/old/{i}" for i in range(50)]
+    rows += ["http://s.com/a/b/c/d/news/new/x", "http://s.com/a/b/c/d/news/new/y/z", "http://lone.com/a/b/c/d/e/f/g"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {rows[r["page_id"]]: r for r in url_templates.judge(pages, rules=own).collect()}
+    assert got["http://s.com/a/b/c/d/news/new/x"]["verdict"] == got["http://s.com/a/b/c/d/news/new/y/z"]["verdict"] == "allow"
+    assert got["http://s.com/a/b/c/d/spam/x/3"]["template"] == "/a/b/c/d/spam/x/*"
+    assert got["http://lone.com/a/b/c/d/e/f/g"]["template"] == "/**"
+
+
 def test_url_plan_is_native(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     plan = url_templates.judge(pages)._jdf.queryExecution().executedPlan().toString()

@@ -53,10 +53,10 @@ FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
-# Rules in the order in which they win; templates of at most four segments and
-# a tail.
+# Rules in the order in which they win; paths of up to five segments, three
+# rounds of splitting chains: more than the tables need.
 URL_RULES = (("block", "example.com", "/de/"), ("allow", "example.net", "/en/"), ("allow", "org", "/fr/"), ("block", "net", "/"))
-URL_DEPTH = 4
+URL_DEPTH, URL_ROUNDS = 5, 3
 
 
 def url_sql() -> str:
@@ -66,44 +66,60 @@ def url_sql() -> str:
                          for a, h, p in URL_RULES)
         return f"CASE {whens} END"
 
+    def down(n, b, l, prior):
+        return f"({b} + ({n} - {l}) * 0.5::DOUBLE + {prior} * 2.0::DOUBLE) / ({n} + 2.0::DOUBLE)"
+
     ctes = [f"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)""",
-            f"""r AS (SELECT *, {case(lambda a, h, p: h + p)} AS rule, {case(lambda a, h, p: a)} AS action,
+            f"""rows AS (SELECT *, {case(lambda a, h, p: h + p)} AS rule, {case(lambda a, h, p: a)} AS action,
   list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
-                 lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS parts FROM u)""",
-            f"""rows AS (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {URL_DEPTH}
-  THEN list_concat(parts[1:{URL_DEPTH}], ['**']) ELSE parts END AS segs FROM r)""",
-            """o0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (WHERE action = 'block') AS blocked,
-  count(action) AS labelled, '' AS template FROM rows GROUP BY host, segs)"""]
-    for k in range(URL_DEPTH + 1):
-        ctes += [f"""h{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(n) AS n, sum(blocked) AS blocked,
-  sum(labelled) AS labelled FROM o{k} WHERE len(segs) > {k} GROUP BY ALL)""",
-                 f"""b{k} AS (SELECT *, CASE WHEN n < 3 OR n < 0.05::DOUBLE * sum(n) OVER (PARTITION BY host, template)
-  THEN CASE WHEN seg = '**' THEN '**' ELSE '*' END ELSE seg END AS branch FROM h{k})""",
-                 f"""s{k} AS (SELECT host, template, branch, (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS share,
-  sum(labelled) AS labelled, branch NOT IN ('*', '**') AND sum(labelled) > 0 AS literal FROM b{k} GROUP BY host, template, branch)""",
-                 f"""e{k} AS (SELECT *, share * (1 - share) / (labelled + 2.0::DOUBLE) AS error2 FROM s{k})""",
-                 f"""t{k} AS (SELECT *, CASE WHEN literal AND share - lag(share) OVER w
-  <= 1.96::DOUBLE * sqrt(error2 + lag(error2) OVER w) THEN 0 ELSE 1 END AS new FROM e{k}
-  WINDOW w AS (PARTITION BY host, template, literal ORDER BY share, branch))""",
-                 f"""q{k} AS (SELECT *, sum(new) OVER (PARTITION BY host, template, literal ORDER BY share, branch) AS run FROM t{k})""",
-                 f"""m{k} AS (SELECT host, template, branch, CASE WHEN count(*) OVER g > 1
-  THEN '{{' || array_to_string(list_sort(list(branch) OVER g), ',') || '}}' ELSE branch END AS merged FROM q{k}
-  WINDOW g AS (PARTITION BY host, template, literal, run))""",
-                 f"""o{k + 1} AS (SELECT o.host, o.segs, o.n, o.blocked, o.labelled,
-  o.template || coalesce('/' || m.merged, '') AS template FROM o{k} o
-  LEFT JOIN b{k} b ON o.host = b.host AND o.template = b.template AND o.segs[{k + 1}] = b.seg
-  LEFT JOIN m{k} m ON b.host = m.host AND b.template = m.template AND b.branch = m.branch)"""]
-    ctes += ["""g AS (SELECT segs, (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS prior FROM o0 GROUP BY segs)""",
-             f"""x AS (SELECT o.*, g.prior FROM o{URL_DEPTH + 1} o JOIN g ON o.segs = g.segs)""",
-             """y AS (SELECT host, template, (sum(blocked) + sum(prior * n) / sum(n) * 2.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS purity
-  FROM x GROUP BY host, template)""",
-             """z AS (SELECT x.host, x.segs, x.template, round(y.purity, 9) AS purity FROM x JOIN y
-  ON x.host = y.host AND x.template = y.template)"""]
+                 lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS segs FROM u)""",
+            """p AS (SELECT host, segs, count(*) AS n, count(*) FILTER (WHERE action = 'block') AS blocked, count(action) AS labelled
+  FROM rows GROUP BY host, segs)""",
+            f"""t AS (SELECT host, {down('sum(n)', 'sum(blocked)', 'sum(labelled)', '0.5::DOUBLE')} AS share, sum(n) AS m FROM p GROUP BY host)""",
+            """o0 AS (SELECT p.*, '' AS template, share AS prior, share, m >= 3 AND len(segs) > 0 AS going, m < 3 AND len(segs) > 0 AS tail
+  FROM p JOIN t USING (host))"""]
+    for k in range(URL_DEPTH):
+        ctes += [f"""h{k} AS (SELECT *, CASE WHEN n < 3 AND seg <> '*' THEN CASE WHEN labelled = 0 THEN '?' ELSE '*' END ELSE seg END AS branch
+  FROM (SELECT host, template, segs[{k + 1}] AS seg, sum(n) AS n, sum(blocked) AS blocked, sum(labelled) AS labelled
+        FROM o{k} WHERE going GROUP BY ALL))""",
+                 f"""l{k} AS (SELECT host, template, branch, blocked, labelled FROM h{k} WHERE branch NOT IN ('*', '?') AND labelled > 0)""",
+                 f"""s{k}_0 AS (SELECT *, share * (1 - share) / (labelled + 2.0::DOUBLE) AS error2 FROM (
+  SELECT host, template, blocked, labelled, count(*) AS siblings, (blocked + 1.0::DOUBLE) / (labelled + 2.0::DOUBLE) AS share
+  FROM l{k} GROUP BY ALL))"""]
+        for j in range(URL_ROUNDS):
+            ctes += [f"""c{k}_{j} AS (SELECT * EXCLUDE (fresh), sum(fresh) OVER (PARTITION BY host, template ORDER BY share, labelled) AS run FROM (
+  SELECT *, CASE WHEN share - lag(share) OVER w <= 1.96::DOUBLE * sqrt(error2 + lag(error2) OVER w) THEN 0 ELSE 1 END AS fresh
+  FROM s{k}_{j} WINDOW w AS (PARTITION BY host, template ORDER BY share, labelled)))""",
+                     f"""g{k}_{j} AS (SELECT *, (b + 1.0::DOUBLE) / (l + 2.0::DOUBLE) AS p FROM (SELECT *, sum(blocked * siblings) OVER r AS b,
+  sum(labelled * siblings) OVER r AS l FROM c{k}_{j} WINDOW r AS (PARTITION BY host, template, run)))""",
+                     f"""d{k}_{j} AS (SELECT *, abs(share - p) <= 1.96::DOUBLE * sqrt(error2 + p * (1 - p) / (l + 2.0::DOUBLE))
+  OR row_number() OVER (PARTITION BY host, template, run ORDER BY abs(share - p), share, labelled) = 1 AS stays FROM g{k}_{j})""",
+                     f"""s{k}_{j + 1} AS (SELECT host, template, blocked, labelled, siblings, share, error2 FROM d{k}_{j} WHERE NOT stays)"""]
+        settled = " UNION ALL ".join(f"SELECT host, template, blocked, labelled, '{j}.' || run AS run FROM d{k}_{j} WHERE stays"
+                                     for j in range(URL_ROUNDS))
+        ctes += [f"""a{k} AS (SELECT l{k}.*, x.run FROM l{k} JOIN ({settled}) x USING (host, template, blocked, labelled))""",
+                 f"""m{k} AS (SELECT host, template, branch, CASE WHEN count(*) OVER w = 1 THEN branch
+  WHEN count(*) OVER w <= 20 THEN '{{' || array_to_string(list_sort(list(branch) OVER w), ',') || '}}'
+  ELSE '{{' || min(branch) OVER w || ',?,' || max(branch) OVER w || '}}' END AS merged
+  FROM a{k} WINDOW w AS (PARTITION BY host, template, run))""",
+                 f"""n{k} AS (SELECT h.*, coalesce(m.merged, h.branch) AS merged FROM h{k} h LEFT JOIN m{k} m USING (host, template, branch))""",
+                 f"""v{k} AS (SELECT *, sum(n) OVER w AS mn, sum(blocked) OVER w AS mb, sum(labelled) OVER w AS ml
+  FROM n{k} WINDOW w AS (PARTITION BY host, template, merged))""",
+                 f"""o{k + 1} AS (SELECT * FROM o{k} WHERE NOT going UNION ALL
+  SELECT o.host, o.segs, o.n, o.blocked, o.labelled, o.template || '/' || v.merged,
+    CASE WHEN len(o.segs) > {k + 1} AND mn < 3 THEN {down('mn', 'mb', 'ml', 'o.share')} ELSE o.share END,
+    {down('mn', 'mb', 'ml', 'o.share')}, len(o.segs) > {k + 1} AND mn >= 3, len(o.segs) > {k + 1} AND mn < 3
+  FROM o{k} o JOIN v{k} v ON o.host = v.host AND o.template = v.template AND o.segs[{k + 1}] = v.seg WHERE o.going)"""]
+    ctes += ["""w AS (SELECT segs, sum(blocked) AS b, sum(labelled) AS l FROM p GROUP BY segs)""",
+             f"""x AS (SELECT o.host, o.segs, o.n, o.blocked, o.labelled, o.template || CASE WHEN tail THEN '/**' ELSE '' END AS template,
+  (w.b + o.prior * 2.0::DOUBLE) / (w.l + 2.0::DOUBLE) AS prior FROM o{URL_DEPTH} o JOIN w ON o.segs = w.segs)""",
+             """y AS (SELECT host, template, round((sum(blocked) + sum(prior * n) / sum(n) * 2.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE), 9)
+  AS purity FROM x GROUP BY host, template)"""]
     return "WITH " + ",\n".join(ctes) + """
 SELECT page_id, rows.host, path, rule, coalesce(action, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
-  template, purity FROM rows JOIN z ON rows.host = z.host AND rows.segs = z.segs"""
+  x.template, purity FROM rows JOIN x ON rows.host = x.host AND rows.segs = x.segs JOIN y ON x.host = y.host AND x.template = y.template"""
 
 
 # Pieces, words and all runs of one to four words of a piece, counted.
