@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from visitcast.plans import features as FP
 from visitcast.plans import naive
+from visitcast.operators import align
 from visitcast.sources import tables
 
 
@@ -131,3 +132,26 @@ def test_checkpoint_folder_of_the_context_wins(spark, tmp_path):
         assert str(tmp_path) in session.ensure_checkpoint_dir(spark)
     finally:
         spark.sparkContext.setCheckpointDir(before)
+
+
+def test_moments_of_one_pass(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(1e6, 1.0, (500, 3)) + np.arange(3)
+    x[:, 2] = 4.0                                              # constant
+    rows = [(["s", "t"][i % 2], *map(float, r)) for i, r in enumerate(x)] + [("s", None, 1.0, 2.0), ("s", 1.0, None, 2.0)]
+    df = spark.createDataFrame(rows, "d string, a double, b double, y double").repartition(7)
+    found = align.moments_by(df, ["a", "b", "y"], "d")
+    for i, name in enumerate("st"):
+        part, m = x[i::2], found[name]
+        mean, cov, n = m.cut(["b", "a"])
+        assert n == 250 and m.dropped == (2 if name == "s" else 0)
+        assert np.allclose(mean, part.mean(0)[[1, 0]]) and np.allclose(cov, np.cov(part[:, [1, 0]].T), atol=1e-6)
+        assert m.correlations("y") == {"a": None, "b": None}
+        assert abs(m.correlations("b")["a"] - np.corrcoef(part[:, 0], part[:, 1])[0, 1]) < 1e-6
+    # With nulls the cut features decide which rows count, as without a store.
+    s, t = df.where("d = 's'"), df.where("d = 't'")
+    store = align.moment_store({"source": s, "target": t}, ["a", "b"], "y")
+    one = align.coral_align(s.where("a is not null"), t, ["a"], moments=store).agg({"a": "avg"}).first()[0]
+    two = align.coral_align(s.where("a is not null"), t, ["a"]).agg({"a": "avg"}).first()[0]
+    assert abs(one - two) < 1e-3
+    assert align.moments_by(df.where("false"), ["a"]) == {}

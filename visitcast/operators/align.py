@@ -233,6 +233,15 @@ def standardized_distance(source: DataFrame, target: DataFrame, features: Sequen
     return source.withColumn(out, F.sqrt(total))
 
 
+def ntile_from_rank(rn, n: int, k: int):
+    """ntile(k) (1-based) of a 0-based row number among n rows."""
+    q, r = divmod(n, k)
+    big = r * (q + 1)
+    if q == 0:
+        return rn + 1
+    return F.when(rn < big, F.floor(rn / (q + 1)) + 1).otherwise(F.floor((rn - big) / q) + r + 1).cast("int")
+
+
 def tier_ends(n: int, k: int) -> list[int]:
     """Last row numbers of the first k - 1 of k equal-count groups of n rows
     (as ntile cuts them: the first n mod k groups have one row more)."""
