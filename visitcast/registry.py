@@ -35,7 +35,7 @@ DV_FEATURES = ["weekday", "day", "days_to_side", "holiday_flg", "holiday", "genr
 # The registered learner runs: shallow trees and large steps, at least a hundred
 # rounds (patience ends them earlier).  These are the parameters of the runs,
 # passed to every recipe as they stand; the grids are whole.
-PARAMS = L.GBTParams(max_depth=3, min_leaf=20, step_size=0.1, max_iter=100, patience=25)
+PARAMS = L.GBTParams(max_depth=2, min_leaf=20, step_size=0.1, max_iter=100, patience=25)
 PHASES = ((0.1, 100), (0.05, 100))
 WAITS = (10, 25)
 OPTIONS = {
