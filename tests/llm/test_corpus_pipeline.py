@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered_names():
     names = list(__spark_entry__.queries())
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert "pipeline" in names and set(llm_queries.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_dedup", "suffix_dedup", "decontaminate", "byte_bpe"]
 

@@ -79,6 +79,38 @@ def test_simhash_links_keep_all_components(spark, radius, limit):
     assert len(found) <= 6 * 7 * len(fps)
 
 
+def gray(value):
+    for shift in (1, 2, 4, 8, 16):
+        value = value ^ (value >> shift)
+    return value
+
+
+@pytest.mark.parametrize("sizes", [(), (1,), (2,), (7, 1, 8, 9), (300, 1, 65, 2)])
+def test_simhash_upper_nodes_lose_no_pair(sizes):
+    rng = np.random.default_rng(len(sizes))
+    node = np.repeat(np.arange(len(sizes)), sizes)
+    rest = rng.integers(0, 1 << 32, len(node)) & 0x8101_F00F
+    order = np.lexsort((gray(rest), node))
+    node, rest = node[order], rest[order]
+    for radius in (0, 1, 2):
+        got = [(int(i), int(j)) for a, b in simhash_dedup.close_pairs(node, rest, radius, budget=64) for i, j in zip(a, b)]
+        want = {(i, j) for i in range(len(node)) for j in range(i + 1, len(node))
+                if node[i] == node[j] and int(rest[i] ^ rest[j]).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_simhash_gray_order_prunes_more_than_plain_order():
+    rng = np.random.default_rng(5)
+    rest = np.unique(rng.integers(0, 1 << 32, 6000))
+    visited, found = [], []
+    for values in (rest[np.argsort(gray(rest), kind="stable")], rest, rng.permutation(rest)):
+        seen = []
+        found.append(sum(len(a) for a, _ in simhash_dedup.close_pairs(np.zeros(len(rest), np.int64), values, 2, visits=seen)))
+        visited.append(sum(seen))
+    assert found[0] == found[1] == found[2]
+    assert visited[0] < visited[1] < visited[2] and 5 * visited[0] < visited[2]
+
+
 def test_simhash_refuses_a_wider_radius(spark):
     with pytest.raises(ValueError):
         simhash_dedup.links(spark.createDataFrame([(1, 1)], "fp long, rep long"), 3)

@@ -11,16 +11,20 @@
    its remaining bits, which leaves 2^16 below it at most: no task holds an
    unbounded group, and nothing is dropped.
 3. Search: inside a task the fingerprints of a node lie in Gray rank order, so
-   shared patterns are adjacent; they are factored into a tree of 8-bit
-   segments, and pairs of subtrees are descended together with the differences
-   accumulated so far; a pair of subtrees beyond the radius is pruned whole.
+   neighbours share most bits.  Every ``GROUP`` neighbours get an upper node
+   that holds the masked pattern they share, those again, up to one root;
+   pairs of upper nodes are descended together, a level adding the differences
+   in the bits its parents had not factored out, and a pair of groups beyond
+   the radius is pruned whole.  The order decides how much the groups share and
+   so how many are visited, not which pairs are found.
    A node gives a spanning forest of its links, never all pairs.
 4. Components of the links (see ``components``).
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; rows that repeat a doc_id are
 one document; a row with null id keeps its fingerprint, links nothing and has
-a null component; other columns are ignored, whatever their names.
+a null component; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ SHINGLE = 3
 RADIUS = 2                                # the masks below serve up to two bits
 SEED = 42
 NODE_LIMIT = 20_000
+GROUP = 4                                 # neighbours that share an upper node
+ALL_BITS = (1 << 32) - 1                  # bits of ``rest``
 BLOCK_WORDS = 1 << 19
 _PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -115,40 +121,67 @@ def gray_rank(value: Column, bits: int) -> Column:
     return value
 
 
-def close_pairs(node: np.ndarray, rest: np.ndarray, radius: int, budget: int = 1 << 20):
+def upper_nodes(node: np.ndarray, rest: np.ndarray, group: int = GROUP):
+    """Levels of the index from the root down, each (first child, children,
+    mask, value) per upper node: ``group`` neighbours of the level below in the
+    same node share a parent that holds the bits they all agree in."""
+    at, mask, value = node, np.full(len(rest), ALL_BITS), rest
+    levels = []
+    while True:
+        edge = np.concatenate([[True], at[1:] != at[:-1]])
+        start = np.flatnonzero(edge)
+        place = np.arange(len(at)) - np.repeat(start, np.diff(np.concatenate([start, [len(at)]])))
+        first = np.flatnonzero(place % group == 0)
+        count = np.diff(np.concatenate([first, [len(at)]]))
+        every, some = np.bitwise_and.reduceat(value, first), np.bitwise_or.reduceat(value, first)
+        shared = np.bitwise_and.reduceat(mask, first) & ~(every ^ some)
+        levels.append((first, count, shared, every & shared))
+        if len(first) == len(start):                    # one root per node
+            return levels[::-1]
+        at, mask, value = at[first], shared, every & shared
+
+
+def ones(bits: np.ndarray) -> np.ndarray:
+    return _ONES[np.ascontiguousarray(bits, np.uint32).view(np.uint8).reshape(-1, 4)].sum(1)
+
+
+def close_pairs(node: np.ndarray, rest: np.ndarray, radius: int, budget: int = 1 << 20, visits: list | None = None):
     """Index pairs (i < j) of one node whose ``rest`` differ in at most
-    ``radius`` bits, in chunks; rows are sorted by node and Gray rank."""
-    n = len(node)
-    edge = np.concatenate([[True], node[1:] != node[:-1]])
-    levels = [np.cumsum(edge) - 1]                      # tree node of every row, by level
-    for shift in (24, 16, 8, 0):
-        edge = edge | np.concatenate([[True], (rest[1:] >> shift) != (rest[:-1] >> shift)])
-        levels.append(np.cumsum(edge) - 1)
-    first = [np.flatnonzero(np.diff(lv, prepend=-1)) for lv in levels]
-    child_at = [levels[k + 1][first[k]] for k in range(4)]
-    child_n = [np.diff(np.concatenate([child_at[k], [levels[k + 1][-1] + 1]])) for k in range(4)]
-    segment = [(rest[first[k + 1]] >> shift) & 255 for k, shift in enumerate((24, 16, 8, 0))]
-
-    roots = np.flatnonzero(np.diff(np.concatenate([first[0], [n]])) > 1)
-    todo = [(0, roots, roots, np.zeros(len(roots), np.int8))]
+    ``radius`` bits, in chunks; rows are sorted by node and Gray rank.  A pair
+    of upper nodes differs at least in the bits that both have factored out,
+    and a level adds only the bits its parents had not.  ``visits`` collects
+    the numbers of pairs that were looked at."""
+    if not len(node):
+        return
+    levels = upper_nodes(node, rest)
+    levels.append((None, None, np.full(len(rest), ALL_BITS), rest))
+    roots = np.flatnonzero((levels[0][1] > 1) | (len(levels) > 2))
+    todo = [(0, roots, roots, np.zeros(len(roots), np.int64), levels[0][2][roots])]
     while todo:
-        level, a, b, acc = todo.pop()
-        if level == 4:
+        level, a, b, acc, known = todo.pop()
+        first, count = levels[level][:2]
+        if first is None:
             if len(a):
-                yield first[4][a], first[4][b]
+                yield a, b
             continue
-        size = child_n[level][a] * child_n[level][b]
+        size = count[a] * count[b]
         if len(a) > 1 and size.sum() > budget:          # halve the frontier: memory stays bounded
             half = len(a) // 2
-            todo += [(level, a[:half], b[:half], acc[:half]), (level, a[half:], b[half:], acc[half:])]
+            todo += [(level, *(x[:half] for x in (a, b, acc, known))), (level, *(x[half:] for x in (a, b, acc, known)))]
             continue
         which = np.repeat(np.arange(len(a)), size)
         place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-        ca = child_at[level][a][which] + place // child_n[level][b][which]
-        cb = child_at[level][b][which] + place % child_n[level][b][which]
-        total = acc[which] + _ONES[segment[level][ca] ^ segment[level][cb]]
-        keep = (total <= radius) & ((ca < cb) if level == 3 else (ca <= cb))
-        todo.append((level + 1, ca[keep], cb[keep], total[keep]))
+        width = count[b][which]
+        ca, cb = first[a][which] + place // width, first[b][which] + place % width
+        lower = ca < cb if level == len(levels) - 2 else ca <= cb
+        which, ca, cb = which[lower], ca[lower], cb[lower]
+        if visits is not None:
+            visits.append(len(ca))
+        _, _, mask, value = levels[level + 1]
+        both = mask[ca] & mask[cb]
+        total = acc[which] + ones((value[ca] ^ value[cb]) & both & ~known[which])
+        keep = total <= radius
+        todo.append((level + 1, ca[keep], cb[keep], total[keep], both[keep]))
 
 
 def spanning(n: int, pairs) -> np.ndarray:
