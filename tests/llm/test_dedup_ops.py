@@ -4,14 +4,16 @@ import collections
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from llm_cases import awkward, empty  # noqa: F401
 from pyspark.sql import functions as F
 
 from visitcast.llm import components as cc
-from visitcast.llm import decontaminate, simhash_dedup, suffix_dedup
+from visitcast.llm import decontaminate, oracles, simhash_dedup, suffix_dedup
 
 
 def plain_components(links, nodes):
@@ -262,11 +264,18 @@ def test_decontamination_finds_reordered_passages(spark):
         docs.append((d, " ".join([fill[d % 6], *w[cut:], *w[:cut], fill[(d + 1) % 6]])))
     docs += [(50, " ".join([*items[1][1].split()[50:], *items[1][1].split()[:50]])), (51, items[2][1] + " tail")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(
-        spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows}
     want = plain_contaminated(docs, items)
     assert (0, 0) in want and (50, 1) in want
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # The SQL finds them too, with the same best window.
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    sql = con.execute(oracles.DECONTAMINATE).fetchall()
+    assert {(d, i): (round(s, 9), w) for d, i, s, w in sql} \
+        == {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"]) for r in rows}
 
 
 def test_multi_index_finds_all_within_the_radius(spark):

@@ -189,9 +189,11 @@ def _contaminated_by(docs, items, k, id_col, text_col, similarity, radius, block
     hits = texts.select("doc_id", "copy", F.size("ws").alias("size"), F.inline("hits"))
     marks = hits.join(places.select("n", "hash").distinct(), "hash").groupBy("doc_id", "copy", "size", "n") \
         .agg(F.sort_array(F.collect_list("at")).alias("at"))
-    starts = marks.select("doc_id", "copy", "n", F.explode(_starts(k, similarity)).alias("first"), F.lit(0).alias("placed"))
-    # Those that place a shared shingle as the item does go first among equals.
-    placed = hits.join(places, "hash").select(
+    marks = checkpointed(marks.withColumn("starts", _starts(k, similarity)).where(F.size("starts") > 0).drop("at"))
+    starts = marks.select("doc_id", "copy", "n", F.explode("starts").alias("first"), F.lit(0).alias("placed"))
+    # Those that place a shared shingle as the item does go first among equals;
+    # looked up only for the sizes a text has windows of.
+    placed = hits.join(marks.select("doc_id", "copy", "n"), ["doc_id", "copy"]).join(places, ["n", "hash"]).select(
         "doc_id", "copy", "n",
         F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("n"))).alias("first"),
         F.lit(1).alias("placed"))

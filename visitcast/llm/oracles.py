@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
-
-# Words, shingles of five words (fewer words: the whole item), windows of an
-# item's size that place a shared shingle as the item does; the best one each.
+# Words, shingles of five words (fewer words: the whole item), every window of an
+# item's size that holds a shared shingle; the best one each, among equals one
+# that places a shared shingle as the item does.
 DECONTAMINATE = r"""
 WITH w AS (SELECT doc_id, r, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]+', '', 'g'),
              '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM (SELECT *, row_number() OVER () AS r FROM documents)),
@@ -17,19 +16,56 @@ ip AS (SELECT item_id, n, k, o, array_to_string(ws[o + 1:o + k], ' ') AS s
 ks AS (SELECT DISTINCT k FROM i),
 dp AS (SELECT doc_id, r, k, p, size, array_to_string(ws[p + 1:p + k], ' ') AS s
        FROM (SELECT doc_id, r, ws, k, len(ws) AS size, unnest(range(0, len(ws) - k + 1)) AS p FROM w, ks)),
-laid AS (SELECT DISTINCT doc_id, r, dp.k, ip.n, greatest(0, least(p - o, size - ip.n)) AS first, size
-         FROM dp JOIN ip ON dp.s = ip.s AND dp.k = ip.k),
-bag AS (SELECT laid.doc_id, laid.r, laid.k, laid.n, laid.first, laid.size, dp.s, count(*) AS c FROM laid JOIN dp
-          ON laid.r = dp.r AND laid.k = dp.k AND dp.p BETWEEN laid.first AND laid.first + laid.n - laid.k GROUP BY ALL),
+hits AS (SELECT DISTINCT doc_id, r, dp.k, n, p, size, dp.s FROM dp JOIN ip ON dp.s = ip.s AND dp.k = ip.k),
+laid AS (SELECT DISTINCT doc_id, r, k, n, size,
+           unnest(range(greatest(0, p - least(size, n) + k), least(p, greatest(0, size - n)) + 1)) AS first FROM hits),
+placed AS (SELECT DISTINCT r, dp.k, ip.n, greatest(0, least(p - o, size - ip.n)) AS first
+           FROM dp JOIN ip ON dp.s = ip.s AND dp.k = ip.k),
+bag AS (SELECT laid.doc_id, laid.r, laid.k, laid.n, laid.first, laid.size, hits.s, count(*) AS c FROM laid JOIN hits
+          ON laid.r = hits.r AND laid.k = hits.k AND laid.n = hits.n AND hits.p BETWEEN laid.first AND laid.first + laid.n - laid.k
+        GROUP BY ALL),
 ibag AS (SELECT item_id, n, k, s, count(*) AS c FROM ip GROUP BY ALL),
 common AS (SELECT doc_id, item_id, r, bag.k, bag.n, first, size, sum(least(bag.c, ibag.c)) AS c
            FROM bag JOIN ibag ON bag.s = ibag.s AND bag.k = ibag.k AND bag.n = ibag.n GROUP BY ALL),
-scored AS (SELECT doc_id, item_id, first,
-             c / (least(size, n) - k + 1 + n - k + 1 - c)::DOUBLE AS similarity FROM common)
-SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(first, (similarity, -first))::INTEGER AS first_word
+scored AS (SELECT doc_id, item_id, common.first, (placed.r IS NOT NULL)::INTEGER AS placed,
+             c / (least(size, common.n) - common.k + 1 + common.n - common.k + 1 - c)::DOUBLE AS similarity
+           FROM common LEFT JOIN placed ON placed.r = common.r AND placed.k = common.k AND placed.n = common.n AND placed.first = common.first)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(first, (similarity, placed, -first))::INTEGER AS first_word
 FROM scored WHERE similarity >= 0.8 AND doc_id IS NOT NULL GROUP BY doc_id, item_id
 """
 
+# Words one by one; thresholds and stop words stated anew.
+QUALITY_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+x AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS tri FROM x
+      WINDOW o AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, tri) AS c FROM g WHERE tri IS NOT NULL) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+       FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+st AS (SELECT r, count(*) AS n FROM x WHERE list_contains(string_split(
+         'a and are as at be by for from in is it of on that the this to was with '
+         || 'auf das den der des die ein für ist mit nicht sich und von zu '
+         || 'con de del el en la las los no para por que se un una y '
+         || 'au dans du est et le les par pas pour qui sur une', ' '), lower(word)) GROUP BY r),
+s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+       coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+       coalesce(st.n, 0)::BIGINT AS n_stop_words, coalesce(n_lines, 0)::BIGINT AS n_lines
+      FROM w LEFT JOIN cov USING (r) LEFT JOIN ln USING (r) LEFT JOIN st USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 50 OR n_repeat_words * 2 > n_words) AS base_failed,
+  -- Words of 2 to 15 characters on average, at most 15 symbols and at least 4
+  -- stop words in a hundred words, at most half of the lines repeated.
+  (n_words >= 50 AND n_repeat_words * 2 <= n_words AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words
+   AND 100 * n_symbols <= 15 * n_words AND 25 * n_stop_words >= n_words AND 2 * n_dup_lines <= n_lines) AS kept,
+  n_stop_words, n_lines
+FROM s
+"""
+
 # Bytes as hexadecimal digits; a string of 50 bytes is 100 digits.
 SUFFIX = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -204,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": DECONTAMINATE,
         "op7_suffix_dedup": SUFFIX,
-        "op9_quality_rules": quality_rules.oracle(),
+        "op9_quality_rules": QUALITY_RULES,
         "op10_url_filter": url_sql(),
         "op11_collocations": COLLOCATIONS,
         "op12_filter_audit": AUDIT,

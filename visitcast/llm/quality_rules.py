@@ -132,35 +132,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         else F.array().cast("array<string>").alias("broken_rules"))
 
 
-def oracle(rules: tuple[Rule, ...] = RULES) -> str:
-    """The same rows in DuckDB SQL (without the list of broken rules)."""
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    blank = r"'[^\x20\x09-\x0D]+'"
-    return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, regexp_extract_all(t, {blank}) AS ws FROM d),
-x AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (SELECT r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS tri FROM x
-      WINDOW o AS (PARTITION BY r ORDER BY i)),
-rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, tri) AS c FROM g WHERE tri IS NOT NULL) WHERE c > 1),
-cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
-       FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
-       WHERE regexp_matches(line, {blank}) GROUP BY r),
-st AS (SELECT r, count(*) AS n FROM x WHERE lower(word) IN ({stop}) GROUP BY r),
-s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-       coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-       coalesce(st.n, 0)::BIGINT AS n_stop_words, coalesce(n_lines, 0)::BIGINT AS n_lines
-      FROM w LEFT JOIN cov USING (r) LEFT JOIN ln USING (r) LEFT JOIN st USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-  (NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
-   AND {' AND '.join(r.holds() for r in rules)}) AS kept,
-  n_stop_words, n_lines
-FROM s"""
-
-
 def op9_quality_rules(spark, sf_dir) -> DataFrame:
     """Whole ``documents``; ``broken_rules`` stays in the operator's output."""
     from .common import table
