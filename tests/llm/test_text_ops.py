@@ -94,7 +94,7 @@ def test_bpe_query_rows(spark, awkward, texts, empty, library):
     (None, None), ("", ""), ("plain &amp; simple", "plain & simple"), ("a < b", "a < b"),
     ("<p>one<p>two", "one\n\ntwo"), ("<div>a</div><div>b</div>", "a\nb"),
     ("a<script>no</script>b<style>x</style><!-- c -->", "ab"), ("<b>un<i>closed", "unclosed"),
-    ("<div hidden>no</div><span style='display: none'>no</span><p aria-hidden=true>no</p>yes", "yes"),
+    ("<div hidden>no</div><span style='display: none'>no</span><p aria-hidden=true>said</p>yes", "said\n\nyes"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"), ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"),
     ("<table><tr><th>A<th>Bbb<tr><td>long<td>2</table>", "A     Bbb\nlong  2"),
     ("<table><caption>T</caption><tr><td>1</table>after", "T\n1\n\nafter"),
@@ -121,6 +121,32 @@ def test_html_shows_what_browsers_show(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td colspan=2>wide head<td>c<tr><td>a1<td>b<td>c2</table>", "wide head  c\na1  b      c2"),
+    ("<table><tr><td rowspan=2>ab<td>x<tr><td>y<tr><td>z<td>w</table>", "ab  x\n    y\nz   w"),
+    ("<table><tr><td rowspan=0>s<td colspan=999>x<td>q<tr><td>y</table>", "s  x  q\n   y"),
+    ("<table><tr><td rowspan=x colspan=>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<svg><clipPath/><mask id=a/><symbol/><text>in</text></svg>after", "in after"),
+    ("<div/>a<svg><foreignObject><p/>b</foreignObject></svg>", "a\n\nb"),
+])
+def test_html_spans_and_closed_elements(page, text):
+    assert html_text.page_text(page) == text
+
+
+@pytest.mark.parametrize("css, body, text", [
+    (".gone, p#x {display: none}", "<p class=gone>no</p><p id=x>no</p><p>yes", "yes"),
+    (".a.b{display:none} .a{display:block}", "<i class='a b'>no</i><i class=a>yes</i>", "yes"),
+    ("i{visibility:hidden}.back{visibility:visible}", "<i>no</i><i class=back>yes</i>", "yes"),
+    (".a{display:none}", "<p class=a style='display:block'>own</p>", "own"),
+    (".a{display:none !important}", "<p class=a style='display:block'>no</p>yes", "yes"),
+    ("@media print{p{display:none}} @media screen{.a{display:none}} @font-face{x:y}", "<p>yes</p><p class=a>no</p>", "yes"),
+    ("/* p{display:none} */ div > p{display:none} a:hover{display:none}", "<div><p>yes</p></div>", "yes"),
+    ("p{display:none", "<p>no</p>yes", "yes"), ("p{color:none;displays:none}}}{", "<p>yes</p>", "yes"),
+])
+def test_html_style_sheets(css, body, text):
+    assert html_text.page_text(f"<head><style>{css}</style></head><body>{body}</body>") == text
+
+
 def test_html_wide_and_high_cells_stay_small():
     page = "<table><tr><td>" + "w" * 20_000 + "<td>" + "<br>".join("abc" for _ in range(5000)) + "</table>"
     out = html_text.page_text(page)

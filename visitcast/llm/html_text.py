@@ -3,10 +3,12 @@
 ``parse`` builds a tree: void elements, implied ``html``/``body`` free nesting,
 implied end tags (``p``, ``li``, ``dt``/``dd``, ``option``, table parts), raw
 text elements, comments and broken markup.  ``render`` emits all visible text:
-hidden elements (by name, ``hidden``, ``aria-hidden``, inline style or a dialog
-that is not open) are left out, white space collapses as in a browser, blocks are set off by line breaks
-or blank lines, list items get a bullet or their number, preformatted text
-keeps its space, and the cells of a table are padded to aligned columns, line by line
+hidden elements (by name, ``hidden``, inline style, a rule of a style sheet of
+the page whose selector is a name, classes or an id without combinators, or a
+dialog that is not open) are left out, white space collapses as in a browser,
+blocks are set off by line breaks or blank lines, list items get a bullet or
+their number, preformatted text keeps its space, and the cells of a table are
+padded to aligned columns, ``colspan`` and ``rowspan`` included, line by line
 (one below the other where padding would be far longer than the text).
 
 Both work on a stack, never recursively, so depth is bounded by memory only.
@@ -14,7 +16,8 @@ A page is one row of one task: no shuffle, no group.
 
 Defined results: null html gives null text, empty html empty text; a page
 without tags is plain text; repeated rows are rendered alike; a null id stays
-null; other columns are ignored, whatever their names.
+null; other columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from dataclasses import dataclass, field
-from itertools import zip_longest
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +72,12 @@ _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)
                   r"|(?P<start>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_BRACE = re.compile(r"[{}]")
+_EVERY_SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:screen|all)|@layer\b[^{]*|@supports\b[^{]*", re.I)
+_SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?(?:[.#][\w-]+)*(?<=.)", re.S)
+_PART = re.compile(r"[.#]?[\w-]+|\*")
+_DECLARED = re.compile(r"(?:^|(?<=;))\s*(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\x0b]+")
 
 
@@ -90,6 +100,7 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack = [root]
     open_names: dict[str, int] = {}
+    sheets: list[str] = []
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
@@ -148,15 +159,92 @@ def parse(source: str) -> Node:
                 stop = end.start() if end else len(source)
                 text = source[at:stop]
                 node.children.append(html.unescape(text) if name in ("title", "textarea") else text)
+                if name == "style" and not open_names.get("noscript") and not open_names.get("template"):
+                    sheets.append(text)
                 at = end.end() if end else len(source)
-            elif name not in VOID and not (tag["attrs"] and tag["attrs"].rstrip().endswith("/") and name in ("path", "rect")):
+            elif name not in VOID and not (tag["attrs"] and tag["attrs"].rstrip().endswith("/") and foreign(open_names, name)):
                 stack.append(node)
                 open_names[name] = open_names.get(name, 0) + 1
+    if sheets:
+        hide_by_sheet(root, sheet_rules("\n".join(sheets)))
     return root
 
 
+def foreign(open_names: dict[str, int], name: str) -> bool:
+    """Inside a drawing or formula (or one itself), where ``/>`` ends an element."""
+    return name in ("svg", "math") or bool((open_names.get("svg") or open_names.get("math"))
+                                           and not open_names.get("foreignobject"))
+
+
+def sheet_rules(css: str) -> dict[str, list[tuple]]:
+    """Rules that set ``display`` or ``visibility``, by the name, ``.class`` or
+    ``#id`` they are found by: (names needed, weight, property, hides)."""
+    css = _COMMENT.sub("", css)
+    out: dict[str, list[tuple]] = {}
+    at = order = 0
+    while (opening := css.find("{", at)) >= 0:
+        head = css[at:opening].rpartition(";")[2].strip()
+        if head.startswith("@"):
+            if _EVERY_SCREEN.fullmatch(head):           # its rules count like any others
+                at = opening + 1
+                continue
+            depth, end = 1, opening + 1
+            while depth and (brace := _BRACE.search(css, end)):
+                depth += 1 if brace[0] == "{" else -1
+                end = brace.end()
+            at = end if not depth else len(css)
+            continue
+        closing = css.find("}", opening)
+        closing = len(css) if closing < 0 else closing
+        found = declared(css[opening + 1:closing])
+        for selector in head.lstrip("} \t\n\r\f").split(",") if found else ():
+            order += 1
+            if simple := _SELECTOR.fullmatch(selector.strip()):
+                parts = _PART.findall(selector)
+                needs = frozenset(simple[1].lower() if p == simple[1] else p for p in parts if p != "*")
+                rank = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), len(parts))
+                key = max(needs, key=lambda p: ((p[0] == "#") * 2 + (p[0] == "."), p), default="*")
+                for prop, (hides, important) in found.items():
+                    out.setdefault(key, []).append((needs, (important, rank, order), prop, hides))
+        at = closing + 1
+    return out
+
+
+def declared(block: str) -> dict[str, tuple[bool, bool]]:
+    """property -> (hides, important) of the declarations of a block."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for prop, value, important in _DECLARED.findall(block):
+        prop, hides = prop.lower(), value.lower() in ("none", "hidden", "collapse")
+        if important or not out.get(prop, (False, False))[1]:
+            out[prop] = (hides, bool(important))
+    return out
+
+
+def hide_by_sheet(root: Node, rules: dict[str, list[tuple]]) -> None:
+    """Mark the elements that the rules hide; an element's own style goes
+    before a rule that is not important."""
+    todo: list = [root]
+    while todo:
+        node = todo.pop()
+        todo.extend(c for c in node.children if isinstance(c, Node))
+        own = {node.name, *("." + c for c in node.attrs.get("class", "").split())}
+        if "id" in node.attrs:
+            own.add("#" + node.attrs["id"])
+        best: dict[str, tuple] = {}
+        for key in (*own, "*"):
+            for needs, weight, prop, hides in rules.get(key, ()):
+                if needs <= own and weight > best.get(prop, ((-1,),))[0]:
+                    best[prop] = (weight, hides)
+        if best:
+            for prop, (hides, important) in declared(node.attrs.get("style", "")).items():
+                if important or not best.get(prop, ((False,),))[0][0]:
+                    best[prop] = ((important,), hides)
+            if any(hides for _, hides in best.values()):
+                node.attrs["hidden"] = ""
+
+
 def visible(node: Node) -> bool:
-    if node.name in HIDDEN or "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true":
+    if node.name in HIDDEN or "hidden" in node.attrs:
         return False
     if node.name == "dialog" and "open" not in node.attrs:
         return False
@@ -231,21 +319,64 @@ def table_rows(node: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, rows
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Lines of cells padded to the widest of their column, two spaces apart."""
-    width: dict[int, int] = {}
-    cells = [[cell.split("\n") for cell in row] for row in rows]
+def spanned(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "").strip()
+    return min(int(value), most) if re.fullmatch(r"\d{1,9}", value) else 1
+
+
+def placed(rows: list[list[Node]]) -> list[list[tuple[int, int]]]:
+    """(first column, columns) of every cell, as ``colspan`` and ``rowspan`` lay
+    them out; only columns in which a cell starts are counted."""
+    laid, open_cells = [], []                           # cells from above: (first, end, row after the last)
+    for r, row in enumerate(rows):
+        open_cells = [c for c in open_cells if c[2] > r]
+        taken, at, column, own = sorted(open_cells), 0, 0, []
+        for cell in row:
+            while at < len(taken) and taken[at][0] <= column:
+                column = max(column, taken[at][1])
+                at += 1
+            end = column + max(1, spanned(cell, "colspan", 1000))
+            down = spanned(cell, "rowspan", 65534)
+            if down != 1:
+                open_cells.append((column, end, r + down if down else len(rows)))
+            own.append((column, end))
+            column = end
+        laid.append(own)
+    starts = sorted({first for row in laid for first, _ in row})
+    return [[(bisect_left(starts, first), bisect_left(starts, end) - bisect_left(starts, first)) for first, end in row]
+            for row in laid]
+
+
+def aligned(rows: list[list[tuple[int, int, str]]]) -> list[str]:
+    """Lines of cells (first column, columns, text), padded to the widest of
+    their columns, two spaces apart; a cell over several columns widens the last
+    of them if it needs more room than they have."""
+    cells = [[(at, n, text.split("\n")) for at, n, text in row] for row in rows]
+    width = [0] * max((at + n for row in rows for at, n, _ in row), default=0)
+    wide = []
     for row in cells:
-        for k, cell in enumerate(row):
-            width[k] = max(width.get(k, 0), *map(display_width, cell))
+        for at, n, lines in row:
+            need = max(map(display_width, lines))
+            if n == 1:
+                width[at] = max(width[at], need)
+            elif need:
+                wide.append((n, at, need))
+    for n, at, need in sorted(wide):
+        width[at + n - 1] += max(0, need - sum(width[at:at + n]) - 2 * (n - 1))
+    offset = [0, *accumulate(w + 2 for w in width)]
     out: list[str] = []
     for row in cells:
-        height, text = max(map(len, row)), sum(len(line) for cell in row for line in cell)
-        if height > 1 and height * sum(width[k] for k in range(len(row))) > 64 * text + 10_000:
-            out.extend(line for cell in row if any(cell) for line in cell)
+        height, text = max(len(lines) for _, _, lines in row), sum(len(line) for _, _, lines in row for line in lines)
+        if height > 1 and height * offset[row[-1][0] + row[-1][1]] > 64 * text + 10_000:
+            out.extend(line for _, _, lines in row if any(lines) for line in lines)
             continue
-        for lines in zip_longest(*row, fillvalue=""):
-            out.append("  ".join(c + " " * (width[k] - display_width(c)) for k, c in enumerate(lines)).rstrip())
+        for k in range(height):
+            parts, used = [], 0
+            for at, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    parts.append(" " * (offset[at] - used) + lines[k])
+                    used = offset[at] + display_width(lines[k])
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -322,7 +453,7 @@ def render(root: Node) -> str:
                 out.block(True)
                 captions, rows = table_rows(x)
                 grid: list[list[str]] = [[""] * len(r) for r in rows]
-                stack.append(("grid", grid))
+                stack.append(("grid", (grid, placed(rows))))
                 for r in range(len(rows) - 1, -1, -1):
                     for c in range(len(rows[r]) - 1, -1, -1):
                         stack.append(("cell_end", (grid, r, c)))
@@ -380,7 +511,8 @@ def render(root: Node) -> str:
             out = canvases.pop()
         elif kind == "grid":
             out.line()
-            for row in aligned([r for r in x if any(r)]):
+            grid, places = x
+            for row in aligned([[(*p, t) for p, t in zip(at, r)] for at, r in zip(places, grid) if any(r)]):
                 if out.blank and out.lines:
                     out.lines.append("")
                 out.blank = False
