@@ -64,8 +64,8 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-# Classifier, SimHash and tokenizer have no SQL form; tests/llm compares every
-# stage with a brute-force version.
+# Classifier, SimHash and tokenizer have no SQL form; tests/llm compares the
+# rows of every stage with a plain version, those of the classifier with the labels.
 ORACLE_SQL = None
 
 
