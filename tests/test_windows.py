@@ -125,3 +125,29 @@ def test_segments_give_the_windows_of_single_rows(spark):
         for k, r in plain.items():
             for c, v in r.items():
                 assert v == got[k][c] or abs(v - got[k][c]) < 1e-9, (k, c)
+
+
+def test_partition_stats_equal_paired_rows(spark, monkeypatch):
+    """Chunks of a few rows, a store longer than a chunk, repeated days, nulls and NaN."""
+    from visitcast.operators import windows as W
+    monkeypatch.setattr(W, "CHUNK_ROWS", 40)
+    rng = np.random.default_rng(6)
+    start = dt.date(2020, 1, 1)
+    origins = [start + dt.timedelta(days=i) for i in (30, 51, 90)]
+    rows = [(None if i % 50 == 0 else int(rng.integers(0, 9)) if i % 3 else 4, None if i % 37 == 0 else f"k{rng.integers(0, 3)}",
+             start + dt.timedelta(days=int(rng.integers(0, 100))),
+             None if i % 41 == 0 else float("nan") if i % 43 == 0 else float(rng.integers(0, 6))) for i in range(900)]
+    df = spark.createDataFrame(rows, "s int, a string, d date, x double").repartition(3, "s")
+    stats = ["count", "sum", "mean", "max", "min", "std", "median", "kermed"]
+    name = lambda s, w: f"{s}_{w}"
+    for keys in (["s"], ["s", "a"]):
+        for windows, lookback in ((WINDOWS, max(WINDOWS)), ([None], None)):
+            paired = explode_origins(df, "d", origins, lookback=lookback)
+            want = trailing_stats(paired, ["origin", *keys], "x", windows, stats, name)
+            got = W.partition_stats(df, keys, "x", "d", origins, windows, stats, name)
+            assert got.dtypes == want.dtypes
+            want, got = ({tuple(r[k] for k in ["origin", *keys]): r for r in f.collect()} for f in (want, got))
+            assert want.keys() == got.keys()
+            for k, r in want.items():
+                for c in r.asDict():
+                    assert r[c] == got[k][c] or abs(r[c] - got[k][c]) < 1e-9, (keys, k, c)
