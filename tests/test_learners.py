@@ -137,3 +137,22 @@ def test_tree_by_hand(spark):
     assert 28 <= tree["threshold"][0] < 31 and tree["feature"].tolist() == [0, -1, -1]
     mean = sum(y * w for _, y, w in data) / sum(w for *_, w in data)
     assert abs(mean + tree["value"][2] - 5.0) < 1e-9
+
+
+def test_score_ledger_is_read_from_memory(rows, monkeypatch):
+    """No pass unpacks the stored blocks again."""
+    unpacked = rows.sparkSession.sparkContext.accumulator(0)
+    plain = L._unpacked
+
+    def counted(runs_of):
+        unpack = plain(runs_of)
+
+        def one(row):
+            unpacked.add(1)
+            return unpack(row)
+        return one
+
+    monkeypatch.setattr(L, "_unpacked", counted)
+    L.boost(rows, ["x", "z"], FAST, valid_col="is_valid")
+    blocks = unpacked.value
+    assert 0 < blocks <= 2 * rows.rdd.getNumPartitions()
