@@ -227,3 +227,29 @@ def test_masked_lm_does_not_depend_on_the_partitioning(spark, monkeypatch):
     assert max(found) - min(found) < 0.05 and min(found) > unigram + 0.3 and mean(vocab, start) < min(found)
     monkeypatch.setattr(mlm_score, "UNIT_WORDS", 6000)     # eight copies that see different texts are averaged
     assert mean(*mlm_score.train(texts.repartition(64))) > unigram + 0.3
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """14,000 rows, more than one task trains and more than the sample there once was."""
+    n = 14_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id % 50, ' text', id, if(id % 3 = 0, ' vile', ' kind')) AS text",
+                                     "if(id % 2 = 0, 'en', null) AS lang")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS toxic")
+    counted = {}
+    start = toxicity_cnn.start_network
+
+    def seen(used, size):
+        counted.update(used=used, size=size)
+        return start(used, size)
+
+    calibrated = {}
+    monkeypatch.setattr(toxicity_cnn, "start_network", seen)
+    monkeypatch.setattr(toxicity_cnn, "calibrate", lambda net, rows, shrink: calibrated.update(n=rows.count()))
+    net = toxicity_cnn.train(docs, labels)
+    learnt = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(counted["size"]) + calibrated["n"] == len(learnt)
+    assert sum(counted["size"]) > 2 * toxicity_cnn.UNIT_TEXTS and counted["size"][1] > 2000
+    ids, _ = toxicity_cnn.word_parts(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))
+    assert counted["used"][1, ids[0, 0]] == counted["size"][1]
+    out = toxicity_cnn.score(docs, net).join(labels, "doc_id").where("held_out").toPandas()
+    assert (out["predicted"] == out["toxic"]).mean() > 0.99
