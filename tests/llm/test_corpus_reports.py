@@ -75,6 +75,29 @@ def test_collocations_with_a_filter_that_lets_everything_through(spark):
     assert rows_of(collocations.collocations(docs, min_count=10, filter_bits=8)) == plain_collocations(rows, least=10)
 
 
+def test_second_pass_sends_a_row_per_language_and_deal(monkeypatch):
+    """However many blocks and phrases a task has; the counts are whole."""
+    import pyarrow as pa
+
+    rng, ranges, bits = random.Random(5), 4, 64
+    rows = [(lang, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60))) for _ in range(40) for lang in ("x", "y")]
+    batch = pa.RecordBatch.from_pydict({"lang": [lang for lang, _ in rows], "salt": pa.array([1 if lang == "x" else 2 for lang, _ in rows], pa.int64()),
+                                        "text": [text for _, text in rows]})
+
+    class Everything:
+        value = np.full(ranges * bits >> 3, 255, np.uint8)
+
+    monkeypatch.setattr(collocations, "COUNT_BLOCK", 200)
+    sent = pa.Table.from_batches(list(collocations._counter(Everything, ranges, bits, 4)([batch] * 3)))
+    assert len(sent) <= 2 * ranges
+    added = pa.Table.from_batches(list(collocations._adder(1)(sent.sort_by([("deal", "ascending"), ("lang", "ascending")]).to_batches()))).to_pylist()
+    plain = Counter((lang, len(run), " ".join(run)) for lang, text in rows for words in (text.split(),) for n in range(1, 5)
+                    for run in (words[i:i + n] for i in range(len(words) - n + 1)))
+    plain.update((lang, 0, "") for lang, text in rows for _ in text.split())
+    assert {(r["lang"], r["words"], r["phrase"]): r["n"] for r in added} == {key: 3 * n for key, n in plain.items()}
+    assert len(added) == len(plain)
+
+
 def test_collocations_awkward(spark, awkward, empty, texts):  # noqa: F811
     rows = [("clash", t) for t in texts] + [("clash", "null id text of some words"), ("clash", None), ("clash", "one")]
     assert rows_of(collocations.collocations(awkward)) == plain_collocations(rows)

@@ -12,7 +12,9 @@
    more runs through to the second pass.
 3. Second pass.  Tasks read the texts again and count the runs that pass the
    filter and whose own shorter runs pass it, too, by the words themselves (a
-   dictionary per block, no hash); Spark adds the counts up, which are exact.
+   dictionary per block, no hash).  A task adds up the blocks of a language and
+   deals the phrases out by a hash, those of a language and deal in one row; the
+   deals are added up, phrase by phrase, to counts which are exact.
 4. Cuts, nested phrases and the first of every language are joins and
    aggregations of the frequent phrases.
 
@@ -34,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, mix, span_hashes, table, text_blocks, tidy, word_spans
+from .common import checkpointed, lower_ascii, mix, span_hashes, table, text_blocks, text_column, tidy, word_spans
 
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 MIN_COUNT, MAX_WORDS, TOP = 30, 4, 2000
@@ -45,6 +47,7 @@ FILTER_BITS = 1 << 27
 LOCAL_RUNS = 2_000_000                 # hashes of a task before they are sent on
 BLOCK = 1 << 20
 COUNT_BLOCK = 1 << 22
+HELD_PHRASES = 500_000                 # counters of a task before equal phrases are added up
 SLACK = 2                              # capacity over mass / min_count
 KEY_BYTES = 5                          # of a hash that travel, besides its range
 SALTS = 64
@@ -205,13 +208,37 @@ def _merger(min_count: int, bits: int):
     return run
 
 
+class Phrases:
+    """Counts of phrases; equal ones are added up when too many are held."""
+
+    def __init__(self) -> None:
+        self.parts, self.held, self.distinct = [], 0, 0
+
+    def add(self, phrases, counts) -> None:
+        self.parts.append((phrases, counts))
+        self.held += len(phrases)
+        if self.held > HELD_PHRASES + 2 * self.distinct:
+            self.counters()
+
+    def counters(self):
+        """(distinct phrases, their total counts)."""
+        import pyarrow as pa
+
+        found = pa.Table.from_batches([pa.RecordBatch.from_arrays([p, pa.array(c, pa.int64())], ["phrase", "n"]) for p, c in self.parts])
+        found = found.group_by("phrase", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        phrases, counts = (found.column(c).combine_chunks() for c in ("phrase", "n_sum"))
+        self.parts, self.held, self.distinct = [(phrases, counts.to_numpy())], len(phrases), len(phrases)
+        return self.parts[0]
+
+
 def _counter(frequent, ranges: int, bits: int, max_words: int):
-    """Task of the second pass: rows (lang, words, phrase, n) of the runs that
-    pass the filter; words 0 has all words of the block."""
+    """Task of the second pass: rows (deal, lang, phrases, counts) of the runs
+    that pass the filter, phrases separated by line ends (no word has one); the
+    empty phrase has all words."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    kind = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    kind = pa.schema([("deal", pa.int32()), ("lang", pa.string()), ("phrases", pa.string()), ("counts", pa.binary())])
     borders = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
 
     def passes(h):
@@ -222,15 +249,12 @@ def _counter(frequent, ranges: int, bits: int, max_words: int):
             out &= (segments[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def rows(lang, n, phrases, counts):
-        return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(counts), np.int8))),
-                                           pa.array(np.full(len(counts), n, np.int32)), phrases, pa.array(counts)], schema=kind)
-
-    def block(lang, salt, data, offsets):
+    def block(salt, data, offsets):
+        """(phrases, counts) of a block, run length by run length."""
         start, end, _, linked = words_of(data, offsets)
         if not len(start):
             return
-        yield rows(lang, 0, pa.array([""]), np.array([len(start)]))
+        yield pa.array([""]), np.array([len(start)])
         places = np.append(0, np.cumsum(end - start)).astype(np.int32)
         inside = np.ascontiguousarray(data[_INSIDE[data]])
         coded = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(places), pa.py_buffer(inside)]).dictionary_encode()
@@ -248,7 +272,7 @@ def _counter(frequent, ranges: int, bits: int, max_words: int):
             if n == 1:
                 counts = np.bincount(word[here], minlength=size)
                 found = np.flatnonzero(counts)
-                yield rows(lang, 1, known.take(pa.array(found)), counts[found])
+                yield known.take(pa.array(found)), counts[found]
                 continue
             keys, inverse, counts = np.unique(ids[here] * size + word[here + n - 1], return_inverse=True, return_counts=True)
             texts = pc.binary_join_element_wise(texts.take(pa.array(keys // size)), known.take(pa.array(keys % size)), " ")
@@ -256,9 +280,21 @@ def _counter(frequent, ranges: int, bits: int, max_words: int):
             ids[here] = inverse
             if not len(keys):
                 return
-            yield rows(lang, n, texts, counts)
+            yield texts, counts
+
+    def dealt(lang, phrases, counts):
+        data, offsets = text_column(phrases)
+        deal = (span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(deal, kind="stable")
+        found, first = np.unique(deal[order], return_index=True)
+        cuts, counts = np.append(first, len(order)), counts[order]
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), phrases.take(pa.array(order)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int32()), pa.array([lang] * len(found), pa.string()), pc.binary_join(lists, "\n"),
+             pa.array([counts[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], schema=kind)
 
     def run(batches):
+        held: dict[str, Phrases] = {}
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             salts = batch.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -266,7 +302,43 @@ def _counter(frequent, ranges: int, bits: int, max_words: int):
             for c, lang in enumerate(langs.dictionary.to_pylist()):
                 mine = np.flatnonzero(code == c)
                 for _, _, data, offsets in text_blocks(batch.column("text").take(pa.array(mine)), COUNT_BLOCK):
-                    yield from block(lang, salts[mine[0]], lower_ascii(data), offsets)
+                    for phrases, counts in block(salts[mine[0]], lower_ascii(data), offsets):
+                        held.setdefault(lang, Phrases()).add(phrases, counts)
+                    if sum(p.held for p in held.values()) > 3 * HELD_PHRASES:
+                        yield from (dealt(one, *held.pop(one).counters()) for one in list(held))
+        yield from (dealt(one, *held.pop(one).counters()) for one in list(held))
+
+    return run
+
+
+def _adder(min_count: int):
+    """Task of the deals, rows sorted by deal and language: rows (lang, words,
+    phrase, n) of the phrases with ``min_count`` occurrences; words 0: all words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def closed(lang, held):
+        phrases, counts = held.counters()
+        kept = np.flatnonzero((counts >= min_count) | pc.equal(phrases, "").to_numpy(zero_copy_only=False))
+        phrases = phrases.take(pa.array(kept))
+        words = pc.if_else(pc.equal(phrases, ""), 0, pc.add(pc.count_substring(phrases, " "), 1)).cast(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), words, phrases, pa.array(counts[kept], pa.int64())], schema=kind)
+
+    def run(batches):
+        key, held = None, None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("deal", "lang", "phrases", "counts")]
+            for deal, lang, phrases, counts in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3]):
+                if (deal, lang) != key:
+                    if key is not None:
+                        yield closed(key[1], held)
+                    key, held = (deal, lang), Phrases()
+                held.add(pc.split_pattern(pa.array([phrases.as_py()], pa.string()), "\n").flatten(),
+                         np.frombuffer(counts.as_buffer(), np.int64))
+        if key is not None:
+            yield closed(key[1], held)
 
     return run
 
@@ -289,9 +361,10 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     segments = np.zeros(bits * ranges >> 3, np.uint8)
     for r in merged.select("range", "segment").collect():      # twice filter_bits at most in all
         segments[r["range"] * (bits >> 3):(r["range"] + 1) * (bits >> 3)] = np.frombuffer(r["segment"], np.uint8)
-    counted = texts.mapInArrow(tidy(_counter(spark.sparkContext.broadcast(segments), ranges, bits, max_words)),
-                               "lang string, words int, phrase string, n long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("words") == 0))
+    dealt = texts.mapInArrow(tidy(_counter(spark.sparkContext.broadcast(segments), ranges, bits, max_words)),
+                             "deal int, lang string, phrases string, counts binary")
+    return dealt.repartition(ranges, "deal").sortWithinPartitions("deal", "lang").mapInArrow(
+        tidy(_adder(min_count)), "lang string, words int, phrase string, n long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
