@@ -278,6 +278,20 @@ def test_decontamination_finds_reordered_passages(spark):
         == {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"]) for r in rows}
 
 
+def test_plans_hold_neither_the_filter_nor_every_near_value(spark):
+    """They are copied and described many times in the driver's memory."""
+    shingles = spark.createDataFrame([(h * 0x9E3779B97F4A7C15 % (1 << 63),) for h in range(2000)], "hash long")
+    texts = spark.createDataFrame([(1, ["a"], [17])], "doc_id long, ws array<string>, hs array<long>")
+    bit_filter = decontaminate._bit_filter(shingles, decontaminate.FILTER_BITS, decontaminate.PROBES)
+    own = texts.unionByName(shingles.select(F.lit(2).cast("long").alias("doc_id"), F.array(F.lit("b")).alias("ws"), F.array("hash").alias("hs")))
+    touched = decontaminate._touched(own, bit_filter, decontaminate.FILTER_BITS, decontaminate.PROBES)
+    assert touched.where("doc_id = 2").count() == 2000
+    assert len(touched._jdf.queryExecution().toString()) < 60_000
+    near = shingles.select(F.inline(decontaminate.filed(F.col("hash"), 20, 7, near=True)))
+    assert len(near._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+
+
+
 def test_multi_index_finds_all_within_the_radius(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(8)]

@@ -86,32 +86,35 @@ def block_fields(blocks: int) -> list[tuple[int, int]]:
 
 def filed(fp: Column, radius: int, blocks: int, near: bool) -> Column:
     """Array of (block, value): own values, or all within the block's radius."""
+    reach = radius // blocks if near else 0
+
+    def flipped(k: int, value: Column):
+        return lambda mask: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(mask).alias("value"))
+
     out = []
     for k, (low, width) in enumerate(block_fields(blocks)):
         value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-        reach = radius // blocks if near else 0
-        for flips in range(reach + 1):
-            for places in combinations(range(width), flips):
-                mask = sum(1 << p for p in places)
-                out.append(F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(mask)).alias("value")))
-    return F.array(*out)
+        masks = [sum(1 << p for p in places) for flips in range(reach + 1) for places in combinations(range(width), flips)]
+        # One expression a block, not one a value: plans are copied many times.
+        out.append(F.transform(F.expr(f"array({', '.join(f'{m}L' for m in masks)})"), flipped(k, value)))
+    return F.concat(*out)
 
 
 def _probe_bits(h: Column, bits: int, probes: int) -> list[Column]:
     return [F.shiftrightunsigned(h, 64 - bits * (p + 1)).bitwiseAND(F.lit((1 << bits) - 1)) for p in range(probes)]
 
 
-def _bit_filter(shingles: DataFrame, bits: int, probes: int) -> Column:
-    """A constant array of 64-bit words with the probe bits of all shingles set
-    (2^bits bits whatever the size of the benchmark)."""
+def _bit_filter(shingles: DataFrame, bits: int, probes: int) -> DataFrame:
+    """One row: the array ``filter`` of 64-bit words with the probe bits of all
+    shingles set (2^bits bits whatever the size of the benchmark).  A row, not a
+    constant, which every copy of a plan and its text would hold."""
     places = shingles.select(F.explode(F.array(*_probe_bits(F.col("hash"), bits, probes))).alias("p"))
-    one = F.lit(1).cast("long")
-    set_words = places.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).collect()
-    filter_words = ["0"] * (1 << (bits - 6))
-    for row in set_words:
-        filter_words[row["w"]] = str(row["v"])
-    return F.expr(f"cast(split('{','.join(filter_words)}', ',') as array<bigint>)")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    marks = places.select(F.shiftrightunsigned("p", 6).alias("w"),
+                          F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("v"))
+    marks = marks.unionByName(shingles.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("w"), zero.alias("v")))
+    filter_words = F.sort_array(F.collect_list(F.struct("w", "v")))
+    return marks.groupBy("w").agg(F.bit_or("v").alias("v")).agg(F.transform(filter_words, lambda x: x["v"]).alias("filter"))
 
 
 def _hits(hs: Column, bit_filter: Column, bits: int, probes: int) -> Column:
@@ -127,6 +130,16 @@ def _hits(hs: Column, bit_filter: Column, bits: int, probes: int) -> Column:
                                               lambda i: F.struct(i.alias("at"), F.get(hs, i).alias("hash"))))
 
 
+def _touched(texts: DataFrame, bit_filter: DataFrame, bits: int, probes: int) -> DataFrame:
+    """The texts with elements that pass the bit filter."""
+    # ``copy`` tells rows of one id apart.  It also keeps the optimizer from
+    # moving the condition below the arrays, where it would compute them again
+    # for every element.
+    return texts.crossJoin(F.broadcast(bit_filter)) \
+        .withColumns({"hits": _hits(F.col("hs"), F.col("filter"), bits, probes), "copy": F.monotonically_increasing_id()}) \
+        .where(F.size("hits") > 0).select("doc_id", "copy", "ws", "hits")
+
+
 def _starts(k: int, similarity: float) -> Column:
     """First words of all windows of ``n`` words with so many hits (``at``,
     sorted) that the similarity can be reached, each once."""
@@ -174,17 +187,12 @@ def _contaminated_by(docs, items, k, id_col, text_col, similarity, radius, block
     """Similar windows for the items whose shingles have ``k`` words."""
     items = checkpointed(items.withColumn("hs", hashes(F.col("ws"), k)).withColumn("fp", simhash(F.col("hs"))))
     places = items.select("n", F.posexplode("hs").alias("offset", "hash")).distinct()
-    bit_filter = _bit_filter(places, bits, probes)
+    bit_filter = checkpointed(_bit_filter(places, bits, probes))
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"),
                                                          words(F.col(text_col)).alias("ws"))
     texts = texts.withColumn("hs", hashes(F.col("ws"), k))
-    # ``copy`` tells rows of one id apart.  It also keeps the optimizer from
-    # moving the condition below the arrays, where it would compute them again
-    # for every element.
-    texts = checkpointed(texts.withColumns({"hits": _hits(F.col("hs"), bit_filter, bits, probes),
-                                            "copy": F.monotonically_increasing_id()})
-                         .where(F.size("hits") > 0).select("doc_id", "copy", "ws", "hits"))
+    texts = checkpointed(_touched(texts, bit_filter, bits, probes))
 
     hits = texts.select("doc_id", "copy", F.size("ws").alias("size"), F.inline("hits"))
     marks = hits.join(places.select("n", "hash").distinct(), "hash").groupBy("doc_id", "copy", "size", "n") \
