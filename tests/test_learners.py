@@ -156,3 +156,26 @@ def test_score_ledger_is_read_from_memory(rows, monkeypatch):
     L.boost(rows, ["x", "z"], FAST, valid_col="is_valid")
     blocks = unpacked.value
     assert 0 < blocks <= 2 * rows.rdd.getNumPartitions()
+
+
+def test_blocks_and_ledger_are_zipped_once_a_ledger(rows, monkeypatch):
+    """A pass reads the zipped blocks; it does not zip them again."""
+    from pyspark import RDD
+    zips, plain = [], RDD.zip
+    monkeypatch.setattr(RDD, "zip", lambda self, other: zips.append(1) or plain(self, other))
+    fit = L.Fit(rows, ["x", "z"], FAST.replace(max_iter=9, patience=9), valid_col="is_valid")
+    often = L.boost_all({"one": fit}, ledger_every=4)["one"]
+    assert len(zips) == 2
+    seldom = L.boost_all({"one": fit}, ledger_every=50)["one"]
+    assert len(zips) == 2 and often.rounds == seldom.rounds and abs(error(often, rows) - error(seldom, rows)) < 1e-9
+
+
+def test_fits_on_different_rows_keep_their_own_borders(rows):
+    """Rows are sketched side by side; every fit has the model it has alone."""
+    ask = {str(k): L.Fit(rows.withColumn("x", F.col("x") * 10 ** k), ["x", "z"], FAST.replace(max_iter=3), valid_col="is_valid")
+           for k in range(6)}
+    shared = L.boost_all(ask)
+    for k, (name, fit) in enumerate(ask.items()):
+        alone, tree = L.boost_all({name: fit})[name], shared[name].parts[0].model.trees[0]
+        assert tree["threshold"][0] > 0.1 * 10 ** k
+        assert np.allclose(tree["threshold"], alone.parts[0].model.trees[0]["threshold"])
