@@ -253,3 +253,22 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert counted["used"][1, ids[0, 0]] == counted["size"][1]
     out = toxicity_cnn.score(docs, net).join(labels, "doc_id").where("held_out").toPandas()
     assert (out["predicted"] == out["toxic"]).mean() > 0.99
+
+
+def test_toxicity_sends_table_rows_as_they_are():
+    """A trained row travels once, in single precision; the other weights are exact."""
+    rng = np.random.default_rng(5)
+    used = np.full((2, toxicity_cnn.SIZE), 9.0)
+    trainer = toxicity_cnn.Trainer(toxicity_cnn.start_network(used, (9, 9)))
+    texts = [rng.integers(1, toxicity_cnn.SIZE, (toxicity_cnn.PARTS, 6)).astype(np.int32) for _ in range(8)]
+    trainer.fit(texts, np.arange(8) % 2.0, 2)
+    sent = toxicity_cnn.sent_rows(trainer)
+    changed, dense = np.unique(np.concatenate([t.ravel() for t in texts])), toxicity_cnn.dense_of(trainer.net)
+    assert sent.num_rows == len(changed) + len(dense)
+    assert sent.nbytes < len(changed) * (4 * toxicity_cnn.DIM + 18) + len(dense) * (8 * toxicity_cnn.DIM + 18) + 64
+    rows = sent.to_pylist()
+    assert [r["row"] for r in rows[:len(changed)]] == changed.tolist()
+    assert [r["seen"] for r in rows[:len(changed)]] == [sum((t == i).any() for t in texts) for i in changed]
+    assert np.array_equal(np.array([r["w"] for r in rows[:len(changed)]], np.float32), trainer.net.table[changed])
+    assert all(r["exact"] is None for r in rows[:len(changed)])
+    assert np.array_equal([r["exact"] for r in rows[len(changed):]], dense) and all(r["w"] is None for r in rows[len(changed):])

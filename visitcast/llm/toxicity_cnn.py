@@ -226,6 +226,25 @@ class Trainer:
                 net.table[seen] -= rate * grad / np.sqrt(g_tab[seen])
 
 
+SENT = "row int, seen int, w array<float>, exact array<double>"
+
+
+def sent_rows(trainer: Trainer):
+    """What a task changed: a row per table row as the table holds it (single
+    precision), then all other weights (``exact``)."""
+    import pyarrow as pa
+
+    changed, dense = np.flatnonzero(trainer.seen), dense_of(trainer.net)
+    n, m = len(changed), len(dense)
+    at = np.concatenate([changed, SIZE + np.arange(m)]).astype(np.int32)
+    seen = np.concatenate([trainer.seen[changed], np.full(m, trainer.texts)]).astype(np.int32)
+    single = pa.ListArray.from_arrays(pa.array(np.concatenate([np.arange(n + 1) * DIM, np.full(m, n * DIM)]).astype(np.int32)),
+                                      pa.array(trainer.net.table[changed].ravel()), mask=pa.array(np.arange(n + m) >= n))
+    exact = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n), np.arange(m + 1) * DIM]).astype(np.int32)),
+                                     pa.array(dense.ravel()), mask=pa.array(np.arange(n + m) < n))
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen), single, exact], names=["row", "seen", "w", "exact"])
+
+
 def best_cut(scores: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
     """The cut with the least weighted errors, midway in its range; ties go
     to the range nearest one half."""
@@ -289,7 +308,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     net = start_network(used, n)
     epochs = int(np.clip(6 * UNIT_TEXTS // sum(n), 2, 8))
     rounds = 1 if tasks == 1 else 2
-    shape = ", ".join(f"w{k} double" for k in range(DIM))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(net)
 
@@ -320,16 +338,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             if texts:
                 learn_chunk()
             if trainer.texts:
-                changed, dense = np.flatnonzero(trainer.seen), dense_of(trainer.net)
-                out = np.concatenate([trainer.net.table[changed].astype(float), dense])
-                weight = np.concatenate([trainer.seen[changed], np.full(len(dense), trainer.texts)])
-                at = np.concatenate([changed, SIZE + np.arange(len(dense))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight), *(pa.array(out[:, k]) for k in range(DIM))],
-                                                 names=["row", "seen", *(f"w{k}" for k in range(DIM))])
+                yield sent_rows(trainer)
 
         mine = learn if rounds == 1 else rows.where((F.col("turn") >= first) & (F.col("turn") % 2 == turn)).select("y", "text")
-        got = mine.coalesce(tasks).mapInArrow(tidy(run), f"row int, seen long, {shape}").groupBy("row").agg(*[
-            (F.sum(F.col(f"w{k}") * F.col("seen")) / F.sum("seen")).alias(f"w{k}") for k in range(DIM)]).toArrow()
+        # Moved as sent: sums of products made before the shuffle are twice as large and save no row.
+        got = mine.coalesce(tasks).mapInArrow(tidy(run), SENT).repartition("row").groupBy("row").agg(*[
+            (F.expr(f"sum(coalesce(exact[{k}], CAST(w[{k}] AS DOUBLE)) * seen) / sum(seen)")).alias(f"w{k}") for k in range(DIM)]).toArrow()
         if got.num_rows:
             at, new = got.column("row").to_numpy(), np.stack([got.column(f"w{k}").to_numpy() for k in range(DIM)], 1)
             dense = dense_of(net)
