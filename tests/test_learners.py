@@ -179,3 +179,21 @@ def test_fits_on_different_rows_keep_their_own_borders(rows):
         alone, tree = L.boost_all({name: fit})[name], shared[name].parts[0].model.trees[0]
         assert tree["threshold"][0] > 0.1 * 10 ** k
         assert np.allclose(tree["threshold"], alone.parts[0].model.trees[0]["threshold"])
+
+
+def test_border_sketches_are_merged_by_several_tasks(spark):
+    """More than one part, missing values, a feature without any value."""
+    d = 2 * L.SKETCH_FEATURES + 3
+    df = spark.range(0, 500, 1, 4).select(
+        *[F.expr(f"CASE WHEN id % 11 = 3 THEN NULL WHEN id % 13 = 2 THEN double('NaN') ELSE pmod(xxhash64(id, {k}), 900) / 7.0D END").alias(f"f {k}")
+          for k in range(d - 1)], F.lit(None).cast("double").alias("none"))
+    sketches = L.border_sketches(df, df.columns, 32)
+    plan = sketches._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(part" in plan
+    assert sketches.count() == 3
+    share = ", ".join(f"{i / 31}D" for i in range(1, 31))
+    want = df.selectExpr(*[f"percentile_approx(nullif(`{c}`, double('NaN')), array({share}), {L.EDGE_ACCURACY})" for c in df.columns]).first()
+    for got, q in zip(L.bin_borders(df, df.columns, 32), want, strict=True):
+        assert np.array_equal(got, np.unique(np.array(q or [], float)))
+    assert all(len(b) == 0 for b in L.bin_borders(df.where("false"), df.columns, 32)) and L.bin_borders(df, [], 32) == []
+    assert [len(b) for b in L.bin_borders(df, df.columns, 2)] == [0] * d
