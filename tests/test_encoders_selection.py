@@ -79,3 +79,28 @@ def test_sample_per_group(spark):
     out = sampling.sample_per_group(df, "g", {0: 10, 1: 50}, ["id"])
     got = {r["g"]: r["count"] for r in out.groupBy("g").count().collect()}
     assert got == {0: 10, 1: 34}
+
+
+def test_f_scores_of_one_pass(spark):
+    """Nulls, NaN, a constant and an empty column, against plain aggregates; no SQL aggregate a feature."""
+    from visitcast.operators import selection as S
+    df = spark.range(0, 900, 1, 5).selectExpr(
+        "CASE WHEN id % 7 = 1 THEN NULL ELSE (id * 37 % 101) / 3.0D END AS visitors", "id AS a",
+        "CASE WHEN id % 5 = 2 THEN NULL ELSE pmod(xxhash64(id), 50) END AS b", "IF(id = 3, double('NaN'), 1.0D * id) AS c",
+        "4 AS same", "CAST(NULL AS DOUBLE) AS none", "id % 2 = 0 AS flag", "CASE WHEN id > 880 THEN id % 9 END AS late")
+    features = ["a", "b", "c", "same", "none", "flag", "late"]
+    got = {r["feature"]: r for r in S.f_scores(df, features, "visitors").collect()}
+    y = F.col("visitors")
+    for f in features:
+        x = F.col(f).cast("double")
+        r, n = df.agg(S.safe_corr(x, y), F.count(F.when(x.isNotNull() & y.isNotNull(), 1))).first()
+        assert got[f]["n"] == n
+        want = None if r is None else r * r / (1 - r * r) * (n - 2)
+        if want is None or want != want:
+            assert got[f]["f_score"] is None or got[f]["f_score"] != got[f]["f_score"]
+        else:
+            assert abs(got[f]["f_score"] - want) <= 1e-9 * (1 + abs(want))
+    assert [r["feature"] for r in S.f_score_topk(df, features, "visitors", 9).collect()] == \
+        [f for _, f in sorted((-got[f]["f_score"], f) for f in ("a", "b", "flag", "late"))]
+    assert S.f_scores(df.where("false"), features, "visitors").where("f_score IS NOT NULL OR n > 0").count() == 0
+    assert S.f_scores(df, [], "visitors").count() == 0

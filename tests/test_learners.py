@@ -197,3 +197,55 @@ def test_border_sketches_are_merged_by_several_tasks(spark):
         assert np.array_equal(got, np.unique(np.array(q or [], float)))
     assert all(len(b) == 0 for b in L.bin_borders(df.where("false"), df.columns, 32)) and L.bin_borders(df, [], 32) == []
     assert [len(b) for b in L.bin_borders(df, df.columns, 2)] == [0] * d
+
+
+def test_fits_on_the_same_rows_share_their_blocks(rows, monkeypatch):
+    """Other features, or another model to go on from, are no reason to store the rows again."""
+    starts = [L.boost(rows, [f], FAST.replace(max_iter=2), valid_col="is_valid") for f in ("x", "z")]
+    packed, plain = [], L._packed
+    monkeypatch.setattr(L, "_packed", lambda number, *a, **k: packed.append(number) or plain(number, *a, **k))
+    ask = {str(k): L.Fit(rows, f, FAST.replace(max_iter=4), valid_col="is_valid", init=i)
+           for k, (f, i) in enumerate(((["x", "z"], starts[0]), (["z"], starts[1]), (["x"], None), (["z", "x"], starts[0])))}
+    shared = L.boost_all(ask, ledger_every=3)
+    assert len(packed) == 1
+    for name, fit in ask.items():
+        alone = L.boost_all({name: fit})[name]
+        assert alone.rounds == shared[name].rounds and abs(error(alone, rows) - error(shared[name], rows)) < 1e-9
+
+
+def test_blocks_are_joined_and_drawn_as_before(rows):
+    """Joined blocks keep the rows of every block's own draw."""
+    def block(number, block, n):
+        v = np.arange(n, dtype=float) + block
+        return (number, [(block, n)], np.full((n, 2), block, np.uint8), v, v, v > 1), {7: v, 8: v}
+
+    joined = list(L._joined(iter([block(0, 1, 3), block(1, 2, 4), block(0, 3, 5)])))
+    assert [(d, blocks, len(y)) for (d, blocks, _, y, _, _), _ in joined] == [(0, [(1, 3), (3, 5)], 8), (1, [(2, 4)], 4)]
+    (_, blocks, bins, y, _, _), scores = joined[0]
+    assert bins[:, 0].tolist() == [1] * 3 + [3] * 5 and scores[7] is scores[8] and np.array_equal(scores[7], y)
+    alone = [L._drawn(5, 0.5, [b]) for b in blocks]
+    assert np.array_equal(L._drawn(5, 0.5, blocks), np.concatenate(alone))
+
+
+def test_small_trees_route_rows_as_large_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    tree = dict(feature=np.array([1, 0, 2, -1, -1, -1, -1], np.int32), bin=np.array([3, 5, 0, -1, -1, -1, -1], np.int32),
+                left=np.array([1, 3, 5, -1, -1, -1, -1]), right=np.array([2, 4, 6, -1, -1, -1, -1]), value=rng.normal(size=7))
+    bins = np.asfortranarray(rng.integers(0, 9, (200, 3)).astype(np.uint8))
+    small = L._routed(tree, bins, tree["value"])
+    monkeypatch.setattr(L, "SMALL_TREE", 0)
+    assert np.array_equal(small, L._routed(tree, bins, tree["value"]))
+
+
+def test_plans_share_the_target_set_and_the_f_statistics(spark, monkeypatch):
+    data = trainset.DomainData(*(domain(spark, s, n, k).checkpoint() for k, (s, n) in
+                                 enumerate(((0.3, 300), (0.0, 240), (0.3, 60), (0.0, 60)))), ["x", "z"])
+    p = FAST.replace(max_iter=2)
+    source = RC.source_model(data, p)
+    calls = {"sets": 0, "scores": 0}
+    sets, scores = RC.training_set, RC.f_score_topk
+    monkeypatch.setattr(RC, "training_set", lambda *a: calls.update(sets=calls["sets"] + 1) or sets(*a))
+    monkeypatch.setattr(RC, "f_score_topk", lambda *a: calls.update(scores=calls["scores"] + 1) or scores(*a))
+    found, status = RC.super_ensemble_grid(data, p, source, ks=(1, 2), rates=((0.3, 0.1), (0.2, 0.1)), rounds=(2, 2))
+    assert set(status.values()) == {"ok"} and len(found) == 4
+    assert calls == {"sets": 1, "scores": 1}
